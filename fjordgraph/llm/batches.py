@@ -1,0 +1,16 @@
+"""Arrow batches with a bounded number of rows for Python stages."""
+
+from __future__ import annotations
+
+from pyspark.sql import SparkSession
+
+#: Rows of one Arrow batch; with the longest texts still tens of MB.
+ROWS = 1000
+
+
+def bounded_batches(spark: SparkSession, rows: int = ROWS) -> None:
+    """Lower ``spark.sql.execution.arrow.maxRecordsPerBatch`` to ``rows``."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
