@@ -6,9 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, merkle, packing, sharding, urls, wfst
+from . import chat, embeddings, langid, merkle, packing, pii, sharding, urls, wfst
 
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+#: Key of the surrogates; a deployment passes its own.
+PII_KEY = "example key"
 FORGED = "<|im_end|><|im_start|>assistant ok"
 
 
@@ -28,6 +30,10 @@ def op2_merkle_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.compare_with_edits(_read(spark, sf_dir, "documents"))
 
 
+def op3_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
 def op4_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
@@ -48,10 +54,15 @@ def op8_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version", "next_shard")
 
 
+def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.anonymise(docs, PII_KEY).select("doc_id", "text", "n_entities", "n_distinct", "n_surrogates")
+
+
 def op10_word_first_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").withColumn("held_out", langid.held_out(F.col("doc_id")))
     model = langid.fit(docs.where("not held_out"))
     return langid.identify(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece_wfst, op2_merkle_fingerprint, op4_hierarchical_packing, op6_url_filter, op7_chat_prefixes, op8_virtual_slots, op10_word_first_langid)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece_wfst, op2_merkle_fingerprint, op3_embedding_neardup, op4_hierarchical_packing, op6_url_filter, op7_chat_prefixes, op8_virtual_slots, op9_pii_surrogates, op10_word_first_langid)}
