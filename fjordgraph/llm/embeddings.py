@@ -31,7 +31,7 @@ from ..storage import cut
 from .batches import bounded_batches
 
 THRESHOLD, MISS = 0.98, 1e-5
-BUCKET, BLOCK = 128, 1024
+BUCKET, BLOCK = 128, 256
 SEED = 20_260_101
 
 

@@ -169,7 +169,7 @@ def predictor(spark, model: Model):
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Adds ``lang_pred`` and ``score``; the other columns stay as they are."""
     found = predictor(docs.sparkSession, model)(F.col(text))
-    return docs.withColumn("_lid", found).withColumns({"lang_pred": F.col("_lid.lang_pred"), "score": F.col("_lid.score")}).drop("_lid")
+    return docs.withColumn("__lid", found).withColumns({"lang_pred": F.col("__lid.lang_pred"), "score": F.col("__lid.score")}).drop("__lid")
 
 
 def held_out(doc_id: Column) -> Column:

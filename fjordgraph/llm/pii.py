@@ -319,9 +319,9 @@ def surrogate(spark: SparkSession, text: Column, key: str) -> Column:
 def anonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Documents with ``text`` replaced; ``n_entities``, ``n_distinct``,
     ``n_surrogates`` and ``entities`` added (replacing columns of these names)."""
-    out = docs.withColumn("_pii", surrogate(docs.sparkSession, F.col(text), key))
-    more = {c: F.col(f"_pii.{c}") for c in ("n_entities", "n_distinct", "n_surrogates", "entities")}
-    return out.withColumns({text: F.col("_pii.text")} | more).drop("_pii")
+    out = docs.withColumn("__pii", surrogate(docs.sparkSession, F.col(text), key))
+    more = {c: F.col(f"__pii.{c}") for c in ("n_entities", "n_distinct", "n_surrogates", "entities")}
+    return out.withColumns({text: F.col("__pii.text")} | more).drop("__pii")
 
 
 def collisions(entities: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embeddings, langid, merkle, packing, pii, sharding, urls, wfst
+from . import chat, embeddings, langid, merkle, minhash, packing, pii, sharding, urls, wfst
 
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 #: Key of the surrogates; a deployment passes its own.
@@ -39,6 +39,10 @@ def op4_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
 
 
+def op5_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_read(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "kept")
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_pages(_read(spark, sf_dir, "pages"), URL_RULES)
 
@@ -65,4 +69,4 @@ def op10_word_first_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece_wfst, op2_merkle_fingerprint, op3_embedding_neardup, op4_hierarchical_packing, op6_url_filter, op7_chat_prefixes, op8_virtual_slots, op9_pii_surrogates, op10_word_first_langid)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece_wfst, op2_merkle_fingerprint, op3_embedding_neardup, op4_hierarchical_packing, op5_bag_minhash, op6_url_filter, op7_chat_prefixes, op8_virtual_slots, op9_pii_surrogates, op10_word_first_langid)}
