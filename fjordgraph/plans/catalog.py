@@ -2,5 +2,607 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import analytics, generate, reports, tables, validate
+from ..operators import graph as g
+from ..operators import labels as lp
+from ..operators import louvain as lv
+from ..operators import pagerank as pr
+from ..operators import traversal as tr
+from ..operators.components import connected_components as cc
+from ..operators.pregel import aggregate_messages, pregel
+from ..sources import edges as io
+from ..sources import records
+from ..storage import shared_dir
+from . import tables as t
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function under its name, with its SQL if there is one."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _scratch(spark: SparkSession) -> str:
+    import uuid
+
+    return f"{shared_dir(spark)}/io-{uuid.uuid4().hex}"
+
+
+# algorithms
+
+
+@query(f"with recursive {t.BFS} select v.id, r.level from v left join r using (id)")
+def bfs_levels(spark, sf_dir):
+    graph = t.part_graph(spark, sf_dir)
+    return tr.bfs(graph, t.source_of(graph.edges))[0]
+
+
+@query(f"with recursive {t.BFS} select v.id, case when r.level <= 3 then r.level end as level from v left join r using (id)")
+def bfs_capped(spark, sf_dir):
+    graph = t.part_graph(spark, sf_dir)
+    return tr.bfs(graph, t.source_of(graph.edges), max_levels=3)[0]
+
+
+@query(f"with recursive {t.SSSP} select v.id, r.d as distance from v left join r using (id)")
+def sssp_distances(spark, sf_dir):
+    graph = t.part_graph(spark, sf_dir, weighted=True)
+    return tr.sssp(graph, t.source_of(graph.edges))[0]
+
+
+@query(f"with {t.pagerank_ctes(10)} select id, round(r, 9) as rank from p10")
+def pagerank_ten_rounds(spark, sf_dir):
+    ranks, _ = pr.pagerank(t.part_graph(spark, sf_dir), max_iter=10, tol=0.0)
+    return ranks.select("id", F.round("rank", 9).alias("rank"))
+
+
+@query(t.lp_sql(5, seeded=False))
+def lp_unsupervised(spark, sf_dir):
+    return lp.label_propagation(t.part_graph(spark, sf_dir), max_iter=5)[0]
+
+
+@query(t.lp_sql(5, seeded=True))
+def lp_seeded(spark, sf_dir):
+    return lp.label_propagation(t.part_graph(spark, sf_dir), t.seeds(spark, sf_dir), max_iter=5)[0]
+
+
+@query(t.lp_sql(4, seeded=True).replace(t.SPARSE, t.SPARSE.replace("e as materialized (", "e0 as (").replace("), v as", "), e as materialized (select src, dst from e0 union select dst, src from e0), ends as (select src id from e union select p_partkey from part where p_partkey % 10 = 0), v as").replace("select p_partkey id from part)", "select id from ends)")))
+def lp_undirected(spark, sf_dir):
+    return lp.label_propagation_undirected(t.part_sparse(spark, sf_dir), t.seeds(spark, sf_dir), max_iter=4, ratio=0.0)[0]
+
+
+@query(f"with recursive {t.COMPONENTS} select id, m as component from r")
+def components_weak(spark, sf_dir):
+    return cc(t.part_sparse(spark, sf_dir))
+
+
+@query(f"with recursive {t.COMPONENTS} select count(distinct m) as components from r")
+def component_count(spark, sf_dir):
+    return reports.component_count(cc(t.part_sparse(spark, sf_dir)))
+
+
+@query()
+def partition_digest(spark, sf_dir):
+    labels = cc(t.part_sparse(spark, sf_dir))
+    return spark.range(1).select(F.lit(reports.partition_digest(labels, "component")).alias("digest"))
+
+
+_UNDIRECTED = t.WEIGHTED + ", c as (select least(src, dst) src, greatest(src, dst) dst, min(weight) weight from w group by 1, 2)"
+
+
+def _communities(spark, sf_dir):
+    base = g.canonical(t.part_sparse(spark, sf_dir).withColumn("weight", g.formula_weight()))
+    return base, g.endpoints(base).select("id", (F.col("id") % 10).alias("community"))
+
+
+@query(f"""with {_UNDIRECTED}, m as (select 2 * sum(weight) m2 from c),
+ends as (select src id, weight from c union all select dst, weight from c where src <> dst),
+tot as (select id % 10 k, sum(weight) tot from ends group by 1),
+ins as (select src % 10 k, sum(case when src = dst then weight else 2 * weight end) ins from c where src % 10 = dst % 10 group by 1)
+select round(sum(coalesce(ins, 0) / m2 - (tot / m2) * (tot / m2)), 9) as modularity from tot left join ins using (k), m""")
+def modularity(spark, sf_dir):
+    return lv.modularity(*_communities(spark, sf_dir)).select(F.round("modularity", 9).alias("modularity"))
+
+
+@query(f"with {_UNDIRECTED} select least(src % 10, dst % 10) as src, greatest(src % 10, dst % 10) as dst, sum(weight) as weight from c group by 1, 2")
+def louvain_coarsen(spark, sf_dir):
+    return lv.coarsen(*_communities(spark, sf_dir))
+
+
+@query()
+def louvain_communities(spark, sf_dir):
+    base, _ = _communities(spark, sf_dir)
+    return lv.louvain(base)[0]
+
+
+@query(f"with recursive {t.BFS} select v.id, r.level from v left join r using (id)")
+def pregel_bfs(spark, sf_dir):
+    graph = t.part_graph(spark, sf_dir)
+    src = t.source_of(graph.edges)
+    start = graph.vertices.select("id", F.when(F.col("id") == src, 0).alias("level"))
+    return pregel(start, graph.edges, F.min("msg"), {"level": F.least("level", "msg")}, to_dst=F.col("src_level") + 1)[0]
+
+
+@query(f"with {t.SPARSE} select e.dst as id, cast(sum(e.src) as bigint) as msg from e group by 1")
+def aggregate_neighbours(spark, sf_dir):
+    graph = t.part_graph(spark, sf_dir)
+    return aggregate_messages(graph.vertices.withColumn("x", F.col("id")), graph.edges, F.sum("msg"), to_dst=F.col("src_x"))
+
+
+# transforms
+
+
+@query(f"with {t.SPARSE} select src, dst from e where src < 500 and dst < 500")
+def graph_in_domain(spark, sf_dir):
+    return g.Graph(t.part_sparse(spark, sf_dir), 500).edges
+
+
+@query(f"with {t.SPARSE}, b as (select id, coalesce(d, 0) d from v left join (select src id, count(*) d from e group by 1) using (id)) select id, cast(sum(d) over (order by id) - d as bigint) as start, cast(sum(d) over (order by id) as bigint) as \"end\" from b")
+def csr_offsets(spark, sf_dir):
+    return g.csr_offsets(t.part_graph(spark, sf_dir))
+
+
+@query(f"with {t.SPARSE} select dst as src, src as dst from e")
+def transpose(spark, sf_dir):
+    return g.transpose(t.part_sparse(spark, sf_dir))
+
+
+@query(f"with {t.SPARSE} select src, dst from e union all select dst, src from e")
+def symmetrise(spark, sf_dir):
+    return g.symmetrise(t.part_sparse(spark, sf_dir))
+
+
+@query(f"with {t.SPARSE} select src, dst from e union select dst, src from e")
+def undirected_simple(spark, sf_dir):
+    return g.undirected_simple(t.part_sparse(spark, sf_dir))
+
+
+@query(f"with {_UNDIRECTED} select src, dst, weight from c")
+def canonical_edges(spark, sf_dir):
+    return g.canonical(t.part_sparse(spark, sf_dir).withColumn("weight", g.formula_weight()))
+
+
+@query(f"with {t.SPARSE} select src as id from e union select dst from e")
+def endpoints(spark, sf_dir):
+    return g.endpoints(t.part_sparse(spark, sf_dir))
+
+
+@query(f"with {t.SPARSE} select src, dst from e")
+def adjacency_round_trip(spark, sf_dir):
+    return g.from_adjacency(g.to_adjacency(t.part_sparse(spark, sf_dir)))
+
+
+@query(f"with {t.SPARSE} select src, dst from e where src % 100 = 7")
+def neighbour_lookup(spark, sf_dir):
+    ids = t.table(spark, sf_dir, "part").where("p_partkey % 100 = 7").select(F.col("p_partkey").alias("id"))
+    return g.neighbours(t.part_sparse(spark, sf_dir), ids)
+
+
+@query(f"with {t.SPARSE} select src as id, count(*) as degree from e group by 1")
+def out_degree(spark, sf_dir):
+    return g.out_degree(t.part_sparse(spark, sf_dir))
+
+
+@query(f"with {t.SPARSE} select id from v where id not in (select src from e)")
+def dangling(spark, sf_dir):
+    return g.dangling(t.part_graph(spark, sf_dir))
+
+
+@query(f"with {t.SOURCE} select (select max(greatest(src, dst)) + 1 from e) as n, (select count(*) from e) as n_edges, (select id from s0) as source, (select count(*) from e where src = (select id from s0)) as source_degree")
+def graph_summary(spark, sf_dir):
+    return g.summary(t.part_sparse(spark, sf_dir))
+
+
+@query(f"with {t.WEIGHTED} select src, dst, weight from w")
+def formula_weights(spark, sf_dir):
+    return generate.with_formula_weight(t.part_sparse(spark, sf_dir))
+
+
+@query("select l_partkey as id, min(l_suppkey) as label from lineitem group by 1")
+def seed_conflicts(spark, sf_dir):
+    rows = t.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("id"), F.col("l_suppkey").alias("label"))
+    return g.clean_seeds(rows)
+
+
+@query("with n as (select count(*) n from part) select p_partkey as id, cast(case when p_partkey < (n % 7) * (n // 7 + 1) then p_partkey // (n // 7 + 1) else n % 7 + (p_partkey - (n % 7) * (n // 7 + 1)) // (n // 7) end as int) as owner from part, n")
+def owned_ranges(spark, sf_dir):
+    part = t.table(spark, sf_dir, "part")
+    return part.select(F.col("p_partkey").alias("id"), g.owned_range(part.count(), 7, F.col("p_partkey")).alias("owner"))
+
+
+@query(f"with {t.SPARSE}, {t.SEEDS} select v.id, cast(s.label as bigint) as label, s.id is not null as is_seed from v left join seeds s using (id)")
+def initial_labels(spark, sf_dir):
+    return g.initial_labels(t.part_graph(spark, sf_dir), t.seeds(spark, sf_dir))
+
+
+@query(f"with {t.SPARSE}, n as (select count(*) n from part) select (n - 1 - src) as src, (n - 1 - dst) as dst from e, n")
+def relabel(spark, sf_dir):
+    part = t.table(spark, sf_dir, "part")
+    mapping = part.select(F.col("p_partkey").alias("id"), (F.lit(part.count() - 1) - F.col("p_partkey")).alias("new_id"))
+    return g.relabel(t.part_sparse(spark, sf_dir), mapping)
+
+
+@query("with f as (select p_brand, min(p_partkey) a from part group by 1), d as (select p_brand, dense_rank() over (order by a) - 1 k from f) select p_partkey as id, k as label from part join d using (p_brand)")
+def dense_labels(spark, sf_dir):
+    return g.dense_labels(t.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("label")))
+
+
+# sources and sinks, over files written from the tables
+
+
+@query(f"with {t.SPARSE} select src, dst from e where src < 1000 and dst < 1000")
+def scan_edges(spark, sf_dir):
+    path = _scratch(spark)
+    noise = spark.createDataFrame([("# header",), ("bad line",), ("",), ("5",), ("1 x",)], "value string")
+    rows = t.part_sparse(spark, sf_dir).select(F.concat_ws("\t", "src", "dst").alias("value"))
+    rows.unionByName(noise).write.text(path)
+    return io.read_edges(spark, path, n=1000)
+
+
+@query(f"with {t.WEIGHTED} select src, dst, case when src % 2 = 0 then weight else 1 end as weight from w")
+def scan_weighted_edges(spark, sf_dir):
+    path = _scratch(spark)
+    w = F.when(F.col("src") % 2 == 0, g.formula_weight().cast("string"))
+    t.part_sparse(spark, sf_dir).select(F.concat_ws("\t", "src", "dst", w).alias("value")).write.text(path)
+    return io.read_weighted_edges(spark, path)
+
+
+@query(f"with {t.SPARSE} select distinct src as id, src % 5 as label from e where src % 5 > 0")
+def scan_seeds(spark, sf_dir):
+    path = _scratch(spark)
+    label = F.when(F.col("src") % 5 > 0, F.col("src") % 5).otherwise(-1)
+    io.write_edges(t.part_sparse(spark, sf_dir).withColumn("label", label), path)
+    return io.read_seeded_edges(spark, path)[1]
+
+
+@query(f"with {t.SPARSE} select src, dst, cast(src % 8 as int) as shard from e")
+def scan_shards(spark, sf_dir):
+    path = _scratch(spark)
+    io.write_sharded(t.part_sparse(spark, sf_dir), path, 8)
+    return io.read_shards(spark, path, t.table(spark, sf_dir, "part").count())
+
+
+@query(f"with {t.SPARSE} select src, dst from e union all select dst, src from e")
+def scan_undirected(spark, sf_dir):
+    path = _scratch(spark)
+    io.write_edges(t.part_sparse(spark, sf_dir), path)
+    return io.read_undirected_edges(spark, path)
+
+
+@query(f"with {_UNDIRECTED} select src, dst, weight from c")
+def scan_canonical(spark, sf_dir):
+    path = _scratch(spark)
+    io.write_edges(t.part_sparse(spark, sf_dir).withColumn("weight", g.formula_weight()), path)
+    return io.read_canonical_edges(spark, path)
+
+
+@query(f"with {t.SPARSE} select src, dst from e where src < 300")
+def graph_json_round_trip(spark, sf_dir):
+    path = _scratch(spark)
+    io.write_graph_json(t.part_sparse(spark, sf_dir).where("src < 300"), t.seeds(spark, sf_dir), 300, path)
+    return io.read_graph_json(spark, path)[0]
+
+
+@query(f"with recursive {t.BFS} select v.id, cast(r.level as bigint) as value from v left join r using (id)")
+def result_round_trip(spark, sf_dir):
+    path = _scratch(spark)
+    io.write_result(bfs_levels(spark, sf_dir), path, "level", io.UNVISITED)
+    return io.read_result(spark, path)
+
+
+@query("with n as (select count(*) n from part) select p_partkey as id, cast(case when p_partkey < (n % 5) * (n // 5 + 1) then p_partkey // (n // 5 + 1) else n % 5 + (p_partkey - (n % 5) * (n // 5 + 1)) // (n // 5) end as int) as part from part, n")
+def range_shards_round_trip(spark, sf_dir):
+    path = _scratch(spark)
+    part = t.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"))
+    io.write_ranges(part, path, "id", part.count(), 5)
+    return spark.read.parquet(path).select("id", "part")
+
+
+@query("select event_id, cast(case when event_id % 3 = 0 then greatest(event_id % 100, user_id) end as bigint) as duration from events")
+def longest_durations(spark, sf_dir):
+    said = F.when(F.col("event_id") % 3 == 0, F.format_string("x {'duration': %d, 'end': 5} y {'duration': %d, 'end': 6}", F.col("event_id") % 100, F.col("user_id"))).otherwise("{'duration': 7}")
+    return t.table(spark, sf_dir, "events").select("event_id", records.longest_duration(said).alias("duration"))
+
+
+@query("select max(event_id) as event_id, max_by(user_id, event_id) as user_id from events where event_id % 2 = 0")
+def last_json_line(spark, sf_dir):
+    e = t.table(spark, sf_dir, "events")
+    text = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("RESULT "), F.to_json(F.struct("event_id", "user_id")))).otherwise("RESULT not json")
+    return records.last_json_line(e.select(F.col("event_id").alias("line_no"), text.alias("value")), "event_id long, user_id long", "RESULT ")
+
+
+@query("select p_partkey as id, cast(case when p_size % 3 = 0 then p_size when p_size % 3 = 1 then p_size * 1024 end as bigint) as mb from part")
+def memory_sizes(spark, sf_dir):
+    text = F.when(F.col("p_size") % 3 == 0, F.concat(F.col("p_size").cast("string"), F.lit("MiB"))).when(F.col("p_size") % 3 == 1, F.concat(F.lit(" "), F.col("p_size").cast("string"), F.lit("g "))).otherwise("2 cups")
+    return t.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), records.memory_mb(text).alias("mb"))
+
+
+# reports
+
+
+@query(f"with recursive {t.BFS} select count(*) as reachable, coalesce(max(level), 0) as max_level from r")
+def reach_summary(spark, sf_dir):
+    return tr.reach_summary(bfs_levels(spark, sf_dir), "level")
+
+
+@query(f"with recursive {t.SSSP} select count(*) as reachable, coalesce(max(d), 0) as max_distance from r")
+def distance_summary(spark, sf_dir):
+    return tr.reach_summary(sssp_distances(spark, sf_dir), "distance")
+
+
+@query(f"with {t.pagerank_ctes(5)} select round(max(r), 9) as max_rank, round(sum(r), 9) as sum_rank from p5")
+def rank_summary(spark, sf_dir):
+    ranks, _ = pr.pagerank(t.part_graph(spark, sf_dir), max_iter=5, tol=0.0)
+    return pr.rank_summary(ranks).select(F.round("max_rank", 9).alias("max_rank"), F.round("sum_rank", 9).alias("sum_rank"))
+
+
+@query(f"with x as ({t.lp_sql(5, True)}) select count(label) as labeled, count(distinct label) as labels from x")
+def label_summary(spark, sf_dir):
+    return lp.label_summary(lp_seeded(spark, sf_dir))
+
+
+@query(f"with recursive {t.BFS} select level, count(*) as count from r group by 1 order by 1 limit 20")
+def level_distribution(spark, sf_dir):
+    return reports.distribution(bfs_levels(spark, sf_dir), "level")
+
+
+@query(f"with x as ({t.lp_sql(5, True)}) select label, count(*) as count from x where label is not null group by 1 order by 1 limit 20")
+def label_distribution(spark, sf_dir):
+    return reports.distribution(lp_seeded(spark, sf_dir), "label")
+
+
+@query(f"with x as ({t.lp_sql(5, True)}) select id, label from x order by id limit 20")
+def first_vertices(spark, sf_dir):
+    return reports.first_rows(lp_seeded(spark, sf_dir))
+
+
+@query(f"with recursive {t.SSSP}, b as (select max(d) / 10 w from r) select coalesce(cast(least(floor(d / w), 9) as int), -1) as bucket, count(*) as count from v left join r using (id), b group by 1")
+def distance_histogram(spark, sf_dir):
+    return reports.histogram(sssp_distances(spark, sf_dir), "distance")
+
+
+@query("with b as (select max(p_retailprice) / 10 w from part) select cast(least(floor(p_retailprice / w), 9) as int) as bucket, count(*) as count from part, b group by 1")
+def value_histogram(spark, sf_dir):
+    return reports.histogram(t.table(spark, sf_dir, "part").withColumn("v", F.col("p_retailprice")), "v")
+
+
+# validators
+
+
+@query(f"with recursive {t.BFS}, c as (select id, level from r where level <= 3) select id, r.level as a, c.level as b from r left join c using (id) where c.id is null")
+def vector_mismatches(spark, sf_dir):
+    return validate.mismatches(bfs_levels(spark, sf_dir), bfs_capped(spark, sf_dir), "level").select("id", "a", "b")
+
+
+@query("select p_partkey as id from part where p_partkey % 7 = 0 and p_retailprice > 0")
+def tolerance_check(spark, sf_dir):
+    part = t.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("v"))
+    moved = part.withColumn("v", F.col("v") * F.when(F.col("id") % 7 == 0, 1.001).otherwise(1 + 1e-9))
+    return validate.far_apart(part, moved, "v").select("id")
+
+
+@query("with a as (select distinct p_brand x, p_partkey % 3 y from part) select 'a' as side, cast(hash_id as bigint) as label, count(*) as partners from (select distinct cast(replace(x, 'Brand#', '') as bigint) hash_id, y from a) group by 2 having count(*) > 1 union all select 'b', y, count(*) from a group by 2 having count(*) > 1")
+def partition_conflicts(spark, sf_dir):
+    part = t.table(spark, sf_dir, "part")
+    a = part.select(F.col("p_partkey").alias("id"), F.replace("p_brand", F.lit("Brand#"), F.lit("")).cast("long").alias("label"))
+    return validate.partition_conflicts(a, part.select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 3).alias("label")))
+
+
+@query(f"""with x as ({t.lp_sql(2, True)}), {t.SPARSE},
+c as (select e.src id, x.label lab, count(*) n from e join x on x.id = e.dst where x.label is not null group by 1, 2),
+m as (select id, lab from c qualify row_number() over (partition by id order by n desc, lab) = 1)
+select x.id, case when x.label is null then 'coverage' else 'majority' end as rule from x join m using (id) where x.id % 10 <> 0 and x.label is distinct from m.lab""")
+def fixed_point_violations(spark, sf_dir):
+    graph, seeds = t.part_graph(spark, sf_dir), t.seeds(spark, sf_dir)
+    found, _ = lp.label_propagation(graph, seeds, max_iter=2)
+    return lp.fixed_point_violations(graph, found, seeds)
+
+
+@query(f"with x as ({t.lp_sql(5, True)}) select round(avg(case when x.label is not distinct from p_partkey % 4 then 1.0::double else 0 end), 9) as accuracy, 0::bigint as seed_violations from part join x on x.id = p_partkey")
+def label_accuracy(spark, sf_dir):
+    truth = t.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 4).alias("label"))
+    out = validate.label_accuracy(lp_seeded(spark, sf_dir), truth, t.seeds(spark, sf_dir))
+    return out.select(F.round("accuracy", 9).alias("accuracy"), "seed_violations")
+
+
+@query(f"with {t.SPARSE}, u as (select src id from e union select dst from e) select id, 'missing' as problem from v where id not in (select id from u)")
+def missing_vertices(spark, sf_dir):
+    graph = t.part_graph(spark, sf_dir)
+    return validate.missing_ids(graph.vertices, g.endpoints(graph.edges))
+
+
+# run analytics
+
+
+def _rounded(df, *columns):
+    return df.withColumns({c: F.round(c, 4) for c in columns})
+
+
+_STATS = f"""{t.RUNS}, ok as (select * from runs where ms > 0),
+ranked as (select *, row_number() over (partition by backend, nodes order by ms) k, count(*) over (partition by backend, nodes) n from ok)"""
+_SUMMARY = f"""{_STATS}, summary as (select backend, nodes, count(*) n_samples, avg(ms) mean, median(ms) median, case when count(*) >= 2 then stddev_samp(ms) / avg(ms) * 100 else 0 end cv, min(ms) min, max(ms) max, max(case when k = greatest(1, round_even(n * 0.95::double, 0)) then ms end) p95 from ranked group by 1, 2)"""
+
+
+@query(f"with {_SUMMARY} select backend, nodes, n_samples, round(mean, 4) as mean, round(median, 4) as median, round(cv, 4) as cv, round(min, 4) as min, round(max, 4) as max, round(p95, 4) as p95 from summary")
+def run_statistics(spark, sf_dir):
+    return _rounded(analytics.summarise(t.runs(spark, sf_dir), ["backend", "nodes"]), "mean", "median", "cv", "min", "max", "p95")
+
+
+_GROUPED = f"{t.RUNS}, gm as (select backend, nodes, ranks, avg(ms) mean, coalesce(stddev_pop(ms), 0) std, count(*) runs from runs where status = 'passed' group by 1, 2, 3)"
+
+
+@query(f"with {_GROUPED} select backend, nodes, ranks, round(mean, 4) as mean, round(std, 4) as std, runs from gm")
+def run_group_means(spark, sf_dir):
+    return _rounded(analytics.grouped_mean(t.runs(spark, sf_dir), ["backend", "nodes", "ranks"]), "mean", "std")
+
+
+@query(f"with {_GROUPED} select backend, nodes, ranks as best_ranks, round(mean, 4) as best_mean from gm qualify row_number() over (partition by backend, nodes order by mean, ranks) = 1")
+def best_configuration(spark, sf_dir):
+    means = analytics.grouped_mean(t.runs(spark, sf_dir), ["backend", "nodes", "ranks"])
+    return _rounded(analytics.best_config(means, ["backend", "nodes"], "ranks"), "best_mean")
+
+
+@query(f"with {_SUMMARY}, b as (select nodes, backend, median from summary qualify row_number() over (partition by nodes order by median, backend) = 1) select b.nodes, b.backend as best_backend, round(b.median, 4) as best_median, round(s.median / b.median, 4) as speedup from b left join summary s on s.nodes = b.nodes and s.backend = 'standalone'")
+def backend_speedups(spark, sf_dir):
+    s = analytics.summarise(t.runs(spark, sf_dir), ["backend", "nodes"])
+    return _rounded(analytics.speedup_over(s, "standalone", ["nodes"]), "best_median", "speedup")
+
+
+@query(f"with {_SUMMARY} select a.backend, min(case when a.median < s.median then a.nodes end) as crossover from summary a join summary s on s.nodes = a.nodes and s.backend = 'standalone' where a.backend <> 'standalone' group by 1")
+def backend_crossover(spark, sf_dir):
+    return analytics.crossover(analytics.summarise(t.runs(spark, sf_dir), ["backend", "nodes"]), "standalone")
+
+
+@query(f"with {t.RUNS}, a as (select nodes, min(m) best from (select nodes, backend, median(ms) m from runs where backend in ('standalone', 'rayon') group by 1, 2) group by 1), d as (select nodes, ranks, median(ms) m from runs where backend = 'mpi' group by 1, 2) select d.nodes, round(any_value(best), 4) as best_vertical, min(case when m <= best then ranks end) as cost from d join a using (nodes) group by 1")
+def cost_to_match(spark, sf_dir):
+    r = t.runs(spark, sf_dir)
+    vertical = analytics.summarise(r.where("backend in ('standalone', 'rayon')"), ["nodes", "backend"])
+    distributed = analytics.summarise(r.where("backend = 'mpi'"), ["nodes", "ranks"])
+    return _rounded(analytics.cost_metric(vertical, distributed, ["nodes"]), "best_vertical")
+
+
+def _traces(spark, sf_dir):
+    """Orders read as workers of 50 runs, each with one traced iteration."""
+    o = t.table(spark, sf_dir, "orders").where("o_orderkey < 400")
+    at = F.col("o_orderkey") % 8
+    stamps = [("worker_start", at), ("get_input", 10 + at), ("get_input_end", 20 + 2 * at), ("iter_0_start", 40 + at), ("iter_0_compute", 60 + at), ("iter_0_reduce", 70 + at), ("iter_0_broadcast", 71 + at), ("worker_end", 90 + 3 * at)]
+    entries = F.array(*[F.struct(F.lit(k).alias("key"), v.cast("string").alias("value")) for k, v in stamps], F.struct(F.lit("noise").alias("key"), F.lit("x").alias("value")))
+    return o.select(F.floor(F.col("o_orderkey") / 8).alias("run"), at.cast("int").alias("worker_id"), entries.alias("timestamps"))
+
+
+@query("""with w as (select o_orderkey // 8 run, o_orderkey % 8 a from orders where o_orderkey < 400),
+r as (select run, count(*) workers, min(a) lo, max(a) hi from w group by 1)
+select run, workers, cast(lo + 5 as bigint) as cold_start_ms, hi - lo as stagger_ms, (20 + 2 * hi) - (10 + lo) as load_ms, 20 + hi - lo as compute_ms, cast(10 as bigint) as reduce_ms, cast(1 as bigint) as broadcast_ms, cast(11 as bigint) as communication_ms, 90 + 3 * hi - lo as warm_total_ms, cast(505 as bigint) as host_total_ms, 90 + 3 * hi - (40 + lo) as span_ms, cast(null as bigint) as write_ms, cast(1 as bigint) as iterations from r""")
+def phase_breakdown(spark, sf_dir):
+    traces = _traces(spark, sf_dir)
+    submitted = traces.select("run").distinct().withColumns({"submit_ms": F.lit(-5).cast("long"), "finish_ms": F.lit(500).cast("long")})
+    return analytics.phase_breakdown(analytics.trace_events(traces), submitted)
+
+
+@query("with x as (select o_orderkey run, ['bfs', 'sssp', 'pagerank', 'labelpropagation'][o_orderkey % 4 + 1] algorithm, o_custkey n, o_orderkey % 5 w, o_orderkey % 7 k from orders) select run, algorithm, case when w <= 1 or k = 0 then 0 else (w - 1) * (n + 1) * 4 * k + case when algorithm = 'labelpropagation' then (w - 1) * 4 + (w - 1) * n * 4 else 0 end end as reduce_bytes, 2 * case when w <= 1 or k = 0 then 0 else (w - 1) * (n + 1) * 4 * k + case when algorithm = 'labelpropagation' then (w - 1) * 4 + (w - 1) * n * 4 else 0 end end as total_bytes from x")
+def logical_traffic(spark, sf_dir):
+    names = F.array(*[F.lit(x) for x in ("bfs", "sssp", "pagerank", "labelpropagation")])
+    k = F.col("o_orderkey")
+    rows = t.table(spark, sf_dir, "orders").select(k.alias("run"), F.get(names, (k % 4).cast("int")).alias("algorithm"), F.col("o_custkey").alias("n"), (k % 5).alias("w"), (k % 7).alias("k"))
+    b = rows.withColumn("b", analytics.traffic_bytes(F.col("algorithm"), F.col("n"), F.col("w"), F.col("k")))
+    return b.select("run", "algorithm", "b.reduce_bytes", "b.total_bytes")
+
+
+@query(f"with {t.RUNS} select run, round(case when ms <> 0 then (ms * 2 + 1) / ms end, 4) as algorithmic, case when nodes > 10000 then 'total' else 'span' end as primary_metric, case when coalesce(case when nodes > 10000 then (ms * 3) / (ms + 100) end, (ms * 2 + 1) / ms) > 1 then 'Burst' else 'Standalone' end as winner from runs")
+def run_speedups(spark, sf_dir):
+    ms = F.col("ms")
+    rows = t.runs(spark, sf_dir).select("run", (ms * 2 + 1).alias("base_exec_ms"), F.when(F.col("nodes") > 10000, ms * 3).alias("base_total_ms"), ms.alias("algo_ms"), (ms + 50).alias("warm_ms"), (ms + 100).alias("host_ms"))
+    return _rounded(analytics.speedups(rows), "algorithmic").select("run", "algorithmic", "primary_metric", "winner")
+
+
+@query(f"with {t.RUNS} select run, round(case when run % 3 <> 0 then ms / (run % 3) end, 4) as cold_over_warm, round(case when run % 3 <> 0 then (run % 3) / 2.0::double end, 4) as warm_over_subtotal from runs")
+def warm_pool_ratios(spark, sf_dir):
+    rows = t.runs(spark, sf_dir).select("run", F.col("ms").alias("cold_e2e_ms"), (F.col("run") % 3).cast("double").alias("warm_e2e_median_ms"), F.lit(2.0).alias("warm_subtotal_median_ms"))
+    return _rounded(analytics.warm_pool(rows), "cold_over_warm", "warm_over_subtotal").select("run", "cold_over_warm", "warm_over_subtotal")
+
+
+@query(f"with {t.RUNS} select backend as mode, ranks as granularity, count(*) as runs, round(avg(ms), 4) as mean_host_total_ms, round(avg(case when run % 2 = 0 then ms end), 4) as mean_startup_median_ms, round(avg(ms / 2), 4) as mean_stagger_ms from runs group by 1, 2")
+def probe_summary(spark, sf_dir):
+    rows = t.runs(spark, sf_dir).select(F.col("backend").alias("mode"), F.col("ranks").alias("granularity"), F.col("ms").alias("host_total_ms"), F.when(F.col("run") % 2 == 0, F.col("ms")).alias("startup_median_ms"), (F.col("ms") / 2).alias("stagger_ms"))
+    return _rounded(analytics.probe_summary(rows), "mean_host_total_ms", "mean_startup_median_ms", "mean_stagger_ms")
+
+
+@query(f"with {t.RUNS} select run, round(ms * 0.5 + ms, 4) as warm_total_ms, round(greatest(0, 2 * ms - 1 - ms * 1.5), 4) as cold_start_ms, round(ms, 4) as span_ms from runs")
+def spark_run_phases(spark, sf_dir):
+    ms = F.col("ms")
+    rows = t.runs(spark, sf_dir).select("run", (ms * 0.5).alias("load_ms"), ms.alias("compute_ms"), F.lit(None).cast("double").alias("write_ms"), (2 * ms - 1).alias("total_ms"))
+    return _rounded(analytics.spark_phases(rows), "warm_total_ms", "cold_start_ms", "span_ms").select("run", "warm_total_ms", "cold_start_ms", "span_ms")
+
+
+@query("select run, list_sort(list(a))[len(list(a)) // 2 + 1] as startup_median_ms, max(a) - min(a) as stagger_ms, cast(500 as bigint) as host_total_ms from (select o_orderkey // 8 run, o_orderkey % 8 a from orders where o_orderkey < 400) group by 1")
+def startup_probe(spark, sf_dir):
+    traces = _traces(spark, sf_dir)
+    submitted = traces.select("run").distinct().withColumns({"submit_ms": F.lit(0).cast("long"), "finish_ms": F.lit(500).cast("long")})
+    return analytics.startup_summary(analytics.trace_events(traces), submitted)
+
+
+@query("select p_partkey as id, array_to_string(list_filter(range(1, p_size + 1), lambda d: p_size % d = 0), ',') as divisors, p_size * 1 + 6 <= 32 and p_size * 2048 + 8192 <= 65536 as fits from part")
+def resource_plans(spark, sf_dir):
+    size = F.col("p_size")
+    return t.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.array_join(F.transform(analytics.divisors(size), lambda d: d.cast("string")), ",").alias("divisors"), analytics.fits(size, F.lit(1), F.lit(2048), 32, 65536).alias("fits"))
+
+
+# generators and table preparation
+
+
+@query("select range as src, (range + 1) % 1000 as dst from range(1000)")
+def ring_graph(spark, sf_dir):
+    return generate.ring(spark, 1000)
+
+
+@query("select i.range as src, (i.range + j.range) % 500 as dst from range(500) i, range(1, 5) j")
+def seeded_ring_edges(spark, sf_dir):
+    return generate.seeded_ring(spark, 500, 4)[0]
+
+
+@query("select range as id, least(range // 125, 3) * 100 as label from range(500) where range % 10 = 0")
+def seeded_ring_seeds(spark, sf_dir):
+    return generate.seeded_ring(spark, 500, 4)[1]
+
+
+@query("select range as src, range + 1 as dst from range(1000) where range % 32 < 31 and range + 1 < 1000 union all select range, range + 32 from range(1000) where range + 32 < 1000")
+def grid_graph(spark, sf_dir):
+    return generate.grid(spark, 1000)
+
+
+@query("select i.range as src, (i.range // 20 + 1) * 20 + j.range as dst from range(180) i, range(20) j")
+def layered_graph(spark, sf_dir):
+    return generate.layered(spark, 10, 20)
+
+
+@query("select i.range as src, j.range as dst from range(40) i, range(40) j where i.range <> j.range")
+def complete_graph(spark, sf_dir):
+    return generate.complete(spark, 40)
+
+
+@query()
+def random_graph(spark, sf_dir):
+    return generate.random_digraph(spark, 1000, 10, weight=(0.1, 10.0))
+
+
+@query()
+def community_graph(spark, sf_dir):
+    return generate.planted_communities(spark, 200, 4)
+
+
+@query("with a as (select distinct user_id u from events), b as (select distinct event_type t from events), x as (select u, row_number() over (order by u) - 1 k from a), y as (select t, row_number() over (order by t) - 1 k from b) select event_id, x.k as user_id from events join x on x.u = user_id")
+def dense_user_ids(spark, sf_dir):
+    return tables.dense_ids(t.table(spark, sf_dir, "events").select("event_id", "user_id"), "user_id")
+
+
+_EDGES = "select list_sort(list_distinct(quantile_cont(p_retailprice, list_transform(range(1, 16), lambda i: i / 16.0::double)))) q from part"
+
+
+@query(f"with b as ({_EDGES}) select p_partkey as id, cast(len(list_filter(q, lambda e: e <= p_retailprice)) as int) as bin from part, b")
+def quantile_bins(spark, sf_dir):
+    part = t.table(spark, sf_dir, "part")
+    edges = tables.bin_edges(part, "p_retailprice", 15)
+    return part.crossJoin(F.broadcast(edges)).select(F.col("p_partkey").alias("id"), tables.digitize(F.col("p_retailprice"), F.col("edges")).alias("bin"))
+
+
+@query("select event_type, count(*) as count from events group by 1")
+def class_distribution(spark, sf_dir):
+    return tables.class_distribution(t.table(spark, sf_dir, "events"), "event_type")
+
+
+@query("with d as (select c_custkey id, count(o_orderkey) d from customer left join orders on o_custkey = c_custkey group by 1) select id, cast(sum(d) over (order by id) - d as bigint) as start, cast(sum(d) over (order by id) as bigint) as \"end\" from d")
+def sparse_row_pointers(spark, sf_dir):
+    return tables.row_pointers(t.table(spark, sf_dir, "orders"), "o_custkey", t.table(spark, sf_dir, "customer").count())
