@@ -76,7 +76,8 @@ def endpoints(edges: DataFrame) -> DataFrame:
 
 
 def transpose(edges: DataFrame) -> DataFrame:
-    return edges.withColumnsRenamed({"src": "dst", "dst": "src"}).select(*edges.columns)
+    swap = {"src": "dst", "dst": "src"}
+    return edges.select(*[F.col(swap.get(c, c)).alias(c) for c in edges.columns])
 
 
 def symmetrise(edges: DataFrame) -> DataFrame:

@@ -428,7 +428,7 @@ def missing_vertices(spark, sf_dir):
 
 
 def _rounded(df, *columns):
-    return df.withColumns({c: F.round(c, 4) for c in columns})
+    return df.withColumns({c: F.round(c, 7) for c in columns})
 
 
 _STATS = f"""{t.RUNS}, ok as (select * from runs where ms > 0),
@@ -436,7 +436,7 @@ ranked as (select *, row_number() over (partition by backend, nodes order by ms)
 _SUMMARY = f"""{_STATS}, summary as (select backend, nodes, count(*) n_samples, avg(ms) mean, median(ms) median, case when count(*) >= 2 then stddev_samp(ms) / avg(ms) * 100 else 0 end cv, min(ms) min, max(ms) max, max(case when k = greatest(1, round_even(n * 0.95::double, 0)) then ms end) p95 from ranked group by 1, 2)"""
 
 
-@query(f"with {_SUMMARY} select backend, nodes, n_samples, round(mean, 4) as mean, round(median, 4) as median, round(cv, 4) as cv, round(min, 4) as min, round(max, 4) as max, round(p95, 4) as p95 from summary")
+@query(f"with {_SUMMARY} select backend, nodes, n_samples, round(mean, 7) as mean, round(median, 7) as median, round(cv, 7) as cv, round(min, 7) as min, round(max, 7) as max, round(p95, 7) as p95 from summary")
 def run_statistics(spark, sf_dir):
     return _rounded(analytics.summarise(t.runs(spark, sf_dir), ["backend", "nodes"]), "mean", "median", "cv", "min", "max", "p95")
 
@@ -444,18 +444,18 @@ def run_statistics(spark, sf_dir):
 _GROUPED = f"{t.RUNS}, gm as (select backend, nodes, ranks, avg(ms) mean, coalesce(stddev_pop(ms), 0) std, count(*) runs from runs where status = 'passed' group by 1, 2, 3)"
 
 
-@query(f"with {_GROUPED} select backend, nodes, ranks, round(mean, 4) as mean, round(std, 4) as std, runs from gm")
+@query(f"with {_GROUPED} select backend, nodes, ranks, round(mean, 7) as mean, round(std, 7) as std, runs from gm")
 def run_group_means(spark, sf_dir):
     return _rounded(analytics.grouped_mean(t.runs(spark, sf_dir), ["backend", "nodes", "ranks"]), "mean", "std")
 
 
-@query(f"with {_GROUPED} select backend, nodes, ranks as best_ranks, round(mean, 4) as best_mean from gm qualify row_number() over (partition by backend, nodes order by mean, ranks) = 1")
+@query(f"with {_GROUPED} select backend, nodes, ranks as best_ranks, round(mean, 7) as best_mean from gm qualify row_number() over (partition by backend, nodes order by mean, ranks) = 1")
 def best_configuration(spark, sf_dir):
     means = analytics.grouped_mean(t.runs(spark, sf_dir), ["backend", "nodes", "ranks"])
     return _rounded(analytics.best_config(means, ["backend", "nodes"], "ranks"), "best_mean")
 
 
-@query(f"with {_SUMMARY}, b as (select nodes, backend, median from summary qualify row_number() over (partition by nodes order by median, backend) = 1) select b.nodes, b.backend as best_backend, round(b.median, 4) as best_median, round(s.median / b.median, 4) as speedup from b left join summary s on s.nodes = b.nodes and s.backend = 'standalone'")
+@query(f"with {_SUMMARY}, b as (select nodes, backend, median from summary qualify row_number() over (partition by nodes order by median, backend) = 1) select b.nodes, b.backend as best_backend, round(b.median, 7) as best_median, round(s.median / b.median, 7) as speedup from b left join summary s on s.nodes = b.nodes and s.backend = 'standalone'")
 def backend_speedups(spark, sf_dir):
     s = analytics.summarise(t.runs(spark, sf_dir), ["backend", "nodes"])
     return _rounded(analytics.speedup_over(s, "standalone", ["nodes"]), "best_median", "speedup")
@@ -466,7 +466,7 @@ def backend_crossover(spark, sf_dir):
     return analytics.crossover(analytics.summarise(t.runs(spark, sf_dir), ["backend", "nodes"]), "standalone")
 
 
-@query(f"with {t.RUNS}, a as (select nodes, min(m) best from (select nodes, backend, median(ms) m from runs where backend in ('standalone', 'rayon') group by 1, 2) group by 1), d as (select nodes, ranks, median(ms) m from runs where backend = 'mpi' group by 1, 2) select d.nodes, round(any_value(best), 4) as best_vertical, min(case when m <= best then ranks end) as cost from d join a using (nodes) group by 1")
+@query(f"with {t.RUNS}, a as (select nodes, min(m) best from (select nodes, backend, median(ms) m from runs where backend in ('standalone', 'rayon') group by 1, 2) group by 1), d as (select nodes, ranks, median(ms) m from runs where backend = 'mpi' group by 1, 2) select d.nodes, round(any_value(best), 7) as best_vertical, min(case when m <= best then ranks end) as cost from d join a using (nodes) group by 1")
 def cost_to_match(spark, sf_dir):
     r = t.runs(spark, sf_dir)
     vertical = analytics.summarise(r.where("backend in ('standalone', 'rayon')"), ["nodes", "backend"])
@@ -501,26 +501,26 @@ def logical_traffic(spark, sf_dir):
     return b.select("run", "algorithm", "b.reduce_bytes", "b.total_bytes")
 
 
-@query(f"with {t.RUNS} select run, round(case when ms <> 0 then (ms * 2 + 1) / ms end, 4) as algorithmic, case when nodes > 10000 then 'total' else 'span' end as primary_metric, case when coalesce(case when nodes > 10000 then (ms * 3) / (ms + 100) end, (ms * 2 + 1) / ms) > 1 then 'Burst' else 'Standalone' end as winner from runs")
+@query(f"with {t.RUNS} select run, round(case when ms <> 0 then (ms * 2 + 1) / ms end, 7) as algorithmic, case when nodes > 10000 then 'total' else 'span' end as primary_metric, case when coalesce(case when nodes > 10000 then (ms * 3) / (ms + 100) end, (ms * 2 + 1) / ms) > 1 then 'Burst' else 'Standalone' end as winner from runs")
 def run_speedups(spark, sf_dir):
     ms = F.col("ms")
     rows = t.runs(spark, sf_dir).select("run", (ms * 2 + 1).alias("base_exec_ms"), F.when(F.col("nodes") > 10000, ms * 3).alias("base_total_ms"), ms.alias("algo_ms"), (ms + 50).alias("warm_ms"), (ms + 100).alias("host_ms"))
     return _rounded(analytics.speedups(rows), "algorithmic").select("run", "algorithmic", "primary_metric", "winner")
 
 
-@query(f"with {t.RUNS} select run, round(case when run % 3 <> 0 then ms / (run % 3) end, 4) as cold_over_warm, round(case when run % 3 <> 0 then (run % 3) / 2.0::double end, 4) as warm_over_subtotal from runs")
+@query(f"with {t.RUNS} select run, round(case when run % 3 <> 0 then ms / (run % 3) end, 7) as cold_over_warm, round(case when run % 3 <> 0 then (run % 3) / 2.0::double end, 7) as warm_over_subtotal from runs")
 def warm_pool_ratios(spark, sf_dir):
     rows = t.runs(spark, sf_dir).select("run", F.col("ms").alias("cold_e2e_ms"), (F.col("run") % 3).cast("double").alias("warm_e2e_median_ms"), F.lit(2.0).alias("warm_subtotal_median_ms"))
     return _rounded(analytics.warm_pool(rows), "cold_over_warm", "warm_over_subtotal").select("run", "cold_over_warm", "warm_over_subtotal")
 
 
-@query(f"with {t.RUNS} select backend as mode, ranks as granularity, count(*) as runs, round(avg(ms), 4) as mean_host_total_ms, round(avg(case when run % 2 = 0 then ms end), 4) as mean_startup_median_ms, round(avg(ms / 2), 4) as mean_stagger_ms from runs group by 1, 2")
+@query(f"with {t.RUNS} select backend as mode, ranks as granularity, count(*) as runs, round(avg(ms), 7) as mean_host_total_ms, round(avg(case when run % 2 = 0 then ms end), 7) as mean_startup_median_ms, round(avg(ms / 2), 7) as mean_stagger_ms from runs group by 1, 2")
 def probe_summary(spark, sf_dir):
     rows = t.runs(spark, sf_dir).select(F.col("backend").alias("mode"), F.col("ranks").alias("granularity"), F.col("ms").alias("host_total_ms"), F.when(F.col("run") % 2 == 0, F.col("ms")).alias("startup_median_ms"), (F.col("ms") / 2).alias("stagger_ms"))
     return _rounded(analytics.probe_summary(rows), "mean_host_total_ms", "mean_startup_median_ms", "mean_stagger_ms")
 
 
-@query(f"with {t.RUNS} select run, round(ms * 0.5 + ms, 4) as warm_total_ms, round(greatest(0, 2 * ms - 1 - ms * 1.5), 4) as cold_start_ms, round(ms, 4) as span_ms from runs")
+@query(f"with {t.RUNS} select run, round(ms * 0.5 + ms, 7) as warm_total_ms, round(greatest(0, 2 * ms - 1 - ms * 1.5), 7) as cold_start_ms, round(ms, 7) as span_ms from runs")
 def spark_run_phases(spark, sf_dir):
     ms = F.col("ms")
     rows = t.runs(spark, sf_dir).select("run", (ms * 0.5).alias("load_ms"), ms.alias("compute_ms"), F.lit(None).cast("double").alias("write_ms"), (2 * ms - 1).alias("total_ms"))
