@@ -98,7 +98,8 @@ def next_bucket(ids: DataFrame, width: int = BUCKET) -> DataFrame:
     than ``width`` of them; the last of a level asks the level above.
     """
     span = ids.agg(F.min("bucket").alias("lo"), F.max("bucket").alias("hi")).first()
-    level = ids
+    least = span.lo or 0
+    level = ids.select((F.col("bucket") - least).alias("bucket"))
     levels = []
     size = 1
     while True:
@@ -106,7 +107,7 @@ def next_bucket(ids: DataFrame, width: int = BUCKET) -> DataFrame:
         level = cut(level.withColumn("up", F.floor(F.col("bucket") / F.lit(width)).cast("long")).withColumn("below", F.lead("bucket").over(w)), "merkle-level")
         levels.append(level)
         size *= width
-        if span.lo is None or (span.hi // size) == (span.lo // size):
+        if span.lo is None or (span.hi - least) // size == 0:
             break
         level = level.groupBy("up").agg(F.max("bucket").alias("top")).select(F.col("up").alias("bucket"), "top")
     found = None
@@ -118,7 +119,7 @@ def next_bucket(ids: DataFrame, width: int = BUCKET) -> DataFrame:
         tops = lv.groupBy("up").agg(F.max("bucket").alias("next_top")).withColumnRenamed("up", "g")
         hop = found.select(F.col("bucket").alias("up"), F.col("below").alias("g")).join(tops, "g").select("up", "next_top")
         found = lv.join(hop, "up", "left").withColumn("below", F.coalesce("below", "next_top")).drop("next_top")
-    return found.select("bucket", "below")
+    return found.select((F.col("bucket") + least).alias("bucket"), (F.col("below") + least).alias("below"))
 
 
 def with_next(docs: DataFrame, text: str = "text", width: int = BUCKET) -> DataFrame:

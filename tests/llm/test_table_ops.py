@@ -13,11 +13,9 @@ from fjordgraph.llm import chat, embeddings, merkle, minhash, sharding, urls
 
 from .. import plain
 
-EXTRA = {"key": F.lit("x"), "bucket": F.lit(1), "component": F.lit(None).cast("string"), "th": F.lit("y")}
-
-
 def doc_table(spark, rows):
-    return spark.createDataFrame(rows, "doc_id long, text string").withColumns(EXTRA)
+    clashing = {"key": F.lit("x"), "bucket": F.lit(1), "component": F.lit(None).cast("string"), "th": F.lit("y")}
+    return spark.createDataFrame(rows, "doc_id long, text string").withColumns(clashing)
 
 
 # fingerprints
