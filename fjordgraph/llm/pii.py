@@ -57,14 +57,14 @@ _LISTED = {n.lower() for n in _NAMES}
 #: (kind, pattern, group of the entity), the first that matches takes the span.
 PATTERNS: list[tuple[str, re.Pattern, int]] = [
     ("email", re.compile(r"(?<![\w.+%-])[\w.+%-]+@[\w-]+(?:\.[\w-]+)+"), 0),
-    ("secret", re.compile(r"(?i)\b(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|auth)\b[\"']?\s*[:=]\s*[\"']?([^\s\"',;]{6,})"), 1),
+    ("secret", re.compile(r"(?i)\b(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|auth)\b[\"']?\s*[:=]\s*[\"']?([^\s\"',;\0]{6,})"), 1),
     ("secret", re.compile(r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_-]{20,}|xox[abp]-[A-Za-z0-9-]{10,})\b"), 0),
     ("mac", re.compile(r"\b[0-9A-Fa-f]{2}(?:[:-][0-9A-Fa-f]{2}){5}\b"), 0),
     ("ip", re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)"), 0),
     ("iban", re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"), 0),
     ("id", re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"), 0),
     ("card", re.compile(r"(?<!\d)(?:\d{4}[ -]){3}\d{1,7}(?!\d)|(?<!\d)\d{4}[ -]\d{6}[ -]\d{5}(?!\d)|(?<![\d.])\d{13,19}(?!\d)"), 0),
-    ("phone", re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?)(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\w+])(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(?!\d)"), 0),
+    ("phone", re.compile(r"(?<![\w+])\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\w+])(?:\+\d{1,3}[ .-]?)(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\w+])(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(?!\d)"), 0),
 ]
 _NAME = re.compile(rf"\b(?:(?P<title>{'|'.join(_TITLES)})\b\.?\s+(?P<after>{_CAP}(?:[ ]{_CAP}){{0,2}})|(?:{'|'.join(_LABELS)})\s*(?P<label>{_CAP}(?:[ ]{_CAP}){{1,2}})|(?P<known>(?:{'|'.join(_NAMES)})[ ]{_CAP}))")
 _DIGIT = re.compile(r"\d")
@@ -252,26 +252,27 @@ def find(text: str) -> list[tuple[int, int, str]]:
         else:
             starts.append(end + 1 - n)
     digits, at_sign = _DIGIT.search(text) is not None, "@" in text
-    ranked = []
-    for rank, (kind, pattern, group) in enumerate(PATTERNS):
+
+    def take(what: str, kind: str, spans: list[tuple[int, int]]) -> str:
+        """Note the spans and blank them, so that later patterns match beside."""
+        for a, b in spans:
+            found.append((a, b, kind))
+            what = what[:a] + "\0" * (b - a) + what[b:]
+        return what
+
+    left = text
+    for kind, pattern, group in PATTERNS:
         if at_sign if kind == "email" else hints if kind == "secret" else digits or kind == "mac" and text.count(":") >= 5:
-            ranked += [(rank, *m.span(group), kind) for m in pattern.finditer(text)]
-    rank, names = len(PATTERNS), []
+            left = take(left, kind, [m.span(group) for m in pattern.finditer(left)])
+    names = []
     for start in starts:
-        if (m := _NAME.match(text, start)) is not None:
+        if (m := _NAME.match(left, start)) is not None:
             group = next(g for g in ("after", "label", "known") if m[g])
             names.append(m[group])
-            ranked.append((rank, *m.span(group), "name"))
-    for surname in {n.split(" ")[-1] for n in names}:
-        ranked += [(rank + 1, *m.span(), "name") for m in re.finditer(rf"(?<![\w-]){re.escape(surname)}(?![\w-])", text)]
-    if len(ranked) > 1:
-        used = bytearray(len(text))
-        for _, a, b, kind in sorted(ranked):
-            if b > a and not any(used[a:b]):
-                used[a:b] = b"\1" * (b - a)
-                found.append((a, b, kind))
-        return sorted(found)
-    return [(a, b, kind) for _, a, b, kind in ranked if b > a]
+            left = take(left, "name", [m.span(group)])
+    for surname in sorted({n.split(" ")[-1] for n in names}):
+        left = take(left, "name", [m.span() for m in re.finditer(rf"(?<![\w-]){re.escape(surname)}(?![\w-])", left)])
+    return sorted(found)
 
 
 def canonical(kind: str, text: str) -> str:

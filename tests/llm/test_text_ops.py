@@ -122,7 +122,7 @@ def test_pii_forms():
     by = {e["original"]: e["surrogate"] for e in pairs}
     assert by["john.s@mail7.example.com"] == by["JOHN.S@mail7.example.com"].lower()
     assert by["4111 1111 1111 1111"].replace(" ", "") == by["4111111111111111"]
-    assert by["+1 (017) 555-7713"].startswith("+1 (") and by["10.0.0.7"].startswith("10.") or by["10.0.0.7"].startswith(("172.", "192.168."))
+    assert by["+1 (017) 555-7713"].startswith("+1 (") and by["10.0.0.7"].startswith(("10.", "172.", "192.168."))
     first = by["John Smith"].split()
     assert first[0] in pii.GIVEN["m", "latin"].split() and by["Smith"] == first[1] and first[1].lower() not in pii._LISTED
     assert by["Anna Müller"].split()[0] in pii.GIVEN["f", "latin"].split() and by["Иван Петров"].split()[0] in pii.GIVEN["m", "cyrillic"].split()
