@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,12 +21,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import cut, drop
 from .batches import bounded_batches
 
-#: Bounds of the model: documents it is fitted on, words and n-grams it keeps.
+#: Bounds of the model: documents it is fitted on, words, n-grams and languages it keeps.
 MAX_TRAIN_DOCS = 20_000
 MAX_WORDS = 120_000
 MAX_NGRAMS = 150_000
+MAX_LANGS = 1_000
 MAX_N = 5
 #: Scored tokens that a worker remembers.
 CACHE = 300_000
@@ -51,48 +53,43 @@ def ngrams(word: str, n: int) -> list[str]:
 
 
 class Model:
-    """Log frequencies: ``words`` and ``grams[n]`` map a key to a vector."""
+    """Log frequencies: ``words`` and ``grams[n]`` map a key to a row of a matrix."""
 
     def __init__(self, counts: list[tuple[str, str, int]], priors: dict[str, int]):
         self.langs = sorted(priors)
         col = {x: i for i, x in enumerate(self.langs)}
-        k = len(self.langs)
         total = sum(priors.values()) or 1
         self.prior = np.array([math.log(priors[x] / total) for x in self.langs])
-        words: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(k))
-        for word, lang, n in counts:
-            words[word][col[lang]] += n
-        self.words = self._logs(words)
-        grams: list[Counter] = [Counter() for _ in range(k)]
-        for word, lang, n in counts:
-            own = grams[col[lang]]
+        self.words, self.word_logs = self._table({w for w, _, _ in counts}, ((w, col[x], n) for w, x, n in counts))
+        weight: Counter = Counter()
+        for word, _, n in counts:
             for size in range(1, MAX_N + 1):
                 for g in ngrams(word, size):
-                    own[g] += n
-        merged: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(k))
-        for i, own in enumerate(grams):
-            for g, n in own.items():
-                merged[g][i] += n
-        heavy = sorted(merged, key=lambda g: (-merged[g].sum(), g))[:MAX_NGRAMS]
-        self.grams = [self._logs({g: merged[g] for g in heavy if len(g) == n}) for n in range(MAX_N + 1)]
-
-    @staticmethod
-    def _logs(counts: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        if not counts:
-            return {}
-        keys = list(counts)
-        m = np.array([counts[x] for x in keys])
-        logs = np.log((m + 0.5) / (m.sum(axis=0) + 0.5 * len(keys)))
-        return dict(zip(keys, logs, strict=True))
+                    weight[g] += n
+        heavy = set(sorted(weight, key=lambda g: (-weight[g], g))[:MAX_NGRAMS])
+        del weight
+        self.grams, self.gram_logs = [], []
+        for size in range(MAX_N + 1):
+            seen = ((g, col[x], n) for word, x, n in counts for g in ngrams(word, size) if g in heavy) if size else ()
+            rows, logs = self._table({g for g in heavy if len(g) == size}, seen)
+            self.grams.append(rows)
+            self.gram_logs.append(logs)
+
+    def _table(self, keys, counts) -> tuple[dict[str, int], np.ndarray]:
+        rows = {x: i for i, x in enumerate(sorted(keys))}
+        m = np.zeros((len(rows), len(self.langs)))
+        for key, c, n in counts:
+            m[rows[key], c] += n
+        return rows, np.log((m + 0.5) / (m.sum(axis=0) + 0.5 * len(rows))) if rows else m
 
     def word(self, word: str) -> np.ndarray:
         found = self.words.get(word)
         if found is not None:
-            return found
+            return self.word_logs[found]
         for n in range(MAX_N, 0, -1):
-            known = [v for g in ngrams(word, n) if (v := self.grams[n].get(g)) is not None]
+            known = [r for g in ngrams(word, n) if (r := self.grams[n].get(g)) is not None]
             if known:
-                return np.mean(known, axis=0)
+                return self.gram_logs[n][known].mean(axis=0)
         return np.zeros(len(self.langs))
 
 
@@ -140,9 +137,18 @@ def fit(train: DataFrame, id_col: str = "doc_id", max_docs: int = MAX_TRAIN_DOCS
     """Fit on ``text, lang``; counted by Spark, bounded before it is gathered."""
     rows = training_sample(train, id_col, max_docs).select(F.lower("text").alias("text"), "lang")
     words = rows.select("lang", F.explode(F.split("text", r"[^\p{L}]+")).alias("word")).where("word <> '' and length(word) <= 60")
-    top = words.groupBy("word", "lang").count().orderBy(F.desc("count"), "word", "lang").limit(MAX_WORDS)
-    priors = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(1000).collect()}
-    return Model([(r["word"], r["lang"], r["count"]) for r in top.collect() if r["lang"] in priors], priors)
+    counts = cut(words.groupBy("word", "lang").agg(F.count(F.lit(1)).alias("n")), "langid-words")
+    priors = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
+    # the least frequency at which all words still fit
+    least, held = 1, 0
+    for r in counts.groupBy("n").count().orderBy(F.desc("n")).toLocalIterator():
+        held += r["count"]
+        if held > MAX_WORDS:
+            least = r.n + 1
+            break
+    kept = [(r.word, r.lang, r.n) for r in counts.where(F.col("n") >= least).toLocalIterator() if r.lang in priors]
+    drop(counts)
+    return Model(sorted(kept), priors)
 
 
 _SCORERS: dict[int, Scorer] = {}
