@@ -91,6 +91,12 @@ def locate_edits(a: DataFrame, b: DataFrame, key: str = "doc_id") -> DataFrame:
     return pairs.where("not (p.pa <=> p.pb)").select(key, "section", "paragraph", F.col("p.pa").alias("hash_a"), F.col("p.pb").alias("hash_b"))
 
 
+def _floor_div(x: Column, width: int) -> Column:
+    """Exact for all 64-bit integers, unlike a division of doubles."""
+    w = F.lit(width).cast("long")
+    return F.call_function("div", x - F.pmod(x, w), w)
+
+
 def next_bucket(ids: DataFrame, width: int = BUCKET) -> DataFrame:
     """(bucket) -> (bucket, below): the next lower bucket that has rows.
 
@@ -104,7 +110,7 @@ def next_bucket(ids: DataFrame, width: int = BUCKET) -> DataFrame:
     size = 1
     while True:
         w = Window.partitionBy("up").orderBy(F.col("bucket").desc())
-        level = cut(level.withColumn("up", F.floor(F.col("bucket") / F.lit(width)).cast("long")).withColumn("below", F.lead("bucket").over(w)), "merkle-level")
+        level = cut(level.withColumn("up", _floor_div(F.col("bucket"), width)).withColumn("below", F.lead("bucket").over(w)), "merkle-level")
         levels.append(level)
         size *= width
         if span.lo is None or (span.hi - least) // size == 0:
@@ -135,7 +141,7 @@ def with_next(docs: DataFrame, text: str = "text", width: int = BUCKET) -> DataF
     lo = docs.agg(F.min("doc_id").alias("lo")).first().lo
     base = (lo // width if lo is not None else 0) - 1
     spread = F.lit(base) - F.pmod(F.xxhash64("text"), F.lit(1 << 20))
-    slim = slim.withColumn("bucket", F.coalesce(F.floor(F.col("doc_id") / F.lit(width)).cast("long"), spread))
+    slim = slim.withColumn("bucket", F.coalesce(_floor_div(F.col("doc_id"), width), spread))
     below = cut(next_bucket(slim.select("bucket").distinct(), width), "merkle-below")
     top = below.agg(F.max("bucket").alias("hi")).first().hi
     order = Window.partitionBy("bucket").orderBy(F.col("doc_id").desc_nulls_last(), "text")
