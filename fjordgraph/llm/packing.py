@@ -35,7 +35,7 @@ TIERS = (512, 1024, 2048, 4096)
 #: Tokens that a task packs at a time, and tokens of a training step.
 BUFFER_TOKENS, STEP_TOKENS = 2_000_000, 262_144
 #: Chunks of text, in each of two generations, that a worker remembers.
-CACHE = 250_000
+CACHE = 500_000
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
 
