@@ -140,7 +140,8 @@ def with_next(docs: DataFrame, text: str = "text", width: int = BUCKET) -> DataF
     slim = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text"))
     lo = docs.agg(F.min("doc_id").alias("lo")).first().lo
     base = (lo // width if lo is not None else 0) - 1
-    spread = F.lit(base) - F.pmod(F.xxhash64("text"), F.lit(1 << 20))
+    # never null, so that no branch below filters its own copy of the exchange
+    spread = F.lit(base) - F.xxhash64("text").bitwiseAND(F.lit((1 << 20) - 1))
     slim = slim.withColumn("bucket", F.coalesce(_floor_div(F.col("doc_id"), width), spread))
     below = cut(next_bucket(slim.select("bucket").distinct(), width), "merkle-below")
     top = below.agg(F.max("bucket").alias("hi")).first().hi
