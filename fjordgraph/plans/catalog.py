@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,18 +25,36 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
-    """Register a function under its name, with its SQL if there is one."""
+def query(sql: str | None = None, whole: bool | None = None):
+    """Register a function under its name, with its SQL if there is one.
+
+    Queries on the sparse part graph (told by their SQL, or ``whole``) are also
+    registered on all its edges, as ``<name>_whole``.
+    """
 
     def add(f):
         QUERIES[f.__name__] = f
         if sql is not None:
             ORACLE_SQL[f.__name__] = sql
+        if whole or whole is None and t.THINNED in (sql or ""):
+            _add_whole(f, sql)
         return f
 
     return add
 
 
+def _add_whole(f, sql: str | None) -> None:
+    @wraps(f)
+    def whole(spark, sf_dir):
+        with t.whole_graph():
+            return f(spark, sf_dir)
+
+    whole.__name__ = f"{f.__name__}_whole"
+    QUERIES[whole.__name__] = whole
+    if sql is not None:
+        ORACLE_SQL[whole.__name__] = t.whole_sql(sql)
+
+
 def _scratch(spark: SparkSession) -> str:
     import uuid
 
@@ -94,7 +113,7 @@ def component_count(spark, sf_dir):
     return reports.component_count(cc(t.part_sparse(spark, sf_dir)))
 
 
-@query()
+@query(whole=True)
 def partition_digest(spark, sf_dir):
     labels = cc(t.part_sparse(spark, sf_dir))
     return spark.range(1).select(F.lit(reports.partition_digest(labels, "component")).alias("digest"))
@@ -122,7 +141,7 @@ def louvain_coarsen(spark, sf_dir):
     return lv.coarsen(*_communities(spark, sf_dir))
 
 
-@query()
+@query(whole=True)
 def louvain_communities(spark, sf_dir):
     base, _ = _communities(spark, sf_dir)
     return lv.louvain(base)[0]
@@ -145,7 +164,7 @@ def aggregate_neighbours(spark, sf_dir):
 # transforms
 
 
-@query(f"with {t.SPARSE} select src, dst from e where src < 500 and dst < 500")
+@query(f"with {t.SPARSE} select src, dst from e where src < 500 and dst < 500", whole=False)
 def graph_in_domain(spark, sf_dir):
     return g.Graph(t.part_sparse(spark, sf_dir), 500).edges
 
@@ -185,7 +204,7 @@ def adjacency_round_trip(spark, sf_dir):
     return g.from_adjacency(g.to_adjacency(t.part_sparse(spark, sf_dir)))
 
 
-@query(f"with {t.SPARSE} select src, dst from e where src % 100 = 7")
+@query(f"with {t.SPARSE} select src, dst from e where src % 100 = 7", whole=False)
 def neighbour_lookup(spark, sf_dir):
     ids = t.table(spark, sf_dir, "part").where("p_partkey % 100 = 7").select(F.col("p_partkey").alias("id"))
     return g.neighbours(t.part_sparse(spark, sf_dir), ids)
@@ -243,7 +262,7 @@ def dense_labels(spark, sf_dir):
 # sources and sinks, over files written from the tables
 
 
-@query(f"with {t.SPARSE} select src, dst from e where src < 1000 and dst < 1000")
+@query(f"with {t.SPARSE} select src, dst from e where src < 1000 and dst < 1000", whole=False)
 def scan_edges(spark, sf_dir):
     path = _scratch(spark)
     noise = spark.createDataFrame([("# header",), ("bad line",), ("",), ("5",), ("1 x",)], "value string")
@@ -289,7 +308,7 @@ def scan_canonical(spark, sf_dir):
     return io.read_canonical_edges(spark, path)
 
 
-@query(f"with {t.SPARSE} select src, dst from e where src < 300")
+@query(f"with {t.SPARSE} select src, dst from e where src < 300", whole=False)
 def graph_json_round_trip(spark, sf_dir):
     path = _scratch(spark)
     io.write_graph_json(t.part_sparse(spark, sf_dir).where("src < 300"), t.seeds(spark, sf_dir), 300, path)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,6 +45,26 @@ def pagerank_ctes(rounds: int) -> str:
     return ", ".join(parts)
 
 
+#: What makes the part graph sparse, as the SQL above has it.
+THINNED = " where (src * 31 + dst * 17) % 9 = 0"
+_WHOLE: ContextVar[bool] = ContextVar("whole", default=False)
+
+
+@contextmanager
+def whole_graph() -> Iterator[None]:
+    """Graphs made meanwhile have all edges of the part chain."""
+    token = _WHOLE.set(True)
+    try:
+        yield
+    finally:
+        _WHOLE.reset(token)
+
+
+def whole_sql(sql: str) -> str:
+    """The same SQL over all edges of the part chain."""
+    return sql.replace(THINNED, "")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -53,7 +77,8 @@ def part_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def part_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return part_chain(spark, sf_dir).where("(src * 31 + dst * 17) % 9 = 0")
+    chain = part_chain(spark, sf_dir)
+    return chain if _WHOLE.get() else chain.where("(src * 31 + dst * 17) % 9 = 0")
 
 
 def part_graph(spark: SparkSession, sf_dir: str, weighted: bool = False) -> Graph:
