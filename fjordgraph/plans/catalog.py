@@ -169,6 +169,15 @@ def graph_in_domain(spark, sf_dir):
     return g.Graph(t.part_sparse(spark, sf_dir), 500).edges
 
 
+_HALF = "(select count(*) // 2 from part)"
+
+
+@query(f"with {t.whole_sql(t.SPARSE)} select src, dst from e where src < {_HALF} and dst < {_HALF}")
+def graph_in_domain_whole(spark, sf_dir):
+    """The domain is half of the parts, whatever their number."""
+    return g.Graph(t.part_chain(spark, sf_dir), t.table(spark, sf_dir, "part").count() // 2).edges
+
+
 @query(f"with {t.SPARSE}, b as (select id, coalesce(d, 0) d from v left join (select src id, count(*) d from e group by 1) using (id)) select id, cast(sum(d) over (order by id) - d as bigint) as start, cast(sum(d) over (order by id) as bigint) as \"end\" from b")
 def csr_offsets(spark, sf_dir):
     return g.csr_offsets(t.part_graph(spark, sf_dir))
@@ -210,6 +219,12 @@ def neighbour_lookup(spark, sf_dir):
     return g.neighbours(t.part_sparse(spark, sf_dir), ids)
 
 
+@query(f"with {t.whole_sql(t.SPARSE)} select src, dst from e where src in (select id from v)")
+def neighbour_lookup_whole(spark, sf_dir):
+    """All parts are asked for."""
+    return g.neighbours(t.part_chain(spark, sf_dir), t.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id")))
+
+
 @query(f"with {t.SPARSE} select src as id, count(*) as degree from e group by 1")
 def out_degree(spark, sf_dir):
     return g.out_degree(t.part_sparse(spark, sf_dir))
@@ -264,11 +279,20 @@ def dense_labels(spark, sf_dir):
 
 @query(f"with {t.SPARSE} select src, dst from e where src < 1000 and dst < 1000", whole=False)
 def scan_edges(spark, sf_dir):
+    return _scan_with_noise(spark, t.part_sparse(spark, sf_dir), 1000)
+
+
+def _scan_with_noise(spark, edges, n):
     path = _scratch(spark)
     noise = spark.createDataFrame([("# header",), ("bad line",), ("",), ("5",), ("1 x",)], "value string")
-    rows = t.part_sparse(spark, sf_dir).select(F.concat_ws("\t", "src", "dst").alias("value"))
+    rows = edges.select(F.concat_ws("\t", "src", "dst").alias("value"))
     rows.unionByName(noise).write.text(path)
-    return io.read_edges(spark, path, n=1000)
+    return io.read_edges(spark, path, n=n)
+
+
+@query(f"with {t.whole_sql(t.SPARSE)} select src, dst from e where src < {_HALF} and dst < {_HALF}")
+def scan_edges_whole(spark, sf_dir):
+    return _scan_with_noise(spark, t.part_chain(spark, sf_dir), t.table(spark, sf_dir, "part").count() // 2)
 
 
 @query(f"with {t.WEIGHTED} select src, dst, case when src % 2 = 0 then weight else 1 end as weight from w")
@@ -315,6 +339,14 @@ def graph_json_round_trip(spark, sf_dir):
     return io.read_graph_json(spark, path)[0]
 
 
+@query(f"with {t.whole_sql(t.SPARSE)} select src, dst from e")
+def graph_json_round_trip_whole(spark, sf_dir):
+    """All edges, in the format's one row: for graphs that fit one row."""
+    path = _scratch(spark)
+    io.write_graph_json(t.part_chain(spark, sf_dir), t.seeds(spark, sf_dir), t.table(spark, sf_dir, "part").count(), path)
+    return io.read_graph_json(spark, path)[0]
+
+
 @query(f"with recursive {t.BFS} select v.id, cast(r.level as bigint) as value from v left join r using (id)")
 def result_round_trip(spark, sf_dir):
     path = _scratch(spark)
@@ -493,9 +525,13 @@ def cost_to_match(spark, sf_dir):
     return _rounded(analytics.cost_metric(vertical, distributed, ["nodes"]), "best_vertical")
 
 
-def _traces(spark, sf_dir):
-    """Orders read as workers of 50 runs, each with one traced iteration."""
-    o = t.table(spark, sf_dir, "orders").where("o_orderkey < 400")
+_FIRST_RUNS = " where o_orderkey < 400"
+
+
+def _traces(spark, sf_dir, whole=False):
+    """Orders read as workers of runs (50 unless ``whole``), each with one traced iteration."""
+    o = t.table(spark, sf_dir, "orders")
+    o = o if whole else o.where("o_orderkey < 400")
     at = F.col("o_orderkey") % 8
     stamps = [("worker_start", at), ("get_input", 10 + at), ("get_input_end", 20 + 2 * at), ("iter_0_start", 40 + at), ("iter_0_compute", 60 + at), ("iter_0_reduce", 70 + at), ("iter_0_broadcast", 71 + at), ("worker_end", 90 + 3 * at)]
     entries = F.array(*[F.struct(F.lit(k).alias("key"), v.cast("string").alias("value")) for k, v in stamps], F.struct(F.lit("noise").alias("key"), F.lit("x").alias("value")))
@@ -506,7 +542,15 @@ def _traces(spark, sf_dir):
 r as (select run, count(*) workers, min(a) lo, max(a) hi from w group by 1)
 select run, workers, cast(lo + 5 as bigint) as cold_start_ms, hi - lo as stagger_ms, (20 + 2 * hi) - (10 + lo) as load_ms, 20 + hi - lo as compute_ms, cast(10 as bigint) as reduce_ms, cast(1 as bigint) as broadcast_ms, cast(11 as bigint) as communication_ms, 90 + 3 * hi - lo as warm_total_ms, cast(505 as bigint) as host_total_ms, 90 + 3 * hi - (40 + lo) as span_ms, cast(null as bigint) as write_ms, cast(1 as bigint) as iterations from r""")
 def phase_breakdown(spark, sf_dir):
-    traces = _traces(spark, sf_dir)
+    return _phases(_traces(spark, sf_dir))
+
+
+@query(ORACLE_SQL["phase_breakdown"].replace(_FIRST_RUNS, ""))
+def phase_breakdown_whole(spark, sf_dir):
+    return _phases(_traces(spark, sf_dir, whole=True))
+
+
+def _phases(traces):
     submitted = traces.select("run").distinct().withColumns({"submit_ms": F.lit(-5).cast("long"), "finish_ms": F.lit(500).cast("long")})
     return analytics.phase_breakdown(analytics.trace_events(traces), submitted)
 
@@ -548,7 +592,15 @@ def spark_run_phases(spark, sf_dir):
 
 @query("select run, list_sort(list(a))[len(list(a)) // 2 + 1] as startup_median_ms, max(a) - min(a) as stagger_ms, cast(500 as bigint) as host_total_ms from (select o_orderkey // 8 run, o_orderkey % 8 a from orders where o_orderkey < 400) group by 1")
 def startup_probe(spark, sf_dir):
-    traces = _traces(spark, sf_dir)
+    return _startup(_traces(spark, sf_dir))
+
+
+@query(ORACLE_SQL["startup_probe"].replace(_FIRST_RUNS, ""))
+def startup_probe_whole(spark, sf_dir):
+    return _startup(_traces(spark, sf_dir, whole=True))
+
+
+def _startup(traces):
     submitted = traces.select("run").distinct().withColumns({"submit_ms": F.lit(0).cast("long"), "finish_ms": F.lit(500).cast("long")})
     return analytics.startup_summary(analytics.trace_events(traces), submitted)
 

@@ -30,3 +30,15 @@ def test_whole_graph_has_all_edges(spark):
     assert catalog.QUERIES["transpose"](spark, SF).count() < len(chain) / 5
     n = t.table(spark, SF, "part").count()
     assert catalog.QUERIES["louvain_communities_whole"](spark, SF).count() == len({x for e in chain for x in e}) <= n
+
+
+@needs_tables
+def test_no_id_subset_in_whole_queries(spark):
+    n_runs = len({r.o_orderkey // 8 for r in t.table(spark, SF, "orders").collect()})
+    assert n_runs > 50
+    assert catalog.QUERIES["phase_breakdown_whole"](spark, SF).count() == n_runs == catalog.QUERIES["startup_probe_whole"](spark, SF).count()
+    edges = [tuple(r) for r in t.part_chain(spark, SF).collect()]
+    half = t.table(spark, SF, "part").count() // 2
+    inside = sorted(e for e in edges if max(e) < half)
+    for q, want in (("graph_json_round_trip_whole", sorted(edges)), ("neighbour_lookup_whole", sorted(edges)), ("graph_in_domain_whole", inside), ("scan_edges_whole", inside)):
+        assert sorted((r.src, r.dst) for r in catalog.QUERIES[q](spark, SF).collect()) == want
