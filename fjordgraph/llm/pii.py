@@ -51,7 +51,8 @@ _CAP = rf"(?:[A-ZÀ-ÖØ-ÞА-ЯЁΑ-ΩΆΈΉΊΌΎΏ]{_LETTER}+(?:[-'’]{_LETT
 _NAMES = sorted({n for v in GIVEN.values() for n in v.split()}, key=lambda n: (-len(n), n))
 _TITLES = sorted({t for v in TITLES.values() for t in v.split()}, key=lambda t: (-len(t), t))
 _LABELS = [f"{w}:" for x in ("name", "contact") for w in (x, x.title(), x.upper())]
-_HINTS = [w for x in ("token", "secret", "passw", "pwd", "key", "auth") for w in (x, x.title(), x.upper())] + ["sk-", "xox", "AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_"]
+#: In every keyword of a secret, whatever its case; before a secret that needs none.
+_WORDS, _ISSUERS = ("token", "secret", "passw", "pwd", "key", "auth"), ("sk-", "xox", "AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_")
 _LISTED = {n.lower() for n in _NAMES}
 
 #: (kind, pattern, group of the entity), the first that matches takes the span.
@@ -71,11 +72,11 @@ _DIGIT = re.compile(r"\d")
 
 
 def _keywords() -> ahocorasick.Automaton:
-    """Finds in one pass where a name or a secret may begin."""
+    """Finds in one pass wherever a name or an issuer's secret may begin."""
     found = ahocorasick.Automaton()
-    for word in _HINTS:
+    for word in _ISSUERS:
         found.add_word(word, ("secret", len(word)))
-    for word in [f"{t}{c}" for t in _TITLES for c in ". "] + _LABELS + [f"{n} " for n in _NAMES]:
+    for word in _TITLES + _LABELS + [f"{n} " for n in _NAMES]:
         found.add_word(word, ("name", len(word)))
     found.make_automaton()
     return found
@@ -245,12 +246,13 @@ class Surrogates:
 def find(text: str) -> list[tuple[int, int, str]]:
     """Spans ``(start, end, kind)`` of the entities, in order, not overlapping."""
     found: list[tuple[int, int, str]] = []
-    hints, starts = False, []
+    low = text.casefold()  # the patterns ignore case beyond ASCII, as in the Kelvin sign
+    hints, starts = any(w in low for w in _WORDS), set()
     for end, (what, n) in _KEYWORDS.iter(text):
         if what == "secret":
             hints = True
         else:
-            starts.append(end + 1 - n)
+            starts.add(end + 1 - n)
     digits, at_sign = _DIGIT.search(text) is not None, "@" in text
 
     def take(what: str, kind: str, spans: list[tuple[int, int]]) -> str:
@@ -262,10 +264,10 @@ def find(text: str) -> list[tuple[int, int, str]]:
 
     left = text
     for kind, pattern, group in PATTERNS:
-        if at_sign if kind == "email" else hints if kind == "secret" else digits or kind == "mac" and text.count(":") >= 5:
+        if at_sign if kind == "email" else hints if kind == "secret" else digits or kind == "mac" and text.count(":") + text.count("-") >= 5:
             left = take(left, kind, [m.span(group) for m in pattern.finditer(left)])
     names = []
-    for start in starts:
+    for start in sorted(starts):
         if (m := _NAME.match(left, start)) is not None:
             group = next(g for g in ("after", "label", "known") if m[g])
             names.append(m[group])

@@ -131,6 +131,17 @@ def test_pii_forms():
     assert pii.replace(clean, s)[0] == clean
 
 
+def test_pii_gates_let_all_patterns_through():
+    for word in ("passWord", "PassWord", "aPi_KeY", "tOKEN", "\u017fecret", "api\u212aey"):
+        assert pii.find(f"{word} = hunter-two") == [(len(word) + 3, len(word) + 13, "secret")], word
+    for title in ("Mr", "Mrs", "Herr", "Dr.", "Señora"):
+        for space in ("\n", "\t", " \r\n ", "\u00a0"):
+            assert [x[2] for x in pii.find(f"{title}{space}Smith came")] == ["name"], (title, space)
+    for mac in ("aa-bb-cc-dd-ee-ff", "AA:BB:CC:DD:EE:FF", "aa-bb:cc-dd:ee-ff"):
+        assert pii.find(f"at {mac} now") == [(3, 20, "mac")]
+    assert pii.find("Mississippi, Dresden and Sirius; a key-by-key walk-through of well-to-do") == []
+
+
 def test_pii_table(spark, docs):
     more = spark.createDataFrame([(100 + i, f"mail u{i % 50}@example.org or 10.1.2.{i % 50} now") for i in range(200)], "doc_id long, text string")
     both = docs.unionByName(more, allowMissingColumns=True)
