@@ -272,8 +272,11 @@ def find(text: str) -> list[tuple[int, int, str]]:
             group = next(g for g in ("after", "label", "known") if m[g])
             names.append(m[group])
             left = take(left, "name", [m.span(group)])
-    for surname in sorted({n.split(" ")[-1] for n in names}):
-        left = take(left, "name", [m.span() for m in re.finditer(rf"(?<![\w-]){re.escape(surname)}(?![\w-])", left)])
+    # each word of a name stands for the person elsewhere; a title among them for nobody
+    words = {w for n in names for w in n.split(" ")} - set(_TITLES)
+    if words:
+        again = "|".join(map(re.escape, sorted(words)))
+        left = take(left, "name", [m.span() for m in re.finditer(rf"(?<![\w-])(?:{again})(?![\w-])", left)])
     return sorted(found)
 
 

@@ -142,6 +142,16 @@ def test_pii_gates_let_all_patterns_through():
     assert pii.find("Mississippi, Dresden and Sirius; a key-by-key walk-through of well-to-do") == []
 
 
+def test_pii_follows_every_word_of_a_name():
+    s = pii.Surrogates("k")
+    text = "Anna Mueller came. Mueller sat; Anna's cup. Mr. Xavier Paul Brandt, Xavier and Paul. Frau Dr Weber and Dr Lang; anna, Annabel, Anna-Lena"
+    new, n, distinct, surrogates, pairs = pii.replace(text, s)
+    by = {e["original"]: e["surrogate"] for e in pairs}
+    assert by["Anna Mueller"] == f"{by['Anna']} {by['Mueller']}" and by["Xavier Paul Brandt"].split()[:2] == [by["Xavier"], by["Paul"]]
+    assert new == f"{by['Anna Mueller']} came. {by['Mueller']} sat; {by['Anna']}'s cup. Mr. {by['Xavier Paul Brandt']}, {by['Xavier']} and {by['Paul']}. Frau {by['Dr Weber']} and Dr {by['Lang']}; anna, Annabel, Anna-Lena"
+    assert n == len(pairs) == 8 and distinct == surrogates
+
+
 def test_pii_table(spark, docs):
     more = spark.createDataFrame([(100 + i, f"mail u{i % 50}@example.org or 10.1.2.{i % 50} now") for i in range(200)], "doc_id long, text string")
     both = docs.unionByName(more, allowMissingColumns=True)
