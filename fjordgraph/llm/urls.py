@@ -78,18 +78,49 @@ def canonical_form(url: Column) -> Column:
     return F.when(url.contains("://"), F.concat(F.lit("//"), host, path, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(F.lit(""))))
 
 
+def _plain(path: Column) -> Column:
+    """A path from ``/`` on without its ``.`` and ``..`` steps."""
+    up = lambda acc: F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))
+    step = lambda acc, x: F.when(x == "..", up(acc)).when(x == ".", acc).otherwise(F.concat(acc, F.array(x)))
+    parts = F.split(F.substring(path, 2, 1 << 30), "/")
+    walked = F.aggregate(parts, F.array().cast("array<string>"), step)
+    return F.when(path.rlike(r"/\.\.?(/|$)"), F.concat(F.lit("/"), F.array_join(walked, "/"))).otherwise(path)
+
+
+def resolve(base: Column, target: Column) -> Column:
+    """Address that ``target`` means on a page at ``base``; null for an empty
+    target and for other schemes, such as ``mailto:``."""
+    scheme = F.regexp_extract(base, r"(?s)^(.*?)://", 1)
+    origin = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
+    path, tail = F.regexp_extract(target, r"(?s)^([^?#]*)", 1), F.regexp_extract(target, r"(?s)^[^?#]*(.*)$", 1)
+    folder = F.regexp_extract(url_path(base), r"(?s)^(.*/)", 1)
+    joined = F.when(path.startswith("/"), path).otherwise(F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), path))
+    return (
+        F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target)
+        .when((target == "") | target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None).cast("string"))
+        .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
+        .when(target.startswith("?"), F.concat(origin, url_path(base), target))
+        .when(target.startswith("#"), base)
+        .otherwise(F.concat(origin, _plain(joined), tail))
+    )
+
+
 def link_edges(pages: DataFrame) -> DataFrame:
     """``src, dst`` alias edges of all pages with a url.
 
     Each page is tied to its canonical form, to the target of its
     ``<link rel="canonical">`` and to that of a ``<meta http-equiv="refresh">``.
-    Targets without a scheme are not followed.
+    Relative targets start from the page's ``<base>``, or else from its url.
     """
     html = F.coalesce(F.col("html"), F.lit(""))
+    href = r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
     tag = F.regexp_extract(html, r"(?is)(<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>)", 1)
-    canon = F.regexp_extract(tag, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    moved = F.regexp_extract(html, r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    named = pages.where(F.col("url").contains("://")).select(canonical_form(F.col("url")).alias("src"), F.array(canonical_form(canon), canonical_form(moved)).alias("to"))
+    meta = F.regexp_extract(html, r"(?is)(<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>)", 1)
+    based = F.regexp_extract(html, r"(?is)(<base\b[^>]*>)", 1)
+    told = pages.where(F.col("url").contains("://")).select("url", F.regexp_extract(tag, href, 1).alias("canon"), F.regexp_extract(meta, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1).alias("moved"), F.regexp_extract(based, href, 1).alias("based"))
+    from_ = F.coalesce(resolve(F.col("url"), F.col("based")), F.col("url"))
+    to = [canonical_form(resolve(from_, F.col(c))) for c in ("canon", "moved")]
+    named = told.where("canon <> '' or moved <> ''").select(canonical_form(F.col("url")).alias("src"), F.array(*to).alias("to"))
     out = named.select("src", F.explode("to").alias("dst")).where("dst is not null and dst <> src")
     return out.distinct()
 

@@ -186,6 +186,24 @@ def test_urls(spark, monkeypatch, inline):
     assert urls.judge_pages(df.where("false"), RULES).collect() == []
 
 
+def test_urls_relative_links(spark):
+    at = "https://www.a.com/x/y.html?k=1"
+    want = {
+        "/en/2": "https://www.a.com/en/2", "//b.org/p": "https://b.org/p", "z.html#t": "https://www.a.com/x/z.html#t", "../q/./r": "https://www.a.com/q/r", "../../..": "https://www.a.com/",
+        "?k=2": "https://www.a.com/x/y.html?k=2", "#top": at, "go?u=http://c.de/": "https://www.a.com/x/go?u=http://c.de/", "HTTP://d.fr/a/../b": "HTTP://d.fr/a/../b", "mailto:me@a.com": None, "": None,
+    }
+    df = spark.createDataFrame([(at, k) for k in want], "url string, target string")
+    assert {r.target: r.to for r in df.withColumn("to", urls.resolve(F.col("url"), F.col("target"))).collect()} == want
+    bare = spark.createDataFrame([("http://a.com", "p")], "url string, target string")
+    assert bare.select(urls.resolve(F.col("url"), F.col("target"))).first()[0] == "http://a.com/p"
+    pages = [
+        (1, at, '<link rel=canonical href="/en/2">'), (2, "http://e.net/a/b", '<meta content="0;url=../c" http-equiv=refresh>'), (3, "http://f.net/", '<META HTTP-EQUIV="Refresh" content="1; URL=//g.net/h">'),
+        (4, "http://h.net/i", '<base href="/deep/"><link href="j" rel="canonical">'), (5, "http://k.net/", '<meta name="url" content="url=/no"><link rel="canonical" href="javascript:void(0)">'), (6, None, '<link rel="canonical" href="/x">'),
+    ]
+    edges = {tuple(r) for r in urls.link_edges(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert edges == {("//a.com/x/y?k=1", "//a.com/en/2"), ("//e.net/a/b", "//e.net/c"), ("//f.net", "//g.net/h"), ("//h.net/i", "//h.net/deep/j")}
+
+
 # chat
 
 
