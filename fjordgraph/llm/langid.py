@@ -38,13 +38,37 @@ RESULT = "lang_pred string, score double"
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def training_sample(docs: DataFrame, id_col: str = "doc_id", max_docs: int = MAX_TRAIN_DOCS) -> DataFrame:
-    """Labelled rows, thinned by a hash of their id to about ``max_docs``."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    n = rows.count()
-    if n <= max_docs:
+def equal_bound(sizes: Iterable[int], total: int) -> int:
+    """Greatest equal bound, 1 at least, that cuts ``sizes`` to ``total`` in all;
+    what small ones leave of their share goes to the others."""
+    left, rest = total, sorted(sizes)
+    for i, n in enumerate(rest):
+        if n * (len(rest) - i) > left:
+            return max(1, left // (len(rest) - i))
+        left -= n
+    return max(1, rest[-1] if rest else 1)
+
+
+def _labelled(docs: DataFrame) -> DataFrame:
+    return docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+
+
+def language_sizes(docs: DataFrame) -> dict[str, int]:
+    """Labelled rows of each language, of all rows."""
+    found = _labelled(docs).groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS)
+    return {r.lang: r.n for r in found.collect()}
+
+
+def training_sample(docs: DataFrame, id_col: str = "doc_id", max_docs: int = MAX_TRAIN_DOCS, sizes: dict[str, int] | None = None) -> DataFrame:
+    """Labelled rows, thinned by a hash of their id to about ``max_docs``; the
+    bound is the same for each language, so small languages stay whole."""
+    sizes = language_sizes(docs) if sizes is None else sizes
+    bound = equal_bound(sizes.values(), max_docs)
+    rows = _labelled(docs)
+    if all(n <= bound for n in sizes.values()) and len(sizes) < MAX_LANGS:
         return rows
-    return rows.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < int((1 << 30) * max_docs / n))
+    limits = docs.sparkSession.createDataFrame([(x, int((1 << 30) * min(1, bound / n))) for x, n in sizes.items()], "lang string, __limit long")
+    return rows.join(F.broadcast(limits), "lang").where(F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < F.col("__limit")).drop("__limit")
 
 
 def ngrams(word: str, n: int) -> list[str]:
@@ -61,13 +85,15 @@ class Model:
         total = sum(priors.values()) or 1
         self.prior = np.array([math.log(priors[x] / total) for x in self.langs])
         self.words, self.word_logs = self._table({w for w, _, _ in counts}, ((w, col[x], n) for w, x, n in counts))
-        weight: Counter = Counter()
-        for word, _, n in counts:
+        weights: dict[str, Counter] = {x: Counter() for x in self.langs}
+        for word, x, n in counts:
+            weight = weights[x]
             for size in range(1, MAX_N + 1):
                 for g in ngrams(word, size):
                     weight[g] += n
-        heavy = set(sorted(weight, key=lambda g: (-weight[g], g))[:MAX_NGRAMS])
-        del weight
+        bound = equal_bound(map(len, weights.values()), MAX_NGRAMS)
+        heavy = {g for w in weights.values() for g in (w if len(w) <= bound else sorted(w, key=lambda g: (-w[g], g))[:bound])}
+        del weights
         self.grams, self.gram_logs = [], []
         for size in range(MAX_N + 1):
             seen = ((g, col[x], n) for word, x, n in counts for g in ngrams(word, size) if g in heavy) if size else ()
@@ -135,18 +161,25 @@ class Scorer(dict):
 
 def fit(train: DataFrame, id_col: str = "doc_id", max_docs: int = MAX_TRAIN_DOCS) -> Model:
     """Fit on ``text, lang``; counted by Spark, bounded before it is gathered."""
-    rows = training_sample(train, id_col, max_docs).select(F.lower("text").alias("text"), "lang")
+    priors = language_sizes(train)
+    rows = training_sample(train, id_col, max_docs, priors).select(F.lower("text").alias("text"), "lang")
     words = rows.select("lang", F.explode(F.split("text", r"[^\p{L}]+")).alias("word")).where("word <> '' and length(word) <= 60")
     counts = cut(words.groupBy("word", "lang").agg(F.count(F.lit(1)).alias("n")), "langid-words")
-    priors = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
-    # the least frequency at which all words still fit
-    least, held = 1, 0
-    for r in counts.groupBy("n").count().orderBy(F.desc("n")).toLocalIterator():
-        held += r["count"]
-        if held > MAX_WORDS:
-            least = r.n + 1
-            break
-    kept = [(r.word, r.lang, r.n) for r in counts.where(F.col("n") >= least).toLocalIterator() if r.lang in priors]
+    # for each language, the least frequency at which its words still fit
+    pairs: dict[str, list[tuple[int, int]]] = {}
+    for r in counts.groupBy("lang", "n").count().orderBy("lang", F.desc("n")).toLocalIterator():
+        pairs.setdefault(r.lang, []).append((r.n, r["count"]))
+    bound = equal_bound((sum(k for _, k in v) for v in pairs.values()), MAX_WORDS)
+    least = {}
+    for lang, v in pairs.items():
+        least[lang], held = 1, 0
+        for n, k in v:
+            held += k
+            if held > bound:
+                least[lang] = n + 1
+                break
+    fits = train.sparkSession.createDataFrame(list(least.items()), "lang string, __least long")
+    kept = [(r.word, r.lang, r.n) for r in counts.join(F.broadcast(fits), "lang").where("n >= __least").toLocalIterator() if r.lang in priors]
     drop(counts)
     return Model(sorted(kept), priors)
 

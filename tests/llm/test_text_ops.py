@@ -185,6 +185,20 @@ def test_langid(spark):
     assert langid.identify(df.where("false"), model).collect() == []
 
 
+def test_langid_bounds_are_per_language(spark, monkeypatch):
+    assert [langid.equal_bound(x, 100) for x in ([10, 1000], [30, 30], [60, 60, 60], [], [5])] == [90, 30, 33, 1, 5]
+    rows = [(i, " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + k)}" for k in range(8)) + " the the", "en") for i in range(3000)]
+    rows += [(5000 + i, f"łąka{chr(97 + i)} źdźbło", "pl") for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    n = {r.lang: r["count"] for r in langid.training_sample(df, max_docs=100).groupBy("lang").count().collect()}
+    assert n["pl"] == 10 and 50 < n["en"] < 140
+    monkeypatch.setattr(langid, "MAX_WORDS", 60)
+    monkeypatch.setattr(langid, "MAX_NGRAMS", 400)
+    model = langid.fit(df, max_docs=1000)
+    assert {"źdźbło", "the"} | {f"łąka{chr(97 + i)}" for i in range(10)} <= set(model.words) and len(model.words) <= 60
+    assert np.allclose(model.prior, np.log(np.array([3000, 10]) / 3010)) and "źdźbł" in model.grams[5] and sum(map(len, model.grams)) <= 400
+
+
 def test_backoff_goes_word_then_long_ngrams():
     m = langid.Model([("alpha", "x", 10), ("beta", "y", 10)], {"x": 1, "y": 1})
     assert (m.word("alpha") == m.word_logs[m.words["alpha"]]).all()
