@@ -2,8 +2,8 @@
 
 A table written there survives lost executors, carries exact sizes for the
 planner, and is computed once (a reliable ``checkpoint()`` runs its last stage
-twice). The folder is ``spark.checkpoint.dir``; only where that is unset, as in
-local tests, a temporary folder is used.
+twice). The folder is ``spark.checkpoint.dir``; only a local master, as in tests,
+may go without one and gets a temporary folder.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if app not in _LOCAL:
             _LOCAL[app] = tempfile.mkdtemp(prefix="fjordgraph-")
         base = _LOCAL[app]
