@@ -12,21 +12,27 @@ similarity. Signatures are banded, and colliding documents are verified exactly.
 
 Texts of equal words are one class from the start. Collisions tie each class to
 the least of its bucket only; the connected components of these ties are the
-groups that need checking. Within a group every class is compared to the most
-central one, which is sent to each of the group's blocks, and to those of its own
-block as far as they are not connected yet; what is then still apart from the
-centre meets all the other blocks. So every pair of a group is either connected
-already or verified, and no task holds more than a block and a chunk of rows.
-
-Null, empty and blank texts have no runs and link with nothing. Rows that repeat
-an id and its text are one document and share its fate; a null id is an id. An
-empty table gives an empty result. Texts are read whole.
+groups that need checking. A group is cut into blocks of bounded size and runs,
+and every class is compared to the group's most central one, which is sent to
+each block, and to those of its own block as far as they are not connected yet.
+What is then still apart from the centre, in a group of several blocks, meets
+the members of its buckets that are not connected to it, again in blocks: a pair
+that shares no bucket is no candidate. So every candidate pair is connected or
+verified, and no task holds more than a block and a chunk of rows.
+
+Null, empty and blank texts have no runs, link with nothing and are all kept.
+Rows that repeat an id and its text are copies like any others, so one row of a
+class is kept: the least by id (null ids last), then by a hash of the text, then
+by a number given to the row. An empty table gives an empty result. Texts are
+read whole, a piece at a time. Columns other than the id and the text are not
+used, and may have any names.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..storage import cut
+from ..storage import cut, drop
 from .batches import bounded_batches
 
 WORDS, THRESHOLD = 5, 0.8
@@ -44,6 +50,8 @@ COMPONENTS, ROWS = 256, 7
 BANDS = COMPONENTS // ROWS
 #: Rows of a block, and runs of words, beyond which a group is split.
 BLOCK, BLOCK_RUNS = 256, 1_000_000
+#: Characters of a text that are hashed at a time.
+PIECE = 1 << 20
 
 _U = np.uint64
 _P = 0x9E3779B97F4A7C15 | 1
@@ -51,6 +59,7 @@ _INV = pow(_P, -1, 1 << 64)
 _C = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0xA0761D6478BD642F], _U)
 _GOLD = _U(0x9E3779B97F4A7C15)
 _POWERS: list[np.ndarray] = []
+_BLANK = re.compile(r"[ \t\n\v\f\r]")
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -62,15 +71,13 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 18)
         with np.errstate(over="ignore"):
             _POWERS[:] = [np.cumprod(np.full(size, _U(x), _U)) for x in (_P, _INV)]
     return _POWERS[0], _POWERS[1]
 
 
-def word_hashes(text: str) -> np.ndarray:
-    """64-bit hashes of the words: polynomials over their bytes, by prefix sums."""
-    raw = np.frombuffer(text.lower().encode("utf-8", "surrogatepass"), np.uint8)
+def _words_of(raw: np.ndarray) -> np.ndarray:
     blank = (raw == 32) | ((raw >= 9) & (raw <= 13))
     edge = np.flatnonzero(np.diff(np.concatenate(([1], blank.view(np.int8), [1]))))
     start, end = edge[::2], edge[1::2]
@@ -81,6 +88,22 @@ def word_hashes(text: str) -> np.ndarray:
     return _mix((sums[end] - sums[start]) * down[start] + (end - start).astype(_U))
 
 
+def word_hashes(text: str) -> np.ndarray:
+    """64-bit hashes of the words: polynomials over their bytes, by prefix sums.
+
+    Long texts are hashed in pieces that end at a blank, so the sums take memory
+    for a piece (or a longer single word) only.
+    """
+    low = text.lower()
+    out, at = [], 0
+    while at < len(low):
+        stop = _BLANK.search(low, at + PIECE)
+        end = stop.end() if stop else len(low)
+        out.append(_words_of(np.frombuffer(low[at:end].encode("utf-8", "surrogatepass"), np.uint8)))
+        at = end
+    return np.concatenate(out) if len(out) > 1 else out[0] if out else np.empty(0, _U)
+
+
 def runs(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashes of the runs of five words, and their counts."""
     n = len(words)
@@ -208,21 +231,24 @@ def _find(root: list[int], k: int) -> int:
     return k
 
 
-_EDGES = "a binary, b binary, apart boolean"
+_INNER = "key binary, cls binary, asks boolean"
+_OUTER = "a binary, b binary"
 
 
-def _table(rows: list[tuple]) -> pa.Table:
-    a, b, apart = zip(*rows, strict=True) if rows else ((), (), ())
-    return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "apart": pa.array(apart, pa.bool_())})
+def _table(rows: list[tuple], **types: pa.DataType) -> pa.Table:
+    columns = zip(*rows, strict=True) if rows else ((),) * len(types)
+    return pa.table({n: pa.array(c, t) for (n, t), c in zip(types.items(), columns, strict=True)})
 
 
 def _within(threshold: float):
-    """One block of a group and the group's centre."""
+    """One block of a group and the group's centre: the members' classes so far,
+    and whether they must ask further. The centre itself, in every block, is in
+    no row."""
 
     def run(group: pa.Table) -> pa.Table:
         rows = {}
-        for key, text, centre in zip(*(group.column(c).to_pylist() for c in ("key", "text", "is_centre")), strict=True):
-            rows[key] = (centre, text)
+        for key, text, centre, blocks in zip(*(group.column(c).to_pylist() for c in ("key", "text", "is_centre", "blocks")), strict=True):
+            rows[key] = (centre, text, blocks)
         # the centre first, then by key, so that a rerun gives the same
         keys = sorted(rows, key=lambda k: (not rows[k][0], k))
         over = Overlaps([rows[k][1] for k in keys])
@@ -235,82 +261,146 @@ def _within(threshold: float):
                 a, b = _find(root, k), _find(root, int(other))
                 root[max(a, b)] = min(a, b)
             first = False
-        return _table([(key, keys[_find(root, k)], _find(root, k) != _find(root, 0)) for k, key in enumerate(keys)])
+        out = [(key, keys[_find(root, k)], _find(root, k) != _find(root, 0) and rows[key][2] > 1) for k, key in enumerate(keys) if k]
+        return _table(out, key=pa.binary(), cls=pa.binary(), asks=pa.bool_())
 
     return run
 
 
 def _across(threshold: float):
-    """A chunk of rows apart from the centre, against another block."""
+    """A chunk of asking rows against a block of their bucket: links of classes."""
 
     def run(group: pa.Table) -> pa.Table:
         asks, others = {}, {}
         for key, text, side, cls in zip(*(group.column(c).to_pylist() for c in ("key", "text", "asks", "cls")), strict=True):
             (asks if side else others)[key] = (text, cls)
-        keys = sorted(asks) + sorted(others)
-        if not asks or not others:
-            return _table([])
-        over = Overlaps([(asks.get(k) or others[k])[0] for k in keys])
-        cls = [(asks.get(k) or others[k])[1] for k in keys]
-        found = {}
-        for k in range(len(asks)):
-            if all(c == cls[k] for c in cls[len(asks) :]):
-                continue
-            for other in np.flatnonzero(over.against(k)[len(asks) :] >= threshold) + len(asks):
-                if cls[other] != cls[k]:
-                    found.setdefault((cls[k], cls[other]), (keys[k], keys[other], False))
-        return _table(list(found.values()))
+        found = set()
+        if asks and others:
+            keys = sorted(asks), sorted(others)
+            over = Overlaps([asks[k][0] for k in keys[0]] + [others[k][0] for k in keys[1]])
+            cls = [others[k][1] for k in keys[1]]
+            for k, key in enumerate(keys[0]):
+                own = asks[key][1]
+                if any(c != own and (own, c) not in found for c in cls):
+                    found |= {(own, cls[j]) for j in np.flatnonzero(over.against(k)[len(asks) :] >= threshold) if cls[j] != own}
+        return _table(sorted(found), a=pa.binary(), b=pa.binary())
 
     return run
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
-    """``doc_id, th, class_id, class_size, kept`` per row; class_id is the least
-    doc_id of the class, and kept marks that document."""
-    rows = cut(signed(docs, text), "mh-rows")
-    whole = rows.where("key is not null").groupBy("key").agg(F.min(F.struct("doc_id", "th")).alias("first"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("total").alias("total"), F.first("bands").alias("bands"))
-    classes = cut(whole, "mh-classes")
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Without the rows whose key is that of the row before."""
+    last = None
+    for batch in batches:
+        keys = batch.column(0).to_pylist()
+        keep = [k != before for k, before in zip(keys, [last, *keys], strict=False)]
+        last = keys[-1] if keys else last
+        yield batch.filter(pa.array(keep))
+
+
+def _groups(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members of the groups tied by buckets (``key, first, copies, total,
+    component, ties``), and the buckets that tie them (``bucket, n, low``)."""
     seats = classes.select("key", F.explode("bands").alias("bucket"))
     crowds = cut(seats.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("low")).where("n > 1"), "mh-crowds")
     ties = cut(seats.join(crowds, "bucket").groupBy("key", "low").agg(F.sum("n").alias("n")), "mh-ties")
-    groups = connected_components(ties.where("key <> low"), "key", "low").withColumnRenamed("id", "key")
+    groups = connected_components(ties.where("key <> low"), "key", "low")
     central = ties.groupBy("key").agg(F.sum("n").alias("ties"))
-    members = cut(classes.select("key", "first", "total").join(groups, "key").join(central, "key"), "mh-members")
+    members = classes.select("key", "first", "copies", "total").join(groups.withColumnRenamed("id", "key"), "key").join(central, "key")
+    members = cut(members, "mh-members")
+    drop(ties, groups)
+    return members, crowds
+
+
+def _texts(members: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """``key, component, blocks, block, is_centre, text`` of all members."""
     stats = members.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("total").alias("runs"), F.max(F.struct("ties", "key")).alias("c"))
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("runs") / BLOCK_RUNS)).cast("int")
     stats = cut(stats.select("component", blocks.alias("blocks"), F.col("c.key").alias("centre")), "mh-groups")
     seated = members.select("key", "first", "component").join(stats, "component").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     seated = seated.select("key", "component", "blocks", "block", (F.col("key") == F.col("centre")).alias("is_centre"), F.col("first.doc_id").alias("m_id"), F.col("first.th").alias("m_th"))
     bodies = docs.select(F.col("doc_id").alias("d_id"), F.xxhash64(text).alias("d_th"), F.col(text).alias("text"))
-    texts = cut(seated.join(bodies, (F.col("m_th") == F.col("d_th")) & F.col("m_id").eqNullSafe(F.col("d_id"))).drop("m_id", "m_th", "d_id", "d_th"), "mh-texts")
+    found = seated.join(bodies, (F.col("m_th") == F.col("d_th")) & F.col("m_id").eqNullSafe(F.col("d_id"))).drop("m_id", "m_th", "d_id", "d_th")
+    out = cut(found.mapInArrow(_once, found.schema), "mh-texts")
+    drop(stats)
+    return out
+
+
+def _ask(classes: DataFrame, texts: DataFrame, inner: DataFrame, threshold: float) -> DataFrame:
+    """Links ``a, b`` of classes, found between asking rows and their buckets."""
+    wide = texts.where("blocks > 1").select("key", "text").join(inner, "key", "left")
+    wide = cut(wide.select("key", "text", F.coalesce("cls", "key").alias("cls"), F.coalesce("asks", F.lit(False)).alias("asks")), "mh-wide")
+    seats = wide.select("key", "cls", "asks").join(classes.select("key", "total", "bands"), "key")
+    seats = cut(seats.select("key", "cls", "asks", "total", F.explode("bands").alias("bucket")), "mh-seats")
+    parts = lambda n, runs: F.greatest(F.ceil(n / BLOCK), F.ceil(runs / BLOCK_RUNS)).cast("int")
+    asking = F.when(F.col("asks"), F.col("total"))
+    mixed = seats.groupBy("bucket").agg(parts(F.count(F.lit(1)), F.sum("total")).alias("blocks"), parts(F.count(asking), F.sum(asking)).alias("chunks"), F.min("cls").alias("lo"), F.max("cls").alias("hi"))
+    mixed = cut(mixed.where("chunks > 0 and lo <> hi").select("bucket", "blocks", "chunks"), "mh-mixed")
+    met = seats.join(mixed, "bucket").withColumns({"block": F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"), "chunk": F.pmod(F.xxhash64("key", F.lit(1)), F.col("chunks")).cast("int")})
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    targets = met.select("bucket", "key", "cls", F.lit(False).alias("asks"), "block", every("chunks").alias("chunk"))
+    askers = met.where("asks").select("bucket", "key", "cls", F.lit(True).alias("asks"), every("blocks").alias("block"), "chunk")
+    both = cut(targets.unionByName(askers), "mh-meet")
+    out = cut(both.join(wide.select("key", "text"), "key").groupBy("bucket", "block", "chunk").applyInArrow(_across(threshold), _OUTER).distinct(), "mh-links")
+    drop(wide, seats, mixed, both)
+    return out
+
+
+def _told(docs: DataFrame, threshold: float, text: str) -> tuple[DataFrame, DataFrame]:
+    """All rows, and of each distinct wording its class's first row and size."""
+    rows = cut(signed(docs, text).withColumn("row", F.monotonically_increasing_id()), "mh-rows")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th", "row")).alias("first")
+    classes = cut(rows.where("key is not null").groupBy("key").agg(first, F.count(F.lit(1)).alias("copies"), F.first("total").alias("total"), F.first("bands").alias("bands")), "mh-classes")
+    members, crowds = _groups(classes)
+    texts = _texts(members, docs, text)
     # the centre goes to every block of its group
     to = F.explode(F.when(F.col("is_centre"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block")))
-    sent = texts.select("key", "component", "is_centre", "text", to.alias("to"))
-    inner = cut(sent.groupBy("component", "to").applyInArrow(_within(threshold), _EDGES), "mh-inner")
-    edges = inner.where("a <> b").select("a", "b")
-    # of groups in several blocks: what is apart from the centre meets the other blocks
-    labels = connected_components(edges, "a", "b").withColumnRenamed("id", "key").withColumnRenamed("component", "cls")
-    apart = inner.where("apart").select(F.col("a").alias("key")).distinct().withColumn("asks", F.lit(True))
-    wide = texts.where("blocks > 1").join(labels, "key", "left").withColumn("cls", F.coalesce("cls", "key")).join(apart, "key", "left")
-    wide = cut(wide.withColumn("asks", F.coalesce("asks", F.lit(False))), "mh-wide")
-    pending = wide.where("asks").groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("chunks"))
-    wide = wide.join(cut(pending, "mh-pending"), "component").withColumn("chunk", F.pmod(F.xxhash64("key", F.lit(1)), F.col("chunks")).cast("int"))
-    targets = wide.select("component", "key", "text", "cls", F.lit(False).alias("asks"), "block", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
-    askers = wide.where("asks").select("component", "key", "text", "cls", F.lit(True).alias("asks"), F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: b != F.col("block"))).alias("block"), "chunk")
-    outer = targets.unionByName(askers).groupBy("component", "block", "chunk").applyInArrow(_across(threshold), _EDGES)
-    links = cut(edges.unionByName(outer.select("a", "b")), "mh-links")
-    final = connected_components(links, "a", "b").withColumnRenamed("id", "key").withColumnRenamed("component", "cls")
-    named = classes.select("key", "least", "copies").join(final, "key", "left").withColumn("cls", F.coalesce("cls", "key"))
-    named = cut(named, "mh-named")
-    sizes = cut(named.groupBy("cls").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size")), "mh-sizes")
-    told = cut(named.join(sizes, "cls").select("key", "class_id", "class_size"), "mh-told")
-    with_words = rows.where("key is not null").select("doc_id", "th", "key").join(told, "key").drop("key")
-    without = rows.where("key is null").select("doc_id", "th", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
-    return with_words.unionByName(without).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+    sent = texts.select("key", "component", "blocks", "is_centre", "text", to.alias("to"))
+    inner, seen = cut(sent.groupBy("component", "to").applyInArrow(_within(threshold), _INNER), "mh-inner", asks=F.count_if("asks"))
+    owned = members.select("key", "first", "copies").join(inner.select("key", "cls"), "key", "left").withColumn("cls", F.coalesce("cls", "key"))
+    links = merged = None
+    if seen["asks"]:
+        links = _ask(classes, texts, inner, threshold)
+        merged = connected_components(links, "a", "b")
+        owned = owned.join(merged.select(F.col("id").alias("cls"), "component"), "cls", "left").withColumn("cls", F.coalesce("component", "cls")).drop("component")
+    owned = cut(owned, "mh-owned")
+    drop(texts, members, crowds, inner, links, merged)
+    sizes = cut(owned.groupBy("cls").agg(F.min("first").alias("c_first"), F.sum("copies").alias("c_size")), "mh-sizes")
+    told = owned.join(sizes, "cls").select("key", "c_first", "c_size")
+    named = classes.select("key", "first", "copies").join(told, "key", "left")
+    named = cut(named.select("key", F.coalesce("c_first", "first").alias("first"), F.coalesce("c_size", "copies").alias("class_size")), "mh-named")
+    drop(classes, owned, sizes)
+    return rows, named
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
+    """``doc_id, th, row, class_id, class_size, kept`` per row.
+
+    ``class_id`` is the least doc_id of the class, ``kept`` marks the one row of
+    it that stays, ``th`` is a hash of the text and ``row`` numbers the rows.
+    """
+    rows, named = _told(docs, threshold, text)
+    whole = rows.where("key is not null").join(named, "key")
+    own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th", "row")
+    with_words = whole.select("doc_id", "th", "row", F.col("first.doc_id").alias("class_id"), "class_size", (own == F.col("first")).alias("kept"))
+    alone = rows.where("key is null").select("doc_id", "th", "row", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"))
+    return with_words.unionByName(alone)
 
 
 def drop_duplicates(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
-    """The documents that stay: one of each class, and all without words."""
-    kept = near_duplicates(docs, threshold, text).where("kept").select(F.col("doc_id").alias("__mh_id"), F.col("th").alias("__mh_th")).distinct()
+    """The documents that stay: one of each class, and all without words.
+
+    A kept id and text that several rows have is reduced to one of them; only
+    such rows are grouped, by partial results.
+    """
+    rows, named = _told(docs, threshold, text)
+    first = named.select(F.col("first.doc_id").alias("__mh_id"), F.col("first.th").alias("__mh_th")).withColumn("__mh_words", F.lit(True))
+    again = rows.where("key is not null").groupBy(F.col("doc_id").alias("__mh_id"), F.col("th").alias("__mh_th")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    again = again.select(F.col("__mh_id").alias("r_id"), F.col("__mh_th").alias("r_th"), F.lit(True).alias("__mh_again"))
+    blank = rows.where("key is null").select(F.col("doc_id").alias("__mh_id"), F.col("th").alias("__mh_th"), F.lit(False).alias("__mh_words")).distinct()
+    kept = first.unionByName(blank).distinct().join(again, (F.col("__mh_th") == F.col("r_th")) & F.col("__mh_id").eqNullSafe(F.col("r_id")), "left")
+    kept = cut(kept.select("__mh_id", "__mh_th", (F.col("__mh_words") & F.coalesce("__mh_again", F.lit(False))).alias("__mh_again")), "mh-kept")
     same = F.col("doc_id").eqNullSafe(F.col("__mh_id")) & (F.xxhash64(text) == F.col("__mh_th"))
-    return docs.join(kept, same, "left_semi")
+    found = docs.join(kept, same)
+    one = found.where("__mh_again").dropDuplicates(["__mh_id", "__mh_th"])
+    return found.where("not __mh_again").unionByName(one).select(*docs.columns)
