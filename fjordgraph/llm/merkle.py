@@ -1,14 +1,20 @@
 r"""Document fingerprints: a Merkle tree over sections, paragraphs and phrases.
 
-A text splits into sections at blank lines, a section into paragraphs at line
-ends, a paragraph into phrases after sentence marks. Leaves hash phrases, every
-other node hashes the hashes of its children in order, and the root is the
-fingerprint. Equal texts have equal roots; when roots differ, walking down the
-branches that differ locates the edit; the share of common leaves says how much
-two texts have in common. Only built-in functions are used.
-
-A null text counts as empty; an empty text has one empty section, so its root is
-a constant. Texts of any length are hashed whole.
+A text splits into sections after blank lines, a section into paragraphs after
+line ends, a paragraph into phrases after a blank that follows one of ``MARKS``
+(sentence marks, and two letters so that text without marks has phrases too). Separators
+stay with what they end: the phrases, one after another, are the text. Leaves
+hash phrases, every other node hashes the hashes of its children in order, and
+the root is the fingerprint, so two texts have equal roots exactly if they are
+equal. Where roots differ, the branches that only one tree has locate the edit.
+The likeness of two trees is the share of nodes that they have in common,
+counted as often as they occur (Dice), from the leaves to the root; it is 1 for
+equal texts only. Only built-in functions are used.
+
+A null text counts as empty; an empty text has one empty phrase, so its root is
+a constant. Texts of any length are hashed whole. Repeated rows each get a row,
+an empty table gives an empty result; columns with the names of added ones are
+replaced by :func:`fingerprints` and not used elsewhere.
 """
 
 from __future__ import annotations
@@ -16,44 +22,61 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import cut
+from ..storage import cut, drop
 
 #: Ids that share a bucket when neighbours in doc_id order are sought.
 BUCKET = 64
+MARKS = ".!?,;:|ea"
+_SECTION, _PARAGRAPH, _PHRASE = r"(?<=\n\n)(?!\n)", r"(?<=\n)", rf"(?<=[{MARKS}] )"
 
 
 def _digest(children: Column) -> Column:
     return F.sha2(F.array_join(children, "/"), 256)
 
 
-def paragraphs(text: Column) -> Column:
-    """Sections of paragraphs: ``array<array<string>>``."""
-    return F.transform(F.split(text, r"\n[ \t\r]*\n"), lambda s: F.split(s, r"\n"))
+def tree(text: Column) -> Column:
+    """Hashes of the phrases, by section and paragraph: three arrays deep."""
+    phrases = lambda p: F.transform(F.split(p, _PHRASE), lambda x: F.sha2(x, 256))
+    return F.transform(F.split(text, _SECTION), lambda s: F.transform(F.split(s, _PARAGRAPH), phrases))
 
 
-def tree(text: Column) -> Column:
-    """Hashes of all paragraphs, by section: ``array<array<string>>``."""
-    leaf = lambda p: F.sha2(p, 256)
-    return F.transform(paragraphs(text), lambda s: F.transform(s, leaf))
+def paragraph_hashes(t: Column) -> Column:
+    """Of :func:`tree`, by section."""
+    return F.transform(t, lambda s: F.transform(s, _digest))
 
 
-def section_hashes(t: Column) -> Column:
-    return F.transform(t, _digest)
+def section_hashes(paragraphs: Column) -> Column:
+    return F.transform(paragraphs, _digest)
 
 
 def root(sections: Column) -> Column:
     return _digest(sections)
 
 
-def leaves(text: Column) -> Column:
-    """64-bit hashes of the phrases, for likeness: the tree's lowest level."""
-    return F.transform(F.split(text, r"(?<=[.!?,;:|])\s+|\n+"), lambda p: F.xxhash64(p))
+def nodes(t: Column, paragraphs: Column, sections: Column) -> Column:
+    """64-bit names of all nodes of a tree, with repeats."""
+    name = lambda level: lambda h: F.xxhash64(h, F.lit(level))
+    levels = F.flatten(F.flatten(t)), F.flatten(paragraphs), sections, F.array(root(sections))
+    return F.concat(*[F.transform(h, name(k)) for k, h in enumerate(levels)])
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Dice coefficient of two leaf sets, 0 to 1; 1 for equal sets."""
-    common = F.size(F.array_intersect(a, b))
-    return F.lit(2.0) * common / (F.size(F.array_distinct(a)) + F.size(F.array_distinct(b)))
+    """Dice coefficient of two multisets of nodes, 0 to 1.
+
+    Both are sorted into one array, their lowest bits telling them apart, and
+    the differences in number of equal nodes add up in one pass.
+    """
+    both = F.sort_array(F.concat(F.transform(a, lambda x: x.bitwiseAND(F.lit(-2))), F.transform(b, lambda x: x.bitwiseOR(F.lit(1)))))
+
+    def add(acc: Column, x: Column) -> Column:
+        node, side = x.bitwiseAND(F.lit(-2)), x.bitwiseAND(F.lit(1)) * 2 - 1
+        same = acc["node"] == node
+        return F.struct(node.alias("node"), F.when(same, acc["more"] + side).otherwise(side).alias("more"), F.when(same, acc["off"]).otherwise(acc["off"] + F.abs(acc["more"])).alias("off"))
+
+    zero = F.lit(0).cast("long")
+    off = F.aggregate(both, F.struct(zero.alias("node"), zero.alias("more"), zero.alias("off")), add, lambda acc: acc["off"] + F.abs(acc["more"]))
+    n = F.size(a) + F.size(b)
+    return (n - off).cast("double") / n
 
 
 def first_difference(a: Column, b: Column) -> Column:
@@ -64,31 +87,46 @@ def first_difference(a: Column, b: Column) -> Column:
 
 
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``merkle_tree``, ``merkle_sections`` and ``fingerprint``."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    out = docs.withColumn("merkle_tree", tree(t))
+    """Adds ``merkle_tree`` (paragraph hashes by section), ``merkle_sections``
+    and ``fingerprint``."""
+    out = docs.withColumn("merkle_tree", paragraph_hashes(tree(F.coalesce(F.col(text), F.lit("")))))
     out = out.withColumn("merkle_sections", section_hashes(F.col("merkle_tree")))
     return out.withColumn("fingerprint", root(F.col("merkle_sections")))
 
 
-def locate_edits(a: DataFrame, b: DataFrame, key: str = "doc_id") -> DataFrame:
-    """One row per differing branch of documents with the same key.
+def _unmatched(rows: DataFrame, key: str, at: list[str]) -> DataFrame:
+    """Of ``key, side, hash`` and places, the rows that stand apart.
 
-    ``a`` and ``b`` come from :func:`fingerprints`. Returns key, section,
-    paragraph and the hash on each side (null where a side has no such branch).
-    Documents with equal roots are dropped before anything is unfolded, and
-    sections with equal hashes before their paragraphs are.
+    The k-th branch with a hash on one side matches the k-th with it on the
+    other; a match whose place among all matches differs has moved.
+    """
+    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy(key, "side", "hash").orderBy(*at)))
+    paired = F.count(F.lit(1)).over(Window.partitionBy(key, "hash", "k")) == 2
+    rows = rows.withColumn("paired", paired)
+    rows = rows.withColumn("place", F.when(F.col("paired"), F.row_number().over(Window.partitionBy(key, "side", "paired").orderBy(*at))))
+    same = Window.partitionBy(key, "hash", "k")
+    moved = F.min("place").over(same) != F.max("place").over(same)
+    rows = rows.withColumn("change", F.when(~F.col("paired"), F.when(F.col("side") == "a", "gone").otherwise("new")).when(moved, "moved"))
+    return rows.where("change is not null").drop("k", "paired", "place")
+
+
+def locate_edits(a: DataFrame, b: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The branches in which documents with the same key differ.
+
+    ``a`` and ``b`` come from :func:`fingerprints`, with unique keys. Branches
+    are aligned by their hashes, so what stands after an insertion still
+    matches. Returns key, ``change`` (``gone`` from a, ``new`` in b, ``moved``),
+    ``side``, section, paragraph and hash. Documents with equal roots are dropped
+    before anything is unfolded, and sections that match before their paragraphs
+    are; a section that moved whole has a null paragraph.
     """
     cols = lambda d, s: d.select(key, *[F.col(c).alias(f"{s}_{c}") for c in ("merkle_tree", "merkle_sections", "fingerprint")])
     both = cols(a, "a").join(cols(b, "b"), key).where("a_fingerprint <> b_fingerprint")
-    n = F.greatest(F.size("a_merkle_tree"), F.size("b_merkle_tree"))
-    both = both.withColumn("section", F.explode(F.sequence(F.lit(0), n - 1)))
-    at = lambda s: F.get(F.col(f"{s}_merkle_sections"), F.col("section"))
-    both = both.where(~at("a").eqNullSafe(at("b")))
-    part = lambda s: F.coalesce(F.get(F.col(f"{s}_merkle_tree"), F.col("section")), F.array().cast("array<string>"))
-    both = both.select(key, "section", part("a").alias("pa"), part("b").alias("pb"))
-    pairs = both.select(key, "section", F.posexplode(F.arrays_zip("pa", "pb")).alias("paragraph", "p"))
-    return pairs.where("not (p.pa <=> p.pb)").select(key, "section", "paragraph", F.col("p.pa").alias("hash_a"), F.col("p.pb").alias("hash_b"))
+    side = lambda s: both.select(key, F.lit(s).alias("side"), F.posexplode(F.arrays_zip(F.col(f"{s}_merkle_sections").alias("hash"), F.col(f"{s}_merkle_tree").alias("tree"))).alias("section", "x")).select(key, "side", "section", "x.hash", "x.tree")
+    apart = _unmatched(side("a").unionByName(side("b")), key, ["section"])
+    whole = apart.where("change = 'moved'").select(key, "change", "side", "section", F.lit(None).cast("int").alias("paragraph"), "hash")
+    inner = apart.where("change <> 'moved'").select(key, "side", "section", F.posexplode("tree").alias("paragraph", "hash"))
+    return _unmatched(inner, key, ["section", "paragraph"]).select(*whole.columns).unionByName(whole)
 
 
 def _floor_div(x: Column, width: int) -> Column:
@@ -125,7 +163,9 @@ def next_bucket(ids: DataFrame, width: int = BUCKET) -> DataFrame:
         tops = lv.groupBy("up").agg(F.max("bucket").alias("next_top")).withColumnRenamed("up", "g")
         hop = found.select(F.col("bucket").alias("up"), F.col("below").alias("g")).join(tops, "g").select("up", "next_top")
         found = lv.join(hop, "up", "left").withColumn("below", F.coalesce("below", "next_top")).drop("next_top")
-    return found.select((F.col("bucket") + least).alias("bucket"), (F.col("below") + least).alias("below"))
+    out = cut(found.select((F.col("bucket") + least).alias("bucket"), (F.col("below") + least).alias("below")), "merkle-below")
+    drop(*levels)
+    return out
 
 
 def with_next(docs: DataFrame, text: str = "text", width: int = BUCKET) -> DataFrame:
@@ -143,7 +183,7 @@ def with_next(docs: DataFrame, text: str = "text", width: int = BUCKET) -> DataF
     # never null, so that no branch below filters its own copy of the exchange
     spread = F.lit(base) - F.xxhash64("text").bitwiseAND(F.lit((1 << 20) - 1))
     slim = slim.withColumn("bucket", F.coalesce(_floor_div(F.col("doc_id"), width), spread))
-    below = cut(next_bucket(slim.select("bucket").distinct(), width), "merkle-below")
+    below = next_bucket(slim.select("bucket").distinct(), width)
     top = below.agg(F.max("bucket").alias("hi")).first().hi
     order = Window.partitionBy("bucket").orderBy(F.col("doc_id").desc_nulls_last(), "text")
     rows = slim.withColumns({"next_text": F.lead("text").over(order), "place": F.row_number().over(order)})
@@ -167,22 +207,21 @@ def compare_with_edits(docs: DataFrame, width: int = BUCKET) -> DataFrame:
     trees (null where the roots agree).
     """
     rows = with_next(docs, width=width).withColumn("edited", edited_text(F.col("text"), F.col("next_text")))
-    for n, c in (("a", "text"), ("b", "edited")):
-        rows = rows.withColumn(f"t_{n}", tree(F.col(c)))
-        rows = rows.withColumn(f"s_{n}", section_hashes(F.col(f"t_{n}")))
-        rows = rows.withColumn(f"root_{n}", root(F.col(f"s_{n}")))
     for n, c in (("a", "text"), ("b", "edited"), ("n", "next_text")):
-        rows = rows.withColumn(f"l_{n}", leaves(F.col(c)))
+        rows = rows.withColumn(f"t_{n}", tree(F.col(c)))
+        rows = rows.withColumn(f"p_{n}", paragraph_hashes(F.col(f"t_{n}")))
+        rows = rows.withColumn(f"s_{n}", section_hashes(F.col(f"p_{n}")))
+        rows = rows.withColumn(f"n_{n}", nodes(*[F.col(f"{x}_{n}") for x in "tps"]))
     rows = rows.withColumn("first_section", first_difference(F.col("s_a"), F.col("s_b")))
-    part = lambda t: F.coalesce(F.get(F.col(t), F.col("first_section").cast("int")), F.array().cast("array<string>"))
+    part = lambda p: F.coalesce(F.get(F.col(p), F.col("first_section").cast("int")), F.array().cast("array<string>"))
     return rows.select(
         "doc_id",
         F.char_length("text").cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
-        F.col("root_a").alias("fingerprint"),
-        F.col("root_b").alias("edited_fingerprint"),
-        likeness(F.col("l_a"), F.col("l_b")).alias("near_edited"),
-        likeness(F.col("l_a"), F.col("l_n")).alias("near_next"),
+        root(F.col("s_a")).alias("fingerprint"),
+        root(F.col("s_b")).alias("edited_fingerprint"),
+        likeness(F.col("n_a"), F.col("n_b")).alias("near_edited"),
+        likeness(F.col("n_a"), F.col("n_n")).alias("near_next"),
         "first_section",
-        F.when(F.col("first_section").isNotNull(), first_difference(part("t_a"), part("t_b"))).alias("first_paragraph"),
+        F.when(F.col("first_section").isNotNull(), first_difference(part("p_a"), part("p_b"))).alias("first_paragraph"),
     )

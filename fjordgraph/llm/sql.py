@@ -7,28 +7,36 @@ libraries or brute force.
 
 from __future__ import annotations
 
-_TREE = r"list_transform(string_split_regex({t}, '\n[ \t\r]*\n'), lambda s: list_transform(string_split({s}, chr(10)), lambda p: sha256(p)))".replace("{s}", "s")
+# marks are put where a level ends, then split at: another way to the pieces of the tree
+_SPLIT = r"string_split(regexp_replace({x}, '({end})', '\1' || chr(1), 'g'), chr(1))"
+_LEAVES = "list_transform({sections}, lambda s: list_transform({paragraphs}, lambda p: list_transform({phrases}, lambda x: sha256(x))))"
+_TREE = _LEAVES.replace("{sections}", _SPLIT.format(x="{t}", end=r"\n\n+")).replace("{paragraphs}", _SPLIT.format(x="s", end=r"\n")).replace("{phrases}", _SPLIT.format(x="p", end=r"[.!?,;:|ea] "))
+_PARAGRAPHS = "list_transform({t}, lambda s: list_transform(s, lambda p: sha256(array_to_string(p, '/'))))"
 _SECTIONS = "list_transform({t}, lambda s: sha256(array_to_string(s, '/')))"
-_LEAVES = r"list_distinct(string_split_regex(regexp_replace({t}, '([.!?,;:|])[ \t\n\f\r\v]+', '\1' || chr(1), 'g'), chr(1) || '|\n+'))"
-
+_DIFF = "nullif(coalesce(list_position(list_transform(range(1, greatest(len({a}), len({b})) + 1), lambda i: {a}[i] is distinct from {b}[i]), true), 0), 0) - 1"
+_NODES = "list_concat(list_concat(flatten(flatten(t{x})), list_transform(flatten(p{x}), lambda h: 'p' || h)), list_concat(list_transform(s{x}, lambda h: 's' || h), ['r' || sha256(array_to_string(s{x}, '/'))]))"
 
-def _near(a: str, b: str) -> str:
-    return f"2.0::double * len(list_intersect({a}, {b})) / (len({a}) + len({b}))"
 
+def _near(b: str) -> str:
+    return f"select a.doc_id, sum(least(a.k, b.k)) c from m a join m b on a.doc_id = b.doc_id and a.node = b.node where a.x = 'a' and b.x = '{b}' group by 1"
 
-_DIFF = "nullif(coalesce(list_position(list_transform(range(1, greatest(len({a}), len({b})) + 1), lambda i: {a}[i] is distinct from {b}[i]), true), 0), 0) - 1"
 
 MERKLE = f"""
 with d as (select doc_id, coalesce(text, '') t from documents),
 n as (select doc_id, t, coalesce(lead(t) over (order by doc_id desc), first_value(t) over (order by doc_id desc)) nt from d),
 x as (select doc_id, t, nt, left(t, cast(length(t) - length(t) // 3 as bigint)) || left(nt, cast(length(t) // 3 as bigint)) et from n),
-y as (select *, {_TREE.format(t="t")} ta, {_TREE.format(t="et")} tb, {_LEAVES.format(t="t")} la, {_LEAVES.format(t="et")} lb, {_LEAVES.format(t="nt")} ln from x),
-z as (select *, {_SECTIONS.format(t="ta")} sa, {_SECTIONS.format(t="tb")} sb from y),
+y as materialized (select *, {_TREE.format(t="t")} ta, {_TREE.format(t="et")} tb, {_TREE.format(t="nt")} tn from x),
+q as materialized (select *, {_PARAGRAPHS.format(t="ta")} pa, {_PARAGRAPHS.format(t="tb")} pb, {_PARAGRAPHS.format(t="tn")} pn from y),
+z as materialized (select *, {_SECTIONS.format(t="pa")} sa, {_SECTIONS.format(t="pb")} sb, {_SECTIONS.format(t="pn")} sn from q),
+u as (select doc_id, 'a' x, unnest({_NODES.format(x="a")}) node from z union all select doc_id, 'b', unnest({_NODES.format(x="b")}) from z union all select doc_id, 'n', unnest({_NODES.format(x="n")}) from z),
+m as materialized (select doc_id, x, node, count(*) k from u group by all),
+l as (select doc_id, sum(k) filter (x = 'a') a, sum(k) filter (x = 'b') b, sum(k) filter (x = 'n') n from m group by 1),
+cb as ({_near("b")}), cn as ({_near("n")}),
 f as (select *, {_DIFF.format(a="sa", b="sb")} fs from z)
-select doc_id, length(t) as n_chars, sha256(et) as edited_sha256, sha256(array_to_string(sa, '/')) as fingerprint, sha256(array_to_string(sb, '/')) as edited_fingerprint,
- {_near("la", "lb")} as near_edited, {_near("la", "ln")} as near_next, fs as first_section,
- case when fs is not null then {_DIFF.format(a="coalesce(ta[fs + 1], [])", b="coalesce(tb[fs + 1], [])")} end as first_paragraph
-from f
+select f.doc_id, length(t) as n_chars, sha256(et) as edited_sha256, sha256(array_to_string(sa, '/')) as fingerprint, sha256(array_to_string(sb, '/')) as edited_fingerprint,
+ (2 * coalesce(cb.c, 0))::double / (l.a + l.b)::double as near_edited, (2 * coalesce(cn.c, 0))::double / (l.a + l.n)::double as near_next, fs as first_section,
+ case when fs is not null then {_DIFF.format(a="coalesce(pa[fs + 1], [])", b="coalesce(pb[fs + 1], [])")} end as first_paragraph
+from f join l using (doc_id) left join cb using (doc_id) left join cn using (doc_id)
 """
 
 EMBEDDINGS = """

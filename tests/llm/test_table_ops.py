@@ -44,11 +44,62 @@ def test_merkle_neighbours_and_edits(spark):
     assert len(twice) == 4 and len({r.fingerprint for r in twice if r.doc_id == 1}) == 1
 
 
+def plain_tree(text):
+    """Fingerprint and multiset of nodes, piece by piece with hashlib."""
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+
+    def pieces(x, ends):
+        out, at = [], 0
+        for i in range(1, len(x) + 1):
+            if ends(x, i):
+                out.append(x[at:i])
+                at = i
+        return [*out, x[at:]]
+
+    found = Counter()
+
+    def node(level, children):
+        h = sha("/".join(children))
+        found[level, h] += 1
+        return h
+
+    sections = []
+    for s in pieces(text, lambda x, i: x[i - 2 : i] == "\n\n" and i > 1 and x[i : i + 1] != "\n"):
+        paragraphs = []
+        for p in pieces(s, lambda x, i: x[i - 1] == "\n"):
+            leaves = [sha(q) for q in pieces(p, lambda x, i: i > 1 and x[i - 1] == " " and x[i - 2] in ".!?,;:|ea")]
+            found.update(("leaf", h) for h in leaves)
+            paragraphs.append(node("paragraph", leaves))
+        sections.append(node("section", paragraphs))
+    return node("root", sections), found
+
+
+def test_merkle_equals_plain_tree(spark):
+    rng = random.Random(9)
+    texts = ["", "a\n\nb", "a\n \nb", "a\n\n\nb", "\n\na\n", "a. b", "a.b", "a.  b", "one. two. three.", "three. one. one. two.", "no marks in this", "\u0001e \u0001\n", "é𝄞e ß", "a\r\n\r\nb", "x" * 300_000 + " e " * 2000]
+    texts += ["".join(rng.choice([" ", "\n", "\n\n", "a", "b. ", "é", "e ", "\t", "? "]) for _ in range(rng.randrange(40))) for _ in range(250)]
+    data = [(i, t) for i, t in enumerate(texts)]
+    got = {r.doc_id: r for r in merkle.compare_with_edits(doc_table(spark, data)).collect()}
+    dice = lambda a, b: 2 * sum((a & b).values()) / (sum(a.values()) + sum(b.values()))
+    for i, t in data:
+        nxt = texts[i - 1]
+        k = len(t) // 3
+        mine, edit, other = map(plain_tree, (t, t[: len(t) - k] + nxt[:k], nxt))
+        r = got[i]
+        assert (r.fingerprint, r.edited_fingerprint) == (mine[0], edit[0])
+        assert abs(r.near_edited - dice(mine[1], edit[1])) < 1e-12 and abs(r.near_next - dice(mine[1], other[1])) < 1e-12
+        assert (r.near_next == 1) == (t == nxt)
+    assert len({r.fingerprint for r in got.values()}) == len(set(texts))
+
+
 def test_merkle_locates_edits(spark):
-    a = merkle.fingerprints(doc_table(spark, [(1, "a\nb\n\nc\nd"), (2, "same"), (3, "x")]))
-    b = merkle.fingerprints(doc_table(spark, [(1, "a\nb\n\nc\nD"), (2, "same"), (3, "x\n\ny\nz")]))
-    got = {(r.doc_id, r.section, r.paragraph, r.hash_a is None) for r in merkle.locate_edits(a, b).collect()}
-    assert got == {(1, 1, 1, False), (3, 1, 0, True), (3, 1, 1, True)}
+    a = [(1, "a\nb\n\nc\nd"), (2, "same"), (3, "x\n\ny\n\nz"), (4, "p\n\nq\n\nr"), (5, None)]
+    b = [(1, "a\nb\n\nc\nD"), (2, "same"), (3, "new\n\nx\n\ny\n\nz"), (4, "q\n\np\n\nr"), (5, "")]
+    rows = merkle.locate_edits(*(merkle.fingerprints(doc_table(spark, x)) for x in (a, b))).collect()
+    got = sorted((r.doc_id, r.change, r.side, r.section, -1 if r.paragraph is None else r.paragraph) for r in rows)
+    # an inserted section leaves those after it alone
+    want = [(1, "gone", "a", 1, 1), (1, "new", "b", 1, 1), (3, "new", "b", 0, 0), (3, "new", "b", 0, 1), (3, "new", "b", 0, 2)]
+    assert got == want + [(4, "moved", s, k, -1) for s in "ab" for k in (0, 1)]
 
 
 # embeddings
