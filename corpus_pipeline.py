@@ -16,8 +16,6 @@ from fjordgraph.storage import cut
 
 #: Least share of the best language; undetermined texts go whatever their score.
 MIN_SCORE = 0.5
-#: Key of the surrogates; a deployment sets its own.
-PII_KEY = "example key"
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +32,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Puts surrogates in the place of personal data; all documents stay."""
-    told = docs.withColumn("__pii", pii.surrogate(spark, F.col("text"), PII_KEY)["text"])
+    told = docs.withColumn("__pii", pii.surrogate(spark, F.col("text"), pii.environment_key())["text"])
     more = {"n_chars": F.char_length("__pii").cast("long")} if "n_chars" in docs.columns else {}
     return told.withColumns({"text": F.col("__pii")} | more).drop("__pii")
 

@@ -1,25 +1,37 @@
 """Personal data replaced by keyed surrogates of the same type.
 
-Detected entities (e-mail addresses, phone numbers, IPv4 and MAC addresses, card and account
-numbers, IBANs, national id numbers, secrets after a keyword, and names after a
-title, a label or a known given name) are replaced by values of the same type,
-gender, script and format. A surrogate is the entity's image under a keyed
-permutation of all values of its form, so it needs no table shared between
-tasks: the same entity always gets the same surrogate (coreference, over the
-whole corpus), two entities never get the same one (distinctness), and none
-stays itself. Given names permute within the list of their gender and script;
-other names letter by letter within their script, vowels apart, skipping every
-listed name. The collision check compares, per document and by
-:func:`collisions` over a table, the numbers of entities and of surrogates.
+Detected entities are replaced by values of the same type, gender, script and
+format: e-mail addresses, phone numbers (international, and national with a
+leading zero), IPv4, IPv6 and MAC addresses, card and account numbers, IBANs,
+national id numbers, secrets after a keyword, and names after a title, a label or
+a phrase that introduces one, or with a known given name or surname. Detection of
+names rests on these cues; a name without any of them is not found. A surrogate
+is the entity's image under a keyed permutation of all values of its form, so it
+needs no table shared between tasks: the same entity always gets the same
+surrogate (coreference, over the whole corpus), two entities never get the same
+one (distinctness), and none stays itself. Card numbers and IBANs have right
+check digits if, and only if, the originals have. Given names permute within the
+list of their gender and script; other names letter by letter within their
+script, vowels apart, skipping every listed name. Every word of a found name is
+followed through its text in any case. Each document is checked for collisions:
+if two entities were about to share a surrogate, or one to stay itself, the later
+one moves on along its permutation. :func:`collisions` checks a whole table.
+
+The key is the caller's; :func:`environment_key` reads it from the environment.
 
 Null texts stay null and have no entities; empty texts stay empty. Texts are
-searched whole.
+searched whole. Repeated rows are replaced alike, an empty table stays empty, and
+columns other than the text stay as they are, but for those that
+:func:`anonymise` adds.
 """
 
 from __future__ import annotations
 
 import hashlib
+import ipaddress
+import os
 import re
+import secrets
 from collections.abc import Callable, Iterator
 
 import ahocorasick
@@ -43,6 +55,14 @@ GIVEN = {
 }
 # Titles by gender.
 TITLES = {"f": "Mrs Ms Miss Madam Frau Mme Mlle Madame Señora Sra Srta", "m": "Mr Sir Herr Monsieur Señor Sr", "": "Dr Prof"}
+# Common surnames that are no common words of their languages.
+SURNAMES = "Smith Johnson Williams Jones Garcia Miller Davis Rodriguez Martinez Hernandez Lopez Gonzalez Wilson Anderson Taylor Perez Thompson Harris Robinson Müller Schmidt Schneider Fischer Weber Meyer Wagner Becker Schulz Hoffmann Dubois Durand Lefebvre Moreau Rossi Russo Ferrari Bianchi Wang Zhang Liu Chen Yang Huang Zhao Zhou Kim Nguyen Tran Singh Kumar Sharma Patel Khan Ivanov Petrov Silva Santos"
+# Capitalised words before a surname that are no given names.
+NO_GIVEN = "The This That These Those And But For With From Our Your Their His Her Its When While After Before Dear Hello Der Die Das Und Les Des Los Las Del"
+# Phrases and labels that introduce a name.
+INTRODUCTIONS = ["my name is", "My name is", "I am called", "mein Name ist", "Mein Name ist", "je m'appelle", "Je m'appelle", "me llamo", "Me llamo"]
+# Country calling codes of one and two digits; all others have three.
+CALLING = "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
 # Letters that stand for each other, by script and kind.
 ALPHABETS = ["aeiou", "bcdfghjklmnpqrstvwxyz", "àáâãäåæèéêëìíîïòóôõöøœùúûü", "çñßýÿðþ", "аеиоуыэюяё", "бвгджзйклмнпрстфхцчшщъь", "αεηιουωάέήίόύώ", "βγδζθκλμνξπρσςτφχψ"]
 
@@ -50,10 +70,12 @@ _LETTER = r"[^\W\d_]"
 _CAP = rf"(?:[A-ZÀ-ÖØ-ÞА-ЯЁΑ-ΩΆΈΉΊΌΎΏ]{_LETTER}+(?:[-'’]{_LETTER}+)*)"
 _NAMES = sorted({n for v in GIVEN.values() for n in v.split()}, key=lambda n: (-len(n), n))
 _TITLES = sorted({t for v in TITLES.values() for t in v.split()}, key=lambda t: (-len(t), t))
-_LABELS = [f"{w}:" for x in ("name", "contact") for w in (x, x.title(), x.upper())]
+_LABELS = [f"{w}:" for x in ("name", "contact", "author", "patient", "customer") for w in (x, x.title(), x.upper())]
+_SURNAMES = sorted(SURNAMES.split(), key=lambda n: (-len(n), n))
 #: In every keyword of a secret, whatever its case; before a secret that needs none.
 _WORDS, _ISSUERS = ("token", "secret", "passw", "pwd", "key", "auth"), ("sk-", "xox", "AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_")
 _LISTED = {n.lower() for n in _NAMES}
+_HEX6 = r"[0-9A-Fa-f]{1,4}"
 
 #: (kind, pattern, group of the entity), the first that matches takes the span.
 PATTERNS: list[tuple[str, re.Pattern, int]] = [
@@ -62,12 +84,21 @@ PATTERNS: list[tuple[str, re.Pattern, int]] = [
     ("secret", re.compile(r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_-]{20,}|xox[abp]-[A-Za-z0-9-]{10,})\b"), 0),
     ("mac", re.compile(r"\b[0-9A-Fa-f]{2}(?:[:-][0-9A-Fa-f]{2}){5}\b"), 0),
     ("ip", re.compile(r"(?<!\d)(?<!\d\.)(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)"), 0),
+    ("ip6", re.compile(rf"(?<![\w:.])(?:(?:{_HEX6}:){{7}}{_HEX6}|(?:{_HEX6}(?::{_HEX6}){{0,6}})?::(?:{_HEX6}(?::{_HEX6}){{0,6}})?)(?![\w:])"), 0),
     ("iban", re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"), 0),
     ("id", re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"), 0),
     ("card", re.compile(r"(?<!\d)(?:\d{4}[ -]){3}\d{1,7}(?!\d)|(?<!\d)\d{4}[ -]\d{6}[ -]\d{5}(?!\d)|(?<!\d)(?<!\d\.)\d{13,19}(?!\d)"), 0),
-    ("phone", re.compile(r"(?<![\d+])\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\w+])(?:\+\d{1,3}[ .-]?)(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\w+])(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(?!\d)"), 0),
+    ("phone", re.compile(r"(?<![\d+])\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\w+])(?:\+\d{1,3}[ .-]?)(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\w+])(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(?!\d)|(?<![\w+.,/-])(?:\(0\d{2,4}\) ?|0\d{2,4}[ /-])(?=(?:[ -]?\d){6,9}(?!\d))\d{3,9}(?:[ -]\d{2,5}){0,2}(?![\w-]|[.,]\d)"), 0),
 ]
-_NAME = re.compile(rf"\b(?:(?P<title>{'|'.join(_TITLES)})\b\.?\s+(?P<after>{_CAP}(?:[ ]{_CAP}){{0,2}})|(?:{'|'.join(_LABELS)})\s*(?P<label>{_CAP}(?:[ ]{_CAP}){{1,2}})|(?P<known>(?:{'|'.join(_NAMES)})[ ]{_CAP}))")
+_GIVEN_OR = rf"(?!(?:{'|'.join(NO_GIVEN.split())})\b){_CAP}"
+_NAME = re.compile(
+    rf"\b(?:(?P<title>{'|'.join(_TITLES)})\b\.?\s+(?P<after>{_CAP}(?:[ ]{_CAP}){{0,2}})"
+    rf"|(?:{'|'.join(_LABELS + INTRODUCTIONS)})\s*(?P<label>{_CAP}(?:[ ]{_CAP}){{1,2}})"
+    rf"|(?P<known>(?:{'|'.join(_NAMES)})[ ]{_CAP}))"
+)
+_FAMILY = re.compile(rf"(?:{'|'.join(_SURNAMES)})[ ]{_GIVEN_OR}")
+#: A surname after a name; matched from the surname's start backwards.
+_BEFORE = re.compile(rf"{_GIVEN_OR}(?:[ ]{_CAP})?[ ]$")
 _DIGIT = re.compile(r"\d")
 
 
@@ -76,8 +107,10 @@ def _keywords() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
     for word in _ISSUERS:
         found.add_word(word, ("secret", len(word)))
-    for word in _TITLES + _LABELS + [f"{n} " for n in _NAMES]:
+    for word in _TITLES + _LABELS + INTRODUCTIONS + [f"{n} " for n in _NAMES]:
         found.add_word(word, ("name", len(word)))
+    for word in _SURNAMES:
+        found.add_word(word, ("family", len(word)))
     found.make_automaton()
     return found
 
@@ -173,6 +206,31 @@ class Surrogates:
             host[-2] = self.form("host", labels[-2])
         return self._cased(local, self.form("local@" + domain.lower(), local.lower())) + "@" + ".".join(host)
 
+    def card(self, text: str) -> str:
+        """All digits change; the last keeps its distance to the check digit."""
+        ds = [int(c) for c in text if c.isdigit()]
+        body = self.form("card", "".join(map(str, ds[:-1])))
+        last = (_luhn(body) + ds[-1] - _luhn("".join(map(str, ds[:-1])))) % 10
+        new = iter(body + str(last))
+        return "".join(next(new) if c.isdigit() else c for c in text)
+
+    def ip6(self, text: str) -> str:
+        """Groups that are zero stay so, and the first; the notation is kept."""
+        x = ipaddress.IPv6Address(text)
+        groups = [int(g, 16) for g in x.exploded.split(":")]
+        at = [k for k, g in enumerate(groups) if g and k]
+        n, v = 1, 0
+        for k in at:
+            n, v = n * 65535, v * 65535 + groups[k] - 1
+        v = self.permute(f"ip6/{groups[0]}/{at}", n, v)
+        for k in reversed(at):
+            v, g = divmod(v, 65535)
+            groups[k] = g + 1
+        y = ipaddress.IPv6Address(":".join(f"{g:x}" for g in groups))
+        full = all(len(g) == 4 for g in text.split(":"))
+        out = y.compressed if "::" in text else y.exploded if full else ":".join(f"{g:x}" for g in groups)
+        return out.upper() if text.upper() == text else out
+
     def ip(self, text: str) -> str:
         x = int.from_bytes(bytes(map(int, text.split("."))), "big")
 
@@ -208,16 +266,25 @@ class Surrogates:
     def name(self, text: str) -> str:
         return " ".join(self.given_name(w) for w in text.split(" "))
 
+    def step(self, kind: str, text: str, n: int) -> str:
+        """The ``n``-th image of an entity."""
+        for _ in range(n):
+            text = self.of(kind, text)
+        return text
+
     def of(self, kind: str, text: str) -> str:
         if kind == "email":
             return self.email(text)
         if kind == "ip":
             return self.ip(text)
-        if kind in ("card", "id"):
+        if kind == "ip6":
+            return self.ip6(text)
+        if kind == "card":
+            return self.card(text)
+        if kind == "id":
             return self.digits(kind, text)
         if kind == "phone":
-            lead = re.match(r"\+\d{1,3}(?=[ .(-])", text)
-            return self.digits(kind, text, len(lead[0]) - 1 if lead else 0)
+            return self.digits(kind, text, _lead(text))
         if kind == "mac":
             return self.hexes(kind, text)
         if kind == "iban":
@@ -227,9 +294,20 @@ class Surrogates:
         return self.name(text)
 
     def _iban(self, text: str) -> str:
-        body = text.replace(" ", "")
-        new = iter(body[:2] + self.form("iban" + body[:2], body[2:], lambda c: "0123456789" if c.isdigit() else "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
-        return "".join(c if c == " " else next(new) for c in text)
+        """Valid ones stay valid, and others do not become so."""
+        old = text.replace(" ", "")
+        kinds = lambda c: "0123456789" if c.isdigit() else "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+        if _iban_rest(old) == 1:
+            body = self.form("iban" + old[:2], old[4:], kinds)
+            new = f"{old[:2]}{98 - _iban_rest(old[:2] + '00' + body):02d}{body}"
+        else:
+            new = old
+            while True:
+                new = old[:2] + self.form("no iban" + old[:2], new[2:], kinds)
+                if _iban_rest(new) != 1:
+                    break
+        out = iter(new)
+        return "".join(c if c == " " else next(out) for c in text)
 
     def _secret(self, text: str) -> str:
         """The prefix that tells the issuer stays."""
@@ -243,16 +321,49 @@ class Surrogates:
         return self.form("secret" + lead, text, lambda c: next((p for p in pools if c in p), None))
 
 
+def _luhn(body: str) -> int:
+    """Check digit that belongs after ``body``."""
+    total = 0
+    for k, c in enumerate(reversed(body)):
+        d = int(c) * (2 - k % 2)
+        total += d - 9 * (d > 9)
+    return -total % 10
+
+
+def _iban_rest(iban: str) -> int:
+    """1 for a valid IBAN, as ISO 7064 has it."""
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
+
+
+def _lead(phone: str) -> int:
+    """Digits of a phone number that stay: the country's code, or the zero."""
+    ds = "".join(c for c in phone if c.isdigit())
+    if not phone.startswith("+"):
+        return int(ds.startswith("0"))
+    return next((n for n in (1, 2) if ds[:n] in CALLING), 3)
+
+
+def _is_ip6(text: str) -> bool:
+    """An address with a digit that says more than its first group."""
+    try:
+        x = int(ipaddress.IPv6Address(text))
+    except ValueError:
+        return False
+    return any(c.isdigit() for c in text) and bool(x & ((1 << 112) - 1)) and x > 0xFFFF
+
+
 def find(text: str) -> list[tuple[int, int, str]]:
     """Spans ``(start, end, kind)`` of the entities, in order, not overlapping."""
     found: list[tuple[int, int, str]] = []
     low = text.casefold()  # the patterns ignore case beyond ASCII, as in the Kelvin sign
-    hints, starts = any(w in low for w in _WORDS), set()
+    hints, starts, families = any(w in low for w in _WORDS), set(), []
     for end, (what, n) in _KEYWORDS.iter(text):
         if what == "secret":
             hints = True
-        else:
+        elif what == "name":
             starts.add(end + 1 - n)
+        elif not text[end + 1 : end + 2].isalpha() and not text[end - n : end + 1 - n].isalpha():
+            families.append((end + 1 - n, end + 1))
     digits, at_sign = _DIGIT.search(text) is not None, "@" in text
 
     def take(what: str, kind: str, spans: list[tuple[int, int]]) -> str:
@@ -265,18 +376,31 @@ def find(text: str) -> list[tuple[int, int, str]]:
     left = text
     for kind, pattern, group in PATTERNS:
         if at_sign if kind == "email" else hints if kind == "secret" else digits or kind == "mac" and text.count(":") + text.count("-") >= 5:
-            left = take(left, kind, [m.span(group) for m in pattern.finditer(left)])
+            left = take(left, kind, [m.span(group) for m in pattern.finditer(left) if kind != "ip6" or _is_ip6(m[0])])
     names = []
+
+    def name(span: tuple[int, int]) -> None:
+        nonlocal left
+        if "\0" not in left[slice(*span)]:
+            names.append(left[slice(*span)])
+            left = take(left, "name", [span])
+
+    # the surest cues first; a surname ends a name rather than begins one
     for start in sorted(starts):
         if (m := _NAME.match(left, start)) is not None:
-            group = next(g for g in ("after", "label", "known") if m[g])
-            names.append(m[group])
-            left = take(left, "name", [m.span(group)])
-    # each word of a name stands for the person elsewhere; a title among them for nobody
-    words = {w for n in names for w in n.split(" ")} - set(_TITLES)
+            name(m.span(next(g for g in ("after", "label", "known") if m[g])))
+    for start, end in families:
+        before = _BEFORE.search(left, max(0, start - 80), start)
+        if before and (before.start() == 0 or not left[before.start() - 1].isalpha()):
+            name((before.start(), end))
+    for start, _ in families:
+        if (m := _FAMILY.match(left, start)) is not None:
+            name(m.span())
+    # each word of a name stands for the person elsewhere, in any case; a title among them for nobody
+    words = {w.lower() for n in names for w in n.split(" ")} - {t.lower() for t in _TITLES}
     if words:
-        again = "|".join(map(re.escape, sorted(words)))
-        left = take(left, "name", [m.span() for m in re.finditer(rf"(?<![\w-])(?:{again})(?![\w-])", left)])
+        again = "|".join(map(re.escape, sorted(words, key=lambda w: (-len(w), w))))
+        left = take(left, "name", [m.span() for m in re.finditer(rf"(?i)(?<![\w-])(?:{again})(?![\w-])", left)])
     return sorted(found)
 
 
@@ -284,6 +408,8 @@ def canonical(kind: str, text: str) -> str:
     """What two mentions of one entity have in common."""
     if kind in ("phone", "card", "id"):
         return "".join(c for c in text if c.isdigit())
+    if kind == "ip6":
+        return ipaddress.IPv6Address(text).exploded
     if kind == "iban":
         return text.replace(" ", "")
     return text if kind == "secret" else text.lower()
@@ -296,18 +422,50 @@ def replace(text: str | None, s: Surrogates) -> tuple:
     spans = find(text)
     if not spans:
         return text, 0, 0, 0, []
+    old = [text[a:b] for a, b, _ in spans]
+    names = [(kind, canonical(kind, x)) for (_, _, kind), x in zip(spans, old, strict=True)]
+    steps = _apart(names, old, s)
     out, at, seen, pairs = [], 0, {}, []
-    for a, b, kind in spans:
-        old = text[a:b]
-        new = s.of(kind, old)
-        seen[kind, canonical(kind, old)] = canonical(kind, new)
-        pairs.append({"kind": kind, "original": old, "surrogate": new})
+    for (a, b, kind), x, name in zip(spans, old, names, strict=True):
+        new = s.step(kind, x, steps.get(name, 1))
+        seen[name] = canonical(kind, new)
+        pairs.append({"kind": kind, "original": x, "surrogate": new})
         out += [text[at:a], new]
         at = b
     out.append(text[at:])
     return "".join(out), len(spans), len(seen), len({(k, v) for (k, _), v in seen.items()}), pairs
 
 
+def _apart(names: list[tuple[str, str]], old: list[str], s: Surrogates) -> dict[tuple[str, str], int]:
+    """Steps beyond the first that entities take to stay apart in a document."""
+    taken: dict[tuple[str, str], tuple[str, str]] = {}
+    steps = {}
+    for name, x in zip(names, old, strict=True):
+        kind = name[0]
+        if name in steps:
+            continue
+        for n in range(1, 50):
+            new = kind, canonical(kind, s.step(kind, x, n))
+            if taken.get(new, name) == name and new != name:
+                break
+        taken[new] = name
+        steps[name] = n
+    return {k: n for k, n in steps.items() if n > 1}
+
+
+_PROCESS_KEY: list[str] = []
+
+
+def environment_key(name: str = "FJORDGRAPH_PII_KEY") -> str:
+    """The key in that variable of the driver's environment; without one, a
+    random key that holds for this process, so that nobody can invert it."""
+    if os.environ.get(name):
+        return os.environ[name]
+    if not _PROCESS_KEY:
+        _PROCESS_KEY.append(secrets.token_hex(32))
+    return _PROCESS_KEY[0]
+
+
 def surrogate(spark: SparkSession, text: Column, key: str) -> Column:
     """Text -> ``struct`` of ``RESULT``."""
     bounded_batches(spark)
