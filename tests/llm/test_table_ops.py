@@ -319,6 +319,78 @@ def test_sharding(spark):
     assert sharding.shard_documents(doc_table(spark, []), 16).collect() == []
 
 
+def plain_map(loads, n_shards, n_slots):
+    """Heaviest slot first, each to the shard that is lightest so far."""
+    owner, total = {}, [0] * n_shards
+    for slot in sorted(range(n_slots), key=lambda k: -loads[k]):  # stable: by number among equals
+        owner[slot] = total.index(min(total))
+        total[owner[slot]] += loads[slot]
+    return owner
+
+
+def test_sharding_equals_brute_force(spark):
+    import struct
+
+    import xxhash
+
+    rng = random.Random(8)
+    rows = [(rng.randrange(1 << 40), "x" * int(rng.expovariate(0.01))) for _ in range(2500)]
+    rows = list(dict(rows).items())
+    got = {r.doc_id: r for r in sharding.shard_documents(doc_table(spark, rows), 5, 64).collect()}
+    slot = {d: xxhash.xxh64(struct.pack("<q", d), seed=42).intdigest() % 64 for d, _ in rows}
+    loads = Counter()
+    for d, t in rows:
+        loads[slot[d]] += len(t) + 1
+    owner = plain_map(loads, 5, 64)
+    places = defaultdict(list)
+    for d, _ in sorted(rows, key=lambda r: (slot[r[0]], r[0])):
+        places[owner[slot[d]]].append(d)
+    assert all(got[d].virtual_slot == slot[d] and got[d].shard == owner[slot[d]] and places[owner[slot[d]]][got[d].slot] == d for d, _ in rows)
+
+
+def test_hot_slots_are_ranked_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "PART_ROWS", 50)
+    rows = [(None, "same")] * 900 + [(4, "twice")] * 500 + [(i, "t" * (i % 30)) for i in range(1000)]
+    df = doc_table(spark, rows).repartition(6)
+    got = sharding.shard_documents(df, 4, 32).collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r.shard].append(r.slot)
+    assert len(got) == len(rows) and all(sorted(v) == list(range(len(v))) for v in by.values())
+    slotted = sharding.assign_slots(df, "doc_id", F.lit(1), 32).withColumn("salt", F.xxhash64(F.monotonically_increasing_id()))
+    assert max(r.rows for r in sharding._parts(sharding.cut(slotted, "t")).collect()) < 900
+
+
+def test_shard_maps_are_kept(spark, tmp_path):
+    """A stored map is used again, grows, shrinks and evens out; versions stay."""
+    folder = str(tmp_path / "maps")
+    rng = random.Random(2)
+    rows = [(i, "y" * rng.randrange(300)) for i in range(2000)]
+    df = doc_table(spark, rows)
+    slotted = sharding.assign_slots(df, "doc_id", F.octet_length("text") + 1, 256)
+    totals = sharding.slot_totals(slotted)
+    assert sharding.save_map(sharding.build_map(spark, totals, 4, 256), folder) == 1
+    first = {r.virtual_slot: r.shard for r in sharding.load_map(spark, folder).collect()}
+    got = sharding.shard_documents(df.where("doc_id % 2 = 0"), 4, 256, folder).collect()
+    assert all(r.shard == first[r.virtual_slot] and r.map_version == 1 for r in got)  # other rows, same map
+    assert {r.next_shard for r in got if r.next_shard != r.shard} == {4}
+    grown = sharding.load_map(spark, folder)
+    assert grown.first().version == 2 and grown.agg(F.max("shard")).first()[0] == 4
+    shrunk = sharding.rebalance_map(spark, grown, 4, totals)
+    assert sharding.save_map(shrunk, folder) == 3
+    moved = sharding.compare_maps(grown, sharding.load_map(spark, folder, 3)).collect()
+    assert moved and all(r.shard_to < 4 for r in moved) and {r.virtual_slot: r.shard for r in sharding.load_map(spark, folder, 1).collect()} == first
+    # shard 0 swells: slots leave it, and none moves between the others without need
+    heavy = totals.join(spark.createDataFrame(list(first.items()), "virtual_slot int, shard int"), "virtual_slot").withColumn("slot_bytes", F.when(F.col("shard") == 0, F.col("slot_bytes") * 3).otherwise(F.col("slot_bytes"))).drop("shard")
+    even = sharding.rebalance_map(spark, sharding.load_map(spark, folder, 1), 4, heavy).collect()
+    loads = Counter()
+    for r in even:
+        loads[r.shard] += r.slot_bytes
+    assert max(loads.values()) < 1.05 * sum(loads.values()) / 4 and all(first[r.virtual_slot] == 0 for r in even if r.shard != first[r.virtual_slot])
+    with pytest.raises(Exception, match="exists"):
+        sharding.save_map(sharding.load_map(spark, folder, 1), folder)
+
+
 def test_shard_map_shrinks(spark):
     totals = spark.createDataFrame([(i, 100 + i, 1) for i in range(64)], "virtual_slot int, slot_bytes long, slot_rows long")
     one = sharding.build_map(spark, totals, 4, 64)
