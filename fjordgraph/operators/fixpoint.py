@@ -48,26 +48,54 @@ def iterate(
     return state, info
 
 
+def _kept(tables: list[tuple[DataFrame, int]]) -> DataFrame:
+    out = tables[0][0]
+    for df, _ in tables[1:]:
+        out = out.unionByName(df)
+    return out
+
+
 def least_values(start: DataFrame, send: Callable[[DataFrame], DataFrame], max_iter: int | None, name: str, limit: Column | None = None) -> tuple[DataFrame, RunInfo]:
     """Least fixpoint of a monotone rule: semi-naive propagation of minima.
 
     ``start`` has ``id, value``; ``send(changed)`` turns the rows that changed in
-    the last superstep into candidates ``id, value``. State and candidates meet
-    in one grouped minimum; only what improved is sent on. ``limit`` keeps rows
-    from being sent.
+    the last superstep into candidates ``id, value``. What has been found is kept
+    in tables of growing size, and a superstep adds one with its improvements
+    only: known values are read to be compared (a narrow frontier is sent to
+    them, not they to it) but never written again, except that a table is merged
+    with the one before it when that is no more than twice as large, so a value
+    is rewritten a logarithmic number of times. ``limit`` keeps rows from being
+    sent.
     """
-    seeds = start.select("id", "value", F.lit(True).alias("fresh"))
-    metrics = {"changed": F.count_if("fresh")}
-
-    def step(state: DataFrame, k: int, seen: dict) -> DataFrame:
-        active = state.where("fresh")
-        if limit is not None:
-            active = active.where(limit)
-        found = send(active.select("id", "value"))
-        old = state.select("id", "value", F.col("value").alias("was"))
-        both = old.unionByName(found.select("id", "value", F.lit(None).cast(found.schema["value"].dataType).alias("was")))
-        merged = both.groupBy("id").agg(F.min("value").alias("value"), F.min("was").alias("was"))
-        return merged.select("id", "value", (F.col("was").isNull() | (F.col("value") < F.col("was"))).alias("fresh"))
-
-    state, info = iterate(seeds, step, metrics, lambda m: m["changed"] == 0, max_iter, name)
-    return state.select("id", "value"), info
+    info = RunInfo()
+    count = {"changed": F.count(F.lit(1))}
+    fresh, seen = cut(start.select("id", "value"), name, **count)
+    tables, old = [(fresh, seen["changed"])], []
+    while max_iter is None or info.iterations < max_iter:
+        info.iterations += 1
+        active = fresh if limit is None else fresh.where(limit)
+        found = cut(send(active).groupBy("id").agg(F.min("value").alias("value")), f"{name}-sent")
+        known = _kept(tables).join(found.select("id"), "id", "left_semi").groupBy("id").agg(F.min("value").alias("was"))
+        better = found.join(known, "id", "left").where("was is null or value < was").select("id", "value")
+        fresh, seen = cut(better, name, **count)
+        drop(found, *old)
+        old = []
+        info.metrics.append(seen)
+        if not seen["changed"]:
+            drop(fresh)
+            info.converged = True
+            break
+        tables.append((fresh, seen["changed"]))
+        while len(tables) > 1 and tables[-2][1] <= 2 * tables[-1][1]:
+            pair = tables[-2:]
+            del tables[-2:]
+            merged = cut(_kept(pair).groupBy("id").agg(F.min("value").alias("value")), name)
+            tables.append((merged, sum(n for _, n in pair)))
+            old += [df for df, _ in pair if df is not fresh]
+            if pair[1][0] is not fresh:
+                drop(pair[1][0])
+        if tables[-1][0] is not fresh:
+            old.append(fresh)
+    out = cut(_kept(tables).groupBy("id").agg(F.min("value").alias("value")), name)
+    drop(*old, *[df for df, _ in tables])
+    return out, info

@@ -21,10 +21,8 @@ def bfs(graph: Graph, source: int, max_levels: int | None = 500, all_vertices: b
     that were found, without the last round that finds none. With
     ``all_vertices`` off only reached vertices are returned.
     """
-    edges = graph.by_src.select("src", "dst")
-
     def send(frontier: DataFrame) -> DataFrame:
-        return frontier.join(edges, frontier.id == edges.src).select(F.col("dst").alias("id"), (F.col("value") + 1).alias("value")).distinct()
+        return graph.along(frontier, "src").select(F.col("dst").alias("id"), (F.col("value") + 1).alias("value"))
 
     limit = F.col("value") < max_levels if max_levels is not None else None
     found, info = least_values(_source(graph, source, F.lit(0)), send, None, "bfs", limit)
@@ -39,11 +37,10 @@ def sssp(graph: Graph, source: int, max_iter: int | None = 500, all_vertices: bo
     unreachable. ``iterations`` counts the last round, which changes nothing.
     ``metrics`` has the number of vertices improved per round.
     """
-    edges = graph.by_src
-    weight = F.col("weight") if "weight" in edges.columns else F.lit(1.0)
+    weight = F.col("weight") if "weight" in graph.edges.columns else F.lit(1.0)
 
     def send(changed: DataFrame) -> DataFrame:
-        return changed.join(edges, changed.id == edges.src).groupBy(F.col("dst").alias("id")).agg(F.min(F.col("value") + weight).alias("value"))
+        return graph.along(changed, "src").select(F.col("dst").alias("id"), (F.col("value") + weight).alias("value"))
 
     found, info = least_values(_source(graph, source, F.lit(0.0)), send, max_iter, "sssp")
     graph.release()
