@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranks import counted_values
+
 
 def upper_median(values: Column) -> Column:
     """Element ``len / 2`` of the sorted values; null if there are none."""
@@ -21,13 +23,16 @@ def summarise(runs: DataFrame, keys: list[str], value: str = "ms") -> DataFrame:
     good = runs.where(F.col(value) > 0)
     n = F.count(F.lit(1))
     cv = F.when(n >= 2, F.stddev_samp(value) / F.avg(value) * 100).otherwise(0.0)
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(value))
-    size = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    marked = good.withColumn("__p95", place == F.greatest(F.lit(1), F.bround(size * 0.95).cast("int")))
-    return marked.groupBy(*keys).agg(
-        n.alias("n_samples"), F.avg(value).alias("mean"), F.median(value).alias("median"), cv.alias("cv"),
-        F.min(value).alias("min"), F.max(value).alias("max"), F.max(F.when(F.col("__p95"), F.col(value))).alias("p95"),
-    )
+    plain = good.groupBy(*keys).agg(n.alias("n_samples"), F.avg(value).alias("mean"), cv.alias("cv"), F.min(value).alias("min"), F.max(value).alias("max"))
+    # places among the sorted values, told from counts of distinct ones
+    at = lambda k: F.max(F.when((F.col("first") <= k) & (k < F.col("first") + F.col("c")), F.col(value)))
+    half = (at(F.floor((F.col("n") - 1) / 2)) + at(F.floor(F.col("n") / 2))) / 2
+    p95 = at(F.greatest(F.lit(1), F.bround(F.col("n") * 0.95).cast("int")) - 1)
+    places = counted_values(good, keys, value).groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(half.alias("median"), p95.alias("p95"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return plain.join(places, same).select(*keys, "n_samples", "mean", "median", "cv", "min", "max", "p95")
 
 
 def grouped_mean(runs: DataFrame, keys: list[str], value: str = "ms") -> DataFrame:
@@ -203,3 +208,45 @@ def fits(workers: Column, cpus_each: Column, mb_each: Column, cpus: int, memory_
 def divisors(value: Column) -> Column:
     """All divisors in rising order: the possible granularities."""
     return F.filter(F.sequence(F.lit(1), value.cast("int")), lambda d: value % d == 0)
+
+
+def epoch_ms(at: Column) -> Column:
+    """Milliseconds since 1970 of a timestamp, as traces have them."""
+    return F.unix_millis(at)
+
+
+def from_epoch_ms(ms: Column) -> Column:
+    return F.timestamp_millis(ms)
+
+
+def cost_cells(algorithms: DataFrame, sizes: list[int], threads: list[int], ranks: list[int], reps: int) -> DataFrame:
+    """The runs of a cost comparison: ``algorithm, nodes, backend, threads,
+    ranks, rep``. One thread stands alone, several threads share memory, and
+    ranks exchange messages."""
+    kind = F.array(
+        F.struct(F.lit("standalone").alias("backend"), F.lit(1).alias("threads"), F.lit(None).cast("int").alias("ranks")),
+        *[F.struct(F.lit("rayon").alias("backend"), F.lit(x).alias("threads"), F.lit(None).cast("int").alias("ranks")) for x in threads],
+        *[F.struct(F.lit("mpi").alias("backend"), F.lit(None).cast("int").alias("threads"), F.lit(x).alias("ranks")) for x in ranks],
+    )
+    cells = algorithms.select("algorithm", F.explode(F.array(*[F.lit(n).cast("long") for n in sizes])).alias("nodes"))
+    cells = cells.select("algorithm", "nodes", F.explode(kind).alias("k")).select("algorithm", "nodes", "k.*")
+    return cells.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
+
+
+def cells_to_run(cells: DataFrame, records: DataFrame, force: bool = False) -> DataFrame:
+    """Cells without a passed record: what a resumed campaign still has to run."""
+    if force:
+        return cells
+    keys = [c for c in cells.columns if c in records.columns]
+    done = records.where("status = 'passed'").select(*[F.col(c).alias(f"__{c}") for c in keys])
+    same = F.lit(True)
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return cells.join(done, same, "left_anti")
+
+
+def payloads(run: DataFrame, partitions: Column, granularity: Column) -> DataFrame:
+    """One row per partition of a run: its columns, ``partition`` and ``group``,
+    the number of the pack of ``granularity`` workers that it is in."""
+    each = run.withColumn("partition", F.explode(F.sequence(F.lit(0), partitions.cast("int") - 1)))
+    return each.withColumn("group", F.floor(F.col("partition") / granularity).cast("int"))

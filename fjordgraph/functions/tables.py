@@ -5,21 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.graph import global_rank
+from ..operators.ranks import global_rank, quantiles
 
 
-def read_ratings(spark: SparkSession, path: str) -> DataFrame:
-    """``user, item, rating`` from a CSV with a header ``userId,movieId,rating,...``."""
+def read_ratings(spark: SparkSession, path: str, share: float = 1.0, seed: int = 42) -> DataFrame:
+    """``user, item, rating`` from a CSV with a header ``userId,movieId,rating,...``.
+
+    ``share`` below 1 keeps all ratings of that share of the users, told by a
+    hash of the user.
+    """
     raw = spark.read.schema("user LONG, item LONG, rating FLOAT, ts LONG").option("header", True).csv(path)
-    return raw.select("user", "item", "rating").where("user is not null and item is not null and rating is not null")
+    rows = raw.select("user", "item", "rating").where("user is not null and item is not null and rating is not null")
+    return rows if share >= 1 else rows.where(F.pmod(F.xxhash64("user", F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30)))
 
 
 def dense_ids(rows: DataFrame, *columns: str) -> DataFrame:
-    """Replace each column's values by their rank, 0, 1, 2, ..."""
+    """Replace each column's values by their rank, 0, 1, 2, ...; nulls stay null."""
     out = rows
     for c in columns:
-        ranks = global_rank(rows.select(c).distinct(), c, "__dense")
-        out = out.join(ranks, c).drop(c).withColumnRenamed("__dense", c)
+        ranks = global_rank(rows.where(F.col(c).isNotNull()).select(c).distinct(), c, "__dense")
+        out = out.join(ranks, c, "left").drop(c).withColumnRenamed("__dense", c)
     return out.select(*rows.columns)
 
 
@@ -33,9 +38,9 @@ def read_features(spark: SparkSession, path: str, width: int = 28) -> DataFrame:
 
 def bin_edges(rows: DataFrame, column: str, bins: int = 255) -> DataFrame:
     """One row ``edges``: distinct inner quantiles, padded with infinity to ``bins``."""
-    at = [i / (bins + 1) for i in range(1, bins + 1)]
-    q = F.array_distinct(F.percentile(column, F.array(*[F.lit(x) for x in at])))
-    return rows.agg(q.alias("q")).select(F.concat("q", F.array_repeat(F.lit(float("inf")), F.lit(bins) - F.size("q"))).alias("edges"))
+    found = quantiles(rows, column, [i / (bins + 1) for i in range(1, bins + 1)])
+    q = F.array_distinct(F.coalesce("q", F.array().cast("array<double>")))
+    return found.select(F.concat(q, F.array_repeat(F.lit(float("inf")), F.lit(bins) - F.size(q))).alias("edges"))
 
 
 def digitize(value: Column, edges: Column) -> Column:

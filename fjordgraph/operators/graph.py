@@ -10,15 +10,26 @@ endpoint. A missing weight is 1, a negative or non-finite one an error.
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import cut, drop
+from .ranks import global_rank, running_total
+
+
+#: A vertex is a hub if it has more edges than so many mean partitions hold, and
+#: this many at least; its edges are spread over several partitions.
+HUB_SHARE, HUB_EDGES = 1 / 4, 20_000
+
 
 class Graph:
     """Edges and a vertex domain; immutable.
 
-    ``by_src`` and ``by_dst`` are the edges hash-partitioned and kept, so a loop
-    that joins on that side shuffles its state only. ``release`` lets them go.
+    :meth:`along` joins a state with the edges at one of their ends. The edges
+    are partitioned by that end once and kept, so a loop shuffles its state only.
+    Edges of hubs are dealt over several partitions by their other end, and the
+    state's rows of hubs, of which there are at most a few per partition by the
+    definition of a hub, are copied there. ``release`` lets the edges go.
     """
 
     def __init__(self, edges: DataFrame, n: int | None = None, vertices: DataFrame | None = None):
@@ -31,7 +42,7 @@ class Graph:
         if n is not None:
             edges = edges.where((F.col("src") >= 0) & (F.col("dst") >= 0) & (F.col("src") < n) & (F.col("dst") < n))
         self.edges, self.n, self._vertices = edges, n, vertices
-        self._kept: dict[str, DataFrame] = {}
+        self._kept: dict[str, tuple[DataFrame, DataFrame | None]] = {}
 
     @property
     def spark(self) -> SparkSession:
@@ -43,23 +54,37 @@ class Graph:
             return self._vertices.select("id")
         return domain(self.spark, self.n) if self.n is not None else endpoints(self.edges)
 
-    def _by(self, key: str) -> DataFrame:
+    def _by(self, key: str) -> tuple[DataFrame, DataFrame | None]:
+        """Kept edges, and the hubs (``key, parts``) if there are any."""
         if key not in self._kept:
             parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-            self._kept[key] = self.edges.repartition(parts, key).persist(StorageLevel.MEMORY_AND_DISK)
+            degrees = self.edges.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+            most = self.edges.count() / parts * HUB_SHARE
+            share = max(most, HUB_EDGES)
+            hubs = cut(degrees.where(F.col("n") > share).select(key, F.ceil(F.col("n") / F.lit(share)).cast("int").alias("parts")), "hubs")
+            hubs = hubs if hubs.limit(1).count() else None
+            other = "dst" if key == "src" else "src"
+            salt = F.lit(0) if hubs is None else F.coalesce(F.pmod(F.xxhash64(other), F.col("parts")), F.lit(0)).cast("int")
+            edges = self.edges if hubs is None else self.edges.join(F.broadcast(hubs), key, "left")
+            edges = edges.withColumn("salt", salt).drop("parts").repartition(parts, key, "salt")
+            self._kept[key] = edges.persist(StorageLevel.MEMORY_AND_DISK), hubs
         return self._kept[key]
 
-    @property
-    def by_src(self) -> DataFrame:
-        return self._by("src")
-
-    @property
-    def by_dst(self) -> DataFrame:
-        return self._by("dst")
+    def along(self, state: DataFrame, key: str) -> DataFrame:
+        """Edges with the columns of ``state`` (``id, ...``) at their ``key`` end."""
+        edges, hubs = self._by(key)
+        rows = state.withColumnRenamed("id", key)
+        if hubs is None:
+            rows = rows.withColumn("salt", F.lit(0))
+        else:
+            copies = F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)
+            rows = rows.join(F.broadcast(hubs), key, "left").withColumn("salt", F.explode(copies)).drop("parts")
+        return edges.join(rows, [key, "salt"]).drop("salt")
 
     def release(self) -> None:
-        for df in self._kept.values():
+        for df, hubs in self._kept.values():
             df.unpersist()
+            drop(hubs)
         self._kept.clear()
 
     def with_edges(self, edges: DataFrame) -> Graph:
@@ -176,43 +201,23 @@ def relabel(edges: DataFrame, mapping: DataFrame) -> DataFrame:
 def dense_labels(labels: DataFrame, label: str = "label") -> DataFrame:
     """Labels renumbered 0, 1, 2, ... by the least id that has them.
 
-    The order of labels is a global rank; it is taken over distinct labels only,
-    in ranges of their first ids, so no task sees them all.
+    The order of labels is a global rank, taken over distinct labels only.
     """
     first = labels.groupBy(label).agg(F.min("id").alias("first_id"))
     return labels.join(global_rank(first, "first_id", "new_label").select(label, "new_label"), label).select("id", F.col("new_label").alias("label"))
 
 
-def global_rank(rows: DataFrame, order: str, name: str) -> DataFrame:
-    """Adds the zero-based rank by a unique column, without a one-task window.
-
-    Rows are ranked within 1024 equal ranges of the column; the ranges' counts,
-    at most 1024 numbers, are summed up ahead.
-    """
-    ends = rows.agg(F.min(order).alias("lo"), F.max(order).alias("hi")).first()
-    lo, hi = (ends.lo, ends.hi) if ends.lo is not None else (0, 0)
-    step = (hi - lo) // 1024 + 1
-    cut = rows.withColumn("__range", F.floor((F.col(order) - lo) / F.lit(step)).cast("int"))
-    counts = cut.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
-    ahead = F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = F.broadcast(counts.select("__range", ahead.alias("__ahead")))
-    own = F.row_number().over(Window.partitionBy("__range").orderBy(order)) - 1
-    return cut.withColumn(name, own).join(offsets, "__range").withColumn(name, (F.col(name) + F.col("__ahead")).cast("long")).drop("__range", "__ahead")
-
-
 def csr_offsets(graph: Graph) -> DataFrame:
-    """``id, start, end``: where each vertex's out-edges lie in source order.
-
-    A prefix sum of degrees, by ranges of ids as in :func:`global_rank`.
-    """
-    deg = graph.vertices.join(out_degree(graph.edges), "id", "left").select("id", F.coalesce("degree", F.lit(0)).alias("degree"))
-    ends = deg.agg(F.min("id").alias("lo"), F.max("id").alias("hi")).first()
-    lo, hi = (ends.lo, ends.hi) if ends.lo is not None else (0, 0)
-    step = (hi - lo) // 1024 + 1
-    cut = deg.withColumn("__range", F.floor((F.col("id") - lo) / F.lit(step)).cast("int"))
-    sums = cut.groupBy("__range").agg(F.sum("degree").alias("__n"))
-    ahead = F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    own = F.sum("degree").over(Window.partitionBy("__range").orderBy("id"))
-    out = cut.withColumn("__own", own).join(F.broadcast(sums.select("__range", ahead.alias("__ahead"))), "__range")
-    end = F.col("__own") + F.col("__ahead")
-    return out.select("id", (end - F.col("degree")).alias("start"), end.alias("end"))
+    """``id, start, end``: where each vertex's out-edges lie in source order."""
+    deg = graph.vertices.join(out_degree(graph.edges), "id", "left").select("id", F.coalesce("degree", F.lit(0)).cast("long").alias("degree"))
+    out = running_total(deg, ["id"], "degree", "end")
+    return out.select("id", (F.col("end") - F.col("degree")).alias("start"), "end")
+
+
+def owned_edges(graph: Graph, parts: int) -> DataFrame:
+    """Edges with the ``owner`` of their source, each owner's lying together in
+    order of the source. ``parts`` owners have contiguous ranges of the ids."""
+    if graph.n is None:
+        raise ValueError("owners need a domain 0 .. n-1")
+    rows = graph.edges.withColumn("owner", owned_range(graph.n, parts, F.col("src")))
+    return rows.repartition("owner").sortWithinPartitions("owner", "src", "dst")

@@ -20,9 +20,9 @@ def majority(votes: DataFrame) -> DataFrame:
     return counts.groupBy("id").agg(top.alias("top")).select("id", (-F.col("top.neg")).alias("best"))
 
 
-def _step(edges: DataFrame, state: DataFrame) -> DataFrame:
-    known = state.where("label is not null").select(F.col("id").alias("dst"), "label")
-    best = majority(edges.join(known, "dst").select(F.col("src").alias("id"), "label"))
+def _step(graph: Graph, state: DataFrame) -> DataFrame:
+    known = state.where("label is not null").select("id", "label")
+    best = majority(graph.along(known, "dst").select(F.col("src").alias("id"), "label"))
     new = F.when(F.col("is_seed"), F.col("label")).otherwise(F.coalesce("best", "label"))
     both = state.join(best, "id", "left")
     return both.select("id", new.alias("label"), "is_seed", (~new.eqNullSafe(F.col("label"))).alias("changed"))
@@ -38,7 +38,6 @@ def label_propagation(graph: Graph, seeds: DataFrame | None = None, max_iter: in
     changes than that share of the unseeded vertices; ``converged`` tells
     whether it did.
     """
-    edges = graph.by_dst.select("src", "dst")
     start = initial_labels(graph, seeds).withColumn("changed", F.lit(False))
     metrics = {"changed": F.count_if("changed"), "free": F.count_if(~F.col("is_seed"))}
 
@@ -47,7 +46,7 @@ def label_propagation(graph: Graph, seeds: DataFrame | None = None, max_iter: in
             return m["changed"] <= threshold
         return m["changed"] == 0 or (m["changed"] / m["free"] if m["free"] else 0.0) < ratio
 
-    state, info = iterate(start, lambda s, k, m: _step(edges, s), metrics, done, max_iter, "labels")
+    state, info = iterate(start, lambda s, k, m: _step(graph, s), metrics, done, max_iter, "labels")
     graph.release()
     return state.select("id", "label"), info
 

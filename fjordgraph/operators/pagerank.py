@@ -9,18 +9,21 @@ from .fixpoint import RunInfo, iterate
 from .graph import Graph, out_degree
 
 
-def contributions(edges: DataFrame, ranks: DataFrame) -> DataFrame:
+def contributions(graph: Graph, ranks: DataFrame) -> DataFrame:
     """``id, value``: rank over out-degree, summed at each destination.
 
     ``ranks`` has ``id, rank, degree``. A graph's repeated edges each count.
     """
-    share = ranks.where("degree > 0").select(F.col("id").alias("src"), (F.col("rank") / F.col("degree")).alias("share"))
-    return edges.select("src", "dst").join(share, "src").groupBy(F.col("dst").alias("id")).agg(F.sum("share").alias("value"))
+    share = ranks.where("degree > 0").select("id", (F.col("rank") / F.col("degree")).alias("share"))
+    return graph.along(share, "src").groupBy(F.col("dst").alias("id")).agg(F.sum("share").alias("value"))
 
 
-def pagerank(graph: Graph, max_iter: int = 100, damping: float = 0.85, tol: float = 1e-6) -> tuple[DataFrame, RunInfo]:
+def pagerank(graph: Graph, max_iter: int = 100, damping: float = 0.85, tol: float = 1e-6, normalised: bool = True) -> tuple[DataFrame, RunInfo]:
     """``id, rank``; ranks sum to 1.
 
+    With ``normalised`` off ranks start at 1, a vertex keeps ``1 - damping`` of
+    its own and what dangling vertices hold is lost.
+
     Ranks start at 1/n, what dangling vertices hold is spread evenly, and the
     loop stops after the first round whose L1 change is below ``tol``. Degrees
     are joined once; the dangling mass of the next round is observed while a
@@ -29,14 +32,13 @@ def pagerank(graph: Graph, max_iter: int = 100, damping: float = 0.85, tol: floa
     n = graph.n if graph.n is not None else graph.vertices.count()
     if n == 0:
         return graph.vertices.select("id", F.lit(0.0).alias("rank")), RunInfo(converged=True)
-    edges = graph.by_src.select("src", "dst")
-    start = graph.vertices.join(out_degree(edges), "id", "left")
-    start = start.select("id", F.lit(1.0 / n).alias("rank"), F.coalesce("degree", F.lit(0)).alias("degree"), F.lit(0.0).alias("moved"))
+    start = graph.vertices.join(out_degree(graph.edges), "id", "left")
+    start = start.select("id", F.lit(1.0 / n if normalised else 1.0).alias("rank"), F.coalesce("degree", F.lit(0)).alias("degree"), F.lit(0.0).alias("moved"))
     metrics = {"delta": F.sum("moved"), "loose": F.sum(F.when(F.col("degree") == 0, F.col("rank")).otherwise(0.0))}
 
     def step(state: DataFrame, k: int, seen: dict) -> DataFrame:
-        base = (1.0 - damping) / n + damping * (seen["loose"] or 0.0) / n
-        sent = contributions(edges, state).select("id", "value", F.lit(None).cast("double").alias("rank"), F.lit(None).cast("long").alias("degree"))
+        base = (1.0 - damping) / n + damping * (seen["loose"] or 0.0) / n if normalised else 1.0 - damping
+        sent = contributions(graph, state).select("id", "value", F.lit(None).cast("double").alias("rank"), F.lit(None).cast("long").alias("degree"))
         mine = state.select("id", F.lit(0.0).alias("value"), "rank", "degree")
         both = mine.unionByName(sent).groupBy("id").agg(F.sum("value").alias("value"), F.max("rank").alias("was"), F.max("degree").alias("degree"))
         new = F.lit(base) + F.lit(damping) * F.col("value")

@@ -9,22 +9,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import cut, drop
 from .fixpoint import RunInfo, iterate
 
 
-def triplets(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """Edges with the attributes of both ends."""
+BOTH = ("src", "dst")
+
+
+def triplets(vertices: DataFrame, edges: DataFrame, reads: tuple[str, ...] = BOTH) -> DataFrame:
+    """Edges with the attributes of the ends in ``reads``."""
     names = [c for c in vertices.columns if c != "id"]
-    side = lambda s: vertices.select(F.col("id").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in names])
-    return edges.join(side("src"), "src").join(side("dst"), "dst")
+    for s in reads:
+        edges = edges.join(vertices.select(F.col("id").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in names]), s)
+    return edges
 
 
-def aggregate_messages(vertices: DataFrame, edges: DataFrame, merge: Column, to_dst: Column | None = None, to_src: Column | None = None) -> DataFrame:
+def aggregate_messages(vertices: DataFrame, edges: DataFrame, merge: Column, to_dst: Column | None = None, to_src: Column | None = None, reads: tuple[str, ...] = BOTH) -> DataFrame:
     """``id, msg``: messages along the edges, merged per receiver.
 
     ``merge`` is an aggregate over the column ``msg``; null messages are none.
+    Messages that use one end's attributes only need one join: ``reads`` says
+    which ends they use.
     """
-    t = triplets(vertices, edges)
+    t = triplets(vertices, edges, reads)
     sent = [t.select(F.col(at).alias("id"), m.alias("msg")) for at, m in (("dst", to_dst), ("src", to_src)) if m is not None]
     if not sent:
         raise ValueError("no message is sent")
@@ -32,17 +39,19 @@ def aggregate_messages(vertices: DataFrame, edges: DataFrame, merge: Column, to_
     return both.where("msg is not null").groupBy("id").agg(merge.alias("msg"))
 
 
-def pregel(vertices: DataFrame, edges: DataFrame, merge: Column, update: dict[str, Column], to_dst: Column | None = None, to_src: Column | None = None, max_iter: int = 100, changed: Column | None = None) -> tuple[DataFrame, RunInfo]:
+def pregel(vertices: DataFrame, edges: DataFrame, merge: Column, update: dict[str, Column], to_dst: Column | None = None, to_src: Column | None = None, max_iter: int = 100, changed: Column | None = None, reads: tuple[str, ...] = BOTH) -> tuple[DataFrame, RunInfo]:
     """Run supersteps until no vertex changes.
 
     ``update`` maps attributes to expressions over the old attributes and
     ``msg`` (null where no message came). ``changed`` compares ``old_<name>`` with
-    the new attributes; by default any difference is a change.
+    the new attributes; by default any difference is a change. ``reads`` is as in
+    :func:`aggregate_messages`. Edges are written once, ahead of the loop.
     """
+    edges = cut(edges, "pregel-edges")
     names = [c for c in vertices.columns if c != "id"]
 
     def step(state: DataFrame, k: int, seen: dict) -> DataFrame:
-        msgs = aggregate_messages(state.select("id", *names), edges, merge, to_dst, to_src)
+        msgs = aggregate_messages(state.select("id", *names), edges, merge, to_dst, to_src, reads)
         new = state.select("id", *names).join(msgs, "id", "left")
         new = new.select("id", *[F.col(c).alias(f"old_{c}") for c in names], *[update.get(c, F.col(c)).alias(c) for c in names])
         differs = F.lit(False)
@@ -52,4 +61,5 @@ def pregel(vertices: DataFrame, edges: DataFrame, merge: Column, update: dict[st
 
     start = vertices.withColumn("__changed", F.lit(True))
     out, info = iterate(start, step, {"changed": F.count_if("__changed")}, lambda m: m["changed"] == 0, max_iter, "pregel")
+    drop(edges)
     return out.select("id", *names), info
