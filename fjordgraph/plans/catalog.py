@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,36 +24,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None, whole: bool | None = None):
-    """Register a function under its name, with its SQL if there is one.
-
-    Queries on the sparse part graph (told by their SQL, or ``whole``) are also
-    registered on all its edges, as ``<name>_whole``.
-    """
+def query(sql: str | None = None):
+    """Register a function under its name, with its SQL if there is one."""
 
     def add(f):
         QUERIES[f.__name__] = f
         if sql is not None:
             ORACLE_SQL[f.__name__] = sql
-        if whole or whole is None and t.THINNED in (sql or ""):
-            _add_whole(f, sql)
         return f
 
     return add
 
 
-def _add_whole(f, sql: str | None) -> None:
-    @wraps(f)
-    def whole(spark, sf_dir):
-        with t.whole_graph():
-            return f(spark, sf_dir)
-
-    whole.__name__ = f"{f.__name__}_whole"
-    QUERIES[whole.__name__] = whole
-    if sql is not None:
-        ORACLE_SQL[whole.__name__] = t.whole_sql(sql)
-
-
 def _scratch(spark: SparkSession) -> str:
     import uuid
 
@@ -98,32 +79,98 @@ def lp_seeded(spark, sf_dir):
     return lp.label_propagation(t.part_graph(spark, sf_dir), t.seeds(spark, sf_dir), max_iter=5)[0]
 
 
-@query(t.lp_sql(4, seeded=True).replace(t.SPARSE, t.SPARSE.replace("e as materialized (", "e0 as (").replace("), v as", "), e as materialized (select src, dst from e0 union select dst, src from e0), ends as (select src id from e union select p_partkey from part where p_partkey % 10 = 0), v as").replace("select p_partkey id from part)", "select id from ends)")))
+@query(t.lp_sql(4, seeded=True).replace(t.PARTS, t.PARTS.replace("e as materialized (", "e0 as (").replace("), v as", "), e as materialized (select src, dst from e0 union select dst, src from e0), ends as (select src id from e union select p_partkey from part where p_partkey % 10 = 0), v as").replace("select p_partkey id from part)", "select id from ends)")))
 def lp_undirected(spark, sf_dir):
-    return lp.label_propagation_undirected(t.part_sparse(spark, sf_dir), t.seeds(spark, sf_dir), max_iter=4, ratio=0.0)[0]
+    return lp.label_propagation_undirected(t.part_chain(spark, sf_dir), t.seeds(spark, sf_dir), max_iter=4, ratio=0.0)[0]
 
 
 @query(f"with recursive {t.COMPONENTS} select id, m as component from r")
 def components_weak(spark, sf_dir):
-    return cc(t.part_sparse(spark, sf_dir))
+    return cc(t.part_chain(spark, sf_dir))
 
 
 @query(f"with recursive {t.COMPONENTS} select count(distinct m) as components from r")
 def component_count(spark, sf_dir):
-    return reports.component_count(cc(t.part_sparse(spark, sf_dir)))
+    return reports.component_count(cc(t.part_chain(spark, sf_dir)))
 
 
-@query(whole=True)
+@query(f"""with recursive {t.COMPONENTS}, d as (select m, dense_rank() over (order by f) - 1 k from (select m, min(id) f from r group by 1)),
+o as (select list(k order by id) ks from r join d using (m))
+select format('{{:016x}}', list_reduce(list_prepend({0xCBF29CE484222325}::uhugeint, list_transform(ks, lambda x: x::uhugeint)), lambda h, x: (xor(h, x) * {0x100000001B3}::uhugeint) % 18446744073709551616::uhugeint)::ubigint) as digest from o""")
 def partition_digest(spark, sf_dir):
-    labels = cc(t.part_sparse(spark, sf_dir))
+    labels = cc(t.part_chain(spark, sf_dir))
     return spark.range(1).select(F.lit(reports.partition_digest(labels, "component")).alias("digest"))
 
 
+@query(f"with {t.pagerank_ctes(10, t.MULTI)} select id, round(r, 9) as rank from p10")
+def pagerank_multigraph(spark, sf_dir):
+    """Repeated edges and self-loops each carry their share."""
+    ranks, _ = pr.pagerank(t.user_graph(spark, sf_dir), max_iter=10, tol=0.0)
+    return ranks.select("id", F.round("rank", 9).alias("rank"))
+
+
+@query(t.lp_sql(4, False, t.MULTI))
+def lp_multigraph(spark, sf_dir):
+    return lp.label_propagation(t.user_graph(spark, sf_dir), max_iter=4)[0]
+
+
+@query(f"with {t.MULTI} select src as id, count(*) as degree from e group by 1")
+def out_degree_multigraph(spark, sf_dir):
+    return g.out_degree(t.user_graph(spark, sf_dir).edges)
+
+
+@query(f"with {t.pagerank_ctes(8, t.TRADE)} select id, round(r, 9) as rank from p8")
+def pagerank_bipartite(spark, sf_dir):
+    """All suppliers are dangling."""
+    ranks, _ = pr.pagerank(t.trade_graph(spark, sf_dir), max_iter=8, tol=0.0)
+    return ranks.select("id", F.round("rank", 9).alias("rank"))
+
+
+@query(f"with recursive {t.COMPONENTS.replace(t.PARTS, t.TRADE)} select id, m as component from r")
+def components_bipartite(spark, sf_dir):
+    return cc(t.trade_graph(spark, sf_dir).edges)
+
+
+@query(t.pagerank_stop_sql(25, 1e-4))
+def pagerank_converged(spark, sf_dir):
+    ranks, info = pr.pagerank(t.part_graph(spark, sf_dir), max_iter=25, tol=1e-4)
+    return ranks.select("id", F.round("rank", 9).alias("rank"), F.lit(info.iterations).alias("iterations"))
+
+
+@query(f"""with {t.PARTS}, dg as (select src, count(*) d from e group by src), p0 as (select id, 1.0::double r from v),
+{", ".join(f"p{i} as materialized (select v.id, 0.15::double + 0.85::double * coalesce(c, 0) r from v left join (select e.dst id, sum(p.r / dg.d) c from e join p{i - 1} p on p.id = e.src join dg on dg.src = e.src group by 1) using (id))" for i in range(1, 7))}
+select id, round(r, 7) as rank from p6""")
+def pagerank_unnormalised(spark, sf_dir):
+    ranks, _ = pr.pagerank(t.part_graph(spark, sf_dir), max_iter=6, tol=0.0, normalised=False)
+    return ranks.select("id", F.round("rank", 7).alias("rank"))
+
+
+@query(t.lp_stop_sql(8, "changed <= 40"))
+def lp_until_threshold(spark, sf_dir):
+    labels, info = lp.label_propagation(t.part_graph(spark, sf_dir), t.seeds(spark, sf_dir), max_iter=8, threshold=40)
+    return labels.select("id", "label", F.lit(info.iterations).alias("iterations"))
+
+
+@query(t.lp_stop_sql(8, "changed = 0 or changed::double / free < 0.05::double"))
+def lp_until_ratio(spark, sf_dir):
+    labels, info = lp.label_propagation(t.part_graph(spark, sf_dir), t.seeds(spark, sf_dir), max_iter=8, ratio=0.05)
+    return labels.select("id", "label", F.lit(info.iterations).alias("iterations"))
+
+
+@query(t.sssp_progress_sql(6))
+def sssp_progress(spark, sf_dir):
+    """Vertices whose distance improved, by round."""
+    graph = t.part_graph(spark, sf_dir, weighted=True)
+    _, info = tr.sssp(graph, t.source_of(graph.edges), max_iter=6)
+    said = [m["changed"] for m in info.metrics] + [0] * (6 - len(info.metrics))
+    return spark.range(6).select((F.col("id") + 1).cast("int").alias("round"), F.get(F.array(*[F.lit(x) for x in said]), F.col("id").cast("int")).cast("long").alias("improved"))
+
+
 _UNDIRECTED = t.WEIGHTED + ", c as (select least(src, dst) src, greatest(src, dst) dst, min(weight) weight from w group by 1, 2)"
 
 
 def _communities(spark, sf_dir):
-    base = g.canonical(t.part_sparse(spark, sf_dir).withColumn("weight", g.formula_weight()))
+    base = g.canonical(t.part_chain(spark, sf_dir).withColumn("weight", g.formula_weight()))
     return base, g.endpoints(base).select("id", (F.col("id") % 10).alias("community"))
 
 
@@ -141,21 +188,35 @@ def louvain_coarsen(spark, sf_dir):
     return lv.coarsen(*_communities(spark, sf_dir))
 
 
-@query(whole=True)
+@query()
 def louvain_communities(spark, sf_dir):
     base, _ = _communities(spark, sf_dir)
     return lv.louvain(base)[0]
 
 
+@query(f"with {_UNDIRECTED}, u as (select src id from c union select dst from c) select count(*) as vertices, count(*) as labelled, true as labels_dense, true as beats_residues, 0::bigint as unlike_itself from u")
+def louvain_quality(spark, sf_dir):
+    """One community per vertex, numbered without gaps, better than a partition
+    by id, and the same as itself under other names."""
+    base, residues = _communities(spark, sf_dir)
+    found = lv.louvain(base)[0]
+    value = lambda c: lv.modularity(base, c).first().modularity
+    other = found.select("id", (F.col("community") * 3 + 1).alias("label"))
+    return found.agg(
+        F.lit(residues.count()).cast("long").alias("vertices"), F.count_distinct("id").alias("labelled"), (F.max("community") + 1 == F.count_distinct("community")).alias("labels_dense"),
+        F.lit(value(found) > value(residues)).alias("beats_residues"), F.lit(validate.partition_conflicts(found.withColumnRenamed("community", "label"), other).count()).cast("long").alias("unlike_itself"),
+    )
+
+
 @query(f"with recursive {t.BFS} select v.id, r.level from v left join r using (id)")
 def pregel_bfs(spark, sf_dir):
     graph = t.part_graph(spark, sf_dir)
     src = t.source_of(graph.edges)
     start = graph.vertices.select("id", F.when(F.col("id") == src, 0).alias("level"))
-    return pregel(start, graph.edges, F.min("msg"), {"level": F.least("level", "msg")}, to_dst=F.col("src_level") + 1)[0]
+    return pregel(start, graph.edges, F.min("msg"), {"level": F.least("level", "msg")}, to_dst=F.col("src_level") + 1, reads=("src",))[0]
 
 
-@query(f"with {t.SPARSE} select e.dst as id, cast(sum(e.src) as bigint) as msg from e group by 1")
+@query(f"with {t.PARTS} select e.dst as id, cast(sum(e.src) as bigint) as msg from e group by 1")
 def aggregate_neighbours(spark, sf_dir):
     graph = t.part_graph(spark, sf_dir)
     return aggregate_messages(graph.vertices.withColumn("x", F.col("id")), graph.edges, F.sum("msg"), to_dst=F.col("src_x"))
@@ -164,85 +225,74 @@ def aggregate_neighbours(spark, sf_dir):
 # transforms
 
 
-@query(f"with {t.SPARSE} select src, dst from e where src < 500 and dst < 500", whole=False)
-def graph_in_domain(spark, sf_dir):
-    return g.Graph(t.part_sparse(spark, sf_dir), 500).edges
-
-
 _HALF = "(select count(*) // 2 from part)"
 
 
-@query(f"with {t.whole_sql(t.SPARSE)} select src, dst from e where src < {_HALF} and dst < {_HALF}")
-def graph_in_domain_whole(spark, sf_dir):
+@query(f"with {t.PARTS} select src, dst from e where src < {_HALF} and dst < {_HALF}")
+def graph_in_domain(spark, sf_dir):
     """The domain is half of the parts, whatever their number."""
     return g.Graph(t.part_chain(spark, sf_dir), t.table(spark, sf_dir, "part").count() // 2).edges
 
 
-@query(f"with {t.SPARSE}, b as (select id, coalesce(d, 0) d from v left join (select src id, count(*) d from e group by 1) using (id)) select id, cast(sum(d) over (order by id) - d as bigint) as start, cast(sum(d) over (order by id) as bigint) as \"end\" from b")
+@query(f"with {t.PARTS}, b as (select id, coalesce(d, 0) d from v left join (select src id, count(*) d from e group by 1) using (id)) select id, cast(sum(d) over (order by id) - d as bigint) as start, cast(sum(d) over (order by id) as bigint) as \"end\" from b")
 def csr_offsets(spark, sf_dir):
     return g.csr_offsets(t.part_graph(spark, sf_dir))
 
 
-@query(f"with {t.SPARSE} select dst as src, src as dst from e")
+@query(f"with {t.PARTS} select dst as src, src as dst from e")
 def transpose(spark, sf_dir):
-    return g.transpose(t.part_sparse(spark, sf_dir))
+    return g.transpose(t.part_chain(spark, sf_dir))
 
 
-@query(f"with {t.SPARSE} select src, dst from e union all select dst, src from e")
+@query(f"with {t.PARTS} select src, dst from e union all select dst, src from e")
 def symmetrise(spark, sf_dir):
-    return g.symmetrise(t.part_sparse(spark, sf_dir))
+    return g.symmetrise(t.part_chain(spark, sf_dir))
 
 
-@query(f"with {t.SPARSE} select src, dst from e union select dst, src from e")
+@query(f"with {t.PARTS} select src, dst from e union select dst, src from e")
 def undirected_simple(spark, sf_dir):
-    return g.undirected_simple(t.part_sparse(spark, sf_dir))
+    return g.undirected_simple(t.part_chain(spark, sf_dir))
 
 
 @query(f"with {_UNDIRECTED} select src, dst, weight from c")
 def canonical_edges(spark, sf_dir):
-    return g.canonical(t.part_sparse(spark, sf_dir).withColumn("weight", g.formula_weight()))
+    return g.canonical(t.part_chain(spark, sf_dir).withColumn("weight", g.formula_weight()))
 
 
-@query(f"with {t.SPARSE} select src as id from e union select dst from e")
+@query(f"with {t.PARTS} select src as id from e union select dst from e")
 def endpoints(spark, sf_dir):
-    return g.endpoints(t.part_sparse(spark, sf_dir))
+    return g.endpoints(t.part_chain(spark, sf_dir))
 
 
-@query(f"with {t.SPARSE} select src, dst from e")
+@query(f"with {t.PARTS} select src, dst from e")
 def adjacency_round_trip(spark, sf_dir):
-    return g.from_adjacency(g.to_adjacency(t.part_sparse(spark, sf_dir)))
+    return g.from_adjacency(g.to_adjacency(t.part_chain(spark, sf_dir)))
 
 
-@query(f"with {t.SPARSE} select src, dst from e where src % 100 = 7", whole=False)
+@query(f"with {t.PARTS} select src, dst from e where src in (select id from v)")
 def neighbour_lookup(spark, sf_dir):
-    ids = t.table(spark, sf_dir, "part").where("p_partkey % 100 = 7").select(F.col("p_partkey").alias("id"))
-    return g.neighbours(t.part_sparse(spark, sf_dir), ids)
-
-
-@query(f"with {t.whole_sql(t.SPARSE)} select src, dst from e where src in (select id from v)")
-def neighbour_lookup_whole(spark, sf_dir):
     """All parts are asked for."""
     return g.neighbours(t.part_chain(spark, sf_dir), t.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id")))
 
 
-@query(f"with {t.SPARSE} select src as id, count(*) as degree from e group by 1")
+@query(f"with {t.PARTS} select src as id, count(*) as degree from e group by 1")
 def out_degree(spark, sf_dir):
-    return g.out_degree(t.part_sparse(spark, sf_dir))
+    return g.out_degree(t.part_chain(spark, sf_dir))
 
 
-@query(f"with {t.SPARSE} select id from v where id not in (select src from e)")
+@query(f"with {t.PARTS} select id from v where id not in (select src from e)")
 def dangling(spark, sf_dir):
     return g.dangling(t.part_graph(spark, sf_dir))
 
 
 @query(f"with {t.SOURCE} select (select max(greatest(src, dst)) + 1 from e) as n, (select count(*) from e) as n_edges, (select id from s0) as source, (select count(*) from e where src = (select id from s0)) as source_degree")
 def graph_summary(spark, sf_dir):
-    return g.summary(t.part_sparse(spark, sf_dir))
+    return g.summary(t.part_chain(spark, sf_dir))
 
 
 @query(f"with {t.WEIGHTED} select src, dst, weight from w")
 def formula_weights(spark, sf_dir):
-    return generate.with_formula_weight(t.part_sparse(spark, sf_dir))
+    return generate.with_formula_weight(t.part_chain(spark, sf_dir))
 
 
 @query("select l_partkey as id, min(l_suppkey) as label from lineitem group by 1")
@@ -257,16 +307,16 @@ def owned_ranges(spark, sf_dir):
     return part.select(F.col("p_partkey").alias("id"), g.owned_range(part.count(), 7, F.col("p_partkey")).alias("owner"))
 
 
-@query(f"with {t.SPARSE}, {t.SEEDS} select v.id, cast(s.label as bigint) as label, s.id is not null as is_seed from v left join seeds s using (id)")
+@query(f"with {t.PARTS}, {t.SEEDS} select v.id, cast(s.label as bigint) as label, s.id is not null as is_seed from v left join seeds s using (id)")
 def initial_labels(spark, sf_dir):
     return g.initial_labels(t.part_graph(spark, sf_dir), t.seeds(spark, sf_dir))
 
 
-@query(f"with {t.SPARSE}, n as (select count(*) n from part) select (n - 1 - src) as src, (n - 1 - dst) as dst from e, n")
+@query(f"with {t.PARTS}, n as (select count(*) n from part) select (n - 1 - src) as src, (n - 1 - dst) as dst from e, n")
 def relabel(spark, sf_dir):
     part = t.table(spark, sf_dir, "part")
     mapping = part.select(F.col("p_partkey").alias("id"), (F.lit(part.count() - 1) - F.col("p_partkey")).alias("new_id"))
-    return g.relabel(t.part_sparse(spark, sf_dir), mapping)
+    return g.relabel(t.part_chain(spark, sf_dir), mapping)
 
 
 @query("with f as (select p_brand, min(p_partkey) a from part group by 1), d as (select p_brand, dense_rank() over (order by a) - 1 k from f) select p_partkey as id, k as label from part join d using (p_brand)")
@@ -277,11 +327,6 @@ def dense_labels(spark, sf_dir):
 # sources and sinks, over files written from the tables
 
 
-@query(f"with {t.SPARSE} select src, dst from e where src < 1000 and dst < 1000", whole=False)
-def scan_edges(spark, sf_dir):
-    return _scan_with_noise(spark, t.part_sparse(spark, sf_dir), 1000)
-
-
 def _scan_with_noise(spark, edges, n):
     path = _scratch(spark)
     noise = spark.createDataFrame([("# header",), ("bad line",), ("",), ("5",), ("1 x",)], "value string")
@@ -290,8 +335,8 @@ def _scan_with_noise(spark, edges, n):
     return io.read_edges(spark, path, n=n)
 
 
-@query(f"with {t.whole_sql(t.SPARSE)} select src, dst from e where src < {_HALF} and dst < {_HALF}")
-def scan_edges_whole(spark, sf_dir):
+@query(f"with {t.PARTS} select src, dst from e where src < {_HALF} and dst < {_HALF}")
+def scan_edges(spark, sf_dir):
     return _scan_with_noise(spark, t.part_chain(spark, sf_dir), t.table(spark, sf_dir, "part").count() // 2)
 
 
@@ -299,48 +344,41 @@ def scan_edges_whole(spark, sf_dir):
 def scan_weighted_edges(spark, sf_dir):
     path = _scratch(spark)
     w = F.when(F.col("src") % 2 == 0, g.formula_weight().cast("string"))
-    t.part_sparse(spark, sf_dir).select(F.concat_ws("\t", "src", "dst", w).alias("value")).write.text(path)
+    t.part_chain(spark, sf_dir).select(F.concat_ws("\t", "src", "dst", w).alias("value")).write.text(path)
     return io.read_weighted_edges(spark, path)
 
 
-@query(f"with {t.SPARSE} select distinct src as id, src % 5 as label from e where src % 5 > 0")
+@query(f"with {t.PARTS} select distinct src as id, src % 5 as label from e where src % 5 > 0")
 def scan_seeds(spark, sf_dir):
     path = _scratch(spark)
     label = F.when(F.col("src") % 5 > 0, F.col("src") % 5).otherwise(-1)
-    io.write_edges(t.part_sparse(spark, sf_dir).withColumn("label", label), path)
+    io.write_edges(t.part_chain(spark, sf_dir).withColumn("label", label), path)
     return io.read_seeded_edges(spark, path)[1]
 
 
-@query(f"with {t.SPARSE} select src, dst, cast(src % 8 as int) as shard from e")
+@query(f"with {t.PARTS} select src, dst, cast(src % 8 as int) as shard from e")
 def scan_shards(spark, sf_dir):
     path = _scratch(spark)
-    io.write_sharded(t.part_sparse(spark, sf_dir), path, 8)
+    io.write_sharded(t.part_chain(spark, sf_dir), path, 8)
     return io.read_shards(spark, path, t.table(spark, sf_dir, "part").count())
 
 
-@query(f"with {t.SPARSE} select src, dst from e union all select dst, src from e")
+@query(f"with {t.PARTS} select src, dst from e union all select dst, src from e")
 def scan_undirected(spark, sf_dir):
     path = _scratch(spark)
-    io.write_edges(t.part_sparse(spark, sf_dir), path)
+    io.write_edges(t.part_chain(spark, sf_dir), path)
     return io.read_undirected_edges(spark, path)
 
 
 @query(f"with {_UNDIRECTED} select src, dst, weight from c")
 def scan_canonical(spark, sf_dir):
     path = _scratch(spark)
-    io.write_edges(t.part_sparse(spark, sf_dir).withColumn("weight", g.formula_weight()), path)
+    io.write_edges(t.part_chain(spark, sf_dir).withColumn("weight", g.formula_weight()), path)
     return io.read_canonical_edges(spark, path)
 
 
-@query(f"with {t.SPARSE} select src, dst from e where src < 300", whole=False)
+@query(f"with {t.PARTS} select src, dst from e")
 def graph_json_round_trip(spark, sf_dir):
-    path = _scratch(spark)
-    io.write_graph_json(t.part_sparse(spark, sf_dir).where("src < 300"), t.seeds(spark, sf_dir), 300, path)
-    return io.read_graph_json(spark, path)[0]
-
-
-@query(f"with {t.whole_sql(t.SPARSE)} select src, dst from e")
-def graph_json_round_trip_whole(spark, sf_dir):
     """All edges, in the format's one row: for graphs that fit one row."""
     path = _scratch(spark)
     io.write_graph_json(t.part_chain(spark, sf_dir), t.seeds(spark, sf_dir), t.table(spark, sf_dir, "part").count(), path)
@@ -381,6 +419,180 @@ def memory_sizes(spark, sf_dir):
     return t.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), records.memory_mb(text).alias("mb"))
 
 
+@query(f"with {t.PARTS} select distinct src as id, src % 5 as label from e where src % 5 > 0")
+def scan_strict_seeds(spark, sf_dir):
+    """The strict reader, on lines without a fault."""
+    path = _scratch(spark)
+    label = F.when(F.col("src") % 5 > 0, F.col("src") % 5).otherwise(-1)
+    io.write_edges(t.part_chain(spark, sf_dir).withColumn("label", label), path)
+    return io.read_seeded_edges(spark, path, strict=True)[1]
+
+
+@query(f"with {t.PARTS} select distinct src as id, src as label from e where src % 2 = 0")
+def scan_label_range(spark, sf_dir):
+    """Labels beyond 32 bits are left out."""
+    path = _scratch(spark)
+    label = F.when(F.col("src") % 2 == 0, F.col("src")).otherwise(F.col("src") + (1 << 32))
+    io.write_edges(t.part_chain(spark, sf_dir).withColumn("label", label), path)
+    return io.read_seeded_edges(spark, path)[1]
+
+
+@query(f"with {t.WEIGHTED} select src, dst, weight, cast(src % 8 as int) as shard from w")
+def scan_weighted_shards(spark, sf_dir):
+    path = _scratch(spark)
+    io.write_sharded(t.part_chain(spark, sf_dir).withColumn("weight", g.formula_weight()), path, 8)
+    return io.read_shards(spark, path, t.table(spark, sf_dir, "part").count(), weighted=True)
+
+
+@query(f"with {t.PARTS} select src, dst, 1 + floor({generate.uniform_sql(42, 'src', 'dst')} * 100)::double as weight from e")
+def scan_snap(spark, sf_dir):
+    path = _scratch(spark)
+    io.write_edges(t.part_chain(spark, sf_dir), path)
+    return io.read_snap(spark, path)
+
+
+@query(f"with {t.PARTS} select src, dst from e where src % 2 = 0")
+def scan_tabs_only(spark, sf_dir):
+    """Lines parted by blanks are malformed to this reader."""
+    path = _scratch(spark)
+    line = F.when(F.col("src") % 2 == 0, F.concat_ws("\t", "src", "dst")).otherwise(F.concat_ws(" ", "src", "dst"))
+    t.part_chain(spark, sf_dir).select(line.alias("value")).write.text(path)
+    return io.read_edges(spark, path, tab_only=True)
+
+
+@query("with d as (select user_id, dense_rank() over (order by user_id) - 1 u from (select distinct user_id from events)) select u as user, cast(event_id % 97 as bigint) as item, cast(event_id % 5 + 1 as float) as rating from events join d using (user_id)")
+def scan_ratings(spark, sf_dir):
+    path = _scratch(spark)
+    rows = t.table(spark, sf_dir, "events").select(F.col("user_id").alias("userId"), (F.col("event_id") % 97).alias("movieId"), (F.col("event_id") % 5 + 1).alias("rating"), F.lit(7).alias("timestamp"))
+    rows.write.option("header", True).csv(path)
+    return tables.dense_ids(tables.read_ratings(spark, path), "user")
+
+
+@query("select cast(p_size % 2 as tinyint) as label, cast(p_size as float) as f0, cast(p_partkey as float) as f1 from part where p_partkey % 3 > 0")
+def scan_features(spark, sf_dir):
+    """Rows with a malformed field are skipped."""
+    path = _scratch(spark)
+    x = F.when(F.col("p_partkey") % 3 > 0, F.col("p_partkey").cast("string")).otherwise("x1")
+    t.table(spark, sf_dir, "part").select(F.concat_ws(",", F.col("p_size") % 2, "p_size", x).alias("value")).write.text(path)
+    return tables.read_features(spark, path, 2)
+
+
+@query(f"with {t.PARTS} select sum(length(src::varchar) + length(dst::varchar) + 2) as bytes from e")
+def written_bytes(spark, sf_dir):
+    path = _scratch(spark)
+    io.write_edges(t.part_chain(spark, sf_dir), path)
+    return io.file_sizes(spark, path).where(F.col("path").endswith(".txt")).agg(F.sum("length").alias("bytes"))
+
+
+@query(f"with {t.RUNS} select backend, nodes, count(*) as records, round(sum(ms), 7) as ms from runs group by 1, 2")
+def scan_run_records(spark, sf_dir):
+    """Records written as JSON lines, their sizes left to the file's name."""
+    path = _scratch(spark)
+    rows = t.runs(spark, sf_dir)
+    made = rows.select(F.lit("bfs").alias("algorithm"), "backend", "ranks", "status", F.struct(F.struct(F.col("ms").alias("execution_time_ms")).alias("raw")).alias("result"), F.concat(F.lit("bfs_x_n"), F.col("nodes").cast("string"), F.lit("_rep1")).alias("name"))
+    made.repartition("name").write.partitionBy("name").json(path)
+    out = records.read_runs(spark, path, multi_line=False)
+    return _rounded(out.groupBy("backend", "nodes").agg(F.count("rep").alias("records"), F.sum("result.raw.execution_time_ms").alias("ms")), "ms")
+
+
+@query(f"with recursive {t.BFS} select v.id, r.level from v left join r using (id)")
+def result_json_round_trip(spark, sf_dir):
+    """The vector in one JSON string, read back; for results that fit one row."""
+    doc = io.result_document(bfs_levels(spark, sf_dir), "level", {"algorithm": "bfs"})
+    parsed = doc.select(F.from_json("json", "algorithm string, level array<int>").alias("r"))
+    return parsed.select(F.posexplode("r.level").alias("id", "level")).select(F.col("id").cast("long").alias("id"), "level")
+
+
+@query("select p_partkey as id, cast((row_number() over (order by p_partkey) - 1) % 6 as int) as part from part")
+def row_shards_round_trip(spark, sf_dir):
+    path = _scratch(spark)
+    io.write_row_shards(t.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id")), path, "id", 6)
+    return spark.read.parquet(path).select("id", "part")
+
+
+@query(f"with {t.WEIGHTED} select src, dst, weight from w")
+def csr_round_trip(spark, sf_dir):
+    path = _scratch(spark)
+    io.write_csr(t.part_graph(spark, sf_dir, weighted=True), path)
+    return io.read_csr(spark, path)
+
+
+@query(f"""with {t.PARTS}, n as (select count(*) n from part), b as (select id, coalesce(d, 0) d from v left join (select src id, count(*) d from e group by 1) using (id)),
+o as (select id, cast(case when id < (n % 5) * (n // 5 + 1) then id // (n // 5 + 1) else n % 5 + (id - (n % 5) * (n // 5 + 1)) // (n // 5) end as int) part, d from b, n)
+select id, cast(sum(d) over w - d as bigint) as start, cast(sum(d) over w as bigint) as "end", part from o window w as (partition by part order by id)""")
+def range_rows_round_trip(spark, sf_dir):
+    path = _scratch(spark)
+    io.write_range_rows(t.part_graph(spark, sf_dir), path, 5)
+    return spark.read.parquet(path).select("id", "start", "end", "part")
+
+
+@query(f"with {t.PARTS}, n as (select count(*) n from part) select src, dst, cast(case when src < (n % 4) * (n // 4 + 1) then src // (n // 4 + 1) else n % 4 + (src - (n % 4) * (n // 4 + 1)) // (n // 4) end as int) as owner from e, n")
+def owned_edges(spark, sf_dir):
+    return g.owned_edges(t.part_graph(spark, sf_dir), 4)
+
+
+@query("select event_id, epoch_us(ts) // 1000 as ms, date_trunc('milliseconds', ts) as ts from events")
+def epoch_times(spark, sf_dir):
+    e = t.table(spark, sf_dir, "events").select("event_id", analytics.epoch_ms(F.col("ts").cast("timestamp")).alias("ms"))
+    return e.withColumn("ts", analytics.from_epoch_ms(F.col("ms")).cast("timestamp_ntz"))
+
+
+@query("select '| event_type | n |' || chr(10) || '|---|---|' || chr(10) || string_agg('| ' || event_type || ' | ' || n || ' |' || chr(10), '' order by event_type) as text from (select event_type, count(*) n from events group by 1)")
+def markdown_table(spark, sf_dir):
+    counts = t.table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).orderBy("event_type")
+    return spark.range(1).select(F.lit(reports.markdown(counts)).alias("text"))
+
+
+@query("with a as (select event_type, count(*) n from events group by 1), b as (select event_type, count(*) n from events where value > 50 group by 1) select a.event_type as counter, a.n - coalesce(b.n, 0) as delta from a left join b using (event_type)")
+def counter_deltas(spark, sf_dir):
+    e = t.table(spark, sf_dir, "events")
+    count = lambda df: df.groupBy(F.col("event_type").alias("counter")).agg(F.count(F.lit(1)).alias("value"))
+    return analytics.counter_deltas(count(e.where("value > 50")), count(e))
+
+
+def _collectives(spark, sf_dir):
+    """Orders read as workers that take part in three collectives each."""
+    o = t.table(spark, sf_dir, "orders")
+    at = F.col("o_orderkey") % 8
+    rows = o.select(F.floor(F.col("o_orderkey") / 8).alias("run"), at.cast("int").alias("worker_id"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("i"))
+    stamp = lambda k, v: F.struct(F.concat(F.lit("iter_"), F.col("i").cast("string"), F.lit(k)).alias("key"), v.cast("long").alias("ms"))
+    both = F.array(stamp("_start", 100 * F.col("i") + F.col("worker_id")), stamp("_broadcast_end", 100 * F.col("i") + 20 + F.col("worker_id") * F.col("i")))
+    return rows.select("run", "worker_id", F.explode(both).alias("x")).select("run", "worker_id", "x.key", "x.ms")
+
+
+@query("with w as (select o_orderkey // 8 run, max(o_orderkey % 8) hi, min(o_orderkey % 8) lo from orders group by 1) select run, 20 + hi - lo as latency_median_ms from w")
+def collective_probe(spark, sf_dir):
+    return analytics.collective_latency(_collectives(spark, sf_dir), "broadcast")
+
+
+@query("with w as (select o_orderkey // 8 run, max(o_orderkey % 8) hi, min(o_orderkey % 8) lo, count(*) n from orders group by 1) select run, 50 + 2 * hi - lo as duration_ms, round(cast(1048576 * 10 * (n // 2) as double) / ((50 + 2 * hi - lo) / 1000.0::double) / 1048576, 4) as throughput_mb_s from w")
+def point_to_point_probe(spark, sf_dir):
+    o = t.table(spark, sf_dir, "orders")
+    at = F.col("o_orderkey") % 8
+    both = F.array(F.struct(F.lit("ptp_start").alias("key"), at.alias("ms")), F.struct(F.lit("ptp_end").alias("key"), (50 + 2 * at).alias("ms")))
+    e = o.select(F.floor(F.col("o_orderkey") / 8).alias("run"), at.cast("int").alias("worker_id"), F.explode(both).alias("x")).select("run", "worker_id", "x.key", "x.ms")
+    return analytics.point_to_point(e, 1 << 20, 10, pairs=True)
+
+
+_CELLS = """cells as (select algorithm, nodes, backend, threads, ranks, rep from (values ('bfs'), ('sssp')) a(algorithm), (values (10000::bigint), (100000)) n(nodes),
+(values ('standalone', 1, null::int), ('rayon', 2, null), ('rayon', 4, null), ('mpi', null, 2), ('mpi', null, 4)) k(backend, threads, ranks), (values (0), (1)) r(rep))"""
+
+
+@query(f"with {_CELLS}, done as (select distinct ['standalone', 'rayon', 'mpi', 'burst'][o_orderkey % 4 + 1] backend, cast(power(10, 4 + o_custkey % 3) as bigint) nodes from orders where o_orderstatus <> 'F' and o_orderkey % 4 < 2) select c.* from cells c left join done d using (backend, nodes) where d.backend is null")
+def campaign_cells(spark, sf_dir):
+    """A comparison's runs without those that have a passed record."""
+    names = spark.range(2).select(F.when(F.col("id") == 0, "bfs").otherwise("sssp").alias("algorithm"))
+    cells = analytics.cost_cells(names, [10_000, 100_000], [2, 4], [2, 4], 2)
+    done = t.runs(spark, sf_dir).where("backend in ('standalone', 'rayon')").select("backend", "nodes", "status")
+    return analytics.cells_to_run(cells, done)
+
+
+@query("select o_orderkey as run, cast(p.range as int) as partition, cast(p.range // 2 as int) as \"group\" from orders, range(6) p where p.range < o_orderkey % 6 + 1")
+def run_payloads(spark, sf_dir):
+    runs = t.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run"))
+    return analytics.payloads(runs, F.col("run") % 6 + 1, F.lit(2))
+
+
 # reports
 
 
@@ -452,7 +664,7 @@ def partition_conflicts(spark, sf_dir):
     return validate.partition_conflicts(a, part.select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 3).alias("label")))
 
 
-@query(f"""with x as ({t.lp_sql(2, True)}), {t.SPARSE},
+@query(f"""with x as ({t.lp_sql(2, True)}), {t.PARTS},
 c as (select e.src id, x.label lab, count(*) n from e join x on x.id = e.dst where x.label is not null group by 1, 2),
 m as (select id, lab from c qualify row_number() over (partition by id order by n desc, lab) = 1)
 select x.id, case when x.label is null then 'coverage' else 'majority' end as rule from x join m using (id) where x.id % 10 <> 0 and x.label is distinct from m.lab""")
@@ -469,7 +681,7 @@ def label_accuracy(spark, sf_dir):
     return out.select(F.round("accuracy", 9).alias("accuracy"), "seed_violations")
 
 
-@query(f"with {t.SPARSE}, u as (select src id from e union select dst from e) select id, 'missing' as problem from v where id not in (select id from u)")
+@query(f"with {t.PARTS}, u as (select src id from e union select dst from e) select id, 'missing' as problem from v where id not in (select id from u)")
 def missing_vertices(spark, sf_dir):
     graph = t.part_graph(spark, sf_dir)
     return validate.missing_ids(graph.vertices, g.endpoints(graph.edges))
@@ -525,31 +737,22 @@ def cost_to_match(spark, sf_dir):
     return _rounded(analytics.cost_metric(vertical, distributed, ["nodes"]), "best_vertical")
 
 
-_FIRST_RUNS = " where o_orderkey < 400"
-
-
-def _traces(spark, sf_dir, whole=False):
-    """Orders read as workers of runs (50 unless ``whole``), each with one traced iteration."""
+def _traces(spark, sf_dir):
+    """Orders read as workers of runs, eight each, with one traced iteration."""
     o = t.table(spark, sf_dir, "orders")
-    o = o if whole else o.where("o_orderkey < 400")
     at = F.col("o_orderkey") % 8
     stamps = [("worker_start", at), ("get_input", 10 + at), ("get_input_end", 20 + 2 * at), ("iter_0_start", 40 + at), ("iter_0_compute", 60 + at), ("iter_0_reduce", 70 + at), ("iter_0_broadcast", 71 + at), ("worker_end", 90 + 3 * at)]
     entries = F.array(*[F.struct(F.lit(k).alias("key"), v.cast("string").alias("value")) for k, v in stamps], F.struct(F.lit("noise").alias("key"), F.lit("x").alias("value")))
     return o.select(F.floor(F.col("o_orderkey") / 8).alias("run"), at.cast("int").alias("worker_id"), entries.alias("timestamps"))
 
 
-@query("""with w as (select o_orderkey // 8 run, o_orderkey % 8 a from orders where o_orderkey < 400),
+@query("""with w as (select o_orderkey // 8 run, o_orderkey % 8 a from orders),
 r as (select run, count(*) workers, min(a) lo, max(a) hi from w group by 1)
 select run, workers, cast(lo + 5 as bigint) as cold_start_ms, hi - lo as stagger_ms, (20 + 2 * hi) - (10 + lo) as load_ms, 20 + hi - lo as compute_ms, cast(10 as bigint) as reduce_ms, cast(1 as bigint) as broadcast_ms, cast(11 as bigint) as communication_ms, 90 + 3 * hi - lo as warm_total_ms, cast(505 as bigint) as host_total_ms, 90 + 3 * hi - (40 + lo) as span_ms, cast(null as bigint) as write_ms, cast(1 as bigint) as iterations from r""")
 def phase_breakdown(spark, sf_dir):
     return _phases(_traces(spark, sf_dir))
 
 
-@query(ORACLE_SQL["phase_breakdown"].replace(_FIRST_RUNS, ""))
-def phase_breakdown_whole(spark, sf_dir):
-    return _phases(_traces(spark, sf_dir, whole=True))
-
-
 def _phases(traces):
     submitted = traces.select("run").distinct().withColumns({"submit_ms": F.lit(-5).cast("long"), "finish_ms": F.lit(500).cast("long")})
     return analytics.phase_breakdown(analytics.trace_events(traces), submitted)
@@ -590,16 +793,11 @@ def spark_run_phases(spark, sf_dir):
     return _rounded(analytics.spark_phases(rows), "warm_total_ms", "cold_start_ms", "span_ms").select("run", "warm_total_ms", "cold_start_ms", "span_ms")
 
 
-@query("select run, list_sort(list(a))[len(list(a)) // 2 + 1] as startup_median_ms, max(a) - min(a) as stagger_ms, cast(500 as bigint) as host_total_ms from (select o_orderkey // 8 run, o_orderkey % 8 a from orders where o_orderkey < 400) group by 1")
+@query("select run, list_sort(list(a))[len(list(a)) // 2 + 1] as startup_median_ms, max(a) - min(a) as stagger_ms, cast(500 as bigint) as host_total_ms from (select o_orderkey // 8 run, o_orderkey % 8 a from orders) group by 1")
 def startup_probe(spark, sf_dir):
     return _startup(_traces(spark, sf_dir))
 
 
-@query(ORACLE_SQL["startup_probe"].replace(_FIRST_RUNS, ""))
-def startup_probe_whole(spark, sf_dir):
-    return _startup(_traces(spark, sf_dir, whole=True))
-
-
 def _startup(traces):
     submitted = traces.select("run").distinct().withColumns({"submit_ms": F.lit(0).cast("long"), "finish_ms": F.lit(500).cast("long")})
     return analytics.startup_summary(analytics.trace_events(traces), submitted)
@@ -614,44 +812,126 @@ def resource_plans(spark, sf_dir):
 # generators and table preparation
 
 
-@query("select range as src, (range + 1) % 1000 as dst from range(1000)")
+_IDS = "(select unnest(range((select count(*) from part))) i)"
+
+
+def _size(spark, sf_dir):
+    return t.table(spark, sf_dir, "part").count()
+
+
+@query(f"select i as src, (i + 1) % (select count(*) from part) as dst from {_IDS}")
 def ring_graph(spark, sf_dir):
-    return generate.ring(spark, 1000)
+    return generate.ring(spark, _size(spark, sf_dir))
+
+
+@query(f"select i as src, i + 1 as dst from {_IDS} where i + 1 < (select count(*) from part)")
+def path_graph(spark, sf_dir):
+    return generate.path(spark, _size(spark, sf_dir))
+
+
+@query(f"select 0 as src, i as dst from {_IDS} where i > 0")
+def star_graph(spark, sf_dir):
+    return generate.star(spark, _size(spark, sf_dir))
+
+
+@query(f"select i as src, i + 1 as dst from {_IDS} where i + 1 < (select count(*) from part) and i + 1 <> (select count(*) // 2 from part)")
+def two_paths_graph(spark, sf_dir):
+    return generate.two_paths(spark, _size(spark, sf_dir))
+
+
+@query(f"with n as (select count(*) n from part) select i as src, i as dst from {_IDS} union all select i, i + 1 from {_IDS}, n, range(2) where i + 1 < n union all select 0, n // 2 from n, range(2)")
+def repeated_edges_graph(spark, sf_dir):
+    return generate.loops_and_repeats(spark, _size(spark, sf_dir))
 
 
-@query("select i.range as src, (i.range + j.range) % 500 as dst from range(500) i, range(1, 5) j")
+@query(f"select i as src, (i + j.range) % (select count(*) from part) as dst from {_IDS}, range(1, 5) j")
 def seeded_ring_edges(spark, sf_dir):
-    return generate.seeded_ring(spark, 500, 4)[0]
+    return generate.seeded_ring(spark, _size(spark, sf_dir), 4)[0]
 
 
-@query("select range as id, least(range // 125, 3) * 100 as label from range(500) where range % 10 = 0")
+@query(f"select i as id, least(i // (select count(*) // 4 from part), 3) * 100 as label from {_IDS} where i % 10 = 0")
 def seeded_ring_seeds(spark, sf_dir):
-    return generate.seeded_ring(spark, 500, 4)[1]
+    return generate.seeded_ring(spark, _size(spark, sf_dir), 4)[1]
 
 
-@query("select range as src, range + 1 as dst from range(1000) where range % 32 < 31 and range + 1 < 1000 union all select range, range + 32 from range(1000) where range + 32 < 1000")
+@query(f"with n as (select count(*) n, cast(ceil(sqrt(count(*))) as bigint) s from part) select i as src, i + 1 as dst from {_IDS}, n where i % s < s - 1 and i + 1 < n union all select i, i + s from {_IDS}, n where i + s < n")
 def grid_graph(spark, sf_dir):
-    return generate.grid(spark, 1000)
+    return generate.grid(spark, _size(spark, sf_dir))
 
 
-@query("select i.range as src, (i.range // 20 + 1) * 20 + j.range as dst from range(180) i, range(20) j")
+@query(f"select i as src, (i // 20 + 1) * 20 + j.range as dst from {_IDS}, range(20) j where i // 20 + 1 < (select count(*) // 20 from part)")
 def layered_graph(spark, sf_dir):
-    return generate.layered(spark, 10, 20)
+    return generate.layered(spark, _size(spark, sf_dir) // 20, 20)
 
 
-@query("select i.range as src, j.range as dst from range(40) i, range(40) j where i.range <> j.range")
+@query("with n as (select cast(floor(sqrt(count(*))) as bigint) n from part), v as (select unnest(range(n)) i from n) select a.i as src, b.i as dst from v a, v b where a.i <> b.i")
 def complete_graph(spark, sf_dir):
-    return generate.complete(spark, 40)
+    """About as many edges as there are parts."""
+    return generate.complete(spark, int(_size(spark, sf_dir) ** 0.5))
 
 
-@query()
+@query(f"""with n as (select count(*) n from part), d as (select i, unnest(range(10)) j from {_IDS})
+select i as src, (i + 1 + cast(floor({generate.uniform_sql(42, 'i', 'j')} * (n - 1)) as bigint)) % n as dst, 0.1::double + 9.9::double * {generate.uniform_sql(43, 'i', 'j')} as weight from d, n""")
 def random_graph(spark, sf_dir):
-    return generate.random_digraph(spark, 1000, 10, weight=(0.1, 10.0))
+    return generate.random_digraph(spark, _size(spark, sf_dir), 10, weight=(0.1, 10.0))
 
 
-@query()
+def _drawn_sql(candidates: str, p: str, seed: int) -> str:
+    """Pairs ``src, at``: gaps drawn one after another up to the candidates."""
+    draws = f"cast(ceil({candidates} * {p} + 10 * sqrt({candidates} * {p}) + 10) as bigint)"
+    gap = f"cast(floor(ln({generate.uniform_sql(seed, 'i', 'j')}) / ln(1 - {p})) as bigint) + 1"
+    return f"select i as src, m, sum({gap}) over (partition by i order by j) pos from (select i, n, {candidates} m, unnest(range(1, {draws} + 1)) j from x)"
+
+
+_COMMUNITIES = f"""n as (select count(*) n from part), g as (select n, least(i // 50, n // 50 - 1) g, i from {_IDS}, n where i < n - 1),
+x as (select i, n, case when g = n // 50 - 1 then n - 1 else g * 50 + 49 end hi from g)"""
+
+
+@query(f"with {_COMMUNITIES}, a as ({_drawn_sql('(hi - i)', '0.3::double', 42)}), b as ({_drawn_sql('(n - 1 - hi)', '(2.0::double / n)', 43)}) select src, src + cast(pos as bigint) as dst from a where pos <= m union all select b.src, x.hi + cast(pos as bigint) from b join x on x.i = b.src where pos <= m")
 def community_graph(spark, sf_dir):
-    return generate.planted_communities(spark, 200, 4)
+    n = _size(spark, sf_dir)
+    return generate.planted_communities(spark, n, n // 50, 0.3, 2.0 / n)
+
+
+@query(f"with n as (select count(*) n from part), x as (select i, n from {_IDS}, n where i < n - 1), a as ({_drawn_sql('(n - 1 - i)', '(4.0::double / n)', 42)}) select src, src + cast(pos as bigint) as dst from a where pos <= m")
+def erdos_renyi_graph(spark, sf_dir):
+    n = _size(spark, sf_dir)
+    return generate.erdos_renyi(spark, n, 4.0 / n)
+
+
+@query(f"select i as id, 10::bigint as neighbours, 10::bigint as distinct_ones, 0::bigint as loops from {_IDS}")
+def distinct_digraph_check(spark, sf_dir):
+    """Draws are different for each vertex and never the vertex itself."""
+    e = generate.distinct_digraph(spark, _size(spark, sf_dir), 10)
+    return e.groupBy(F.col("src").alias("id")).agg(F.count("dst").alias("neighbours"), F.count_distinct("dst").alias("distinct_ones"), F.count_if(F.col("src") == F.col("dst")).alias("loops"))
+
+
+@query("select 2 * count(*) as edges, 2 * count(*) as distinct_ones, 0::bigint as loops, true as rewired from part")
+def small_world_check(spark, sf_dir):
+    """Rewiring keeps the number of edges and makes neither repeats nor loops."""
+    e = generate.small_world(spark, _size(spark, sf_dir))
+    near = F.least(F.col("dst") - F.col("src"), _size(spark, sf_dir) - (F.col("dst") - F.col("src"))) <= 2
+    return e.agg(F.count("src").alias("edges"), F.count_distinct("src", "dst").alias("distinct_ones"), F.count_if(F.col("src") >= F.col("dst")).alias("loops"), (F.count_if(~near) > 0.2 * F.count("src")).alias("rewired"))
+
+
+@query("with n as (select count(*) n from part) select cast(k as bigint) as label, case when k < 3 then (n // 10) // 4 else n // 10 - 3 * ((n // 10) // 4) end as seeds from n, range(4) t(k)")
+def balanced_seed_counts(spark, sf_dir):
+    ids = t.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"))
+    return generate.balanced_seeds(ids, 4, 0.1).groupBy("label").agg(F.count_distinct("id").alias("seeds"))
+
+
+@query("select count(*) as users, true as distinct_items, true as in_range from customer")
+def ratings_check(spark, sf_dir):
+    users = t.table(spark, sf_dir, "customer").count()
+    r = generate.ratings(spark, users, 500, 20.0)
+    return r.agg(F.count_distinct("user").alias("users"), (F.count("item") == F.count_distinct("user", "item")).alias("distinct_items"), ((F.min("rating") >= 1) & (F.max("rating") <= 5) & (F.max("item") < 500)).alias("in_range"))
+
+
+@query("select count(*) as rows, count(*) as distinct_rows from part")
+def shuffled_rows(spark, sf_dir):
+    part = t.table(spark, sf_dir, "part").select("p_partkey")
+    out = generate.shuffled_subset(part, ["p_partkey"], part.count())
+    return out.agg(F.count("p_partkey").alias("rows"), F.count_distinct("p_partkey").alias("distinct_rows"))
 
 
 @query("with a as (select distinct user_id u from events), b as (select distinct event_type t from events), x as (select u, row_number() over (order by u) - 1 k from a), y as (select t, row_number() over (order by t) - 1 k from b) select event_id, x.k as user_id from events join x on x.u = user_id")

@@ -6,12 +6,15 @@ readers leave such rows out, strict ones raise.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.graph import canonical, symmetrise
+from ..functions.generate import uniform
+from ..operators.graph import Graph, canonical, csr_offsets, symmetrise
+from ..operators.ranks import global_rank
 
 UNVISITED, UNREACHABLE, UNLABELLED = "UNVISITED", "Infinity", "UNKNOWN"
+MAX_LABEL = (1 << 32) - 1
 GRAPH_JSON = "edges ARRAY<ARRAY<BIGINT>>, labeled_nodes MAP<STRING, BIGINT>, num_nodes BIGINT"
 
 
@@ -25,6 +28,12 @@ def _get(i: int, kind: str) -> Column:
     return F.get("p", F.lit(i)).try_cast(kind)
 
 
+def _weight() -> Column:
+    w = F.coalesce(_get(2, "double"), F.lit(1.0))
+    bad = (w < 0) | F.isnan(w) | (w == float("inf"))
+    return F.when(bad, F.raise_error(F.lit("edge weights must be finite and not negative"))).otherwise(w)
+
+
 def read_edges(spark: SparkSession, path: str, n: int | None = None, tab_only: bool = False) -> DataFrame:
     """``src, dst``: blank, ``#`` and malformed lines are skipped, more columns
     ignored. ``n`` drops edges that leave ``0 .. n-1``."""
@@ -40,17 +49,15 @@ def _inside(rows: DataFrame, n: int | None) -> DataFrame:
 def read_weighted_edges(spark: SparkSession, path: str, n: int | None = None) -> DataFrame:
     """``src, dst, weight``: a missing or malformed weight is 1; a negative or
     non-finite one is an error."""
-    rows = _fields(spark, path, r"\s+").select(_get(0, "long").alias("src"), _get(1, "long").alias("dst"), F.coalesce(_get(2, "double"), F.lit(1.0)).alias("w"))
-    bad = (F.col("w") < 0) | F.isnan("w") | (F.col("w") == float("inf"))
-    checked = F.when(bad, F.raise_error(F.lit("edge weights must be finite and not negative"))).otherwise(F.col("w"))
-    return _inside(rows.where("src is not null and dst is not null").select("src", "dst", checked.alias("weight")), n)
+    rows = _fields(spark, path, r"\s+").select(_get(0, "long").alias("src"), _get(1, "long").alias("dst"), _weight().alias("weight"))
+    return _inside(rows.where("src is not null and dst is not null"), n)
 
 
 def read_seeded_edges(spark: SparkSession, path: str, n: int | None = None, strict: bool = False) -> tuple[DataFrame, DataFrame]:
     """Edges and ``id, label`` seeds: a third column labels the source vertex.
 
-    A negative label is none. ``strict`` raises on malformed lines instead of
-    leaving them out.
+    A negative label is none, and one beyond 32 unsigned bits is left out.
+    ``strict`` raises on malformed lines instead of leaving them out.
     """
     rows = _fields(spark, path, r"\s+").select("line", F.size("p").alias("k"), _get(0, "long").alias("src"), _get(1, "long").alias("dst"), _get(2, "long").alias("label"))
     broken = F.col("src").isNull() | F.col("dst").isNull() | ((F.col("k") > 2) & F.col("label").isNull())
@@ -58,17 +65,21 @@ def read_seeded_edges(spark: SparkSession, path: str, n: int | None = None, stri
         said = F.concat(F.lit("malformed line: "), F.col("line"))
         rows = rows.withColumn("src", F.when(broken, F.raise_error(said).cast("long")).otherwise(F.col("src")))
     rows = _inside(rows.where("src is not null and dst is not null"), n)
-    seeds = rows.where("label >= 0").select(F.col("src").alias("id"), "label").distinct()
+    seeds = rows.where(F.col("label").between(0, MAX_LABEL)).select(F.col("src").alias("id"), "label").distinct()
     return rows.select("src", "dst"), seeds
 
 
-def read_shards(spark: SparkSession, path: str, n: int) -> DataFrame:
-    """Sharded edges with the number of their shard, from ``part-<number>`` names."""
+def read_shards(spark: SparkSession, path: str, n: int, weighted: bool = False) -> DataFrame:
+    """Sharded edges with the number of their shard, from ``part-<number>`` names.
+
+    ``weighted`` shards have a third column as :func:`read_weighted_edges` has it.
+    """
     name = F.input_file_name()
     lines = spark.read.text(path).select(F.trim("value").alias("line"), F.regexp_extract(name, r"part[-=](\d+)", 1).cast("int").alias("shard"))
     p = lines.where("line <> '' and not startswith(line, '#')").select("shard", F.split("line", r"\s+").alias("p"))
-    rows = p.select("shard", _get(0, "long").alias("src"), _get(1, "long").alias("dst"))
-    return _inside(rows.where("src is not null and dst is not null"), n).select("src", "dst", "shard")
+    rows = p.select("shard", _get(0, "long").alias("src"), _get(1, "long").alias("dst"), _weight().alias("weight"))
+    rows = _inside(rows.where("src is not null and dst is not null"), n)
+    return rows.select("src", "dst", "weight", "shard") if weighted else rows.select("src", "dst", "shard")
 
 
 def read_undirected_edges(spark: SparkSession, path: str) -> DataFrame:
@@ -89,7 +100,7 @@ def read_graph_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
 
 def read_snap(spark: SparkSession, path: str, seed: int = 42) -> DataFrame:
     """A downloaded graph with weights 1 to 100, fixed by edge and seed."""
-    return read_edges(spark, path).withColumn("weight", (1 + F.pmod(F.xxhash64("src", "dst", F.lit(seed)), F.lit(100))).cast("double"))
+    return read_edges(spark, path).withColumn("weight", 1 + F.floor(uniform(seed, "src", "dst") * 100).cast("double"))
 
 
 def read_result(spark: SparkSession, path: str, kind: str = "long") -> DataFrame:
@@ -126,6 +137,41 @@ def write_sharded(edges: DataFrame, path: str, parts: int, key: str = "src") ->
     out.repartition("part").write.partitionBy("part").text(path)
 
 
+def write_row_shards(rows: DataFrame, path: str, order: str, parts: int) -> None:
+    """Row ``i`` in order of a unique column goes to folder ``part=<i % parts>``."""
+    ranked = global_rank(rows, order, "__row").withColumn("part", (F.col("__row") % parts).cast("int")).drop("__row")
+    ranked.repartition("part").write.partitionBy("part").parquet(path)
+
+
+def write_csr(graph: Graph, path: str) -> None:
+    """Compressed rows as tables: ``rows`` (``id, start, end``) and ``entries``
+    (``at, dst, weight``), where a row's entries lie at ``start .. end - 1``."""
+    offsets = csr_offsets(graph)
+    weight = F.col("weight") if "weight" in graph.edges.columns else F.lit(1.0)
+    place = F.row_number().over(Window.partitionBy("src").orderBy("dst", "weight")) - 1
+    entries = graph.edges.select("src", "dst", weight.alias("weight")).withColumn("place", place)
+    entries = entries.join(offsets.select(F.col("id").alias("src"), "start"), "src").select((F.col("start") + F.col("place")).alias("at"), "dst", "weight")
+    offsets.write.parquet(f"{path}/rows")
+    entries.write.parquet(f"{path}/entries")
+
+
+def read_csr(spark: SparkSession, path: str) -> DataFrame:
+    """``src, dst, weight`` of what :func:`write_csr` wrote."""
+    rows = spark.read.parquet(f"{path}/rows").where("end > start").select(F.col("id").alias("src"), F.explode(F.sequence("start", F.col("end") - 1)).alias("at"))
+    return rows.join(spark.read.parquet(f"{path}/entries"), "at").select("src", "dst", "weight")
+
+
+def write_range_rows(graph: Graph, path: str, parts: int) -> None:
+    """Row pointers in contiguous ranges of ids, one folder ``part=<k>`` each,
+    counted from the range's own first entry."""
+    from ..operators.graph import owned_range
+
+    rows = csr_offsets(graph).withColumn("part", owned_range(graph.n, parts, F.col("id")))
+    base = rows.groupBy("part").agg(F.min("start").alias("base"))
+    out = rows.join(F.broadcast(base), "part").select("id", (F.col("start") - F.col("base")).alias("start"), (F.col("end") - F.col("base")).alias("end"), "part")
+    out.repartition("part").write.partitionBy("part").parquet(path)
+
+
 def write_ranges(rows: DataFrame, path: str, key: str, n: int, parts: int) -> None:
     """Contiguous ranges of ``key`` in folders ``part=<k>``, as Parquet."""
     from ..operators.graph import owned_range

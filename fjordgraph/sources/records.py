@@ -9,13 +9,13 @@ RUN = "algorithm STRING, backend STRING, nodes BIGINT, threads INT, ranks INT, r
 TRACE = "ARRAY<STRUCT<worker_id: INT, timestamps: ARRAY<STRUCT<key: STRING, value: STRING>>>>"
 
 
-def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    """Run records of a folder with what their file names say.
+def read_runs(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Run records of a folder with what their file names, or folders', say.
 
     Names look like ``<algorithm>_<backend>_n<nodes>[_t<threads>][_r<ranks>]_rep<k>.json``;
     fields in the record win over those of the name. Unreadable files give nulls.
     """
-    rows = spark.read.schema(RUN).option("multiLine", True).option("recursiveFileLookup", True).json(path).withColumn("file", F.input_file_name())
+    rows = spark.read.schema(RUN).option("multiLine", multi_line).option("recursiveFileLookup", True).json(path).withColumn("file", F.input_file_name())
     part = lambda pattern: F.nullif(F.regexp_extract("file", pattern, 1), F.lit(""))
     return rows.withColumns({
         "nodes": F.coalesce("nodes", part(r"_n(\d+)").cast("long")),

@@ -119,10 +119,40 @@ def test_pregel_equals_bfs(spark):
 def test_louvain_two_cliques(spark):
     clique = lambda a: [(a + i, a + j, 1.0) for i in range(5) for j in range(i)]
     e = edges_of(spark, [*clique(0), *clique(5), (0, 5, 1.0)], True)
-    out, info = louvain(e)
-    assert values(out, "community") == {i: i // 5 for i in range(10)} and info.converged
+    alone = spark.createDataFrame([(i,) for i in range(12)], "id long")
+    out, info = louvain(e, vertices=alone)
+    got = values(out, "community")
+    assert got == {i: i // 5 for i in range(10)} | {10: 2, 11: 3} and info.converged
     q = modularity(e, out).first().modularity
     m2 = 2 * 21
     assert abs(q - 2 * (20 / m2 - (21 / m2) ** 2)) < 1e-12
-    alone = spark.createDataFrame([(i,) for i in range(12)], "id long")
-    assert values(louvain(e, vertices=alone)[0], "community")[11] == 3
+
+
+def test_louvain_finds_planted_communities(spark):
+    """As good as the partition that the graph was made from, and no move left."""
+    rng = random.Random(4)
+    rows = [(u, v, 1.0) for u in range(60) for v in range(u + 1, 60) if rng.random() < (0.5 if u // 15 == v // 15 else 0.03)]
+    e = edges_of(spark, rows, True)
+    out, _ = louvain(e)
+    planted = spark.range(60).select("id", (F.col("id") / 15).cast("long").alias("community"))
+    assert modularity(e, out).first().modularity >= modularity(e, planted).first().modularity - 1e-9
+    assert values(louvain(edges_of(spark, [(3, 3, 2.0)], True))[0], "community") == {3: 0}
+
+
+def test_hubs_are_spread(spark, monkeypatch):
+    """A hub with nine tenths of the edges fills no partition, and results stay."""
+    from fjordgraph.operators import graph as gm
+
+    monkeypatch.setattr(gm, "HUB_EDGES", 50)
+    rng = random.Random(2)
+    rows = [(0, 1 + k % 299) for k in range(1800)] + [(rng.randrange(300), rng.randrange(300)) for _ in range(200)]
+    g = Graph(edges_of(spark, rows), 300)
+    kept, hubs = g._by("src")
+    sizes = [r["count"] for r in kept.groupBy(F.spark_partition_id()).count().collect()]
+    assert [r.src for r in hubs.collect()] == [0] and max(sizes) < 0.75 * len(rows)
+    state = spark.range(300).withColumn("x", F.col("id") * 2)
+    assert sorted((r.src, r.dst, r.x) for r in g.along(state, "src").collect()) == sorted((u, v, 2 * u) for u, v in rows)
+    assert values(bfs(g, 0)[0], "level") == plain.bfs(rows, 300, 0)
+    ranks = values(pagerank(Graph(edges_of(spark, rows), 300), 5, tol=0.0)[0], "rank")
+    want = plain.pagerank(rows, 300, 5)
+    assert all(abs(ranks[k] - want[k]) < 1e-12 for k in want)

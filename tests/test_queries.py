@@ -8,7 +8,6 @@ import pytest
 from fjordgraph.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-FAST = [q for q in catalog.ORACLE_SQL if q not in ("distance_summary", "reach_summary", "vector_mismatches", "result_round_trip", "component_count")]
 
 
 @pytest.fixture(scope="module")
@@ -26,7 +25,7 @@ def shown(rows, names):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
-@pytest.mark.parametrize("name", FAST)
+@pytest.mark.parametrize("name", list(catalog.ORACLE_SQL))
 def test_query_equals_sql(spark, con, name):
     df = catalog.QUERIES[name](spark, SF)
     rel = con.sql(catalog.ORACLE_SQL[name])

