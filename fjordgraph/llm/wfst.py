@@ -1,23 +1,32 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-Three machines are compiled from a ``.model`` file: the normaliser (longest-match
-rewriting of its character map), the pieces (a trie whose accepting arcs emit a
-piece) and byte fallback (an arc over any character that no piece has, emitting
-its UTF-8 bytes). Composing them with an input gives a lattice, and its shortest
-path in the tropical semiring (weights add along a path, the least wins) is the
-encoding.
+Three machines are compiled from a ``.model`` file: the normaliser (a transducer
+over the input's characters that takes the longest rule or copies a character),
+the pieces (a trie whose accepting arcs emit a piece) and byte fallback (an arc
+over any character that no piece has, emitting its UTF-8 bytes). They are
+composed with each input: the normaliser with the text, its output, read by the
+other two as it comes, to a lattice. The lattice's shortest path in the tropical
+semiring (weights add along a path, the least wins) is the encoding; it is found
+by relaxing the arcs of each position in turn.
 
 In a unigram model an arc weighs the piece's negated log probability. In a BPE
 model the weights sit on pairs of neighbouring arcs: 0 where the two pieces stay
 apart when their concatenation is merged in order of rank, infinity where some
 merge would cross between them. A sequence is what merging gives for a whole text
 exactly if all its neighbouring pairs are of weight 0, so one path is finite and
-it is the model's own encoding. Each position keeps its one live arc.
+it is the model's own encoding. So is every beginning of it: a position has one
+live arc that reaches it.
+
+A user-defined piece is an arc that no other crosses: the normaliser copies it,
+and the lattice is cut around it. An unused piece has no arc of its own in a
+unigram model; in a BPE model it is merged, and emits what it was merged from.
 
 A lattice falls apart wherever no piece holds the two characters around a
 position, so words are composed once and remembered (a bounded number of them).
 
-Null texts encode to null, empty ones to no ids. Texts are encoded whole.
+Null texts encode to null, empty ones to no ids. Texts are encoded whole, and
+repeated rows alike; an empty table stays empty. Both operators are columns, so
+a table's other columns, whatever their names, stay as they are.
 """
 
 from __future__ import annotations
@@ -115,20 +124,28 @@ class Transducer:
         self.byte_id = {}
         self.unk = 0
         self.trie: dict = {}
+        self.users: dict[str, int] = {}
+        self.unused: set[str] = set()
         alphabet, after = set(), set()
         for i, (p, score, kind) in enumerate(self.pieces):
             if kind == BYTE:
                 self.byte_id[int(p[1:-1], 16)] = i
             elif kind == UNKNOWN:
                 self.unk = i
-            elif kind != CONTROL and p:
+            elif kind == USER:
+                self.users[p] = i
+            elif kind != CONTROL and p and (self.bpe or kind != UNUSED):
                 self.score[p] = score
+                if kind == UNUSED:
+                    self.unused.add(p)
                 node = self.trie
                 for c in p:
                     node = node.setdefault(c, {})
                 node[""] = (p, [i])
                 alphabet.update(p)
                 after.update((a, b) for a, b in zip(p, p[1:], strict=False))
+        # the longest user-defined piece at a place
+        self.user = re.compile("|".join(map(re.escape, sorted(self.users, key=lambda p: (-len(p), p))))) if self.users else None
         self.low = min(self.score.values(), default=0.0) - UNKNOWN_PENALTY
         self.rule_trie: dict = {}
         for k, v in self.rules.items():
@@ -136,11 +153,14 @@ class Transducer:
             for c in k:
                 node = node.setdefault(c, {})
             node[""] = v
+        self.rules_at = re.compile("[" + re.escape("".join(sorted(self.rule_trie))) + "]") if self.rules else None
         self.words = self._cuts(alphabet, after)
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.pairs: dict[tuple[str, str], float] = {}
         self.story: dict[str, tuple | None] = {}
+        for p in sorted(self.unused, key=lambda p: (len(p), p)):
+            self._resegment(p)
 
     @staticmethod
     def _cuts(alphabet: set[str], after: set[tuple[str, str]]) -> re.Pattern:
@@ -165,21 +185,61 @@ class Transducer:
         stop = lambda s: f"(?=[ {line}]|{s}|$)"
         return re.compile(f" *{x}+{stop(y)}| *{y}+{stop(x)}|{rest}")
 
+    def _node(self, piece: str) -> dict:
+        node = self.trie
+        for c in piece:
+            node = node[c]
+        return node
+
+    def _resegment(self, piece: str) -> None:
+        """Let an unused piece's arc emit the two pieces of its last merge, these
+        in turn if they are unused, and so on down."""
+        out: list[int] = []
+        todo = [piece]
+        while todo:
+            p = todo.pop()
+            if p in self.unused and self._story(p):
+                syms = list(p)
+                while len(syms) > 2:
+                    at = self._merge(syms)[1]
+                    syms[at : at + 2] = [syms[at] + syms[at + 1]]
+                todo += reversed(syms)
+            else:
+                out += self._node(p)[""][1] if p in self.score else self.fallback(p)
+        self._node(piece)[""] = (piece, out)
+
+    def _merge(self, syms: list[str]) -> tuple[float, int]:
+        """Score and place of the best merge on offer, the leftmost of equals."""
+        best, at = -INF, -1
+        for k in range(len(syms) - 1):
+            s = self.score.get(syms[k] + syms[k + 1], -INF)
+            if s > best:
+                best, at = s, k
+        return best, at
+
     # normaliser
 
-    def normalise(self, text: str) -> str:
-        """Rewritten text with spaces as spaces; the dummy prefix included."""
-        if self.rules:
-            out, i, n = [], 0, len(text)
-            while i < n:
+    def rewritten(self, text: str) -> Iterator[tuple[int, str]]:
+        """The normaliser composed with a text: ``(end in the text, output)`` of
+        its arcs along the text, the longest rule at each place, or a copy."""
+        i, n = 0, len(text)
+        while i < n:
+            if self.user and (m := self.user.match(text, i)):
+                i, out = m.end(), m[0]
+            else:
                 node, j, hit = self.rule_trie, i, None
                 while j < n and (node := node.get(text[j])) is not None:
                     j += 1
                     if "" in node:
                         hit = (j, node[""])
-                i, piece = hit or (i + 1, text[i])
-                out.append(piece)
-            text = "".join(out)
+                i, out = hit or (i + 1, text[i])
+            yield i, out
+
+    def normalise(self, text: str) -> str:
+        """The normaliser's output for a text, spaces as spaces; the dummy prefix
+        included. Without rules that could match it copies the text."""
+        if self.rules_at and self.rules_at.search(text):
+            text = "".join([out for _, out in self.rewritten(text)])
         text = text.replace(SPACE, " ")
         if self.trim:
             text = re.sub(" +", " ", text.strip(" "))
@@ -196,11 +256,7 @@ class Transducer:
             return self.story[piece]
         syms, steps = list(piece), []
         while len(syms) > 1:
-            best, at = -INF, -1
-            for k in range(len(syms) - 1):
-                s = self.score.get(syms[k] + syms[k + 1], -INF)
-                if s > best:
-                    best, at = s, k
+            best, at = self._merge(syms)
             if at < 0:
                 break
             syms[at : at + 2] = [syms[at] + syms[at + 1]]
@@ -265,48 +321,32 @@ class Transducer:
         return out
 
     def shortest_path(self, word: str) -> list[int]:
-        """Ids of the least path through the lattice of ``word`` (spaces as U+2581)."""
-        return self._finite_path(word) if self.bpe else self._least_path(word)
+        """Ids of the least path through the lattice of ``word`` (spaces as U+2581).
 
-    def _finite_path(self, word: str) -> list[int]:
-        """The one path of weight 0, depth first with the longest arcs first.
-
-        A prefix has one such path, so a position that was reached needs no
-        second visit.
+        The arcs of each position that has been reached are relaxed in turn. The
+        last piece on the way to a position is part of its state, as weights may
+        sit on pairs.
         """
-        n, pairs = len(word), self.pairs
-        reached = bytearray(n + 1)
-        path: list = []
-        i, left, todo = 0, "", self.arcs(word, 0)
-        while i < n:
-            while todo:
-                piece, ids = todo.pop()
-                j = i + len(piece)
-                if reached[j]:
-                    continue
-                w = pairs.get((left, piece))
-                if w is None:
-                    w = self.pair_weight(left, piece)
-                if w == 0.0:
-                    reached[j] = 1
-                    path.append((i, left, todo, ids))
-                    i, left = j, piece
-                    todo = self.arcs(word, j) if j < n else []
-                    break
-            else:
-                i, left, todo, _ = path.pop()
-        return [x for *_, ids in path for x in ids]
-
-    def _least_path(self, word: str) -> list[int]:
-        n = len(word)
-        cost = [INF] * (n + 1)
+        n, bpe, pairs, score, low = len(word), self.bpe, self.pairs, self.score, self.low
+        cost, last = [INF] * (n + 1), [""] * (n + 1)
         back: list = [None] * (n + 1)
         cost[0] = 0.0
         for i in range(n):
+            so_far, left = cost[i], last[i]
+            if so_far == INF:
+                continue
             for piece, ids in self.arcs(word, i):
-                j, w = i + len(piece), cost[i] - self.score.get(piece, self.low)
-                if w < cost[j]:
-                    cost[j], back[j] = w, (i, ids)
+                j = i + len(piece)
+                if bpe:
+                    if cost[j] <= so_far:
+                        continue
+                    w = pairs.get((left, piece))
+                    if w is None:
+                        w = self.pair_weight(left, piece)
+                else:
+                    w = -score.get(piece, low)
+                if so_far + w < cost[j]:
+                    cost[j], last[j], back[j] = so_far + w, piece, (i, ids)
         out, at = [], n
         while at:
             at, ids = back[at]
@@ -326,7 +366,17 @@ class Transducer:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        out, words = [], self.words.findall(self.normalise(text))
+        whole = self.normalise(text)
+        if not self.user:
+            return self._part(whole)
+        out, at = [], 0
+        for m in self.user.finditer(whole.replace(" ", SPACE)):
+            out += [self._part(whole[at : m.start()]), struct.pack("<I", self.users[m[0]])]
+            at = m.end()
+        return b"".join([*out, self._part(whole[at:])])
+
+    def _part(self, text: str) -> bytes:
+        out, words = [], self.words.findall(text)
         for i in range(0, len(words), 10_000):
             get, word = self.new.get, self._word
             out += [get(w) or word(w) for w in words[i : i + 10_000]]
