@@ -74,7 +74,8 @@ def _address(u: str) -> str:
 URLS = rf"""
 with recursive rules(v, h, p) as (values ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
 b as (select page_id, url, {_HOST.format(u="url")} host, {_PATH.format(u="url")} path, {_address("url")} address, coalesce(html, '') html from pages),
-l as (select address src, unnest([regexp_extract(regexp_extract(html, '(?is)(<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>)', 1), '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1), regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*\burl\s*=\s*["'']?([^"''\s>]+)', 1)]) u from b where contains(url, '://')),
+h as (select address src, unnest(list_concat(regexp_extract_all(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), regexp_extract_all(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'))) tag from b where contains(url, '://')),
+l as (select src, replace(regexp_extract(tag, '(?is)\b(?:href|url)\s*=\s*["'']?([^"''\s>]+)', 1), '&amp;', '&') u from h),
 e as (select src, {_address("u")} dst from l where contains(u, '://')),
 g as (select src, dst from e where src <> dst union select dst, src from e where src <> dst),
 r(id, m) using key (id) as (select src, src from (select distinct src from g) union select g.dst, min(r.m) from r join g on g.src = r.id join recurring.r x on x.id = g.dst where r.m < x.m group by g.dst),

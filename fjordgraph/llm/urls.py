@@ -8,7 +8,9 @@ allow is allowed, otherwise one with a block is blocked, otherwise allowed; an
 explicit rule of the url itself always stands.
 
 Null urls, and urls without ``://``, have an empty host and path, match no rule,
-have no aliases and are allowed. Repeated rows each get a row.
+have no aliases and are allowed. A null HTML has no links. Repeated rows each get
+a row, an empty table gives an empty result, and columns other than the page's
+id, url and HTML are not used and may have any names.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..storage import cut
+from ..storage import cut, drop
 
 #: Rules kept as one expression up to this many; beyond, they are joined by host.
 INLINE_RULES = 64
@@ -105,24 +107,32 @@ def resolve(base: Column, target: Column) -> Column:
     )
 
 
+def _unescape(x: Column) -> Column:
+    """Character references that a url in an attribute may have, decoded once."""
+    for name, char in (("quot|#34|#x22", '"'), ("apos|#39|#x27", "'"), ("lt|#60|#x3c", "<"), ("gt|#62|#x3e", ">"), ("amp|#38|#x26", "&")):
+        x = F.regexp_replace(x, rf"(?i)&(?:{name});", char)
+    return x
+
+
 def link_edges(pages: DataFrame) -> DataFrame:
     """``src, dst`` alias edges of all pages with a url.
 
-    Each page is tied to its canonical form, to the target of its
-    ``<link rel="canonical">`` and to that of a ``<meta http-equiv="refresh">``.
-    Relative targets start from the page's ``<base>``, or else from its url.
+    Each page is tied to the targets of all its ``<link rel="canonical">`` and
+    ``<meta http-equiv="refresh">`` tags. Relative targets start from the page's
+    ``<base>``, or else from its url; character references are decoded.
     """
     html = F.coalesce(F.col("html"), F.lit(""))
-    href = r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
-    tag = F.regexp_extract(html, r"(?is)(<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>)", 1)
-    meta = F.regexp_extract(html, r"(?is)(<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>)", 1)
-    based = F.regexp_extract(html, r"(?is)(<base\b[^>]*>)", 1)
-    told = pages.where(F.col("url").contains("://")).select("url", F.regexp_extract(tag, href, 1).alias("canon"), F.regexp_extract(meta, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1).alias("moved"), F.regexp_extract(based, href, 1).alias("based"))
+    quoted = lambda name: rf"(?is)\b{name}\s*=\s*[\"']?([^\"'\s>]+)"
+    every = lambda pattern: F.regexp_extract_all(html, F.lit(pattern), F.lit(1))
+    told = lambda tags, name: F.transform(tags, lambda x: _unescape(F.regexp_extract(x, quoted(name), 1)))
+    links = told(every(r"(?is)(<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>)"), "href")
+    moves = told(every(r"(?is)(<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>)"), "url")
+    based = _unescape(F.regexp_extract(F.regexp_extract(html, r"(?is)(<base\b[^>]*>)", 1), quoted("href"), 1))
+    found = pages.where(F.col("url").contains("://")).select("url", F.filter(F.concat(links, moves), lambda x: x != "").alias("to"), based.alias("based")).where(F.size("to") > 0)
+    each = found.select("url", "based", F.explode("to").alias("to"))
     from_ = F.coalesce(resolve(F.col("url"), F.col("based")), F.col("url"))
-    to = [canonical_form(resolve(from_, F.col(c))) for c in ("canon", "moved")]
-    named = told.where("canon <> '' or moved <> ''").select(canonical_form(F.col("url")).alias("src"), F.array(*to).alias("to"))
-    out = named.select("src", F.explode("to").alias("dst")).where("dst is not null and dst <> src")
-    return out.distinct()
+    out = each.select(canonical_form(F.col("url")).alias("src"), canonical_form(resolve(from_, F.col("to"))).alias("dst"))
+    return out.where("dst is not null and dst <> src").distinct()
 
 
 def judge_pages(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame, edges: DataFrame | None = None) -> DataFrame:
@@ -142,8 +152,9 @@ def judge_pages(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame,
     merge = [F.max(v).alias(v) for v in ("allow", "block")]
     own = ruled.where("address is not null").groupBy("address").agg(*flags)
     linked = cut(own.join(comp, "address", "left").withColumn("component", F.coalesce("component", "address")), "url-own")
-    whole = linked.groupBy("component").agg(*merge)
-    fate = cut(linked.select("address", "component").join(cut(whole, "url-whole"), "component"), "url-fate")
+    whole = cut(linked.groupBy("component").agg(*merge), "url-whole")
+    fate = cut(linked.select("address", "component").join(whole, "component"), "url-fate")
+    drop(comp, linked, whole)
     out = ruled.join(fate, "address", "left")
     alias = F.when(F.col("allow"), F.lit("allow")).when(F.col("block"), F.lit("block"))
     by = F.when(F.col("rule_verdict").isNotNull(), "rule").when(alias.isNotNull(), "alias").otherwise("default")
