@@ -5,16 +5,23 @@ training sample did not have backs off to its longest known character n-grams:
 those of five characters, or if none is known of four, and so on down to one.
 The language with the highest mean wins.
 
+The model holds all words and n-grams of a sample of the labelled documents,
+which is the one thing that is bounded (``MAX_TRAIN_DOCS``): every language gives
+the same number of documents at most, and one at least.
+
 Null texts and texts without a letter are ``und`` with score 0; nothing else is.
-Empty training data makes every text ``und``. Texts are scored whole.
+Empty training data makes every text ``und``. Texts are scored whole. Documents
+with a null id are learned from and held out from nothing; repeated rows are
+rows like any others, in the sample too. Columns other than the id, the text and
+the language are not used, and those that are not replaced by
+:func:`identify` stay.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,11 +31,8 @@ from pyspark.sql import functions as F
 from ..storage import cut, drop
 from .batches import bounded_batches
 
-#: Bounds of the model: documents it is fitted on, words, n-grams and languages it keeps.
-MAX_TRAIN_DOCS = 20_000
-MAX_WORDS = 120_000
-MAX_NGRAMS = 150_000
-MAX_LANGS = 1_000
+#: About how many documents the model is fitted on.
+MAX_TRAIN_DOCS = 6_000
 MAX_N = 5
 #: Scored tokens that a worker remembers.
 CACHE = 300_000
@@ -54,9 +58,8 @@ def _labelled(docs: DataFrame) -> DataFrame:
 
 
 def language_sizes(docs: DataFrame) -> dict[str, int]:
-    """Labelled rows of each language, of all rows."""
-    found = _labelled(docs).groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS)
-    return {r.lang: r.n for r in found.collect()}
+    """Labelled rows of each language, of all rows: one number per language."""
+    return {r.lang: r.n for r in _labelled(docs).groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
 def training_sample(docs: DataFrame, id_col: str = "doc_id", max_docs: int = MAX_TRAIN_DOCS, sizes: dict[str, int] | None = None) -> DataFrame:
@@ -65,7 +68,7 @@ def training_sample(docs: DataFrame, id_col: str = "doc_id", max_docs: int = MAX
     sizes = language_sizes(docs) if sizes is None else sizes
     bound = equal_bound(sizes.values(), max_docs)
     rows = _labelled(docs)
-    if all(n <= bound for n in sizes.values()) and len(sizes) < MAX_LANGS:
+    if all(n <= bound for n in sizes.values()):
         return rows
     limits = docs.sparkSession.createDataFrame([(x, int((1 << 30) * min(1, bound / n))) for x, n in sizes.items()], "lang string, __limit long")
     return rows.join(F.broadcast(limits), "lang").where(F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < F.col("__limit")).drop("__limit")
@@ -85,19 +88,10 @@ class Model:
         total = sum(priors.values()) or 1
         self.prior = np.array([math.log(priors[x] / total) for x in self.langs])
         self.words, self.word_logs = self._table({w for w, _, _ in counts}, ((w, col[x], n) for w, x, n in counts))
-        weights: dict[str, Counter] = {x: Counter() for x in self.langs}
-        for word, x, n in counts:
-            weight = weights[x]
-            for size in range(1, MAX_N + 1):
-                for g in ngrams(word, size):
-                    weight[g] += n
-        bound = equal_bound(map(len, weights.values()), MAX_NGRAMS)
-        heavy = {g for w in weights.values() for g in (w if len(w) <= bound else sorted(w, key=lambda g: (-w[g], g))[:bound])}
-        del weights
         self.grams, self.gram_logs = [], []
         for size in range(MAX_N + 1):
-            seen = ((g, col[x], n) for word, x, n in counts for g in ngrams(word, size) if g in heavy) if size else ()
-            rows, logs = self._table({g for g in heavy if len(g) == size}, seen)
+            seen = [(g, col[x], n) for word, x, n in counts for g in ngrams(word, size)] if size else []
+            rows, logs = self._table({g for g, _, _ in seen}, seen)
             self.grams.append(rows)
             self.gram_logs.append(logs)
 
@@ -160,26 +154,12 @@ class Scorer(dict):
 
 
 def fit(train: DataFrame, id_col: str = "doc_id", max_docs: int = MAX_TRAIN_DOCS) -> Model:
-    """Fit on ``text, lang``; counted by Spark, bounded before it is gathered."""
+    """Fit on ``text, lang``: words are counted by Spark, in the bounded sample."""
     priors = language_sizes(train)
     rows = training_sample(train, id_col, max_docs, priors).select(F.lower("text").alias("text"), "lang")
-    words = rows.select("lang", F.explode(F.split("text", r"[^\p{L}]+")).alias("word")).where("word <> '' and length(word) <= 60")
+    words = rows.select("lang", F.explode(F.split("text", r"[^\p{L}]+")).alias("word")).where("word <> ''")
     counts = cut(words.groupBy("word", "lang").agg(F.count(F.lit(1)).alias("n")), "langid-words")
-    # for each language, the least frequency at which its words still fit
-    pairs: dict[str, list[tuple[int, int]]] = {}
-    for r in counts.groupBy("lang", "n").count().orderBy("lang", F.desc("n")).toLocalIterator():
-        pairs.setdefault(r.lang, []).append((r.n, r["count"]))
-    bound = equal_bound((sum(k for _, k in v) for v in pairs.values()), MAX_WORDS)
-    least = {}
-    for lang, v in pairs.items():
-        least[lang], held = 1, 0
-        for n, k in v:
-            held += k
-            if held > bound:
-                least[lang] = n + 1
-                break
-    fits = train.sparkSession.createDataFrame(list(least.items()), "lang string, __least long")
-    kept = [(r.word, r.lang, r.n) for r in counts.join(F.broadcast(fits), "lang").where("n >= __least").toLocalIterator() if r.lang in priors]
+    kept = [(r.word, r.lang, r.n) for r in counts.toLocalIterator()]
     drop(counts)
     return Model(sorted(kept), priors)
 

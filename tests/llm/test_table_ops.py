@@ -300,6 +300,17 @@ def test_chat_round_trip(spark):
 # sharding
 
 
+def test_all_links_of_a_page_count(spark):
+    rows = [
+        (1, "http://a.net/x", '<link rel=canonical href="http://b.net/1"><LINK REL="canonical" HREF="http://c.net/2?a=1&amp;b=2"><meta content="3; URL=//d.net/w&#38;z" http-equiv=refresh>'),
+        (2, "http://c.net/2?b=2&a=1", None), (3, "http://d.net/w&z", ""), (4, "http://b.net/1", ""), (5, "http://c.net/2?a=1&amp;b=2", ""),
+    ]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in urls.judge_pages(df, [("block", "b.net", "/")]).collect()}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow"}
+    assert urls.judge_pages(df.where("false"), RULES).collect() == []
+
+
 def test_sharding(spark):
     rng = random.Random(6)
     rows = [(i, "é" * rng.randrange(0, 400)) for i in range(3000)] + [(None, None), (None, "a"), (7, "twice"), (7, "twice"), (9001, "x" * 60_000)]

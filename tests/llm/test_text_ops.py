@@ -49,6 +49,36 @@ def test_wfst_equals_library(spark, docs):
     assert empty(spark).select(wfst.encode(spark, F.col("text"), model)).collect() == []
 
 
+def with_pieces(path, extra):
+    """A model file with pieces ``(text, score, type)`` added; fields of a message may follow in any order."""
+    import struct
+
+    out = open(path, "rb").read()
+    for text, score, kind in extra:
+        raw = text.encode()
+        body = bytes([10, len(raw)]) + raw + b"\x15" + struct.pack("<f", score) + bytes([24, kind])
+        out += bytes([10, len(body)]) + body
+    return out
+
+
+def test_wfst_user_and_unused_pieces(tmp_path, monkeypatch):
+    import sentencepiece
+
+    base = P.path("piece_bpe_32k.model")
+    lib = sentencepiece.SentencePieceProcessor(model_file=base)
+    extra = [("<tag>", 0.0, wfst.USER), ("@@w", 0.0, wfst.USER), ("@@wo", 0.0, wfst.USER), ("qqzz", -0.25, wfst.UNUSED), ("qqzzqq", -0.5, wfst.UNUSED)]
+    assert all(lib.piece_to_id(x[0]) == lib.unk_id() for x in extra) and lib.piece_to_id("qq") != lib.unk_id() != lib.piece_to_id("zz")
+    path = tmp_path / "more.model"
+    path.write_bytes(with_pieces(base, extra))
+    lib, mine = sentencepiece.SentencePieceProcessor(model_file=str(path)), wfst.Transducer(str(path))
+    assert lib.vocab_size() == len(mine.pieces)
+    texts = ["a <tag> b", "<tag>", "si@@wi @@wots <tag><tag>x", "qqzz aqqzzb qqqzzz zzqq qqzzqq", "", " <tag> ", "é<tag>é qq zz", "@@w @@wo @@@wo@@"]
+    rng = random.Random(7)
+    texts += ["".join(rng.choice(["qq", "zz", "q", "z", " ", "<tag>", "@@w", "a", "é", "<", "@", "o"]) for _ in range(rng.randrange(1, 25))) for _ in range(400)]
+    for t in texts:
+        assert np.frombuffer(mine.encode(t), "<u4").tolist() == lib.encode(t), t
+
+
 def test_unigram_takes_least_path():
     t = wfst.Transducer.__new__(wfst.Transducer)
     t.pieces = [("<unk>", 0.0, 2), ("▁a", -1.0, 1), ("b", -1.0, 1), ("▁ab", -1.5, 1), ("▁", -3.0, 1), ("a", -3.0, 1), ("ab", -9.0, 1)]
@@ -248,18 +278,19 @@ def test_langid(spark):
     assert langid.identify(df.where("false"), model).collect() == []
 
 
-def test_langid_bounds_are_per_language(spark, monkeypatch):
+def test_langid_sample_is_bounded_per_language(spark):
     assert [langid.equal_bound(x, 100) for x in ([10, 1000], [30, 30], [60, 60, 60], [], [5])] == [90, 30, 33, 1, 5]
-    rows = [(i, " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + k)}" for k in range(8)) + " the the", "en") for i in range(3000)]
-    rows += [(5000 + i, f"łąka{chr(97 + i)} źdźbło", "pl") for i in range(10)]
+    rows = [(i, " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + k)}" for k in range(8)) + " the the " + "x" * 90, "en") for i in range(3000)]
+    rows += [(5000 + i, f"łąka{chr(97 + i)} źdźbło", "pl") for i in range(10)] + [(6000 + i, f"mot{i}", f"l{i}") for i in range(150)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    n = {r.lang: r["count"] for r in langid.training_sample(df, max_docs=100).groupBy("lang").count().collect()}
-    assert n["pl"] == 10 and 50 < n["en"] < 140
-    monkeypatch.setattr(langid, "MAX_WORDS", 60)
-    monkeypatch.setattr(langid, "MAX_NGRAMS", 400)
-    model = langid.fit(df, max_docs=1000)
-    assert {"źdźbło", "the"} | {f"łąka{chr(97 + i)}" for i in range(10)} <= set(model.words) and len(model.words) <= 60
-    assert np.allclose(model.prior, np.log(np.array([3000, 10]) / 3010)) and "źdźbł" in model.grams[5] and sum(map(len, model.grams)) <= 400
+    n = {r.lang: r["count"] for r in langid.training_sample(df, max_docs=300).groupBy("lang").count().collect()}
+    assert n["pl"] == 10 and 100 < n["en"] < 190 and len(n) == 152
+    model = langid.fit(df, max_docs=300)
+    # no other bound: long words, all languages, and every word and n-gram of the sample
+    words = {w for r in langid.training_sample(df, max_docs=300).collect() for w in "".join(c if c.isalpha() else " " for c in r.text.lower()).split()}
+    assert set(model.words) == words and "x" * 90 in words and len(model.langs) == 152
+    assert set(model.grams[5]) == {g for w in words for g in langid.ngrams(w, 5)}
+    assert np.allclose(np.exp(model.prior).sum(), 1) and np.isclose(model.prior[model.langs.index("en")], np.log(3000 / 3160))
 
 
 def test_backoff_goes_word_then_long_ngrams():
