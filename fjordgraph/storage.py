@@ -29,14 +29,15 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/fjordgraph-{app}"
 
 
-def write_table(df: DataFrame, name: str = "t") -> str:
-    """Write ``df`` as Parquet in the shared folder and return its path."""
+def write_table(df: DataFrame, name: str = "t", by: str | None = None) -> str:
+    """Write ``df`` as Parquet in the shared folder and return its path; with
+    ``by``, in a folder for each value of that column."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write if by is None else df.write.partitionBy(by)).parquet(path)
     return path
 
 
-def cut(df: DataFrame, name: str = "t", **metrics) -> DataFrame | tuple[DataFrame, dict]:
+def cut(df: DataFrame, name: str = "t", by: str | None = None, **metrics) -> DataFrame | tuple[DataFrame, dict]:
     """Write ``df`` and read it back: lineage ends here.
 
     With ``metrics`` (name -> aggregate Column) these are observed in the same
@@ -47,7 +48,7 @@ def cut(df: DataFrame, name: str = "t", **metrics) -> DataFrame | tuple[DataFram
     if seen is not None:
         df = df.observe(seen, *[c.alias(k) for k, c in metrics.items()])
     schema = df.schema
-    path = write_table(df, name)
+    path = write_table(df, name, by)
     table = spark.read.schema(schema).parquet(path)
     table._fjord_path = path
     return (table, seen.get) if seen is not None else table
