@@ -5,30 +5,34 @@ tier go out as they are; its rest is routed to the shortest tier that holds it.
 Tiers are packed from long to short: each sequence starts with a document of its
 tier, its gap is filled with the largest fitting documents of shorter tiers, and
 the last bit of it with the head of a document cut to measure. So sequences are
-exactly as long as their tier and need no padding; only what a task has left at
-its end is cut into shorter powers of two. Sequences of one tier are then dealt,
-costliest first and back and forth, into step groups of equal token counts and
-about equal attention cost.
+exactly as long as their tier and need no padding. Sequences of one tier are then
+dealt, costliest first and back and forth, into step groups of equal token counts
+and about equal attention cost.
 
 Packing runs task by task over the input's own partitions, without a shuffle, on
-a bounded number of tokens at a time. A partition's rows must come in the same
-order when a lost task is run again, as those of a table do; write a shuffled
-input first. Null texts are empty; every document has at least its end token.
-Null and repeated ids are kept as they are. An empty table gives no pieces.
-Columns other than the id and the text are not used.
+a bounded number of tokens at a time. What a task has left at its end, less than
+the longest tier, is handed on: the leftovers of many tasks are packed by fewer,
+until one task has the last ones, and only what that one has left, for the whole
+table, is cut into shorter powers of two. A partition's rows must come in the
+same order when a lost task is run again, as those of a table do; write a
+shuffled input first. Null texts are empty; every document has at least its end
+token. Ids may be of any type; null and repeated ids are kept as they are. An
+empty table gives no pieces. Columns other than the id and the text are not used.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_right, insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ..storage import cut
 from .batches import bounded_batches
 
 TIERS = (512, 1024, 2048, 4096)
@@ -36,7 +40,9 @@ TIERS = (512, 1024, 2048, 4096)
 BUFFER_TOKENS, STEP_TOKENS = 2_000_000, 262_144
 #: Chunks of text, in each of two generations, that a worker remembers.
 CACHE = 500_000
-SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
+#: Tokens of leftovers that a task takes over.
+HANDED = 2_000_000
+SCHEMA = "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
 
 class WordTokenizer:
@@ -111,7 +117,10 @@ class WordTokenizer:
 
 
 class Packer:
-    """Packs pieces ``(n, doc_id, start, ids, doc_tokens)`` of one task."""
+    """Packs pieces ``(n, doc_id, start, ids, doc_tokens)`` of one task.
+
+    Sequences are pairs of a tier and pieces; tier 0 has pieces to be handed on.
+    """
 
     def __init__(self, tiers: tuple[int, ...], first_id: int, step_tokens: int):
         self.tiers, self.next_id, self.next_group, self.step = tiers, first_id, first_id, step_tokens
@@ -119,6 +128,10 @@ class Packer:
         self.serial = 0
         self.held = 0
 
+    def rest(self) -> list[tuple[int, list[tuple]]]:
+        """What is left, as pieces to be handed on."""
+        return [(0, [(n, *piece)]) for n, _, *piece in self.pool]
+
     def add(self, doc_id, ids: np.ndarray) -> list[list[tuple]]:
         """Take a document; its full windows come back as sequences."""
         top, n, full = self.tiers[-1], len(ids), []
@@ -130,6 +143,10 @@ class Packer:
             self._put((n - at, doc_id, at, ids[at:], n))
         return full
 
+    def put(self, doc_id, start: int, ids: np.ndarray, total: int) -> None:
+        """Take a piece that another task had left."""
+        self._put((len(ids), doc_id, start, ids, total))
+
     def _put(self, piece: tuple) -> None:
         self.serial += 1
         insort(self.pool, (piece[0], self.serial, *piece[1:]))
@@ -188,6 +205,9 @@ class Packer:
         for tier, pieces in sequences:
             by_tier.setdefault(tier, []).append(pieces)
         for tier, many in sorted(by_tier.items()):
+            if not tier:
+                yield from ((doc_id, start, n, ids.tobytes(), total, -1, 0, 0, -1) for [(n, doc_id, start, ids, total)] in many)
+                continue
             many.sort(key=lambda ps: -sum(p[0] * p[0] for p in ps))
             groups = -(-len(many) * tier // self.step)
             for k, pieces in enumerate(many):
@@ -205,41 +225,71 @@ _LOADED: dict[str, WordTokenizer] = {}
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, tiers: tuple[int, ...] = TIERS, step_tokens: int = STEP_TOKENS, text: str = "text") -> DataFrame:
-    """Documents -> pieces of sequences, with their ids (see ``SCHEMA``).
+    """Documents -> ``doc_id`` and the columns of ``SCHEMA``: pieces of sequences.
 
     ``tokenizer`` is a path that every executor has; ``tiers`` rising powers of
     two. Ids of sequences and step groups are unique over the whole table.
     """
     bounded_batches(docs.sparkSession)
-    names = [x.split()[0] for x in SCHEMA.split(", ")]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
-    schema = pa.schema(list(zip(names, types, strict=True)))
+    kind = dict(docs.dtypes)["doc_id"]
+    schema = f"doc_id {kind}, {SCHEMA}"
+    names = ["doc_id", *[x.split()[0] for x in SCHEMA.split(", ")]]
+    types = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
     end = np.array([end_id], "<u4").tobytes()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer not in _LOADED:
-            _LOADED[tokenizer] = WordTokenizer(tokenizer)
-        t = _LOADED[tokenizer]
-        packer = Packer(tiers, TaskContext.get().partitionId() << 36, step_tokens)
-        top = tiers[-1]
-
-        def table(sequences) -> Iterator[pa.RecordBatch]:
-            rows = list(packer.rows(sequences))
-            for i in range(0, len(rows), 4000):
-                columns = zip(*rows[i : i + 4000], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, types, strict=True)], schema=schema)
-
-        full: list = []
-        size = 0
-        for batch in batches:
-            for doc_id, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.frombuffer((t.encode(x) if x else b"") + end, "<u4")
-                windows = packer.add(doc_id, ids)
-                full += [(top, w) for w in windows]
-                size += top * len(windows)
+    def packed(level: int, last: bool, pieces: Callable) -> Callable:
+        """A task's work: ``pieces`` feeds the packer and returns full windows."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            # a place for each level, task and sequence of the task
+            packer = Packer(tiers, level << 58 | TaskContext.get().partitionId() << 34, step_tokens)
+            full: list = []
+            size, id_type = 0, None
+
+            def table(sequences) -> Iterator[pa.RecordBatch]:
+                rows = list(packer.rows(sequences))
+                for i in range(0, len(rows), 4000):
+                    columns = zip(*rows[i : i + 4000], strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [id_type, *types], strict=True)], names=names)
+
+            for batch in batches:
+                id_type = batch.column(0).type
+                for window in pieces(packer, batch):
+                    full.append((tiers[-1], window))
+                    size += tiers[-1]
+                    if size + packer.held >= BUFFER_TOKENS:
+                        yield from table(full + packer.pack())
+                        full, size = [], 0
                 if size + packer.held >= BUFFER_TOKENS:
                     yield from table(full + packer.pack())
                     full, size = [], 0
-        yield from table(full + packer.pack() + packer.finish())
+            yield from table(full + packer.pack() + (packer.finish() if last else packer.rest()))
+
+        return run
 
-    return docs.select("doc_id", text).mapInArrow(run, SCHEMA)
+    def from_texts(packer: Packer, batch: pa.RecordBatch) -> Iterator[list[tuple]]:
+        if tokenizer not in _LOADED:
+            _LOADED[tokenizer] = WordTokenizer(tokenizer)
+        t = _LOADED[tokenizer]
+        for doc_id, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            yield from packer.add(doc_id, np.frombuffer((t.encode(x) if x else b"") + end, "<u4"))
+
+    def from_pieces(packer: Packer, batch: pa.RecordBatch) -> Iterator[list[tuple]]:
+        for doc_id, start, ids, total in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "start", "ids", "doc_tokens")), strict=True):
+            packer.put(doc_id, start, np.frombuffer(ids, "<u4"), total)
+        return iter(())
+
+    left = {"tokens": F.sum(F.when(F.col("tier") == 0, F.col("length")))}
+    mark = F.col("tier") == 0
+    out, seen = cut(docs.select("doc_id", text).mapInArrow(packed(0, False, from_texts), schema).withColumn("__left", mark), "packed", by="__left", **left)
+    done, level = out.where("not __left"), 0
+    while seen["tokens"]:
+        level += 1
+        tasks = -(-seen["tokens"] // HANDED)
+        given = out.where("__left").select(names).coalesce(tasks)
+        if tasks == 1:
+            done = done.drop("__left").unionByName(given.mapInArrow(packed(level, True, from_pieces), schema))
+            return done.select(names)
+        out, seen = cut(given.mapInArrow(packed(level, False, from_pieces), schema).withColumn("__left", mark), "packed", by="__left", **left)
+        done = done.unionByName(out.where("not __left"))
+    return done.select(names)

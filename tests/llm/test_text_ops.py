@@ -134,6 +134,27 @@ def test_packing_is_exact(spark, docs):
     assert packing.pack(empty(spark), path).collect() == []
 
 
+@pytest.mark.parametrize("handed", [2_000_000, 9_000])
+def test_packing_hands_leftovers_on(spark, monkeypatch, handed):
+    """Whatever the partitions, only one remainder is shorter than the tiers; ids of any type."""
+    monkeypatch.setattr(packing, "HANDED", handed)
+    rng = random.Random(11)
+    rows = [(f"id {i}", " ".join(f"w{rng.randrange(50)}" for _ in range(rng.randrange(1, 900)))) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id string, text string").repartition(12)
+    got = packing.pack(df, P.path("word_bpe_49k.json")).collect()
+    seqs: dict = {}
+    for r in got:
+        seqs.setdefault(r.sequence_id, []).append(r)
+    sizes = Counter(sum(r.length for r in v) for v in seqs.values())
+    rest = sorted((n for n in sizes if n < 512), reverse=True)
+    assert all(sizes[n] == 1 for n in rest) and set(sizes) - set(rest) <= set(packing.TIERS) and sum(rest) < 512
+    tokens = {r.doc_id: r.doc_tokens for r in got}
+    lengths = Counter()
+    for r in got:
+        lengths[r.doc_id] += r.length
+    assert lengths == tokens and set(tokens) == {d for d, _ in rows}
+
+
 def test_pii_permutations():
     p = pii.Permutation(b"k")
     for n in (2, 3, 10, 26, 999):
