@@ -32,7 +32,7 @@ from ..storage import cut, drop
 from .batches import bounded_batches
 
 #: About how many documents the model is fitted on.
-MAX_TRAIN_DOCS = 6_000
+MAX_TRAIN_DOCS = 3_000
 MAX_N = 5
 #: Scored tokens that a worker remembers.
 CACHE = 300_000
@@ -90,8 +90,8 @@ class Model:
         self.words, self.word_logs = self._table({w for w, _, _ in counts}, ((w, col[x], n) for w, x, n in counts))
         self.grams, self.gram_logs = [], []
         for size in range(MAX_N + 1):
-            seen = [(g, col[x], n) for word, x, n in counts for g in ngrams(word, size)] if size else []
-            rows, logs = self._table({g for g, _, _ in seen}, seen)
+            seen = ((g, col[x], n) for word, x, n in counts for g in ngrams(word, size)) if size else ()
+            rows, logs = self._table({g for w, _, _ in counts for g in ngrams(w, size)} if size else (), seen)
             self.grams.append(rows)
             self.gram_logs.append(logs)
 
@@ -109,7 +109,7 @@ class Model:
         for n in range(MAX_N, 0, -1):
             known = [r for g in ngrams(word, n) if (r := self.grams[n].get(g)) is not None]
             if known:
-                return self.gram_logs[n][known].mean(axis=0)
+                return np.add.reduce(self.gram_logs[n].take(known, 0), 0) / len(known)
         return np.zeros(len(self.langs))
 
 
