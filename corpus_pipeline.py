@@ -19,26 +19,42 @@ MIN_SCORE = 0.5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps texts that are clearly in one of the corpus's languages."""
+    """Keeps texts that are clearly in one of the corpus's languages.
+
+    Null texts and those without a letter go. Repeated rows share a fate, as it
+    depends on the text alone; an empty table stays empty. Extra columns stay.
+    """
     predict = langid.predictor(spark, langid.fit(docs))
     told = docs.withColumn("__lid", predict(F.col("text")))
     return told.where((F.col("__lid.lang_pred") != langid.UNDETERMINED) & (F.col("__lid.score") >= MIN_SCORE)).drop("__lid")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each near-duplicate class."""
+    """Keeps one document of each near-duplicate class.
+
+    Of rows that repeat an id and its text one stays; texts without words all do.
+    An empty table stays empty, and extra columns stay.
+    """
     return minhash.drop_duplicates(docs)
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Puts surrogates in the place of personal data; all documents stay."""
+    """Puts surrogates in the place of personal data; all documents stay.
+
+    ``n_chars`` follows the text. Null texts stay null, repeated rows are replaced
+    alike, an empty table stays empty, and extra columns stay.
+    """
     told = docs.withColumn("__pii", pii.surrogate(spark, F.col("text"), pii.environment_key())["text"])
     more = {"n_chars": F.char_length("__pii").cast("long")} if "n_chars" in docs.columns else {}
     return told.withColumns({"text": F.col("__pii")} | more).drop("__pii")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of several lengths, as pieces with their ids."""
+    """Token sequences of several lengths, as pieces with their ids.
+
+    Null texts have an end token only, each of repeated rows is packed, and an
+    empty table gives no pieces. Extra columns are not used.
+    """
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

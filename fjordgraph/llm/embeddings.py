@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..storage import cut
-from .batches import bounded_batches
 
 THRESHOLD, MISS = 0.98, 1e-5
 BUCKET, BLOCK = 128, 256
@@ -121,7 +120,6 @@ def _compare(threshold: float):
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, miss: float = MISS) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for ``vec_id, embedding, label``."""
     spark = vectors.sparkSession
-    bounded_batches(spark)
     e = F.col("embedding")
     rows = vectors.select("vec_id", e.cast("array<double>").alias("embedding"), "label").withColumn("row", F.monotonically_increasing_id())
     rows = cut(rows, "emb-rows")

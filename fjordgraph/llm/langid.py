@@ -29,7 +29,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import cut, drop
-from .batches import bounded_batches
 
 #: About how many documents the model is fitted on.
 MAX_TRAIN_DOCS = 3_000
@@ -169,7 +168,6 @@ _SCORERS: dict[int, Scorer] = {}
 
 def predictor(spark, model: Model):
     """Column function text -> ``struct<lang_pred, score>``."""
-    bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf(RESULT)

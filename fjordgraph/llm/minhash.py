@@ -42,7 +42,6 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..storage import cut, drop
-from .batches import bounded_batches
 
 WORDS, THRESHOLD = 5, 0.8
 #: Components, and rows of a band: a pair at 0.8 collides with p > 0.9997.
@@ -176,7 +175,6 @@ def signed(docs: DataFrame, text: str = "text") -> DataFrame:
 
     ``key`` is a digest of the words, ``th`` a hash of the text as it is.
     """
-    bounded_batches(docs.sparkSession)
     names, types = ["doc_id", "th", "key", "total", "bands"], [None, pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -33,7 +33,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import cut
-from .batches import bounded_batches
 
 TIERS = (512, 1024, 2048, 4096)
 #: Tokens that a task packs at a time, and tokens of a training step.
@@ -230,7 +229,6 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, tiers: tuple[int, ...
     ``tokenizer`` is a path that every executor has; ``tiers`` rising powers of
     two. Ids of sequences and step groups are unique over the whole table.
     """
-    bounded_batches(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {kind}, {SCHEMA}"
     names = ["doc_id", *[x.split()[0] for x in SCHEMA.split(", ")]]

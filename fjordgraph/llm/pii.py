@@ -39,7 +39,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .batches import bounded_batches
 
 RESULT = "text string, n_entities int, n_distinct int, n_surrogates int, entities array<struct<kind: string, original: string, surrogate: string>>"
 ROUNDS = 6
@@ -468,7 +467,6 @@ def environment_key(name: str = "FJORDGRAPH_PII_KEY") -> str:
 
 def surrogate(spark: SparkSession, text: Column, key: str) -> Column:
     """Text -> ``struct`` of ``RESULT``."""
-    bounded_batches(spark)
 
     @F.pandas_udf(RESULT)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

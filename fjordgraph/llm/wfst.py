@@ -40,7 +40,6 @@ import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from .batches import bounded_batches
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -406,7 +405,6 @@ def encode(spark: SparkSession, text: Column, model: str) -> Column:
 
     ``model`` is a path that every executor has.
     """
-    bounded_batches(spark)
 
     @F.pandas_udf("binary")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -418,7 +416,6 @@ def encode(spark: SparkSession, text: Column, model: str) -> Column:
 
 
 def decode(spark: SparkSession, ids: Column, model: str) -> Column:
-    bounded_batches(spark)
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
