@@ -45,7 +45,7 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 INF = float("inf")
 #: Words, in each of two generations, and pairs of pieces that a worker remembers.
-CACHE, PAIRS = 300_000, 1_000_000
+CACHE, PAIRS = 200_000, 300_000
 #: Fixed in the format: how far below the least score an unknown character lies.
 UNKNOWN_PENALTY = 10.0
 
