@@ -34,9 +34,9 @@ from __future__ import annotations
 import re
 import string
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,7 +98,7 @@ def _char_map(blob: bytes) -> dict[bytes, bytes]:
 
 
 class Transducer:
-    def __init__(self, path: str):
+    def __init__(self, path: str, machines: bool = True):
         data = open(path, "rb").read()
         self.pieces: list[tuple[str, float, int]] = []
         self.bpe = self.byte_fallback = False
@@ -116,7 +116,8 @@ class Transducer:
                 self.dummy_prefix, self.trim = bool(spec.get(3, 1)), bool(spec.get(4, 1))
                 if spec.get(2):
                     self.rules = {k.decode(): v.decode() for k, v in _char_map(spec[2]).items()}
-        self._compile()
+        if machines:  # decoding needs the pieces only
+            self._compile()
 
     def _compile(self) -> None:
         self.score: dict[str, float] = {}
@@ -391,13 +392,21 @@ class Transducer:
         return text[1:] if self.dummy_prefix and text.startswith(" ") else text
 
 
-_LOADED: dict[str, Transducer] = {}
+_LOADED: dict[tuple[str, bool], Transducer] = {}
+#: Texts that become Python strings at a time.
+SLICE = 200
 
 
-def load(path: str) -> Transducer:
-    if path not in _LOADED:
-        _LOADED[path] = Transducer(path)
-    return _LOADED[path]
+def load(path: str, machines: bool = True) -> Transducer:
+    if (path, machines) not in _LOADED:
+        _LOADED[path, machines] = Transducer(path, machines)
+    return _LOADED[path, machines]
+
+
+def _each(values: pa.Array, f: Callable, kind: pa.DataType) -> pa.Array:
+    """``f`` of all values but nulls, a slice at a time."""
+    parts = [pa.array([None if x is None else f(x) for x in values.slice(i, SLICE).to_pylist()], kind) for i in range(0, len(values), SLICE)]
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
 
 
 def encode(spark: SparkSession, text: Column, model: str) -> Column:
@@ -406,21 +415,20 @@ def encode(spark: SparkSession, text: Column, model: str) -> Column:
     ``model`` is a path that every executor has.
     """
 
-    @F.pandas_udf("binary")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("binary")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         t = load(model)
         for texts in batches:
-            yield pd.Series([None if x is None else t.encode(x) for x in texts], dtype=object)
+            yield _each(texts, t.encode, pa.binary())
 
     return run(text)
 
 
 def decode(spark: SparkSession, ids: Column, model: str) -> Column:
-
-    @F.pandas_udf("string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        t = load(model)
+    @F.arrow_udf("string")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        t = load(model, False)
         for packed in batches:
-            yield pd.Series([None if x is None else t.decode(x) for x in packed], dtype=object)
+            yield _each(packed, t.decode, pa.string())
 
     return run(ids)
