@@ -48,6 +48,10 @@ def iterate(
     return state, info
 
 
+#: Tables of found values that are read side by side before any are merged.
+TABLES = 4
+
+
 def _kept(tables: list[tuple[DataFrame, int]]) -> DataFrame:
     out = tables[0][0]
     for df, _ in tables[1:]:
@@ -63,8 +67,8 @@ def least_values(start: DataFrame, send: Callable[[DataFrame], DataFrame], max_i
     in tables of growing size, and a superstep adds one with its improvements
     only: known values are read to be compared (a narrow frontier is sent to
     them, not they to it) but never written again, except that a table is merged
-    with the one before it when that is no more than twice as large, so a value
-    is rewritten a logarithmic number of times. ``limit`` keeps rows from being
+    with the one before it, when there are more than ``TABLES`` and that is no more
+    than twice as large, so a value is rewritten a logarithmic number of times. ``limit`` keeps rows from being
     sent.
     """
     info = RunInfo()
@@ -86,7 +90,7 @@ def least_values(start: DataFrame, send: Callable[[DataFrame], DataFrame], max_i
             info.converged = True
             break
         tables.append((fresh, seen["changed"]))
-        while len(tables) > 1 and tables[-2][1] <= 2 * tables[-1][1]:
+        while len(tables) > TABLES and tables[-2][1] <= 2 * tables[-1][1]:
             pair = tables[-2:]
             del tables[-2:]
             merged = cut(_kept(pair).groupBy("id").agg(F.min("value").alias("value")), name)

@@ -43,6 +43,8 @@ class Graph:
             edges = edges.where((F.col("src") >= 0) & (F.col("dst") >= 0) & (F.col("src") < n) & (F.col("dst") < n))
         self.edges, self.n, self._vertices = edges, n, vertices
         self._kept: dict[str, tuple[DataFrame, DataFrame | None]] = {}
+        self._written: DataFrame | None = None
+        self._seen: dict = {}
 
     @property
     def spark(self) -> SparkSession:
@@ -58,14 +60,15 @@ class Graph:
         """Kept edges, and the hubs (``key, parts``) if there are any."""
         if key not in self._kept:
             parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-            degrees = self.edges.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-            most = self.edges.count() / parts * HUB_SHARE
-            share = max(most, HUB_EDGES)
+            if self._written is None:  # computed once, for the degrees and either end
+                self._written, self._seen = cut(self.edges, "edges", n=F.count(F.lit(1)))
+            degrees = self._written.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+            share = max(self._seen["n"] / parts * HUB_SHARE, HUB_EDGES)
             hubs = cut(degrees.where(F.col("n") > share).select(key, F.ceil(F.col("n") / F.lit(share)).cast("int").alias("parts")), "hubs")
             hubs = hubs if hubs.limit(1).count() else None
             other = "dst" if key == "src" else "src"
             salt = F.lit(0) if hubs is None else F.coalesce(F.pmod(F.xxhash64(other), F.col("parts")), F.lit(0)).cast("int")
-            edges = self.edges if hubs is None else self.edges.join(F.broadcast(hubs), key, "left")
+            edges = self._written if hubs is None else self._written.join(F.broadcast(hubs), key, "left")
             edges = edges.withColumn("salt", salt).drop("parts").repartition(parts, key, "salt")
             self._kept[key] = edges.persist(StorageLevel.MEMORY_AND_DISK), hubs
         return self._kept[key]
@@ -85,6 +88,8 @@ class Graph:
         for df, hubs in self._kept.values():
             df.unpersist()
             drop(hubs)
+        drop(self._written)
+        self._written = None
         self._kept.clear()
 
     def with_edges(self, edges: DataFrame) -> Graph:
