@@ -1,8 +1,8 @@
 """DuckDB SQL for the queries that SQL can express.
 
 Without SQL: op1 and op4 (tokenizers), op8 (a greedy map of slots), op9 (keyed
-permutations) and op10 (a fitted model); tests hold those against the public
-libraries or brute force.
+permutations), op10 (a fitted model) and op12 (parsed keys); tests hold those against
+the public libraries or brute force, and op12's base columns against ``SECRETS_BASE``.
 """
 
 from __future__ import annotations
@@ -100,10 +100,66 @@ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || t || c
 from q group by conv_id
 """
 
+# the CRC of each distinct word, byte by byte over a table that SQL derives
+_CRC_TABLE = "tab as materialized (select list(list_reduce(list_prepend(i, range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by i) t from range(256) r(i))"
+
+RESAMPLING = rf"""
+with {_CRC_TABLE},
+fold as (select 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' a, 'abcdefghijklmnopqrstuvwxyz' b),
+d as (select doc_id, row_number() over () k, regexp_extract_all(translate(coalesce(text, ''), a, b), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents, fold),
+f as materialized (select k, unnest(w) w from d),
+g as materialized (select unnest(regexp_extract_all(translate(coalesce(text, ''), a, b), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) w from benchmark, fold),
+x as (select w, hex(encode(w)) h from (select w from f union select w from g)),
+y as (select w, list_transform(range(0, length(h) // 2), lambda i: cast('0x' || h[2 * i + 1:2 * i + 2] as bigint)) bytes from x),
+z as materialized (select w, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 10000 as bucket from y, tab),
+s as (select bucket, count(*) n from f join z using (w) group by 1), t as (select bucket, count(*) n from g join z using (w) group by 1),
+totals as (select (select count(*) from f)::double s_all, (select count(*) from g)::double t_all),
+gains as (select w, cast(floor(1000 * ln((coalesce(t.n, 0) + 1)::double * (s_all + 10000) / ((coalesce(s.n, 0) + 1)::double * (t_all + 10000)))) as bigint) gain from z left join s using (bucket) left join t using (bucket), totals),
+weights as (select k, sum(gain) weight from f join gains using (w) group by 1),
+h as (select k, doc_id, len(w) n_features, cast('0x' || left(sha256('2024:' || coalesce(cast(doc_id as varchar), '')), 8) as bigint)::double h from d),
+scored as (select k, doc_id, n_features, cast(coalesce(weight, 0) as bigint) weight, cast(coalesce(weight, 0) + floor(-1000 * ln(-ln((h + 0.5) / 4294967296))) as bigint) score from h left join weights using (k)),
+ranked as (select *, row_number() over (partition by n_features >= 20 order by score desc, doc_id nulls first) place, count(*) filter (n_features >= 20) over () n from scored)
+select doc_id, n_features, weight, score, case when n_features >= 20 and place <= 10 * n // 100 then place end as rank from ranked
+"""
+
+# orders one by one: who is still there, filter after filter
+AUDIT = r"""
+with w as (select doc_id, coalesce(lang, '') part, coalesce(text, '') t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') w, first_value(doc_id) over (partition by coalesce(text, '') order by doc_id nulls last) least from documents),
+said as (select doc_id, bool_or(coalesce(quality = 1, false)) good, bool_or(coalesce(toxic = 1, false)) toxic from labels group by 1),
+flags as (select part, len(w) < 200 a, 100 * len(list_distinct(w)) < 50 * len(w) b, 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 3 * length(t) c, regexp_matches(t, '[#$%&*|]') d, coalesce(doc_id > least, false) e, coalesce(good, false) good, coalesce(toxic, false) toxic from w left join said using (doc_id)),
+counts as materialized (select part, list_value(a, b, c, d, e) f, count(*) n, count(*) filter (good) g, count(*) filter (toxic) x from flags group by all),
+letters as (select unnest(['A', 'B', 'C', 'D', 'E']) l),
+orders as (select a.l || b.l || c.l || d.l || e.l as filter_order from letters a, letters b, letters c, letters d, letters e where len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5),
+run as materialized (select part, n, g, x, filter_order, list_transform(range(1, 6), lambda i: f[strpos('ABCDE', filter_order[i])]) fails, list_position(list_transform(range(1, 6), lambda i: f[strpos('ABCDE', filter_order[i])]), true) gone, len(list_filter(f, lambda y: y)) many from counts, orders),
+each as (select part, filter_order, step, filter_order[step] l, coalesce(sum(n) filter (gone is null or gone = 0 or gone > step), 0) kept, coalesce(sum(n) filter (gone = step), 0) removed, coalesce(sum(n) filter (fails[step] and gone < step), 0) redundant,
+ coalesce(sum(n) filter (fails[step] and many = 1), 0) unique_fails, coalesce(sum(g) filter (gone = step), 0) good_lost, coalesce(sum(x) filter (gone = step), 0) toxic_lost from run, range(1, 6) s(step) group by all)
+select part, filter_order, cast(step as int) as step, cast(kept as bigint) as kept, cast(removed as bigint) as removed, cast(redundant as bigint) as redundant, cast(unique_fails as bigint) as unique_fails, cast(good_lost as bigint) as good_lost, cast(toxic_lost as bigint) as toxic_lost,
+ cast(sum(removed) over (partition by part, l) as bigint) as shapley from each
+"""
+
+# positions follow from the texts between the matches
+_ASSIGN = """([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+
+
+def _matches(kind: str, pattern: str, value: str, least: int) -> str:
+    return f"""select doc_id, '{kind}' kind, unnest(list_filter(list_transform(range(1, len(m) + 1), lambda i: {{'s': list_sum(list_transform(g[1:i], lambda y: length(y))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda y: length(y))), 0), 'n': length(m[i]), 'v': length({value})}}), lambda x: x.v >= {least})) x from
+ (select doc_id, regexp_extract_all(t, '{pattern}') m, regexp_extract_all(t, '{pattern}', {2 if kind == "assign" else 0}) v, string_split_regex(t, '{pattern}') g from d)"""
+
+
+SECRETS_BASE = f"""
+with d as (select doc_id, coalesce(text, '') t from documents),
+m as ({_matches("assign", _ASSIGN, "v[i]", 12)} union all {_matches("access", "AKIA[A-Z0-9]+", "m[i]", 18)} union all {_matches("hex", "[0-9a-f]+", "m[i]", 16)})
+select d.doc_id, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access, count(*) filter (kind = 'hex') as n_hex,
+ sha256(coalesce(string_agg(kind || ':' || cast(x.s as bigint) || ':' || cast(x.s + x.n as bigint), ',' order by x.s, list_position(['assign', 'access', 'hex'], kind)) filter (kind is not null), '')) as base_sha256
+from d left join m on m.doc_id = d.doc_id group by 1
+"""
+
 ORACLE_SQL = {
     "op2_merkle_fingerprint": MERKLE,
     "op3_embedding_neardup": EMBEDDINGS,
     "op5_bag_minhash": MINHASH,
     "op6_url_filter": URLS,
     "op7_chat_prefixes": CHAT,
+    "op11_word_trie_resampling": RESAMPLING,
+    "op13_filter_audit": AUDIT,
 }
