@@ -83,12 +83,12 @@ class Trie:
         self.size = 0
         self.root = Node(self, 0)
 
-    def paths(self, text: list[bytes], at: int) -> Iterator[Node]:
-        """The nodes of all runs that start at one of ``SLICE`` words."""
+    def paths(self, text: list[bytes], start: int, stop: int) -> Iterator[Node]:
+        """The nodes of all runs that start within this range of words."""
         if self.longest == 1:
-            yield from map(self.root.__getitem__, text[at : at + SLICE])
+            yield from map(self.root.__getitem__, text[start:stop])
             return
-        for i in range(at, min(at + SLICE, len(text))):
+        for i in range(start, min(stop, len(text))):
             node = self.root
             for word in text[i : i + self.longest]:
                 node = node[word]
@@ -117,7 +117,7 @@ def bucket_totals(docs: DataFrame, longest: int = 1, buckets: int = BUCKETS, tex
             for x in batch.column(0):
                 found = words(x.as_py())
                 for at in range(0, len(found), SLICE):
-                    for node in trie.paths(found, at):
+                    for node in trie.paths(found, at, at + SLICE):
                         node.count += 1
                     if trie.size > NODES:
                         trie.totals(sums)
@@ -150,7 +150,7 @@ def weights(text: Column, gains: list[int], longest: int = 1) -> Column:
             for x in texts:
                 found, total = words(x), 0
                 for at in range(0, len(found), SLICE):
-                    total += sum([node.gain for node in trie.paths(found, at)])
+                    total += sum([node.gain for node in trie.paths(found, at, at + SLICE)])
                     if trie.size > NODES:
                         trie.clear()
                 rows.append((len(found), n_features(len(found), longest), total))
