@@ -1,5 +1,8 @@
 """SentencePiece transducer, packing, PII, language ID."""
 
+import math
+import re
+import tracemalloc
 import random
 from collections import Counter
 
@@ -302,23 +305,98 @@ def test_langid(spark):
 def test_langid_sample_is_bounded_per_language(spark):
     assert [langid.equal_bound(x, 100) for x in ([10, 1000], [30, 30], [60, 60, 60], [], [5])] == [90, 30, 33, 1, 5]
     rows = [(i, " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + k)}" for k in range(8)) + " the the " + "x" * 90, "en") for i in range(3000)]
-    rows += [(5000 + i, f"łąka{chr(97 + i)} źdźbło", "pl") for i in range(10)] + [(6000 + i, f"mot{i}", f"l{i}") for i in range(150)]
+    rows += [(5000 + i, f"łąka{chr(97 + i)} źdźbło", "pl") for i in range(10)] + [(6000 + i, f"mot{i}", f"l{i}") for i in range(150)] + [(7000, "12", "zz"), (None, "same same", "xx"), *[(1, "one", "yy")] * 2000]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    n = {r.lang: r["count"] for r in langid.training_sample(df, max_docs=300).groupBy("lang").count().collect()}
-    assert n["pl"] == 10 and 100 < n["en"] < 190 and len(n) == 152
+    sample = langid.training_sample(df, max_docs=300).collect()
+    n = Counter(r.lang for r in sample)
+    assert n["pl"] == 10 and 40 < n["en"] < 110 and len(n) == 155 and n["yy"] == 1 and all(n[f"l{i}"] == 1 for i in range(150))
     model = langid.fit(df, max_docs=300)
-    # no other bound: long words, all languages, and every word and n-gram of the sample
-    words = {w for r in langid.training_sample(df, max_docs=300).collect() for w in "".join(c if c.isalpha() else " " for c in r.text.lower()).split()}
-    assert set(model.words) == words and "x" * 90 in words and len(model.langs) == 152
-    assert set(model.grams[5]) == {g for w in words for g in langid.ngrams(w, 5)}
-    assert np.allclose(np.exp(model.prior).sum(), 1) and np.isclose(model.prior[model.langs.index("en")], np.log(3000 / 3160))
+    # no other bound: long words, all languages with a word, and every word and n-gram of the sample
+    words = {w for r in sample for w in "".join(c if c.isalpha() else " " for c in r.text.lower()).split()}
+    assert set(model.words.rows) == words and "x" * 90 in words and len(model.langs) == 154 and "zz" not in model.langs
+    assert set(model.grams[4].rows) == {g for w in words for g in langid.ngrams(w, 5)}
+    assert np.allclose(np.exp(model.prior).sum(), 1) and np.isclose(model.prior[model.langs.index("en")], np.log(3000 / 5161))
+    # one of each language whatever the bound, and bytes are bounded too
+    assert set(Counter(r.lang for r in langid.training_sample(df, max_docs=1).collect())) == set(n)
+    few = langid.training_sample(df, max_docs=9999, max_bytes=20_000).where("lang = 'en'").agg(F.sum(F.octet_length("text"))).first()[0]
+    assert 10_000 < few < 30_000
+
+
+def test_langid_draws_long_texts_only_without_others(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LONGEST", 50)
+    rows = [(i, "short words", "en") for i in range(5)] + [(9, "long " * 20, "en")] + [(20 + i, "lang " * 20, "de") for i in range(6)]
+    got = Counter((r.lang, len(r.text) > 50) for r in langid.training_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect())
+    assert got == {("en", False): 5, ("de", True): 1}
+
+
+def plain_score(texts, text):
+    """Frequencies, back-off, mean, prior and score from ``[(text, lang)]`` alone."""
+    cut = lambda x: [w for w in re.split(r"[\W\d_]+", x.lower()) if w]
+    langs = sorted({x for t, x in texts if cut(t)})
+    grams = lambda w, n: [w] if n == 0 else [f"^{w}$"[i : i + n] for i in range(len(w) + 3 - n)]
+    counts = {n: {x: Counter(g for t, y in texts if y == x for w in cut(t) for g in grams(w, n)) for x in langs} for n in range(6)}
+
+    def says(key, n, x):
+        every = sum((counts[n][y] for y in langs), Counter())
+        own, common = counts[n][x], every[key] / every.total()
+        return math.log((own[key] + len(own) * common) / (own.total() + len(own)) / common)
+
+    def word(w, x):
+        for n in (0, 5, 4, 3, 2, 1):
+            known = [g for g in grams(w, n) if any(counts[n][y][g] for y in langs)]
+            if known:
+                return sum(says(g, n, x) for g in known) / len(known)
+        return 0.0
+
+    found = cut(text)
+    rows = sum(1 for _, x in texts if x in langs)
+    z = {x: sum(word(w, x) for w in found) / len(found) * min(10, len(found)) + math.log(sum(y == x for _, y in texts) / rows) for x in langs}
+    best = max(langs, key=lambda x: z[x])
+    return best, 1 / sum(math.exp(v - z[best]) for v in z.values())
+
+
+def test_langid_equals_brute_force(spark):
+    rng = random.Random(8)
+    lex = {"en": "the of and in that was house river".split(), "fr": "le des une est dans été maison fleuve".split(), "la": ["aqua", "domus"]}
+    make = lambda x, k: " ".join(rng.choice(lex[x]) for _ in range(k))
+    train = [(i, make(x, rng.randrange(1, 25)), x) for i in range(60) for x in [rng.choice(["en", "en", "fr"])]] + [(90, make("la", 3), "la"), (91, "7", "no")]
+    model = langid.fit(spark.createDataFrame(train, "doc_id long, text string, lang string"))
+    tests = [make(x, k) for x in lex for k in (1, 4, 40)] + ["housing rivers", "été-là 12 domuss", "日本 the", "zzz qqq", "Aqua THE Été ½x"] + ["".join(rng.choice("thefdsolamn éà") for _ in range(60)) + "a" for _ in range(30)]
+    got = langid.identify(spark.createDataFrame([(t,) for t in tests], "text string"), model).collect()
+    for r in got:
+        lang, score = plain_score([x[1:] for x in train], r.text)
+        assert r.lang_pred == lang and abs(r.score - score) < 1e-9, r
+
+
+def test_langid_unseen_keys_favour_nobody():
+    """A language of two words, of few or of none takes no rare text from one that is known well."""
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(3, 9)))
+    often, rare = [word() for _ in range(300)], sorted({word() for _ in range(9000)})
+    counts = [(w, "en", 1 + 3000 // (i + 1)) for i, w in enumerate(sorted(set(often)))] + [(w, "en", 1) for w in rare if w not in set(often)]
+    for own in ([("zzgh", "zz", 1), ("the", "zz", 1)], [(f"zz{k}", "zz", 1) for k in "abcde"], [("zzgh", "zz", 30)]):
+        m = langid.Model(counts + own, {"en": 1000, "zz": 1})
+        for text in (" ".join(rare[:40]), rare[7], " ".join(word() + "x" for _ in range(30)), "qwx jjk"):
+            assert langid.Scorer(m).score(text)[0] == "en", (own, text)
+        assert langid.Scorer(m).score(" ".join(["zzgh"] * 9))[0] == "zz" or own[0][0] != "zzgh"
+    assert langid.Model(counts, {"en": 1000, "zz": 1}).langs == ["en"]
+
+
+def test_langid_of_many_languages_is_small():
+    rng = random.Random(2)
+    counts = sorted({(f"w{rng.randrange(60_000)}", f"l{rng.randrange(500):03}"): rng.randrange(1, 9) for _ in range(150_000)}.items())
+    tracemalloc.start()
+    m = langid.Model([(w, x, n) for (w, x), n in counts], {f"l{i:03}": 5 for i in range(500)})
+    scorer = langid.Scorer(m)
+    scorer.score(" ".join(f"w{i} v{i}" for i in range(20_000)))
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 300 << 20 and len(scorer) <= scorer.most < 20_000
 
 
 def test_backoff_goes_word_then_long_ngrams():
     m = langid.Model([("alpha", "x", 10), ("beta", "y", 10)], {"x": 1, "y": 1})
-    assert (m.word("alpha") == m.word_logs[m.words["alpha"]]).all()
-    five = [m.gram_logs[5][m.grams[5][g]] for g in langid.ngrams("alphas", 5) if g in m.grams[5]]
-    assert five and np.allclose(m.word("alphas"), np.mean(five, axis=0))
-    edges = [m.gram_logs[1][m.grams[1][g]] for g in "^$"]
-    assert np.allclose(m.word("世"), np.mean(edges, axis=0))
-    assert langid.Model([], {"x": 3}).word("a").tolist() == [0.0]
+    assert np.allclose(m.word("alpha"), np.log([(10 + 1 / 2) / 11 * 2, 1 / 2 / 11 * 2]))
+    shared = [g for g in langid.ngrams("alphas", 5) if g in m.grams[4].rows]
+    assert len(shared) == 2 and m.word("alphas")[0] > 0 > m.word("alphas")[1]
+    assert langid.Model([], {"x": 3}).word("a").tolist() == []
