@@ -3,8 +3,8 @@
 Records hash into a fixed number of virtual slots; bytes are summed per slot, and
 a small versioned table says which shard owns which slot. Versions of the map are
 Parquet tables side by side in one folder: a version is written once, and later
-runs read the latest, place records by it, and write the next one when they
-rebalance. Rebalancing edits that table only: records never change slots. The
+runs place records by the newest one that has their number of shards, and write the
+next one only if there is none, or when they rebalance. Rebalancing edits that table only: records never change slots. The
 slot table has ``n_slots`` rows whatever the input, so it is the one thing that
 is gathered, to be edited, or broadcast.
 
@@ -18,6 +18,7 @@ any names; :func:`assign_slots` keeps them.
 from __future__ import annotations
 
 import heapq
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -124,6 +125,15 @@ def save_map(slot_map: DataFrame, folder: str) -> int:
     return version
 
 
+def versions(spark: SparkSession, folder: str) -> dict[int, int]:
+    """Number of shards of each version in ``folder``, none if there is no folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder.rstrip("/"))
+    if not list(path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path.suffix("/version=*")) or []):
+        return {}
+    rows = spark.read.parquet(folder.rstrip("/")).groupBy("version").agg((F.max("shard") + 1).alias("n")).collect()
+    return {int(r.version): r.n for r in rows}
+
+
 def load_map(spark: SparkSession, folder: str, version: int | None = None) -> DataFrame:
     """That version of the map in ``folder``, or the latest."""
     every = spark.read.parquet(folder.rstrip("/"))
@@ -132,6 +142,19 @@ def load_map(spark: SparkSession, folder: str, version: int | None = None) -> Da
     return every.where(F.col("version") == F.lit(version)).select(F.col("version").cast("int").alias("version"), "virtual_slot", "shard", "slot_bytes", "slot_rows")
 
 
+def place_map(spark: SparkSession, totals: DataFrame, n_shards: int, n_slots: int, folder: str) -> int:
+    """The version in ``folder`` by which records go into ``n_shards`` shards: the
+    newest that has so many. If there is none, one is written: an edit of the newest,
+    or the first map of an empty folder. Nothing is written otherwise."""
+    known = versions(spark, folder)
+    fit = [v for v, n in known.items() if n == n_shards]
+    if fit:
+        return max(fit)
+    if not known:
+        return save_map(build_map(spark, totals, n_shards, n_slots), folder)
+    return save_map(rebalance_map(spark, load_map(spark, folder, max(known)), n_shards, totals), folder)
+
+
 def compare_maps(one: DataFrame, two: DataFrame) -> DataFrame:
     """Slots that change hands: ``virtual_slot, shard_from, shard_to, slot_bytes``."""
     a = one.select("virtual_slot", F.col("shard").alias("shard_from"))
@@ -173,26 +196,25 @@ def shard_documents(docs: DataFrame, n_shards: int = 16, n_slots: int = N_SLOTS,
     """Documents -> ``doc_id, size, text_crc32, virtual_slot, shard, slot,
     map_version, next_shard``.
 
-    ``folder`` keeps the versions of the map: records go by the latest one there
-    that has ``n_shards`` shards, else by a new one made for these documents.
-    ``next_shard`` is the owner after an edit of that map for one more shard,
-    which is written as a version too. Without a folder the versions are kept for
-    this run only, in the shared folder.
+    ``folder`` keeps the versions of the map: records go by the newest one there that
+    has ``n_shards`` shards, so equal runs place them alike and write no version. Where
+    none has so many, the newest is edited, and an empty folder gets its first map, of
+    ``n_slots`` slots. ``next_shard`` is the owner after growth by one shard: an edit of
+    that map which is not stored, as no record goes by it yet. Without a folder the map
+    is kept for this run only, in the shared folder.
     """
     spark = docs.sparkSession
+    if folder is None:
+        folder = f"{shared_dir(spark)}/slot-map-{uuid.uuid4().hex}"
+    sizes = versions(spark, folder)
+    if sizes:  # slots are fixed when the first map is made
+        n_slots = load_map(spark, folder, max(sizes)).count()
     thin = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"))
     slotted = assign_slots(thin, "doc_id", F.col("bytes") + 1, n_slots).drop("bytes").withColumn("salt", F.xxhash64(F.monotonically_increasing_id()))
     slotted = cut(slotted, "slotted")
     totals = cut(slot_totals(slotted), "slot-totals")
-    if folder is None:
-        folder = f"{shared_dir(spark)}/slot-map-{spark.range(1).select(F.expr('uuid()')).first()[0]}"
-        version = save_map(build_map(spark, totals, n_shards, n_slots), folder)
-    else:
-        kept = load_map(spark, folder)
-        version = kept.first().version
-        if kept.agg(F.max("shard")).first()[0] != n_shards - 1:
-            version = save_map(rebalance_map(spark, kept, n_shards, totals), folder)
+    version = place_map(spark, totals, n_shards, n_slots, folder)
     current = load_map(spark, folder, version)
-    grown = load_map(spark, folder, save_map(rebalance_map(spark, current, n_shards + 1, totals), folder))
+    grown = rebalance_map(spark, current, n_shards + 1, totals)
     out = apply_map(slotted, current, "doc_id", "size", "text_crc32")
     return out.join(F.broadcast(grown.select("virtual_slot", F.col("shard").alias("next_shard"))), "virtual_slot").withColumn("map_version", F.lit(version))

@@ -384,9 +384,14 @@ def test_shard_maps_are_kept(spark, tmp_path):
     first = {r.virtual_slot: r.shard for r in sharding.load_map(spark, folder).collect()}
     got = sharding.shard_documents(df.where("doc_id % 2 = 0"), 4, 256, folder).collect()
     assert all(r.shard == first[r.virtual_slot] and r.map_version == 1 for r in got)  # other rows, same map
-    assert {r.next_shard for r in got if r.next_shard != r.shard} == {4}
+    assert {r.next_shard for r in got if r.next_shard != r.shard} == {4} and sharding.versions(spark, folder) == {1: 4}
+    expected = {r.virtual_slot: r.next_shard for r in sharding.shard_documents(df, 4, 256, folder).collect()}
+    bigger = sharding.shard_documents(df, 5, 256, folder).collect()
+    assert all(r.shard == expected[r.virtual_slot] and r.shard in (4, first[r.virtual_slot]) for r in bigger) and {r.shard for r in bigger} == set(range(5))
     grown = sharding.load_map(spark, folder)
-    assert grown.first().version == 2 and grown.agg(F.max("shard")).first()[0] == 4
+    assert grown.first().version == 2 and grown.agg(F.max("shard")).first()[0] == 4 and sharding.versions(spark, folder) == {1: 4, 2: 5}
+    # the newest of four shards still holds, whatever was written after it
+    assert all(r.shard == first[r.virtual_slot] and r.map_version == 1 for r in sharding.shard_documents(df, 4, 256, folder).collect())
     shrunk = sharding.rebalance_map(spark, grown, 4, totals)
     assert sharding.save_map(shrunk, folder) == 3
     moved = sharding.compare_maps(grown, sharding.load_map(spark, folder, 3)).collect()
@@ -402,6 +407,18 @@ def test_shard_maps_are_kept(spark, tmp_path):
         sharding.save_map(sharding.load_map(spark, folder, 1), folder)
 
 
+def test_equal_runs_place_alike(spark, tmp_path):
+    """An empty folder gets a first map; the second run moves nothing and writes nothing."""
+    folder = str(tmp_path / "none" / "maps")
+    rng = random.Random(4)
+    df = doc_table(spark, [(i, "z" * rng.randrange(500)) for i in range(3000)] + [(None, None)] * 5)
+    one = sharding.shard_documents(df, 16, 512, folder).collect()
+    two = sharding.shard_documents(df, 16, folder=folder).collect()
+    key = lambda r: (r.doc_id is not None, r.doc_id, r.shard, r.slot)
+    assert sorted(one, key=key) == sorted(two, key=key) and sharding.versions(spark, folder) == {1: 16}
+    assert sharding.versions(spark, str(tmp_path / "nothing")) == {}
+
+
 def test_shard_map_shrinks(spark):
     totals = spark.createDataFrame([(i, 100 + i, 1) for i in range(64)], "virtual_slot int, slot_bytes long, slot_rows long")
     one = sharding.build_map(spark, totals, 4, 64)
