@@ -10,14 +10,23 @@ is the entity's image under a keyed permutation of all values of its form, so it
 needs no table shared between tasks: the same entity always gets the same
 surrogate (coreference, over the whole corpus), two entities never get the same
 one (distinctness), and none stays itself. Card numbers and IBANs have right
-check digits if, and only if, the originals have. Given names permute within the
-list of their gender and script; other names letter by letter within their
-script, vowels apart, skipping every listed name. Every word of a found name is
-followed through its text in any case. Each document is checked for collisions:
-if two entities were about to share a surrogate, or one to stay itself, the later
-one moves on along its permutation. :func:`collisions` checks a whole table.
-
-The key is the caller's; :func:`environment_key` reads it from the environment.
+check digits if, and only if, the originals have. Given names that are listed permute
+within the list of their gender and script. Other names are numbered by their letters,
+the number is permuted among those of equal length and spelt in syllables of the same
+script: so many names need more letters than they had. Given names get the ending of
+their gender, which their own ending tells, or else the title before them, and surnames
+one of their own. Each document is checked for collisions: if two entities were about
+to share a surrogate, or one to stay itself, the later one moves on along its
+permutation. :func:`collisions` checks a whole table.
+
+Every word of a found name is followed through its text where it stands as a name: with
+the name's own capitals or in capitals throughout, unless it opens a sentence and is an
+ordinary word elsewhere in the text. In small letters it is followed where another word
+of the name stands beside it, where marks set it apart on both sides (not commas alone)
+and the text does not use it as a word, or if it is a listed surname.
+
+The key is the caller's; :func:`environment_key` reads it from the environment, and
+without one there is an error: a key of chance would break coreference between runs.
 
 Null texts stay null and have no entities; empty texts stay empty. Texts are
 searched whole. Repeated rows are replaced alike, an empty table stays empty, and
@@ -31,7 +40,6 @@ import hashlib
 import ipaddress
 import os
 import re
-import secrets
 from collections.abc import Callable, Iterator
 
 import ahocorasick
@@ -56,6 +64,8 @@ GIVEN = {
 TITLES = {"f": "Mrs Ms Miss Madam Frau Mme Mlle Madame Señora Sra Srta", "m": "Mr Sir Herr Monsieur Señor Sr", "": "Dr Prof"}
 # Common surnames that are no common words of their languages.
 SURNAMES = "Smith Johnson Williams Jones Garcia Miller Davis Rodriguez Martinez Hernandez Lopez Gonzalez Wilson Anderson Taylor Perez Thompson Harris Robinson Müller Schmidt Schneider Fischer Weber Meyer Wagner Becker Schulz Hoffmann Dubois Durand Lefebvre Moreau Rossi Russo Ferrari Bianchi Wang Zhang Liu Chen Yang Huang Zhao Zhou Kim Nguyen Tran Singh Kumar Sharma Patel Khan Ivanov Petrov Silva Santos"
+# Those of them that are words of another of these languages.
+WORDS_TOO = "Bianchi Rossi Russo Santos Silva"
 # Capitalised words before a surname that are no given names.
 NO_GIVEN = "The This That These Those And But For With From Our Your Their His Her Its When While After Before Dear Hello Der Die Das Und Les Des Los Las Del"
 # Phrases and labels that introduce a name.
@@ -65,6 +75,16 @@ CALLING = "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54
 # Letters that stand for each other, by script and kind.
 ALPHABETS = ["aeiou", "bcdfghjklmnpqrstvwxyz", "àáâãäåæèéêëìíîïòóôõöøœùúûü", "çñßýÿðþ", "аеиоуыэюяё", "бвгджзйклмнпрстфхцчшщъь", "αεηιουωάέήίόύώ", "βγδζθκλμνξπρσςτφχψ"]
 
+# How given names that no list has tell their gender.
+ENDINGS = {"f": "trude hilde linde garde gunde ette elle ine ia ina lyn een anne".split(), "m": "gang fried bert hard wolf mar ald rich win bald ward ius ian".split()}
+# Syllables of made-up names, onsets and vowels, then the endings of given
+# names (female, male) and of surnames; plain ones and those for names with accents.
+SYLLABLES = {
+    "latin": ("b bl br c ch cl cr d dr f fl fr g gl gr h j k kl kr l m n p ph pl pr r s sl sp st t th tr v w z sh sk", "a e i o u ai au ei ia eo", ("na", "no", "nt"), ("ná", "nó", "ñt")),
+    "cyrillic": ("б бл бр в вл г гл гр д др ж з к кл кр л м н п пл пр р с сл ст т тр ф х ц ч ш", "а е и о у я ю", ("на", "н", "нов"), ("на", "н", "нов")),
+    "greek": ("β γ γρ δ δρ ζ θ κ κλ κρ λ μ ν ξ π πλ πρ ρ σ στ τ τρ φ χ ψ", "α ε η ι ο υ ω", ("να", "νος", "νης"), ("νά", "νός", "νής")),
+}
+
 _LETTER = r"[^\W\d_]"
 _CAP = rf"(?:[A-ZÀ-ÖØ-ÞА-ЯЁΑ-ΩΆΈΉΊΌΎΏ]{_LETTER}+(?:[-'’]{_LETTER}+)*)"
 _NAMES = sorted({n for v in GIVEN.values() for n in v.split()}, key=lambda n: (-len(n), n))
@@ -99,6 +119,11 @@ _FAMILY = re.compile(rf"(?:{'|'.join(_SURNAMES)})[ ]{_GIVEN_OR}")
 #: A surname after a name; matched from the surname's start backwards.
 _BEFORE = re.compile(rf"{_GIVEN_OR}(?:[ ]{_CAP})?[ ]$")
 _DIGIT = re.compile(r"\d")
+#: Which of :data:`ALPHABETS` make a script.
+_SCRIPTS = {"latin": "".join(ALPHABETS[:4]), "cyrillic": "".join(ALPHABETS[4:6]), "greek": "".join(ALPHABETS[6:])}
+_PLAIN = "abcdefghijklmnopqrstuvwxyz"
+_FAMILIES = {n.lower() for n in _SURNAMES} - set(WORDS_TOO.lower().split())
+_GENDER = {t: g for g, ts in TITLES.items() for t in ts.split()}
 
 
 def _keywords() -> ahocorasick.Automaton:
@@ -246,29 +271,64 @@ class Surrogates:
             return text
         return ".".join(map(str, y.to_bytes(4, "big")))
 
-    def word(self, text: str) -> str:
-        """A name that no list has: same script, vowels and consonants."""
-        low = text.lower()
-        new = self.form("name", low)
-        while new in _LISTED:
-            new = self.form("name", new)
-        return self._cased(text, new)
+    def spelt(self, text: str, gender: str = "") -> str:
+        """A name that no list has: the runs of letters of one script are spelt anew."""
+        out, at, low = [], 0, text.lower()
+        while at < len(low):
+            script = next((x for x, letters in _SCRIPTS.items() if low[at] in letters), None)
+            end = at + 1
+            while script and end < len(low) and low[end] in _SCRIPTS[script]:
+                end += 1
+            out.append(self._run(low[at:end], script, gender) if script else low[at:end])
+            at = end
+        return self._cased(text, "".join(out))
+
+    def _run(self, run: str, script: str, gender: str) -> str:
+        plain = script == "latin" and all(c in _PLAIN for c in run)
+        letters = _PLAIN if plain else _SCRIPTS[script]
+        x = 0
+        for c in run:
+            x = x * len(letters) + letters.index(c)
+        n = len(letters) ** len(run)
+        # names of all lengths are numbered one after the other, so no two are spelt alike
+        x = self.permute(f"name/{script}/{gender}/{len(run)}", n, x) + (n - 1) // (len(letters) - 1)
+        onsets, vowels, ends, accented = SYLLABLES[script]
+        onsets, vowels = onsets.split(), vowels.split()
+        out = ""
+        while True:
+            x, k = divmod(x, len(onsets) * len(vowels))
+            out = onsets[k // len(vowels)] + vowels[k % len(vowels)] + out
+            if not x:
+                break
+            x -= 1
+        end = (ends if plain or script != "latin" else accented)["fm".find(gender) if gender else 2]
+        return out + ("l" if script == "latin" and out + end in _LISTED else "") + end
 
-    def given_name(self, text: str) -> str:
+    def given_name(self, text: str, title: str = "") -> str:
         hit = self.where.get(text.lower())
         if hit is None:
-            return self.word(text)
+            return self.spelt(text, self.gender(text) or title)
         (gender, script), i = hit
         names = self.given[gender, script]
         return self._cased(text, names[self.permute(f"given/{gender}/{script}", len(names), i)].lower())
 
-    def name(self, text: str) -> str:
-        return " ".join(self.given_name(w) for w in text.split(" "))
-
-    def step(self, kind: str, text: str, n: int) -> str:
+    @staticmethod
+    def gender(word: str) -> str:
+        """What the ending of an unlisted name tells; surnames that are listed have none."""
+        low = word.lower()
+        if low in _FAMILIES:
+            return ""
+        return next((g for g, ends in ENDINGS.items() if len(low) > 5 and low.endswith(tuple(ends))), "")
+
+    def name(self, text: str, titles: dict[str, str] | None = None) -> str:
+        """Word by word; ``titles`` has what titles tell of words that do not tell it."""
+        told = titles or {}
+        return " ".join(self.given_name(w, told.get(w.lower(), "")) for w in text.split(" "))
+
+    def step(self, kind: str, text: str, n: int, titles: dict[str, str] | None = None) -> str:
         """The ``n``-th image of an entity."""
         for _ in range(n):
-            text = self.of(kind, text)
+            text = self.name(text, titles) if kind == "name" else self.of(kind, text)
         return text
 
     def of(self, kind: str, text: str) -> str:
@@ -353,7 +413,62 @@ def _is_ip6(text: str) -> bool:
 
 def find(text: str) -> list[tuple[int, int, str]]:
     """Spans ``(start, end, kind)`` of the entities, in order, not overlapping."""
+    return _find(text)[0]
+
+
+def _around(text: str, start: int, end: int) -> tuple[str, str]:
+    """The characters before and after, blanks aside; empty at the text's ends."""
+    while start and text[start - 1].isspace():
+        start -= 1
+    while end < len(text) and text[end].isspace():
+        end += 1
+    return text[max(0, start - 1) : start], text[end : end + 1]
+
+
+def _follow(text: str, left: str, names: list[str]) -> list[tuple[int, int]]:
+    """Spans in ``left`` where words of ``names`` stand for the person again."""
+    words: dict[str, set[str]] = {}
+    beside: dict[str, set[str]] = {}
+    for n in names:
+        each = [w for w in n.split(" ") if w not in _GENDER]
+        for w in each:
+            words.setdefault(w.lower(), set()).add(w)
+            beside.setdefault(w.lower(), set()).update(x.lower() for x in each if x != w)
+    if not words:
+        return []
+    again = "|".join(map(re.escape, sorted(words, key=lambda w: (-len(w), w))))
+    found = list(re.finditer(rf"(?i)(?<![\w-])(?:{again})(?![\w-])", left))
+    low = [m[0].lower() for m in found]
+    joined = [False, *(b.start() == a.end() + 1 and text[a.end()] == " " and y in beside.get(x, ()) for a, b, x, y in zip(found, found[1:], low, low[1:], strict=False)), False]
+    spans, ordinary, unsure = [], set(), []
+    for i, (m, w) in enumerate(zip(found, low, strict=True)):
+        if w not in words:
+            continue
+        if joined[i] or joined[i + 1] or w in _FAMILIES:
+            spans.append(m.span())
+        elif m[0] == w:  # in small letters
+            a, b = _around(text, *m.span())
+            if a.isalnum() or b.isalnum() or a == b == "," or (a + b).strip("'’-") != a + b:
+                ordinary.add(w)
+            else:
+                unsure.append((m, w))
+        elif m[0] in words[w] or m[0].isupper():
+            unsure.append((m, w))
+    for m, w in unsure:
+        if w in ordinary:
+            a, _ = _around(text, *m.span())
+            opens = not a or a in ".!?:\"“„«¿¡(" or "\n" in text[text.rfind(a, 0, m.start()) : m.start()]
+            shouted = m[0].isupper() and len(m[0]) > 1 and m[0] not in words[w]
+            if m[0] == w or opens or shouted:
+                continue
+        spans.append(m.span())
+    return spans
+
+
+def _find(text: str) -> tuple[list[tuple[int, int, str]], dict[str, str]]:
+    """:func:`find`'s spans, and the genders that titles give to words of names."""
     found: list[tuple[int, int, str]] = []
+    titles: dict[str, str] = {}
     low = text.casefold()  # the patterns ignore case beyond ASCII, as in the Kelvin sign
     hints, starts, families = any(w in low for w in _WORDS), set(), []
     for end, (what, n) in _KEYWORDS.iter(text):
@@ -388,19 +503,22 @@ def find(text: str) -> list[tuple[int, int, str]]:
     for start in sorted(starts):
         if (m := _NAME.match(left, start)) is not None:
             name(m.span(next(g for g in ("after", "label", "known") if m[g])))
+            first, _, rest = (m["after"] or "").partition(" ")
+            if rest and first not in _GENDER and (g := _GENDER[m["title"]]):
+                w = first.lower()
+                titles[w] = g if titles.get(w, g) == g else ""  # none, if titles differ
     for start, end in families:
-        before = _BEFORE.search(left, max(0, start - 80), start)
+        back = start
+        for _ in range(3 if left[start - 1 : start] == " " else 0):
+            back = left.rfind(" ", 0, max(back, 0))
+        before = _BEFORE.search(left, back + 1, start) if back < start else None
         if before and (before.start() == 0 or not left[before.start() - 1].isalpha()):
             name((before.start(), end))
     for start, _ in families:
         if (m := _FAMILY.match(left, start)) is not None:
             name(m.span())
-    # each word of a name stands for the person elsewhere, in any case; a title among them for nobody
-    words = {w.lower() for n in names for w in n.split(" ")} - {t.lower() for t in _TITLES}
-    if words:
-        again = "|".join(map(re.escape, sorted(words, key=lambda w: (-len(w), w))))
-        left = take(left, "name", [m.span() for m in re.finditer(rf"(?i)(?<![\w-])(?:{again})(?![\w-])", left)])
-    return sorted(found)
+    take(left, "name", _follow(text, left, names))
+    return sorted(found), titles
 
 
 def canonical(kind: str, text: str) -> str:
@@ -418,15 +536,15 @@ def replace(text: str | None, s: Surrogates) -> tuple:
     """(new text, entities, distinct ones, distinct surrogates, pairs)."""
     if not text:
         return text, 0, 0, 0, []
-    spans = find(text)
+    spans, titles = _find(text)
     if not spans:
         return text, 0, 0, 0, []
     old = [text[a:b] for a, b, _ in spans]
     names = [(kind, canonical(kind, x)) for (_, _, kind), x in zip(spans, old, strict=True)]
-    steps = _apart(names, old, s)
+    steps = _apart(names, old, s, titles)
     out, at, seen, pairs = [], 0, {}, []
     for (a, b, kind), x, name in zip(spans, old, names, strict=True):
-        new = s.step(kind, x, steps.get(name, 1))
+        new = s.step(kind, x, steps.get(name, 1), titles)
         seen[name] = canonical(kind, new)
         pairs.append({"kind": kind, "original": x, "surrogate": new})
         out += [text[at:a], new]
@@ -435,7 +553,7 @@ def replace(text: str | None, s: Surrogates) -> tuple:
     return "".join(out), len(spans), len(seen), len({(k, v) for (k, _), v in seen.items()}), pairs
 
 
-def _apart(names: list[tuple[str, str]], old: list[str], s: Surrogates) -> dict[tuple[str, str], int]:
+def _apart(names: list[tuple[str, str]], old: list[str], s: Surrogates, titles: dict[str, str]) -> dict[tuple[str, str], int]:
     """Steps beyond the first that entities take to stay apart in a document."""
     taken: dict[tuple[str, str], tuple[str, str]] = {}
     steps = {}
@@ -444,7 +562,7 @@ def _apart(names: list[tuple[str, str]], old: list[str], s: Surrogates) -> dict[
         if name in steps:
             continue
         for n in range(1, 50):
-            new = kind, canonical(kind, s.step(kind, x, n))
+            new = kind, canonical(kind, s.step(kind, x, n, titles))
             if taken.get(new, name) == name and new != name:
                 break
         taken[new] = name
@@ -452,17 +570,13 @@ def _apart(names: list[tuple[str, str]], old: list[str], s: Surrogates) -> dict[
     return {k: n for k, n in steps.items() if n > 1}
 
 
-_PROCESS_KEY: list[str] = []
-
-
-def environment_key(name: str = "FJORDGRAPH_PII_KEY") -> str:
-    """The key in that variable of the driver's environment; without one, a
-    random key that holds for this process, so that nobody can invert it."""
-    if os.environ.get(name):
-        return os.environ[name]
-    if not _PROCESS_KEY:
-        _PROCESS_KEY.append(secrets.token_hex(32))
-    return _PROCESS_KEY[0]
+def environment_key(name: str = "FJORDGRAPH_PII_KEY", otherwise: str | None = None) -> str:
+    """The key in that variable of the driver's environment. Without one it is
+    ``otherwise``, or an error: runs under different keys do not agree."""
+    key = os.environ.get(name) or otherwise
+    if not key:
+        raise ValueError(f"set {name} to the key of the surrogates")
+    return key
 
 
 def surrogate(spark: SparkSession, text: Column, key: str) -> Column:
