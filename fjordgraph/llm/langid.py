@@ -46,6 +46,8 @@ LONGEST = 1 << 20
 MAX_N = 5
 #: Scored tokens that a worker remembers, and the bytes of their scores.
 CACHE, CACHE_BYTES = 300_000, 64 << 20
+#: A table of up to so many bytes is spread out to a row of all languages per key.
+FULL_BYTES = 32 << 20
 UNDETERMINED = "und"
 DRAWS = 1 << 40
 RESULT = "lang_pred string, score double"
@@ -126,10 +128,20 @@ class Table:
         seen = (n + kinds[self.langs] * common[row]) / (total + kinds)[self.langs] / common[row]
         self.more = np.log(seen) - self.unseen[self.langs]
         self.starts = np.searchsorted(row, np.arange(len(self.rows) + 1))
-
-    def add(self, into: np.ndarray, row: int) -> None:
-        a, b = self.starts[row], self.starts[row + 1]
-        into[self.langs[a:b]] += self.more[a:b]
+        self.full: np.ndarray | None = None
+        if len(self.rows) * k * 8 <= FULL_BYTES:
+            self.full = np.tile(self.unseen, (len(self.rows), 1))
+            self.full[row, self.langs] += self.more
+
+    def mean(self, rows: list[int]) -> np.ndarray:
+        """What each language says of these keys, on average."""
+        if self.full is not None:
+            return self.full[rows[0]] if len(rows) == 1 else np.add.reduce(self.full.take(rows, 0), 0) / len(rows)
+        out = np.zeros(len(self.unseen))
+        for r in rows:
+            a, b = self.starts[r], self.starts[r + 1]
+            out[self.langs[a:b]] += self.more[a:b]
+        return out / len(rows) + self.unseen
 
 
 class Model:
@@ -147,17 +159,12 @@ class Model:
         """What each language says of a word: logs of frequencies over common ones."""
         row = self.words.rows.get(word)
         if row is not None:
-            out = self.words.unseen.copy()
-            self.words.add(out, row)
-            return out
+            return self.words.mean([row])
         for size in range(MAX_N, 0, -1):
             table = self.grams[size - 1]
             known = [r for g in ngrams(word, size) if (r := table.rows.get(g)) is not None]
             if known:
-                out = np.zeros(len(self.langs))
-                for r in known:
-                    table.add(out, r)
-                return out / len(known) + table.unseen
+                return table.mean(known)
         return np.zeros(len(self.langs))
 
 

@@ -405,7 +405,9 @@ def plain_score(texts, text):
     return best, 1 / sum(math.exp(v - z[best]) for v in z.values())
 
 
-def test_langid_equals_brute_force(spark):
+@pytest.mark.parametrize("full", [0, 32 << 20])
+def test_langid_equals_brute_force(spark, monkeypatch, full):
+    monkeypatch.setattr(langid, "FULL_BYTES", full)
     rng = random.Random(8)
     lex = {"en": "the of and in that was house river".split(), "fr": "le des une est dans été maison fleuve".split(), "la": ["aqua", "domus"]}
     make = lambda x, k: " ".join(rng.choice(lex[x]) for _ in range(k))
