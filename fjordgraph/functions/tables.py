@@ -56,5 +56,5 @@ def row_pointers(rows: DataFrame, row: str, n: int) -> DataFrame:
     """``id, start, end`` of each row of a sparse matrix in coordinate form."""
     from ..operators.graph import Graph, csr_offsets
 
-    g = Graph(rows.select(F.col(row).cast("long").alias("src"), F.lit(0).cast("long").alias("dst")), vertices=rows.sparkSession.range(n))
+    g = Graph(rows.select(F.col(row).cast("long").alias("src"), F.lit(0).cast("long").alias("dst")), n)
     return csr_offsets(g)

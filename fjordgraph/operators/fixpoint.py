@@ -1,8 +1,9 @@
 """The superstep loop shared by all iterative operators.
 
-One Spark job per superstep: the new state is written to the shared folder with
-its metrics observed on the way, the old one is deleted, and the metrics alone
-decide whether to go on. Lineage is one superstep long at all times.
+A superstep is one job: the new state is written to the shared folder with its
+metrics observed on the way, the old one is deleted, and the metrics alone decide
+whether to go on. Lineage is one superstep long at all times. Where the state lies
+beside the edges (:mod:`.layout`), messages are all that is shuffled.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import cut, drop
+from .layout import Layout
 
 
 @dataclass
@@ -32,74 +34,48 @@ def iterate(
     stop: Callable[[dict], bool],
     max_iter: int | None,
     name: str,
+    layout: Layout | None = None,
 ) -> tuple[DataFrame, RunInfo]:
-    """Apply ``step(state, k, last metrics)`` until ``stop`` or ``max_iter``."""
+    """Apply ``step(state, k, last metrics)`` until ``stop`` or ``max_iter``.
+
+    With a ``layout`` the state has a unique ``id`` and is stored beside its edges.
+    """
     info = RunInfo()
-    state, seen = cut(state, name, **metrics)
-    while max_iter is None or info.iterations < max_iter:
-        info.iterations += 1
-        new, seen = cut(step(state, info.iterations, seen), name, **metrics)
+    first, later = (layout.begin, layout.store) if layout is not None else (cut, cut)
+    state, seen = first(state, name, **metrics)
+    try:
+        while max_iter is None or info.iterations < max_iter:
+            info.iterations += 1
+            new, seen = later(step(state, info.iterations, seen), name, **metrics)
+            drop(state)
+            state = new
+            info.metrics.append(seen)
+            if stop(seen):
+                info.converged = True
+                break
+    except BaseException:
         drop(state)
-        state = new
-        info.metrics.append(seen)
-        if stop(seen):
-            info.converged = True
-            break
+        raise
     return state, info
 
 
-#: Tables of found values that are read side by side before any are merged.
-TABLES = 4
-
-
-def _kept(tables: list[tuple[DataFrame, int]]) -> DataFrame:
-    out = tables[0][0]
-    for df, _ in tables[1:]:
-        out = out.unionByName(df)
-    return out
-
-
-def least_values(start: DataFrame, send: Callable[[DataFrame], DataFrame], max_iter: int | None, name: str, limit: Column | None = None) -> tuple[DataFrame, RunInfo]:
+def least_values(start: DataFrame, send: Callable[[DataFrame], DataFrame], max_iter: int | None, name: str, layout: Layout, limit: Column | None = None) -> tuple[DataFrame, RunInfo]:
     """Least fixpoint of a monotone rule: semi-naive propagation of minima.
 
     ``start`` has ``id, value``; ``send(changed)`` turns the rows that changed in
-    the last superstep into candidates ``id, value``. What has been found is kept
-    in tables of growing size, and a superstep adds one with its improvements
-    only: known values are read to be compared (a narrow frontier is sent to
-    them, not they to it) but never written again, except that a table is merged
-    with the one before it, when there are more than ``TABLES`` and that is no more
-    than twice as large, so a value is rewritten a logarithmic number of times. ``limit`` keeps rows from being
-    sent.
+    the last superstep into candidates ``id, value``. Found values lie by their id
+    beside the edges, so a superstep combines and shuffles candidates, and nothing
+    else. ``limit`` keeps rows from being sent.
     """
-    info = RunInfo()
-    count = {"changed": F.count(F.lit(1))}
-    fresh, seen = cut(start.select("id", "value"), name, **count)
-    tables, old = [(fresh, seen["changed"])], []
-    while max_iter is None or info.iterations < max_iter:
-        info.iterations += 1
-        active = fresh if limit is None else fresh.where(limit)
-        found = cut(send(active).groupBy("id").agg(F.min("value").alias("value")), f"{name}-sent")
-        known = _kept(tables).join(found.select("id"), "id", "left_semi").groupBy("id").agg(F.min("value").alias("was"))
-        better = found.join(known, "id", "left").where("was is null or value < was").select("id", "value")
-        fresh, seen = cut(better, name, **count)
-        drop(found, *old)
-        old = []
-        info.metrics.append(seen)
-        if not seen["changed"]:
-            drop(fresh)
-            info.converged = True
-            break
-        tables.append((fresh, seen["changed"]))
-        while len(tables) > TABLES and tables[-2][1] <= 2 * tables[-1][1]:
-            pair = tables[-2:]
-            del tables[-2:]
-            merged = cut(_kept(pair).groupBy("id").agg(F.min("value").alias("value")), name)
-            tables.append((merged, sum(n for _, n in pair)))
-            old += [df for df, _ in pair if df is not fresh]
-            if pair[1][0] is not fresh:
-                drop(pair[1][0])
-        if tables[-1][0] is not fresh:
-            old.append(fresh)
-    out = cut(_kept(tables).groupBy("id").agg(F.min("value").alias("value")), name)
-    drop(*old, *[df for df, _ in tables])
-    return out, info
+
+    def step(state: DataFrame, k: int, seen: dict) -> DataFrame:
+        active = state.where("fresh")
+        sent = send((active if limit is None else active.where(limit)).select("id", "value"))
+        found = sent.groupBy("id").agg(F.min("value").alias("sent"))
+        better = F.col("sent").isNotNull() & (F.col("value").isNull() | (F.col("sent") < F.col("value")))
+        both = state.join(found, "id", "full")
+        return both.select("id", F.when(better, F.col("sent")).otherwise(F.col("value")).alias("value"), better.alias("fresh"))
+
+    changed = {"changed": F.count_if("fresh")}
+    out, info = iterate(start.select("id", "value", F.lit(True).alias("fresh")), step, changed, lambda m: not m["changed"], max_iter, name, layout)
+    return out.select("id", "value"), info

@@ -2,37 +2,32 @@
 
 A graph is a directed multigraph: an edge table ``src, dst[, weight]`` whose
 repeated edges and self-loops count, and a vertex domain that is ``0 .. n-1`` when
-``n`` is given and the set of endpoints otherwise. Edges that leave the domain are
+``n`` is given, a table of ids, or the set of endpoints. Edges that leave the domain are
 dropped on construction, before any degree is counted; so are edges with a null
 endpoint. A missing weight is 1, a negative or non-finite one an error.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import cut, drop
+from .layout import Layout
 from .ranks import global_rank, running_total
 
 
-#: A vertex is a hub if it has more edges than so many mean partitions hold, and
-#: this many at least; its edges are spread over several partitions.
-HUB_SHARE, HUB_EDGES = 1 / 4, 20_000
-
-
 class Graph:
     """Edges and a vertex domain; immutable.
 
-    :meth:`along` joins a state with the edges at one of their ends. The edges
-    are partitioned by that end once and kept, so a loop shuffles its state only.
-    Edges of hubs are dealt over several partitions by their other end, and the
-    state's rows of hubs, of which there are at most a few per partition by the
-    definition of a hub, are copied there. ``release`` lets the edges go.
+    ``vertices`` (``id``) is a domain of any ids; edges with an end beside it are
+    dropped, unless it is said to be ``closed``, that is, to hold all ends.
+
+    ``layout`` keeps the edges for loops, by either end. An algorithm releases what it
+    had stored, but if the graph is used in ``with``, the tables stay until its end, for
+    all that runs there.
     """
 
-    def __init__(self, edges: DataFrame, n: int | None = None, vertices: DataFrame | None = None):
+    def __init__(self, edges: DataFrame, n: int | None = None, vertices: DataFrame | None = None, closed: bool = False):
         keep = [c for c in ("src", "dst", "weight") if c in edges.columns]
         edges = edges.select(*keep).where("src is not null and dst is not null")
         if "weight" in keep:
@@ -41,10 +36,25 @@ class Graph:
             edges = edges.withColumn("weight", F.when(bad, F.raise_error(F.lit("edge weights must be finite and not negative"))).otherwise(w))
         if n is not None:
             edges = edges.where((F.col("src") >= 0) & (F.col("dst") >= 0) & (F.col("src") < n) & (F.col("dst") < n))
+        if vertices is not None and not closed:
+            for end in ("src", "dst"):
+                edges = edges.join(vertices.select(F.col("id").alias(end)), end, "left_semi")
+            edges = edges.select(*keep)
         self.edges, self.n, self._vertices = edges, n, vertices
-        self._kept: dict[str, tuple[DataFrame, DataFrame | None]] = {}
-        self._written: DataFrame | None = None
-        self._seen: dict = {}
+        self.layout = Layout(edges)
+        self._held = False
+
+    def __enter__(self) -> Graph:
+        self._held = True
+        return self
+
+    def __exit__(self, *error) -> None:
+        self._held = False
+        self.layout.release()
+
+    def release(self) -> None:
+        if not self._held:
+            self.layout.release()
 
     @property
     def spark(self) -> SparkSession:
@@ -56,42 +66,6 @@ class Graph:
             return self._vertices.select("id")
         return domain(self.spark, self.n) if self.n is not None else endpoints(self.edges)
 
-    def _by(self, key: str) -> tuple[DataFrame, DataFrame | None]:
-        """Kept edges, and the hubs (``key, parts``) if there are any."""
-        if key not in self._kept:
-            parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-            if self._written is None:  # computed once, for the degrees and either end
-                self._written, self._seen = cut(self.edges, "edges", n=F.count(F.lit(1)))
-            degrees = self._written.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-            share = max(self._seen["n"] / parts * HUB_SHARE, HUB_EDGES)
-            hubs = cut(degrees.where(F.col("n") > share).select(key, F.ceil(F.col("n") / F.lit(share)).cast("int").alias("parts")), "hubs")
-            hubs = hubs if hubs.limit(1).count() else None
-            other = "dst" if key == "src" else "src"
-            salt = F.lit(0) if hubs is None else F.coalesce(F.pmod(F.xxhash64(other), F.col("parts")), F.lit(0)).cast("int")
-            edges = self._written if hubs is None else self._written.join(F.broadcast(hubs), key, "left")
-            edges = edges.withColumn("salt", salt).drop("parts").repartition(parts, key, "salt")
-            self._kept[key] = edges.persist(StorageLevel.MEMORY_AND_DISK), hubs
-        return self._kept[key]
-
-    def along(self, state: DataFrame, key: str) -> DataFrame:
-        """Edges with the columns of ``state`` (``id, ...``) at their ``key`` end."""
-        edges, hubs = self._by(key)
-        rows = state.withColumnRenamed("id", key)
-        if hubs is None:
-            rows = rows.withColumn("salt", F.lit(0))
-        else:
-            copies = F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)
-            rows = rows.join(F.broadcast(hubs), key, "left").withColumn("salt", F.explode(copies)).drop("parts")
-        return edges.join(rows, [key, "salt"]).drop("salt")
-
-    def release(self) -> None:
-        for df, hubs in self._kept.values():
-            df.unpersist()
-            drop(hubs)
-        drop(self._written)
-        self._written = None
-        self._kept.clear()
-
     def with_edges(self, edges: DataFrame) -> Graph:
         return Graph(edges, self.n, self._vertices)
 

@@ -22,7 +22,7 @@ def majority(votes: DataFrame) -> DataFrame:
 
 def _step(graph: Graph, state: DataFrame) -> DataFrame:
     known = state.where("label is not null").select("id", "label")
-    best = majority(graph.along(known, "dst").select(F.col("src").alias("id"), "label"))
+    best = majority(graph.layout.along(known, "dst").select(F.col("src").alias("id"), "label"))
     new = F.when(F.col("is_seed"), F.col("label")).otherwise(F.coalesce("best", "label"))
     both = state.join(best, "id", "left")
     return both.select("id", new.alias("label"), "is_seed", (~new.eqNullSafe(F.col("label"))).alias("changed"))
@@ -46,7 +46,7 @@ def label_propagation(graph: Graph, seeds: DataFrame | None = None, max_iter: in
             return m["changed"] <= threshold
         return m["changed"] == 0 or (m["changed"] / m["free"] if m["free"] else 0.0) < ratio
 
-    state, info = iterate(start, lambda s, k, m: _step(graph, s), metrics, done, max_iter, "labels")
+    state, info = iterate(start, lambda s, k, m: _step(graph, s), metrics, done, max_iter, "labels", graph.layout)
     graph.release()
     return state.select("id", "label"), info
 
@@ -58,7 +58,7 @@ def label_propagation_undirected(edges: DataFrame, seeds: DataFrame, max_iter: i
     """
     both = undirected_simple(edges)
     ids = both.select(F.col("src").alias("id")).unionAll(clean_seeds(seeds).select("id")).distinct()
-    return label_propagation(Graph(both, vertices=ids), seeds, max_iter, ratio=ratio)
+    return label_propagation(Graph(both, vertices=ids, closed=True), seeds, max_iter, ratio=ratio)
 
 
 def label_summary(labels: DataFrame) -> DataFrame:

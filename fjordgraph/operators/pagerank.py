@@ -15,7 +15,7 @@ def contributions(graph: Graph, ranks: DataFrame) -> DataFrame:
     ``ranks`` has ``id, rank, degree``. A graph's repeated edges each count.
     """
     share = ranks.where("degree > 0").select("id", (F.col("rank") / F.col("degree")).alias("share"))
-    return graph.along(share, "src").groupBy(F.col("dst").alias("id")).agg(F.sum("share").alias("value"))
+    return graph.layout.along(share, "src").groupBy(F.col("dst").alias("id")).agg(F.sum("share").alias("value"))
 
 
 def pagerank(graph: Graph, max_iter: int = 100, damping: float = 0.85, tol: float = 1e-6, normalised: bool = True) -> tuple[DataFrame, RunInfo]:
@@ -38,13 +38,11 @@ def pagerank(graph: Graph, max_iter: int = 100, damping: float = 0.85, tol: floa
 
     def step(state: DataFrame, k: int, seen: dict) -> DataFrame:
         base = (1.0 - damping) / n + damping * (seen["loose"] or 0.0) / n if normalised else 1.0 - damping
-        sent = contributions(graph, state).select("id", "value", F.lit(None).cast("double").alias("rank"), F.lit(None).cast("long").alias("degree"))
-        mine = state.select("id", F.lit(0.0).alias("value"), "rank", "degree")
-        both = mine.unionByName(sent).groupBy("id").agg(F.sum("value").alias("value"), F.max("rank").alias("was"), F.max("degree").alias("degree"))
-        new = F.lit(base) + F.lit(damping) * F.col("value")
-        return both.select("id", new.alias("rank"), "degree", F.abs(new - F.col("was")).alias("moved"))
+        sent = state.join(contributions(graph, state), "id", "left")
+        new = F.lit(base) + F.lit(damping) * F.coalesce("value", F.lit(0.0))
+        return sent.select("id", new.alias("rank"), "degree", F.abs(new - F.col("rank")).alias("moved"))
 
-    state, info = iterate(start, step, metrics, lambda m: m["delta"] < tol, max_iter, "pagerank")
+    state, info = iterate(start, step, metrics, lambda m: m["delta"] < tol, max_iter, "pagerank", graph.layout)
     graph.release()
     return state.select("id", "rank"), info
 

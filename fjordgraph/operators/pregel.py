@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import cut, drop
 from .fixpoint import RunInfo, iterate
+from .layout import Layout
 
 
 BOTH = ("src", "dst")
@@ -31,7 +31,18 @@ def aggregate_messages(vertices: DataFrame, edges: DataFrame, merge: Column, to_
     Messages that use one end's attributes only need one join: ``reads`` says
     which ends they use.
     """
-    t = triplets(vertices, edges, reads)
+    return _merged(triplets(vertices, edges, reads), merge, to_dst, to_src)
+
+
+def _triplets(state: DataFrame, layout: Layout, reads: tuple[str, ...]) -> DataFrame:
+    """:func:`triplets` over stored edges and a state beside them."""
+    names = [c for c in state.columns if c != "id"]
+    first, *rest = reads
+    near = layout.along(state.select("id", *[F.col(c).alias(f"{first}_{c}") for c in names]), first)
+    return triplets(state, near, tuple(rest))
+
+
+def _merged(t: DataFrame, merge: Column, to_dst: Column | None, to_src: Column | None) -> DataFrame:
     sent = [t.select(F.col(at).alias("id"), m.alias("msg")) for at, m in (("dst", to_dst), ("src", to_src)) if m is not None]
     if not sent:
         raise ValueError("no message is sent")
@@ -45,13 +56,17 @@ def pregel(vertices: DataFrame, edges: DataFrame, merge: Column, update: dict[st
     ``update`` maps attributes to expressions over the old attributes and
     ``msg`` (null where no message came). ``changed`` compares ``old_<name>`` with
     the new attributes; by default any difference is a change. ``reads`` is as in
-    :func:`aggregate_messages`. Edges are written once, ahead of the loop.
+    :func:`aggregate_messages`. Edges are stored once, by the end that is read (or the
+    source, if both are), with the state beside them; a join with the other end's state
+    shuffles what the first one gave.
     """
-    edges = cut(edges, "pregel-edges")
+    if not reads:
+        raise ValueError("messages read one end at least")
+    layout = Layout(edges)
     names = [c for c in vertices.columns if c != "id"]
 
     def step(state: DataFrame, k: int, seen: dict) -> DataFrame:
-        msgs = aggregate_messages(state.select("id", *names), edges, merge, to_dst, to_src, reads)
+        msgs = _merged(_triplets(state.select("id", *names), layout, reads), merge, to_dst, to_src)
         new = state.select("id", *names).join(msgs, "id", "left")
         new = new.select("id", *[F.col(c).alias(f"old_{c}") for c in names], *[update.get(c, F.col(c)).alias(c) for c in names])
         differs = F.lit(False)
@@ -60,6 +75,6 @@ def pregel(vertices: DataFrame, edges: DataFrame, merge: Column, update: dict[st
         return new.withColumn("__changed", differs if changed is None else changed).drop(*[f"old_{c}" for c in names])
 
     start = vertices.withColumn("__changed", F.lit(True))
-    out, info = iterate(start, step, {"changed": F.count_if("__changed")}, lambda m: m["changed"] == 0, max_iter, "pregel")
-    drop(edges)
+    out, info = iterate(start, step, {"changed": F.count_if("__changed")}, lambda m: m["changed"] == 0, max_iter, "pregel", layout)
+    layout.release()
     return out.select("id", *names), info

@@ -22,10 +22,10 @@ def bfs(graph: Graph, source: int, max_levels: int | None = 500, all_vertices: b
     ``all_vertices`` off only reached vertices are returned.
     """
     def send(frontier: DataFrame) -> DataFrame:
-        return graph.along(frontier, "src").select(F.col("dst").alias("id"), (F.col("value") + 1).alias("value"))
+        return graph.layout.along(frontier, "src").select(F.col("dst").alias("id"), (F.col("value") + 1).alias("value"))
 
     limit = F.col("value") < max_levels if max_levels is not None else None
-    found, info = least_values(_source(graph, source, F.lit(0)), send, None, "bfs", limit)
+    found, info = least_values(_source(graph, source, F.lit(0)), send, None, "bfs", graph.layout, limit)
     graph.release()
     info.iterations -= 1
     levels = found.select("id", F.col("value").alias("level"))
@@ -40,9 +40,9 @@ def sssp(graph: Graph, source: int, max_iter: int | None = 500, all_vertices: bo
     weight = F.col("weight") if "weight" in graph.edges.columns else F.lit(1.0)
 
     def send(changed: DataFrame) -> DataFrame:
-        return graph.along(changed, "src").select(F.col("dst").alias("id"), (F.col("value") + weight).alias("value"))
+        return graph.layout.along(changed, "src").select(F.col("dst").alias("id"), (F.col("value") + weight).alias("value"))
 
-    found, info = least_values(_source(graph, source, F.lit(0.0)), send, max_iter, "sssp")
+    found, info = least_values(_source(graph, source, F.lit(0.0)), send, max_iter, "sssp", graph.layout)
     graph.release()
     distances = found.select("id", F.col("value").alias("distance"))
     return (graph.vertices.join(distances, "id", "left") if all_vertices else distances), info

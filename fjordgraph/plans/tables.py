@@ -123,7 +123,7 @@ def user_graph(spark: SparkSession, sf_dir: str) -> Graph:
     events = table(spark, sf_dir, "events").select("ts", "event_id", "user_id", F.lit(1).cast("long").alias("one"))
     ranked = cut(running_total(events, ["ts", "event_id"], "one", "k").select("k", "user_id"), "user-order")
     after = ranked.select((F.col("k") - 1).alias("k"), F.col("user_id").alias("dst"))
-    return Graph(ranked.join(after, "k").select(F.col("user_id").alias("src"), "dst"), vertices=events.select(F.col("user_id").alias("id")).distinct())
+    return Graph(ranked.join(after, "k").select(F.col("user_id").alias("src"), "dst"), vertices=events.select(F.col("user_id").alias("id")).distinct(), closed=True)
 
 
 def trade_graph(spark: SparkSession, sf_dir: str) -> Graph:
@@ -133,4 +133,4 @@ def trade_graph(spark: SparkSession, sf_dir: str) -> Graph:
     supplier = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") + offset).alias("id"))
     sold = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
     edges = sold.select(F.col("o_custkey").alias("src"), (F.col("l_suppkey") + offset).alias("dst")).distinct()
-    return Graph(edges, vertices=customer.unionAll(supplier))
+    return Graph(edges, vertices=customer.unionAll(supplier), closed=True)

@@ -37,19 +37,29 @@ def write_table(df: DataFrame, name: str = "t", by: str | None = None) -> str:
     return path
 
 
-def cut(df: DataFrame, name: str = "t", by: str | None = None, **metrics) -> DataFrame | tuple[DataFrame, dict]:
+def cut(df: DataFrame, name: str = "t", by: str | None = None, buckets: tuple[int, str] | None = None, **metrics) -> DataFrame | tuple[DataFrame, dict]:
     """Write ``df`` and read it back: lineage ends here.
 
-    With ``metrics`` (name -> aggregate Column) these are observed in the same
-    job and returned beside the table.
+    With ``buckets`` (number, column) the table is bucketed: joins and groupings by
+    that column then need no exchange of it. ``df`` should lie in as many partitions
+    by that column already, as each task writes a file for every bucket it has. With
+    ``metrics`` (name -> aggregate Column) these are observed in the same job and
+    returned beside the table.
     """
     spark = df.sparkSession
     seen = Observation(f"{name}-{uuid.uuid4().hex}") if metrics else None
     if seen is not None:
         df = df.observe(seen, *[c.alias(k) for k, c in metrics.items()])
-    schema = df.schema
-    path = write_table(df, name, by)
-    table = spark.read.schema(schema).parquet(path)
+    if buckets is None:
+        schema = df.schema
+        path = write_table(df, name, by)
+        table = spark.read.schema(schema).parquet(path)
+    else:
+        path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        known = f"fjord_{uuid.uuid4().hex}"
+        df.write.bucketBy(buckets[0], buckets[1]).format("parquet").option("path", path).saveAsTable(known)
+        table = spark.table(known)
+        table._fjord_table = known
     table._fjord_path = path
     return (table, seen.get) if seen is not None else table
 
@@ -60,6 +70,8 @@ def drop(*tables: DataFrame | None) -> None:
         path = getattr(t, "_fjord_path", None)
         if path:
             spark = t.sparkSession
+            if getattr(t, "_fjord_table", None):
+                spark.sql(f"drop table if exists {t._fjord_table}")
             p = spark._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
             t._fjord_path = None

@@ -1,9 +1,12 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from fjordgraph.operators import layout
 from fjordgraph.operators.components import connected_components
+from fjordgraph.operators.fixpoint import least_values
 from fjordgraph.operators.graph import Graph, formula_weight
 from fjordgraph.operators.labels import fixed_point_violations, label_propagation, label_propagation_undirected
 from fjordgraph.operators.louvain import louvain, modularity
@@ -139,20 +142,66 @@ def test_louvain_finds_planted_communities(spark):
     assert values(louvain(edges_of(spark, [(3, 3, 2.0)], True))[0], "community") == {3: 0}
 
 
+def exchanged(df):
+    """The columns by which each exchange of the plan deals its rows, and its scans of
+    bucketed tables."""
+    plan = re.sub(r"#\d+L?", "", df._jdf.queryExecution().executedPlan().toString())
+    return re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", plan), plan.count("Bucketed: true")
+
+
 def test_hubs_are_spread(spark, monkeypatch):
     """A hub with nine tenths of the edges fills no partition, and results stay."""
-    from fjordgraph.operators import graph as gm
-
-    monkeypatch.setattr(gm, "HUB_EDGES", 50)
+    monkeypatch.setattr(layout, "HUB_EDGES", 50)
     rng = random.Random(2)
     rows = [(0, 1 + k % 299) for k in range(1800)] + [(rng.randrange(300), rng.randrange(300)) for _ in range(200)]
-    g = Graph(edges_of(spark, rows), 300)
-    kept, hubs = g._by("src")
-    sizes = [r["count"] for r in kept.groupBy(F.spark_partition_id()).count().collect()]
-    assert [r.src for r in hubs.collect()] == [0] and max(sizes) < 0.75 * len(rows)
-    state = spark.range(300).withColumn("x", F.col("id") * 2)
-    assert sorted((r.src, r.dst, r.x) for r in g.along(state, "src").collect()) == sorted((u, v, 2 * u) for u, v in rows)
-    assert values(bfs(g, 0)[0], "level") == plain.bfs(rows, 300, 0)
-    ranks = values(pagerank(Graph(edges_of(spark, rows), 300), 5, tol=0.0)[0], "rank")
-    want = plain.pagerank(rows, 300, 5)
-    assert all(abs(ranks[k] - want[k]) < 1e-12 for k in want)
+    with Graph(edges_of(spark, rows), 300) as g:
+        near, hubs, far = g.layout.by("src")
+        assert [r.src for r in hubs.collect()] == [0] and near.count() < 250 and near.count() + far.count() == len(rows)
+        state = g.layout.begin(spark.range(300).withColumn("x", F.col("id") * 2), "state")
+        assert sorted((r.src, r.dst, r.x) for r in g.layout.along(state, "src").collect()) == sorted((u, v, 2 * u) for u, v in rows)
+        assert values(bfs(g, 0)[0], "level") == plain.bfs(rows, 300, 0)
+        ranks = values(pagerank(g, 5, tol=0.0)[0], "rank")
+        want = plain.pagerank(rows, 300, 5)
+        assert all(abs(ranks[k] - want[k]) < 1e-12 for k in want)
+        assert values(label_propagation(g, max_iter=3)[0], "label") == plain.labels(rows, 300, None, 3)[0]
+        assert g.layout.by("src")[0] is near  # three algorithms, one layout
+
+
+def test_supersteps_shuffle_messages_only(spark, monkeypatch):
+    """Neither edges nor states are exchanged in any superstep of any loop."""
+    plans = []
+    store = layout.Layout.store
+    monkeypatch.setattr(layout.Layout, "store", lambda self, df, name, **m: (plans.append((name, *exchanged(df))), store(self, df, name, **m))[1])
+    rows = random_edges(5, 40, 120)
+    with Graph(edges_of(spark, [(u, v, 1.0 + u % 3) for u, v in rows], True), 40) as g:
+        bfs(g, 0)
+        sssp(g, 0)
+        pagerank(g, 3, tol=0.0)
+        label_propagation(g, max_iter=3)
+        start = g.vertices.select("id", F.when(F.col("id") == 0, 0).alias("d"))
+        pregel(start, g.edges, F.min("msg"), {"d": F.least("d", "msg")}, to_dst=F.col("src_d") + 1, reads=("src",))
+        assert len(g.layout._by) == 2
+    steps = [p for p in plans if p[2] > 1]
+    assert {p[0] for p in steps} == {"bfs", "sssp", "pagerank", "labels", "pregel"}
+    for name, keys, scans in steps:
+        assert sorted(keys) in ([["id", "id, label"]] if name == "labels" else [["dst"], ["id"]]), (name, keys)
+    assert g.layout._by == {} and not g.layout._written
+
+
+def test_a_failed_loop_leaves_no_state(spark):
+    rows = random_edges(6, 10, 20)
+    before = {t.name for t in spark.catalog.listTables()}
+    with pytest.raises(Exception, match="no such"), Graph(edges_of(spark, rows), 10) as g:
+        least_values(g.vertices.select("id", F.lit(0).alias("value")), lambda s: s.select("id", F.raise_error(F.lit("no such")).cast("int").alias("value")), None, "t", g.layout)
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_edges_leave_a_given_domain(spark):
+    """Edges that lead out of the vertices go before anything is counted."""
+    e = edges_of(spark, [(0, 1), (1, 7), (7, 0), (1, 0), (1, 0)])
+    ids = spark.createDataFrame([(0,), (1,), (4,)], "id long")
+    g = Graph(e, vertices=ids)
+    assert sorted((r.src, r.dst) for r in g.edges.collect()) == [(0, 1), (1, 0), (1, 0)]
+    ranks = values(pagerank(g, 50)[0], "rank")
+    assert set(ranks) == {0, 1, 4} and abs(sum(ranks.values()) - 1) < 1e-9
+    assert values(bfs(g, 0)[0], "level") == {0: 0, 1: 1, 4: None}
