@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import formula_weight
+from ..operators.ranks import running_total
+from ..storage import cut
 
 MASK = (1 << 64) - 1
 #: Modulus of the hash; products of two residues fit 64 bits. Multipliers of two
@@ -239,5 +241,11 @@ def ratings(spark: SparkSession, users: int, items: int, mean: float, seed: int
 
 
 def shuffled_subset(rows: DataFrame, keys: list[str], limit: int, seed: int = 42) -> DataFrame:
-    """A random ``limit`` rows in random order, the same for a seed."""
-    return rows.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys).limit(limit)
+    """``limit`` rows chosen and ordered by a hash of ``keys``, which are integers and
+    unique; ``place`` is their order, from 0. The same for a seed.
+
+    Places are ranks over sampled ranges, so no task orders more than its range.
+    """
+    hashed = rows.withColumns({"__h": uniform(seed, *keys), "__one": F.lit(1).cast("long")})
+    ranked = running_total(cut(hashed, "shuffled"), ["__h", *keys], "__one", "place")
+    return ranked.where(F.col("place") <= limit).withColumn("place", F.col("place") - 1).drop("__h", "__one")

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import analytics, generate, reports, tables, validate
@@ -19,21 +17,7 @@ from ..sources import edges as io
 from ..sources import records
 from ..storage import shared_dir
 from . import tables as t
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a function under its name, with its SQL if there is one."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
+from .registry import query
 
 
 def _scratch(spark: SparkSession) -> str:
@@ -94,12 +78,9 @@ def component_count(spark, sf_dir):
     return reports.component_count(cc(t.part_chain(spark, sf_dir)))
 
 
-@query(f"""with recursive {t.COMPONENTS}, d as (select m, dense_rank() over (order by f) - 1 k from (select m, min(id) f from r group by 1)),
-o as (select list(k order by id) ks from r join d using (m))
-select format('{{:016x}}', list_reduce(list_prepend({0xCBF29CE484222325}::uhugeint, list_transform(ks, lambda x: x::uhugeint)), lambda h, x: (xor(h, x) * {0x100000001B3}::uhugeint) % 18446744073709551616::uhugeint)::ubigint) as digest from o""")
+@query(f"with recursive {t.COMPONENTS}, {t.digest_ctes('select id, m as label from r')} select digest from digested")
 def partition_digest(spark, sf_dir):
-    labels = cc(t.part_chain(spark, sf_dir))
-    return spark.range(1).select(F.lit(reports.partition_digest(labels, "component")).alias("digest"))
+    return reports.partition_digest(cc(t.part_chain(spark, sf_dir)), "component")
 
 
 @query(f"with {t.pagerank_ctes(10, t.MULTI)} select id, round(r, 9) as rank from p10")

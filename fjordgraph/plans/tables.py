@@ -30,6 +30,24 @@ MULTI = """e as materialized (select src, dst from (select user_id src, lead(use
 #: Who bought from whom: bipartite, and suppliers have no out-edges.
 TRADE = """e as materialized (select distinct o_custkey src, l_suppkey + (select count(*) from customer) dst from orders join lineitem on l_orderkey = o_orderkey), v as (select c_custkey id from customer union all select s_suppkey + (select count(*) from customer) from supplier)"""
 
+#: An order leads to its customer's next one, an urgent one to the third from it too:
+#: many components, long paths, ends without a way on, and vertices with two ways.
+ORDERS = """ahead as (select o_orderkey src, lead(o_orderkey) over w a, case when o_orderpriority = '1-URGENT' then lead(o_orderkey, 3) over w end b from orders window w as (partition by o_custkey order by o_orderdate, o_orderkey)), e as materialized (select src, a dst from ahead where a is not null union all select src, b from ahead where b is not null), v as (select o_orderkey id from orders),
+ s0 as (select min_by(o_orderkey, (o_orderdate, o_orderkey)) id from orders where o_custkey = (select o_custkey from orders group by 1 order by count(*) desc, 1 limit 1))"""
+ORDERS_WEIGHTED = ORDERS + """, w as (select src, dst, cast(1 + (src * 31 + dst * 17 + 7) % 13 as double) weight from e)"""
+
+
+def on_orders(ctes: str) -> str:
+    """The same over the order graph."""
+    return ctes.replace(WEIGHTED, ORDERS_WEIGHTED).replace(SOURCE, ORDERS).replace(PARTS, ORDERS)
+
+
+def digest_ctes(labels: str) -> str:
+    """``digested``: the digest of ``labels`` (``id, label``), serially in id order."""
+    return f"""lab as ({labels}), firsts as (select label, dense_rank() over (order by min(id)) - 1 k from lab group by 1),
+ listed as (select list(k + 1 order by id) ks, count(*) n from lab join firsts using (label)),
+ digested as (select {" || ".join(f"lpad(format('{{:x}}', list_reduce(list_prepend(0::bigint, list_reverse(ks)), lambda h, x: (h * {f} + x) % 2147483647)), 8, '0')" for f in (48271, 69621))} || lpad(format('{{:x}}', n), 12, '0') as digest from listed)"""
+
 
 def lp_ctes(rounds: int, seeded: bool, graph: str = PARTS) -> str:
     """Label propagation of a fixed number of rounds: ``l0 .. l<rounds>``."""
@@ -126,6 +144,24 @@ def user_graph(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(ranked.join(after, "k").select(F.col("user_id").alias("src"), "dst"), vertices=events.select(F.col("user_id").alias("id")).distinct(), closed=True)
 
 
+def order_graph(spark: SparkSession, sf_dir: str, weighted: bool = False) -> Graph:
+    """Orders that lead to their customer's later ones."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    third = F.when(F.col("o_orderpriority") == "1-URGENT", F.lead("o_orderkey", 3).over(w))
+    ahead = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("src"), F.lead("o_orderkey").over(w).alias("a"), third.alias("b"))
+    edges = ahead.select("src", F.explode(F.array("a", "b")).alias("dst")).where("dst is not null")
+    if weighted:
+        edges = edges.withColumn("weight", formula_weight())
+    return Graph(edges, vertices=table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")), closed=True)
+
+
+def first_order(spark: SparkSession, sf_dir: str) -> int:
+    """The first order of the customer with the most orders."""
+    orders = table(spark, sf_dir, "orders")
+    best = orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("o_orderdate", "o_orderkey")).alias("first"))
+    return best.orderBy(F.desc("n"), "o_custkey").select("first.o_orderkey").first()[0]
+
+
 def trade_graph(spark: SparkSession, sf_dir: str) -> Graph:
     """Customers to the suppliers they bought from, whose ids follow theirs."""
     customer = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))

@@ -1,6 +1,8 @@
 import random
 import re
 
+import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from fjordgraph.operators.components import connected_components
 from fjordgraph.operators.fixpoint import least_values
 from fjordgraph.operators.graph import Graph, formula_weight
 from fjordgraph.operators.labels import fixed_point_violations, label_propagation, label_propagation_undirected
-from fjordgraph.operators.louvain import louvain, modularity
+from fjordgraph.operators.louvain import local_move, louvain, modularity
 from fjordgraph.operators.pagerank import pagerank
 from fjordgraph.operators.pregel import pregel
 from fjordgraph.operators.traversal import bfs, sssp
@@ -142,6 +144,32 @@ def test_louvain_finds_planted_communities(spark):
     assert values(louvain(edges_of(spark, [(3, 3, 2.0)], True))[0], "community") == {3: 0}
 
 
+def no_gaining_move(e, found):
+    """In SQL, over the result: the most that any vertex would gain by moving alone."""
+    con = duckdb.connect()
+    con.register("e", pd.DataFrame([tuple(r) for r in e.collect()], columns=["src", "dst", "weight"]))
+    con.register("c", pd.DataFrame([tuple(r) for r in found.collect()], columns=["id", "community"]))
+    return con.sql("""with ends as (select src u, dst v, weight w from e union all select dst, src, weight from e where src <> dst),
+        d as (select u id, sum(w) d from ends group by 1), m as (select sum(2 * weight) m2 from e), t as (select community, sum(d) t from d join c using (id) group by 1),
+        own as (select id, community, d, t, coalesce((select sum(w) from ends x join c y on y.id = x.v where x.u = d.id and x.v <> x.u and y.community = c.community), 0) w from d join c using (id) join t using (community)),
+        links as (select u id, c.community, sum(w) w from ends join c on c.id = v where u <> v group by 1, 2)
+        select max((l.w - o.d * t.t / m2) - (o.w - o.d * (o.t - o.d) / m2)) from links l join own o using (id) join t on t.community = l.community, m where l.community <> o.community""").fetchall()[0][0]
+
+
+@pytest.mark.parametrize("seed,n,p", [(1, 60, 0.1), (2, 40, 0.5), (3, 90, 0.03)])
+def test_local_move_rises_until_no_move_gains(spark, seed, n, p):
+    rng = random.Random(seed)
+    rows = [(u, v, float(rng.randrange(1, 5))) for u in range(n) for v in range(u, n) if rng.random() < p]
+    e = edges_of(spark, rows, True)
+    log: list = []
+    found = local_move(e, log)
+    assert all(x["gain"] > 0 and 0 < x["moved"] <= x["would"] for x in log)
+    assert (no_gaining_move(e, found) or 0) <= 1e-9
+    ids = found.select("id", F.col("id").alias("community"))
+    # what the sweeps say they gained is not more than what modularity rose by
+    assert sum(x["gain"] for x in log) <= modularity(e, found).first().modularity - modularity(e, ids).first().modularity + 1e-9
+
+
 def exchanged(df):
     """The columns by which each exchange of the plan deals its rows, and its scans of
     bucketed tables."""

@@ -5,7 +5,8 @@ import os
 import duckdb
 import pytest
 
-from fjordgraph.plans import catalog
+from fjordgraph.plans import catalog, structured  # noqa: F401
+from fjordgraph.plans.registry import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -25,10 +26,10 @@ def shown(rows, names):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
-@pytest.mark.parametrize("name", list(catalog.ORACLE_SQL))
+@pytest.mark.parametrize("name", list(ORACLE_SQL))
 def test_query_equals_sql(spark, con, name):
-    df = catalog.QUERIES[name](spark, SF)
-    rel = con.sql(catalog.ORACLE_SQL[name])
+    df = QUERIES[name](spark, SF)
+    rel = con.sql(ORACLE_SQL[name])
     assert sorted(df.columns) == sorted(rel.columns)
     assert shown([tuple(r) for r in df.collect()], df.columns) == shown(rel.fetchall(), list(rel.columns))
 
