@@ -37,13 +37,13 @@ def write_table(df: DataFrame, name: str = "t", by: str | None = None) -> str:
     return path
 
 
-def cut(df: DataFrame, name: str = "t", by: str | None = None, buckets: tuple[int, str] | None = None, **metrics) -> DataFrame | tuple[DataFrame, dict]:
+def cut(df: DataFrame, name: str = "t", by: str | None = None, buckets: tuple[int, str] | None = None, path: str | None = None, **metrics) -> DataFrame | tuple[DataFrame, dict]:
     """Write ``df`` and read it back: lineage ends here.
 
     With ``buckets`` (number, column) the table is bucketed: joins and groupings by
     that column then need no exchange of it. ``df`` should lie in as many partitions
-    by that column already, as each task writes a file for every bucket it has. With
-    ``metrics`` (name -> aggregate Column) these are observed in the same job and
+    by that column already, as each task writes a file for every bucket it has. ``path``
+    is a folder of the caller's. With ``metrics`` (name -> aggregate Column) these are observed in the same job and
     returned beside the table.
     """
     spark = df.sparkSession
@@ -52,7 +52,10 @@ def cut(df: DataFrame, name: str = "t", by: str | None = None, buckets: tuple[in
         df = df.observe(seen, *[c.alias(k) for k, c in metrics.items()])
     if buckets is None:
         schema = df.schema
-        path = write_table(df, name, by)
+        if path is None:
+            path = write_table(df, name, by)
+        else:
+            df.write.parquet(path)
         table = spark.read.schema(schema).parquet(path)
     else:
         path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

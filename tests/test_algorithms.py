@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from fjordgraph.operators import layout
+from fjordgraph.operators import layout, traversal
 from fjordgraph.operators.components import connected_components
 from fjordgraph.operators.fixpoint import least_values
 from fjordgraph.operators.graph import Graph, formula_weight
@@ -209,6 +209,7 @@ def test_supersteps_shuffle_messages_only(spark, monkeypatch):
         start = g.vertices.select("id", F.when(F.col("id") == 0, 0).alias("d"))
         pregel(start, g.edges, F.min("msg"), {"d": F.least("d", "msg")}, to_dst=F.col("src_d") + 1, reads=("src",))
         assert len(g.layout._by) == 2
+        bfs(Graph(g.edges, vertices=g.vertices, closed=True), 0)
     steps = [p for p in plans if p[2] > 1]
     assert {p[0] for p in steps} == {"bfs", "sssp", "pagerank", "labels", "pregel"}
     for name, keys, scans in steps:
@@ -216,6 +217,32 @@ def test_supersteps_shuffle_messages_only(spark, monkeypatch):
     assert g.layout._by == {} and not g.layout._written
 
 
+@pytest.mark.parametrize("broadcast", [1 << 25, 0])
+def test_bitmaps_are_sets(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(traversal, "BROADCAST_BITMAPS", broadcast)
+    rng = random.Random(7)
+    a, b = ({rng.choice([0, 1, 7, 8, 9, 32767, 32768, 32769, 70_000, 65_536, rng.randrange(100_000)]) for _ in range(60)} for _ in range(2))
+    ids = lambda x: spark.createDataFrame([(i,) for i in sorted(x)] * 2, "id long")
+    known = traversal.merged(traversal.bitmaps(ids(a)), traversal.bitmaps(ids(b)))
+    asked = {*a, *b, *range(0, 100_000, 37), 0, 2, 32766, 99_999}
+    assert {r.id for r in traversal.not_in(ids(asked), known, 100_000).collect()} == asked - a - b
+    assert {r.id for r in traversal.not_in(ids(asked), known.where("false"), 100_000).collect()} == asked
+
+
+@pytest.mark.parametrize("broadcast", [1 << 25, 0])
+def test_bfs_with_and_without_bitmaps(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(traversal, "BROADCAST_BITMAPS", broadcast)
+    rows = [(i, i + 1) for i in range(12)] + [(i, i) for i in range(14)] + [(12, 3), (0, 5)] + random_edges(8, 14, 4)
+    e = edges_of(spark, rows)
+    dense, info = bfs(Graph(e, 14), 0)
+    sparse, other = bfs(Graph(e, vertices=spark.range(14)), 0)
+    assert values(dense, "level") == values(sparse, "level") == plain.bfs(rows, 14, 0)
+    assert info.iterations == other.iterations and [m["changed"] for m in info.metrics] == [m["changed"] for m in other.metrics]
+    for cap in (0, 1, 3):
+        got = [values(bfs(g, 0, max_levels=cap)[0], "level") for g in (Graph(e, 14), Graph(e, vertices=spark.range(14)))]
+        assert got[0] == got[1] == plain.bfs(rows, 14, 0, cap)
+
+
 def test_a_failed_loop_leaves_no_state(spark):
     rows = random_edges(6, 10, 20)
     before = {t.name for t in spark.catalog.listTables()}
