@@ -6,15 +6,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ranks import global_rank, quantiles
+from ..sources.archives import read_zip_lines
 
 
 def read_ratings(spark: SparkSession, path: str, share: float = 1.0, seed: int = 42) -> DataFrame:
     """``user, item, rating`` from a CSV with a header ``userId,movieId,rating,...``.
 
-    ``share`` below 1 keeps all ratings of that share of the users, told by a
-    hash of the user.
+    A path that ends in ``.zip`` is an archive (or several, by a pattern) whose members
+    ``ratings.csv`` are read. ``share`` below 1 keeps all ratings of that share of the
+    users, told by a hash of the user.
     """
-    raw = spark.read.schema("user LONG, item LONG, rating FLOAT, ts LONG").option("header", True).csv(path)
+    if path.endswith(".zip"):
+        p = read_zip_lines(spark, path, r"(?:.*/)?ratings\.csv").where("line_no > 0").select(F.split("value", ",").alias("p"))
+        raw = p.select(*[F.get("p", F.lit(i)).try_cast(kind).alias(c) for i, (c, kind) in enumerate((("user", "long"), ("item", "long"), ("rating", "float")))])
+    else:
+        raw = spark.read.schema("user LONG, item LONG, rating FLOAT, ts LONG").option("header", True).csv(path)
     rows = raw.select("user", "item", "rating").where("user is not null and item is not null and rating is not null")
     return rows if share >= 1 else rows.where(F.pmod(F.xxhash64("user", F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30)))
 

@@ -194,9 +194,9 @@ def csr_offsets(graph: Graph) -> DataFrame:
 
 
 def owned_edges(graph: Graph, parts: int) -> DataFrame:
-    """Edges with the ``owner`` of their source, each owner's lying together in
-    order of the source. ``parts`` owners have contiguous ranges of the ids."""
+    """Edges with the ``owner`` of their source, in order of the source. ``parts`` owners
+    have contiguous ranges of the ids; partition ``k`` holds the edges of owner ``k``."""
     if graph.n is None:
         raise ValueError("owners need a domain 0 .. n-1")
     rows = graph.edges.withColumn("owner", owned_range(graph.n, parts, F.col("src")))
-    return rows.repartition("owner").sortWithinPartitions("owner", "src", "dst")
+    return rows.repartitionById(parts, "owner").sortWithinPartitions("src", "dst")

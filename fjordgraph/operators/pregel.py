@@ -6,6 +6,9 @@ state of its ends as ``src_<name>`` and ``dst_<name>``.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +17,31 @@ from .layout import Layout
 
 
 BOTH = ("src", "dst")
+#: An aggregate over the column ``msg``, or a function from a series to a value.
+Merge = Column | Callable[[pd.Series], object]
+#: Into how many groups what is left of a vertex's messages is dealt before the last merge.
+SPREAD = 64
+
+
+def merged_by(messages: DataFrame, op: Callable[[pd.Series], object]) -> DataFrame:
+    """``id, msg`` merged by a function of one's own, from a series to one value of the
+    messages' type. It must not care how messages are grouped and ordered.
+
+    Each task merges its messages batch by batch before they are shuffled, and what is
+    left of one vertex is merged in groups, and then once more, so no task holds all
+    messages of a vertex.
+    """
+    schema = messages.select("id", "msg").schema
+
+    def ahead(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                yield b.groupby("id", sort=False)["msg"].agg(op).reset_index()
+
+    merge = F.pandas_udf(lambda x: op(x), schema["msg"].dataType, F.PandasUDFType.GROUPED_AGG)
+    few = messages.select("id", "msg").mapInPandas(ahead, schema)
+    few = few.groupBy("id", (F.spark_partition_id() % SPREAD).alias("group")).agg(merge("msg").alias("msg"))
+    return few.groupBy("id").agg(merge("msg").alias("msg"))
 
 
 def triplets(vertices: DataFrame, edges: DataFrame, reads: tuple[str, ...] = BOTH) -> DataFrame:
@@ -24,10 +52,11 @@ def triplets(vertices: DataFrame, edges: DataFrame, reads: tuple[str, ...] = BOT
     return edges
 
 
-def aggregate_messages(vertices: DataFrame, edges: DataFrame, merge: Column, to_dst: Column | None = None, to_src: Column | None = None, reads: tuple[str, ...] = BOTH) -> DataFrame:
+def aggregate_messages(vertices: DataFrame, edges: DataFrame, merge: Merge, to_dst: Column | None = None, to_src: Column | None = None, reads: tuple[str, ...] = BOTH) -> DataFrame:
     """``id, msg``: messages along the edges, merged per receiver.
 
-    ``merge`` is an aggregate over the column ``msg``; null messages are none.
+    ``merge`` is an aggregate over the column ``msg``, or a function as
+    :func:`merged_by` takes it; null messages are none.
     Messages that use one end's attributes only need one join: ``reads`` says
     which ends they use.
     """
@@ -42,15 +71,16 @@ def _triplets(state: DataFrame, layout: Layout, reads: tuple[str, ...]) -> DataF
     return triplets(state, near, tuple(rest))
 
 
-def _merged(t: DataFrame, merge: Column, to_dst: Column | None, to_src: Column | None) -> DataFrame:
+def _merged(t: DataFrame, merge: Merge, to_dst: Column | None, to_src: Column | None) -> DataFrame:
     sent = [t.select(F.col(at).alias("id"), m.alias("msg")) for at, m in (("dst", to_dst), ("src", to_src)) if m is not None]
     if not sent:
         raise ValueError("no message is sent")
     both = sent[0] if len(sent) == 1 else sent[0].unionByName(sent[1])
-    return both.where("msg is not null").groupBy("id").agg(merge.alias("msg"))
+    sent = both.where("msg is not null")
+    return sent.groupBy("id").agg(merge.alias("msg")) if isinstance(merge, Column) else merged_by(sent, merge)
 
 
-def pregel(vertices: DataFrame, edges: DataFrame, merge: Column, update: dict[str, Column], to_dst: Column | None = None, to_src: Column | None = None, max_iter: int = 100, changed: Column | None = None, reads: tuple[str, ...] = BOTH) -> tuple[DataFrame, RunInfo]:
+def pregel(vertices: DataFrame, edges: DataFrame, merge: Merge, update: dict[str, Column], to_dst: Column | None = None, to_src: Column | None = None, max_iter: int = 100, changed: Column | None = None, reads: tuple[str, ...] = BOTH) -> tuple[DataFrame, RunInfo]:
     """Run supersteps until no vertex changes.
 
     ``update`` maps attributes to expressions over the old attributes and

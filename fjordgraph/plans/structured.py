@@ -6,6 +6,9 @@ a way on, which the part graph has not.
 
 from __future__ import annotations
 
+import uuid
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import certificates, generate, reports, validate
@@ -14,6 +17,10 @@ from ..operators import labels as lp
 from ..operators import pagerank as pr
 from ..operators import traversal as tr
 from ..operators.components import connected_components as cc
+from ..operators.pregel import aggregate_messages
+from ..sources import records
+from ..storage import shared_dir
+from ..streaming.incremental import Incremental
 from . import tables as t
 from .registry import query
 
@@ -168,3 +175,57 @@ def shuffled_third(spark, sf_dir):
     """A third of the parts, in random order."""
     part = t.table(spark, sf_dir, "part").select("p_partkey")
     return generate.shuffled_subset(part, ["p_partkey"], part.count() // 3)
+
+
+# streams, logs and merges of one's own
+
+
+def _streamed(spark, sf_dir, kind, weighted=False):
+    """The order graph's edges as a stream of four files, each of them a batch."""
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    edges = t.order_graph(spark, sf_dir, weighted).edges
+    edges.repartition(4, F.xxhash64("dst")).write.parquet(f"{folder}/edges")
+    inc = Incremental(spark, f"{folder}/state", kind, None if kind == "components" else t.first_order(spark, sf_dir))
+    rows = spark.readStream.schema(edges.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/edges")
+    run = rows.writeStream.foreachBatch(inc.update).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return inc.result()
+
+
+@query(f"with recursive {_BFS} select id, level from r")
+def incremental_levels(spark, sf_dir):
+    return _streamed(spark, sf_dir, "levels").select("id", F.col("value").alias("level"))
+
+
+@query(f"with recursive {_SSSP} select id, d as distance from r")
+def incremental_distances(spark, sf_dir):
+    return _streamed(spark, sf_dir, "distances", weighted=True).select("id", F.col("value").alias("distance"))
+
+
+@query(f"with recursive {_COMPONENTS} select id, m as component from r")
+def incremental_components(spark, sf_dir):
+    return _streamed(spark, sf_dir, "components").select("id", F.col("value").alias("component"))
+
+
+@query("""with x as (select o_custkey % 50 as run, o_orderkey, o_orderkey % 3 f from orders)
+select run, max(case when f = 0 then o_orderkey end) as order_key, max(case when f = 1 then o_orderkey % 1000 * 7 end) as duration from x group by 1""")
+def scan_logs(spark, sf_dir):
+    """Log files of fifty runs, a line per order: records, output with a duration, and
+    lines that only look like records. The last record of each file counts."""
+    path = f"{shared_dir(spark)}/logs-{uuid.uuid4().hex}"
+    key, kind = F.col("o_orderkey"), F.col("o_orderkey") % 3
+    record = F.concat(F.lit("RESULT "), F.to_json(F.struct(key.alias("order_key"))))
+    timing = F.concat(F.lit("timing {'duration': "), (key % 1000 * 7).cast("string"), F.lit(", 'end': 1}"))
+    line = F.when(kind == 0, record).when(kind == 1, timing).otherwise(F.concat(F.lit("RESULT {broken "), key.cast("string")))
+    lines = t.table(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("run"), "o_orderkey", line.alias("value"))
+    lines.repartition("run").sortWithinPartitions("run", "o_orderkey").select("run", "value").write.partitionBy("run").text(path)
+    log = records.read_log(spark, path)
+    both = records.longest_durations(log).join(records.last_json_lines(log, "order_key long", "RESULT "), "file", "left")
+    return both.select(F.regexp_extract("file", r"run=(\d+)", 1).cast("long").alias("run"), "order_key", "duration")
+
+
+@query(f"with {t.PARTS} select dst as id, list_reduce(list(src + 1), lambda a, b: gcd(a, b)) as msg from e group by 1")
+def merge_by_function(spark, sf_dir):
+    """Messages merged by a function that Spark has not: the greatest common divisor."""
+    graph = t.part_graph(spark, sf_dir)
+    return aggregate_messages(graph.vertices.withColumn("x", F.col("id") + 1), graph.edges, lambda s: int(np.gcd.reduce(s.to_numpy())), to_dst=F.col("src_x"), reads=("src",))

@@ -130,17 +130,23 @@ def write_edges(edges: DataFrame, path: str) -> None:
     edges.select(F.concat_ws("\t", *[F.col(c).cast("string") for c in edges.columns]).alias("value")).write.text(path)
 
 
+def _write_parts(rows: DataFrame, path: str, format: str = "parquet") -> None:
+    """A folder ``part=<k>`` for each value of ``part``. Rows of a part come together as
+    far as files get the advisory size; a large part is written by several tasks."""
+    rows.hint("rebalance", "part").write.partitionBy("part").format(format).save(path)
+
+
 def write_sharded(edges: DataFrame, path: str, parts: int, key: str = "src") -> None:
     """One folder ``part=<k>`` for the rows with ``key % parts = k``."""
     rest = F.concat_ws("\t", *[F.col(c).cast("string") for c in edges.columns])
     out = edges.select((F.col(key) % parts).cast("int").alias("part"), rest.alias("value"))
-    out.repartition("part").write.partitionBy("part").text(path)
+    _write_parts(out, path, "text")
 
 
 def write_row_shards(rows: DataFrame, path: str, order: str, parts: int) -> None:
     """Row ``i`` in order of a unique column goes to folder ``part=<i % parts>``."""
     ranked = global_rank(rows, order, "__row").withColumn("part", (F.col("__row") % parts).cast("int")).drop("__row")
-    ranked.repartition("part").write.partitionBy("part").parquet(path)
+    _write_parts(ranked, path)
 
 
 def write_csr(graph: Graph, path: str) -> None:
@@ -169,14 +175,14 @@ def write_range_rows(graph: Graph, path: str, parts: int) -> None:
     rows = csr_offsets(graph).withColumn("part", owned_range(graph.n, parts, F.col("id")))
     base = rows.groupBy("part").agg(F.min("start").alias("base"))
     out = rows.join(F.broadcast(base), "part").select("id", (F.col("start") - F.col("base")).alias("start"), (F.col("end") - F.col("base")).alias("end"), "part")
-    out.repartition("part").write.partitionBy("part").parquet(path)
+    _write_parts(out, path)
 
 
 def write_ranges(rows: DataFrame, path: str, key: str, n: int, parts: int) -> None:
     """Contiguous ranges of ``key`` in folders ``part=<k>``, as Parquet."""
     from ..operators.graph import owned_range
 
-    rows.withColumn("part", owned_range(n, parts, F.col(key))).repartition("part").write.partitionBy("part").parquet(path)
+    _write_parts(rows.withColumn("part", owned_range(n, parts, F.col(key))), path)
 
 
 def graph_document(edges: DataFrame, seeds: DataFrame, n: int) -> DataFrame:

@@ -25,6 +25,35 @@ def read_runs(spark: SparkSession, path: str, multi_line: bool = True) -> DataFr
     })
 
 
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """``file, at, value``: the lines of log files, with their order.
+
+    ``at`` (a struct) orders the lines of one file: by where their split begins, then by
+    the row within its task, as a task reads a split from its start to its end. Splits
+    are read by different tasks, and nothing is shuffled.
+    """
+    lines = spark.read.option("recursiveFileLookup", True).text(path)
+    at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return lines.select(F.col("_metadata.file_path").alias("file"), at.alias("at"), "value")
+
+
+def last_json_lines(log: DataFrame, schema: str, prefix: str = "") -> DataFrame:
+    """``file`` and the fields of its last line that is a JSON object after ``prefix``;
+    files without one have no row."""
+    best = _json_bodies(log, prefix, "file", "at").groupBy("file").agg(F.max_by("body", "at").alias("body"))
+    return best.select("file", F.from_json("body", schema).alias("r")).select("file", "r.*")
+
+
+def longest_durations(log: DataFrame) -> DataFrame:
+    """``file, duration``: the greatest of :func:`longest_duration` in each file."""
+    return log.groupBy("file").agg(F.max(longest_duration(F.col("value"))).alias("duration"))
+
+
+def _json_bodies(lines: DataFrame, prefix: str, *keep: str, text: str = "value") -> DataFrame:
+    body = F.trim(F.substring(text, F.lit(len(prefix) + 1), F.length(text)))
+    return lines.where(F.col(text).startswith(prefix)).select(*keep, body.alias("body")).where("startswith(body, '{') and endswith(body, '}')")
+
+
 def longest_duration(text: Column) -> Column:
     """Greatest ``'duration': N`` that is followed by an ``'end'``, else null."""
     return F.array_max(F.transform(F.regexp_extract_all(text, F.lit(r"'duration': (\d+), 'end': \d+"), F.lit(1)), lambda x: x.cast("long")))
@@ -32,9 +61,7 @@ def longest_duration(text: Column) -> Column:
 
 def last_json_line(lines: DataFrame, schema: str, prefix: str = "", order: str = "line_no", text: str = "value") -> DataFrame:
     """The record of the last line that is a JSON object after ``prefix``."""
-    body = F.trim(F.substring(text, F.lit(len(prefix) + 1), F.length(text)))
-    cand = lines.where(F.col(text).startswith(prefix)).select(order, body.alias("body")).where("startswith(body, '{') and endswith(body, '}')")
-    best = cand.agg(F.max_by("body", order).alias("body"))
+    best = _json_bodies(lines, prefix, order, text=text).agg(F.max_by("body", order).alias("body"))
     return best.select(F.from_json("body", schema).alias("r")).select("r.*")
 
 
