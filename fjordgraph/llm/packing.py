@@ -23,7 +23,7 @@ empty table gives no pieces. Columns other than the id and the text are not used
 from __future__ import annotations
 
 import re
-from bisect import bisect_right, insort
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -118,18 +118,19 @@ class WordTokenizer:
 class Packer:
     """Packs pieces ``(n, doc_id, start, ids, doc_tokens)`` of one task.
 
-    Sequences are pairs of a tier and pieces; tier 0 has pieces to be handed on.
+    Sequences are pairs of a tier and pieces; tier 0 has pieces to be handed on. Pieces
+    wait in a queue for each length; a bit for each length tells which have any, so the
+    next fitting one is found in the same time however many wait.
     """
 
     def __init__(self, tiers: tuple[int, ...], first_id: int, step_tokens: int):
         self.tiers, self.next_id, self.next_group, self.step = tiers, first_id, first_id, step_tokens
-        self.pool: list[tuple] = []
-        self.serial = 0
-        self.held = 0
+        self.waiting: dict[int, deque[tuple]] = {}
+        self.lengths = self.held = 0
 
     def rest(self) -> list[tuple[int, list[tuple]]]:
         """What is left, as pieces to be handed on."""
-        return [(0, [(n, *piece)]) for n, _, *piece in self.pool]
+        return [(0, [piece]) for n in sorted(self.waiting) for piece in self.waiting[n]]
 
     def add(self, doc_id, ids: np.ndarray) -> list[list[tuple]]:
         """Take a document; its full windows come back as sequences."""
@@ -147,33 +148,37 @@ class Packer:
         self._put((len(ids), doc_id, start, ids, total))
 
     def _put(self, piece: tuple) -> None:
-        self.serial += 1
-        insort(self.pool, (piece[0], self.serial, *piece[1:]))
-        self.held += piece[0]
+        n = piece[0]
+        self.waiting.setdefault(n, deque()).append(piece)
+        self.lengths |= 1 << n
+        self.held += n
+
+    def _out(self, n: int, oldest: bool) -> tuple:
+        queue = self.waiting[n]
+        piece = queue.popleft() if oldest else queue.pop()
+        if not queue:
+            self.lengths ^= 1 << n
+        self.held -= n
+        return piece
 
     def _take(self, most: int) -> tuple | None:
         """Largest piece of at most ``most`` tokens."""
-        k = bisect_right(self.pool, most, key=lambda p: p[0])
-        if not k:
-            return None
-        n, _, *rest = self.pool.pop(k - 1)
-        self.held -= n
-        return (n, *rest)
+        fits = self.lengths & (2 << most) - 1
+        return self._out(fits.bit_length() - 1, False) if fits else None
 
     def _cut(self, size: int) -> tuple | None:
         """The head of the shortest piece, ``size`` tokens of it."""
-        if not self.pool:
+        if not self.lengths:
             return None
-        n, _, doc_id, start, ids, total = self.pool.pop(0)
-        self.held -= n
+        n, doc_id, start, ids, total = self._out((self.lengths & -self.lengths).bit_length() - 1, True)
         self._put((n - size, doc_id, start + size, ids[size:], total))
         return (size, doc_id, start, ids[:size], total)
 
     def pack(self) -> list[tuple[int, list[tuple]]]:
         """Sequences ``(tier, pieces)`` from the pool, until it runs out."""
         out = []
-        while self.pool:
-            longest = self.pool[-1][0]
+        while self.lengths:
+            longest = self.lengths.bit_length() - 1
             tier = next(t for t in self.tiers if t >= longest)
             if self.held < tier:
                 break

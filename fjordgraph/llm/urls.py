@@ -114,22 +114,40 @@ def _unescape(x: Column) -> Column:
     return x
 
 
+#: A comment, also one that never ends, and the tags that may hold links.
+_COMMENT = r"(?s)<!--.*?(?:-->|\z)"
+_TAG = r"(?is)(<(?:link|meta|base)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>)"
+#: An attribute with a value; what stands in another one's quotes is part of that.
+_ATTRIBUTE = r"(?s)([^\s\"'<>/=]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'<>]+)"
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """Value of a tag's first attribute of that name, unquoted, with its references
+    decoded and blanks around it left out; null if it has none."""
+    names = F.transform(F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), F.lit(1)), F.lower)
+    raw = F.try_element_at(F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), F.lit(2)), F.nullif(F.array_position(names, name), F.lit(0)).cast("int"))
+    return F.trim(_unescape(F.regexp_replace(raw, r"(?s)^([\"'])(.*)\1$", "$2")))
+
+
 def link_edges(pages: DataFrame) -> DataFrame:
     """``src, dst`` alias edges of all pages with a url.
 
-    Each page is tied to the targets of all its ``<link rel="canonical">`` and
-    ``<meta http-equiv="refresh">`` tags. Relative targets start from the page's
-    ``<base>``, or else from its url; character references are decoded.
+    Each page is tied to the targets of all its ``<link>`` tags one of whose ``rel``
+    words is ``canonical``, and ``<meta http-equiv="refresh">`` tags. Relative targets
+    start from the page's ``<base>``, or else from its url; character references are
+    decoded, and comments are no tags.
     """
     html = F.coalesce(F.col("html"), F.lit(""))
-    quoted = lambda name: rf"(?is)\b{name}\s*=\s*[\"']?([^\"'\s>]+)"
-    every = lambda pattern: F.regexp_extract_all(html, F.lit(pattern), F.lit(1))
-    told = lambda tags, name: F.transform(tags, lambda x: _unescape(F.regexp_extract(x, quoted(name), 1)))
-    links = told(every(r"(?is)(<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>)"), "href")
-    moves = told(every(r"(?is)(<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>)"), "url")
-    based = _unescape(F.regexp_extract(F.regexp_extract(html, r"(?is)(<base\b[^>]*>)", 1), quoted("href"), 1))
-    found = pages.where(F.col("url").contains("://")).select("url", F.filter(F.concat(links, moves), lambda x: x != "").alias("to"), based.alias("based")).where(F.size("to") > 0)
-    each = found.select("url", "based", F.explode("to").alias("to"))
+    tags = F.regexp_extract_all(F.regexp_replace(html, _COMMENT, ""), F.lit(_TAG), F.lit(1))
+    kind = lambda x, name: F.lower(F.substring(x, 2, len(name))) == name
+    found = pages.where(F.col("url").contains("://")).select("url", tags.alias("tags")).where(F.size("tags") > 0)
+    canonical = lambda x: kind(x, "link") & F.array_contains(F.split(F.lower(attribute(x, "rel")), r"\s+"), "canonical")
+    refresh = lambda x: kind(x, "meta") & (F.lower(attribute(x, "http-equiv")) == "refresh")
+    links = F.transform(F.filter("tags", canonical), lambda x: attribute(x, "href"))
+    moves = F.transform(F.filter("tags", refresh), lambda x: F.trim(F.regexp_extract(attribute(x, "content"), r"(?is)^[^;,]*[;,]\s*(?:url\s*=\s*)?[\"']?([^\"']*)", 1)))
+    based = F.try_element_at(F.filter(F.transform(F.filter("tags", lambda x: kind(x, "base")), lambda x: attribute(x, "href")), lambda x: x.isNotNull()), F.lit(1))
+    told = found.select("url", based.alias("based"), F.filter(F.concat(links, moves), lambda x: x != "").alias("to"))
+    each = told.select("url", "based", F.explode("to").alias("to"))
     from_ = F.coalesce(resolve(F.col("url"), F.col("based")), F.col("url"))
     out = each.select(canonical_form(F.col("url")).alias("src"), canonical_form(resolve(from_, F.col("to"))).alias("dst"))
     return out.where("dst is not null and dst <> src").distinct()

@@ -269,6 +269,35 @@ def test_urls_relative_links(spark):
     assert edges == {("//a.com/x/y?k=1", "//a.com/en/2"), ("//e.net/a/b", "//e.net/c"), ("//f.net", "//g.net/h"), ("//h.net/i", "//h.net/deep/j")}
 
 
+def test_urls_read_attributes_as_browsers_do(spark):
+    at, to = "http://a.net/", "//b.net/p"
+    link = {
+        '<link data-href="http://no.net/" href="http://b.net/p" rel="canonical">': True,
+        '<link rel="shortlink canonical" href="http://b.net/p">': True,
+        "<LINK\n  HREF = 'http://b.net/p'\n  REL = CANONICAL />": True,
+        '<link title="a > b" rel="canonical" href=" http://b.net/p ">': True,
+        '<link rel="canonical" href="http://b.net/p" href="http://no.net/">': True,
+        '<meta content="0; URL = \'http://b.net/p\'" http-equiv="Refresh">': True,
+        '<meta http-equiv="refresh" content="5,http://b.net/p">': True,
+        '<meta http-equiv=refresh content="0;url=http://b.net/p">': True,
+        '<!-- <link rel="canonical" href="http://b.net/p"> -->': False,
+        '<!-- open <link rel="canonical" href="http://b.net/p">': False,
+        '<link title="rel=canonical" href="http://b.net/p">': False,
+        '<link data-rel="canonical" href="http://b.net/p">': False,
+        '<link rel="canonicals" href="http://b.net/p">': False,
+        '<meta http-equiv="refresh" content="30">': False,
+        '<meta http-equiv="refreshed" content="0;url=http://b.net/p">': False,
+        '<linked rel="canonical" href="http://b.net/p">': False,
+        '<link rel="canonical">': False,
+        "<link " + "a='>' " * 3000 + 'rel="canonical" href="http://b.net/p">': True,
+    }
+    for html, tied in link.items():
+        edges = [tuple(r) for r in urls.link_edges(spark.createDataFrame([(1, at, "<p>x</p>" + html + "<b>")], "page_id long, url string, html string")).collect()]
+        assert edges == ([("//a.net", to)] if tied else []), html[:90]
+    blank = spark.createDataFrame([(1, at, '<base href="/d/"><base href="/e/"><link rel="canonical" href="x y&amp;z">')], "page_id long, url string, html string")
+    assert urls.link_edges(blank).collect() == [("//a.net", "//a.net/d/x y&z")]
+
+
 # chat
 
 

@@ -2,6 +2,7 @@
 
 import math
 import re
+import time
 import tracemalloc
 import random
 from collections import Counter
@@ -158,6 +159,23 @@ def test_packing_hands_leftovers_on(spark, monkeypatch, handed):
     assert lengths == tokens and set(tokens) == {d for d, _ in rows}
 
 
+def test_many_short_pieces_pack_fast():
+    """Nine times the pieces take about nine times as long, not eighty."""
+    def took(n):
+        rng = random.Random(n)
+        p = packing.Packer((512, 1024, 2048, 4096), 0, packing.STEP_TOKENS)
+        began = time.process_time()
+        for k in range(n):
+            p.add(k, np.zeros(rng.randrange(1, 21), "<u4"))
+        used = time.process_time() - began
+        sizes = [sum(x[0] for x in pieces) for tier, pieces in p.pack() if tier]
+        assert sizes and all(n in (512, 1024, 2048, 4096) for n in sizes)
+        return used
+
+    took(1000)
+    assert took(180_000) < 30 * max(took(20_000), 0.005)
+
+
 def test_pii_permutations():
     p = pii.Permutation(b"k")
     for n in (2, 3, 10, 26, 999):
