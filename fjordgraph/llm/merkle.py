@@ -2,7 +2,10 @@ r"""Document fingerprints: a Merkle tree over sections, paragraphs and phrases.
 
 A text splits into sections after blank lines, a section into paragraphs after
 line ends, a paragraph into phrases after a blank that follows one of ``MARKS``
-(sentence marks, and two letters so that text without marks has phrases too). Separators
+(sentence marks, and two letters so that text without marks has phrases too). In scripts
+that put no blanks between words a phrase ends after one of an eighth of their
+characters, which a rule over code points picks, so it is the content that decides and
+an edit moves no end but its own. Separators
 stay with what they end: the phrases, one after another, are the text. Leaves
 hash phrases, every other node hashes the hashes of its children in order, and
 the root is the fingerprint, so two texts have equal roots exactly if they are
@@ -19,6 +22,8 @@ replaced by :func:`fingerprints` and not used elsewhere.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,7 +32,19 @@ from ..storage import cut, drop
 #: Ids that share a bucket when neighbours in doc_id order are sought.
 BUCKET = 64
 MARKS = ".!?,;:|ea"
-_SECTION, _PARAGRAPH, _PHRASE = r"(?<=\n\n)(?!\n)", r"(?<=\n)", rf"(?<=[{MARKS}] )"
+#: Scripts without blanks (Thai and Lao, Burmese, Khmer, Chinese and Japanese) as ranges of
+#: code points, and those of them that end a phrase: eight of every 64.
+SCRIPTS = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3000, 0x9FFF))
+ENDS = [(c, c + 7) for low, high in SCRIPTS for c in range(-(-low // 64) * 64, high, 64)]
+_SECTION, _PARAGRAPH = r"(?<=\n\n)(?!\n)", r"(?<=\n)"
+
+
+def _class(ranges: Iterable[tuple[int, int]]) -> str:
+    return "[" + "".join(rf"\u{a:04X}-\u{b:04X}" for a, b in ranges) + "]"
+
+
+# the scripts are asked first: most characters are beside them all
+_PHRASE = rf"(?<=[{MARKS}] )|(?<=[{_class(SCRIPTS)}&&{_class(ENDS)}])"
 
 
 def _digest(children: Column) -> Column:

@@ -7,10 +7,12 @@ the public libraries or brute force, and op12's base columns against ``SECRETS_B
 
 from __future__ import annotations
 
+from . import merkle
+
 # marks are put where a level ends, then split at: another way to the pieces of the tree
 _SPLIT = r"string_split(regexp_replace({x}, '({end})', '\1' || chr(1), 'g'), chr(1))"
 _LEAVES = "list_transform({sections}, lambda s: list_transform({paragraphs}, lambda p: list_transform({phrases}, lambda x: sha256(x))))"
-_TREE = _LEAVES.replace("{sections}", _SPLIT.format(x="{t}", end=r"\n\n+")).replace("{paragraphs}", _SPLIT.format(x="s", end=r"\n")).replace("{phrases}", _SPLIT.format(x="p", end=r"[.!?,;:|ea] "))
+_TREE = _LEAVES.replace("{sections}", _SPLIT.format(x="{t}", end=r"\n\n+")).replace("{paragraphs}", _SPLIT.format(x="s", end=r"\n")).replace("{phrases}", _SPLIT.format(x="p", end=r"[.!?,;:|ea] |[" + "".join(rf"\x{{{{{a:x}}}}}-\x{{{{{b:x}}}}}" for a, b in merkle.ENDS) + "]"))
 _PARAGRAPHS = "list_transform({t}, lambda s: list_transform(s, lambda p: sha256(array_to_string(p, '/'))))"
 _SECTIONS = "list_transform({t}, lambda s: sha256(array_to_string(s, '/')))"
 _DIFF = "nullif(coalesce(list_position(list_transform(range(1, greatest(len({a}), len({b})) + 1), lambda i: {a}[i] is distinct from {b}[i]), true), 0), 0) - 1"

@@ -56,6 +56,10 @@ def plain_tree(text):
                 at = i
         return [*out, x[at:]]
 
+    def no_blanks(c):
+        script = "\u0e00" <= c <= "\u0eff" or "\u1000" <= c <= "\u109f" or "\u1780" <= c <= "\u17ff" or "\u3000" <= c <= "\u9fff"
+        return script and ord(c) % 64 < 8
+
     found = Counter()
 
     def node(level, children):
@@ -67,7 +71,7 @@ def plain_tree(text):
     for s in pieces(text, lambda x, i: x[i - 2 : i] == "\n\n" and i > 1 and x[i : i + 1] != "\n"):
         paragraphs = []
         for p in pieces(s, lambda x, i: x[i - 1] == "\n"):
-            leaves = [sha(q) for q in pieces(p, lambda x, i: i > 1 and x[i - 1] == " " and x[i - 2] in ".!?,;:|ea")]
+            leaves = [sha(q) for q in pieces(p, lambda x, i: i > 1 and x[i - 1] == " " and x[i - 2] in ".!?,;:|ea" or no_blanks(x[i - 1]))]
             found.update(("leaf", h) for h in leaves)
             paragraphs.append(node("paragraph", leaves))
         sections.append(node("section", paragraphs))
@@ -77,6 +81,7 @@ def plain_tree(text):
 def test_merkle_equals_plain_tree(spark):
     rng = random.Random(9)
     texts = ["", "a\n\nb", "a\n \nb", "a\n\n\nb", "\n\na\n", "a. b", "a.b", "a.  b", "one. two. three.", "three. one. one. two.", "no marks in this", "\u0001e \u0001\n", "é𝄞e ß", "a\r\n\r\nb", "x" * 300_000 + " e " * 2000]
+    texts += ["".join(chr(rng.choice([rng.randrange(0x3000, 0xA100), rng.randrange(0xDC0, 0x1120), rng.randrange(0x1770, 0x1810), 10, 32])) for _ in range(80)) for _ in range(40)]
     texts += ["".join(rng.choice([" ", "\n", "\n\n", "a", "b. ", "é", "e ", "\t", "? "]) for _ in range(rng.randrange(40))) for _ in range(250)]
     data = [(i, t) for i, t in enumerate(texts)]
     got = {r.doc_id: r for r in merkle.compare_with_edits(doc_table(spark, data)).collect()}
@@ -92,6 +97,17 @@ def test_merkle_equals_plain_tree(spark):
     assert len({r.fingerprint for r in got.values()}) == len(set(texts))
 
 
+def test_merkle_likeness_without_blanks(spark):
+    """One character more, or a third of the text, changes the leaves about it only."""
+    rng = random.Random(5)
+    kana = [chr(c) for c in (*range(0x3041, 0x3094), *range(0x30A1, 0x30F7))] + [chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(300)] + ["、", "。"]
+    for letters in (kana, [chr(c) for c in range(0x0E01, 0x0E2F)], [chr(c) for c in range(0x1000, 0x1022)]):
+        text = "".join(rng.choice(letters) for _ in range(900))
+        rows = [(2, text[:300] + letters[5] + text[300:]), (1, text)]
+        near = {r.doc_id: r for r in merkle.compare_with_edits(doc_table(spark, rows)).collect()}
+        assert near[2].near_next > 0.9 and 0.5 < near[1].near_edited < 1
+
+
 def test_merkle_locates_edits(spark):
     a = [(1, "a\nb\n\nc\nd"), (2, "same"), (3, "x\n\ny\n\nz"), (4, "p\n\nq\n\nr"), (5, None)]
     b = [(1, "a\nb\n\nc\nD"), (2, "same"), (3, "new\n\nx\n\ny\n\nz"), (4, "q\n\np\n\nr"), (5, "")]
