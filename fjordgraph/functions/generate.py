@@ -41,8 +41,15 @@ def uniform_sql(seed: int, *keys: str) -> str:
     return f"((({h} * {A} + 7) % {P} + 0.5::double) / {P}.0::double)"
 
 
+def _reached(n: int) -> None:
+    if n > P:
+        raise ValueError(f"at most {P} vertices can be drawn")
+
+
 def random_digraph(spark: SparkSession, n: int, k: int, seed: int = 42, weight: tuple[float, float] | None = None) -> DataFrame:
-    """``k`` draws per vertex without self-loops; draws may repeat."""
+    """``k`` draws per vertex without self-loops; draws may repeat. The hash reaches
+    ``P`` vertices; more are an error."""
+    _reached(n)
     rows = spark.range(n).select(F.col("id").alias("src"), F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("slot"))
     step = 1 + F.floor(uniform(seed, "src", "slot") * (n - 1))
     out = rows.select("src", ((F.col("src") + step) % n).cast("long").alias("dst"), "slot")
@@ -60,8 +67,10 @@ def distinct_digraph(spark: SparkSession, n: int, k: int, seed: int = 42) -> Dat
     """``k`` different out-neighbours per vertex, or all others if they are fewer.
 
     Each vertex walks the other ids by steps of its own modulo a prime, which
-    meet none twice, and keeps the first ``k`` that are ids.
+    meet none twice, and keeps the first ``k`` that are ids. The hash reaches ``P``
+    vertices; more are an error.
     """
+    _reached(n)
     if n < 2:
         return spark.range(0).select(F.col("id").alias("src"), F.col("id").alias("dst"))
     q, take = _prime(n - 1), min(k, n - 1)
@@ -195,8 +204,8 @@ def small_world(spark: SparkSession, n: int, k: int = 4, p: float = 0.3, seed: i
 
 def balanced_seeds(vertices: DataFrame, labels: int, share: float, seed: int = 42) -> DataFrame:
     """A random ``share`` of the vertices, dealt evenly over the labels; the last
-    label takes what is left over. One row per seed; ranks run per 1024 parts of
-    the hash range, so no task orders them all."""
+    label takes what is left over. One row per seed; ranks run over sampled ranges, so
+    no task orders them all."""
     from ..operators.ranks import global_rank
 
     n = vertices.count()

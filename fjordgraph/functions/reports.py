@@ -81,9 +81,12 @@ def component_count(labels: DataFrame, label: str = "component") -> DataFrame:
 
 
 def markdown(rows: DataFrame, limit: int = 1000) -> str:
-    """A small table as Markdown."""
+    """A small table as Markdown; a last line tells if there are more than ``limit`` rows."""
     head = " | ".join(rows.columns)
     lines = [f"| {head} |", "|" + "---|" * len(rows.columns)]
-    for r in rows.limit(limit).collect():
+    found = rows.limit(limit + 1).collect()
+    for r in found[:limit]:
         lines.append("| " + " | ".join("-" if v is None else f"{v:.4g}" if isinstance(v, float) else str(v) for v in r) + " |")
+    if len(found) > limit:
+        lines.append("| " + " | ".join(["..."] * len(rows.columns)) + " |")
     return "\n".join(lines) + "\n"

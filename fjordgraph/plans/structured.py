@@ -18,6 +18,7 @@ from ..operators import pagerank as pr
 from ..operators import traversal as tr
 from ..operators.components import connected_components as cc
 from ..operators.pregel import aggregate_messages
+from ..sources import edges as io
 from ..sources import records
 from ..storage import shared_dir
 from ..streaming.incremental import Incremental
@@ -224,6 +225,22 @@ def scan_logs(spark, sf_dir):
     return both.select(F.regexp_extract("file", r"run=(\d+)", 1).cast("long").alias("run"), "order_key", "duration")
 
 
+_TEXTS = ("2.5", "x", "NaN", "-1.5", "-inf")
+
+
+@query(f"""with x as (select l_orderkey o, l_partkey p, l_linenumber k, [{", ".join(f"'{x}'" for x in _TEXTS)}][l_linenumber] w from lineitem),
+l as (select case when k = 6 then cast(o as varchar) when k = 7 then 'a ' || p else o || ' ' || p || ' ' || w end line, ['', 'weight', 'not finite', 'negative', 'not finite', 'columns', 'source'][k] fault from x)
+select fault, count(*) as lines, min(line) as least from l where fault <> '' group by 1""")
+def scan_faults(spark, sf_dir):
+    """Lines of lineitem as weighted edges, most of them with something wrong."""
+    path = f"{shared_dir(spark)}/faults-{uuid.uuid4().hex}"
+    o, p, k = F.col("l_orderkey").cast("string"), F.col("l_partkey").cast("string"), F.col("l_linenumber")
+    weight = F.get(F.array(*[F.lit(x) for x in _TEXTS]), (k - 1).cast("int"))
+    line = F.when(k == 6, o).when(k == 7, F.concat(F.lit("a "), p)).otherwise(F.concat_ws(" ", o, p, weight))
+    t.table(spark, sf_dir, "lineitem").select(line.alias("value")).write.text(path)
+    return io.edge_faults(spark, path).groupBy("fault").agg(F.count(F.lit(1)).alias("lines"), F.min("line").alias("least"))
+
+
 @query(f"with {t.PARTS} select dst as id, list_reduce(list(src + 1), lambda a, b: gcd(a, b)) as msg from e group by 1")
 def merge_by_function(spark, sf_dir):
     """Messages merged by a function that Spark has not: the greatest common divisor."""

@@ -69,6 +69,22 @@ def read_seeded_edges(spark: SparkSession, path: str, n: int | None = None, stri
     return rows.select("src", "dst"), seeds
 
 
+def edge_faults(spark: SparkSession, path: str, third: str = "weight") -> DataFrame:
+    """``line, fault`` of the lines that readers leave out, take as something else or
+    raise on: too few ``columns``, a ``source`` or ``destination`` that is no number, or
+    one below 0 (``outside``); a ``weight`` that is no number, is ``not finite`` or
+    ``negative``; or, with ``third`` as ``label``, a ``label`` that is no number or is
+    ``too large``. A line has its first fault."""
+    rows = _fields(spark, path, r"\s+")
+    src, dst, raw, weight, label = _get(0, "long"), _get(1, "long"), F.get("p", F.lit(2)), _get(2, "double"), _get(2, "long")
+    fault = F.when(F.size("p") < 2, "columns").when(src.isNull(), "source").when(dst.isNull(), "destination").when((src < 0) | (dst < 0), "outside")
+    if third == "weight":
+        fault = fault.when(raw.isNotNull() & weight.isNull(), "weight").when(F.isnan(weight) | (F.abs(weight) == float("inf")), "not finite").when(weight < 0, "negative")
+    else:
+        fault = fault.when(raw.isNotNull() & label.isNull(), "label").when(label > MAX_LABEL, "too large")
+    return rows.select("line", fault.alias("fault")).where("fault is not null")
+
+
 def read_shards(spark: SparkSession, path: str, n: int, weighted: bool = False) -> DataFrame:
     """Sharded edges with the number of their shard, from ``part-<number>`` names.
 

@@ -109,3 +109,16 @@ def test_pregel_with_a_function(spark):
     start = spark.range(7).select("id", F.when(F.col("id") == 0, 0).cast("long").alias("d"))
     out, info = pregel(start, edges, lambda s: int(s.min()), {"d": F.least("d", "msg")}, to_dst=F.col("src_d") + 1, reads=("src",))
     assert {r.id: r.d for r in out.collect()} == plain.bfs(rows, 7, 0) and info.converged
+
+
+def test_faults_of_edge_lines(spark, tmp_path):
+    lines = ["# c", "", "1 2", "1 2 0.5", "1", "x 2", "1 y", "-1 2", "1 2 z", "1 2 nan", "1 2 inf", "1 2 -3", "1 2 3 4", " 4\t5 "]
+    (tmp_path / "e").write_text("\n".join(lines))
+    got = {r.line: r.fault for r in io.edge_faults(spark, str(tmp_path / "e")).collect()}
+    assert got == {"1": "columns", "x 2": "source", "1 y": "destination", "-1 2": "outside", "1 2 z": "weight", "1 2 nan": "not finite", "1 2 inf": "not finite", "1 2 -3": "negative"}
+    (tmp_path / "s").write_text("1 2 3\n1 2 a\n1 2 4294967296\n1 2 -7\n")
+    assert {r.line: r.fault for r in io.edge_faults(spark, str(tmp_path / "s"), "label").collect()} == {"1 2 a": "label", "1 2 4294967296": "too large"}
+    for bad in ("nan", "inf", "-3"):
+        (tmp_path / bad).write_text(f"1 2 {bad}\n")
+        with pytest.raises(Exception, match="not negative"):
+            io.read_weighted_edges(spark, str(tmp_path / bad)).collect()
