@@ -26,7 +26,7 @@ def test_stages(spark):
     want = brute_classes([(r.doc_id, r.text) for r in a.collect()])
     assert b.columns == docs.columns and sorted(r.doc_id for r in b.collect()) == sorted(set(want.values()))
     c = cut(three(spark, b, SF), "c")
-    s = pii.Surrogates(pii.environment_key())
+    s = pii.Surrogates(pii.environment_key(otherwise=corpus_pipeline.TEST_KEY))
     before = {r.doc_id: r.text for r in b.collect()}
     after = {r.doc_id: r for r in c.collect()}
     assert c.columns == docs.columns and set(after) == set(before)
