@@ -17,7 +17,7 @@ from ..sources import edges as io
 from ..sources import records
 from ..storage import shared_dir
 from . import tables as t
-from .registry import query
+from .registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 
 
 def _scratch(spark: SparkSession) -> str:
