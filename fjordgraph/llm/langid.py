@@ -108,7 +108,8 @@ class Table:
     """Keys with the logs of their frequencies over the common ones, by language.
 
     ``unseen`` holds what a language says of a key that it has not seen; ``more`` what
-    those that have seen it say beyond that, at ``langs``, from ``starts[row]`` on.
+    those that have seen it say beyond that, at ``langs``, from ``starts[row]`` on. A
+    small table has ``full``, all of this in a row per key, instead.
     """
 
     def __init__(self, counts: Iterable[tuple[str, int, int]], k: int):
@@ -132,6 +133,7 @@ class Table:
         if len(self.rows) * k * 8 <= FULL_BYTES:
             self.full = np.tile(self.unseen, (len(self.rows), 1))
             self.full[row, self.langs] += self.more
+            self.langs = self.more = self.starts = None
 
     def mean(self, rows: list[int]) -> np.ndarray:
         """What each language says of these keys, on average."""
