@@ -43,8 +43,8 @@ def _class(ranges: Iterable[tuple[int, int]]) -> str:
     return "[" + "".join(rf"\u{a:04X}-\u{b:04X}" for a, b in ranges) + "]"
 
 
-# the scripts are asked first: most characters are beside them all
-_PHRASE = rf"(?<=[{MARKS}] )|(?<=[{_class(SCRIPTS)}&&{_class(ENDS)}])"
+_PHRASE = rf"(?<=[{MARKS}] )"
+_SCRIPT, _EITHER = _class(SCRIPTS), rf"{_PHRASE}|(?<={_class(ENDS)})"
 
 
 def _digest(children: Column) -> Column:
@@ -53,7 +53,9 @@ def _digest(children: Column) -> Column:
 
 def tree(text: Column) -> Column:
     """Hashes of the phrases, by section and paragraph: three arrays deep."""
-    phrases = lambda p: F.transform(F.split(p, _PHRASE), lambda x: F.sha2(x, 256))
+    # most paragraphs have none of the scripts, and the short pattern says the same there
+    pieces = lambda p: F.when(p.rlike(_SCRIPT), F.split(p, _EITHER)).otherwise(F.split(p, _PHRASE))
+    phrases = lambda p: F.transform(pieces(p), lambda x: F.sha2(x, 256))
     return F.transform(F.split(text, _SECTION), lambda s: F.transform(F.split(s, _PARAGRAPH), phrases))
 
 
