@@ -195,6 +195,26 @@ def test_local_move_rises_until_no_move_gains(spark, seed, n, p):
     assert sum(x["gain"] / (1 + x["together"]) for x in log) <= rose + 1e-9
 
 
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_local_move_takes_few_sweeps(spark, monkeypatch, few):
+    """On a random graph, where vertices want to follow one another; moves broadcast or not."""
+    from fjordgraph.operators import louvain as lv
+
+    class Log(list):
+        def append(self, x):
+            super().append(x)
+            assert len(self) <= 20
+
+    monkeypatch.setattr(lv, "FEW", few, raising=False)
+    rng = random.Random(7)
+    rows = [(u, v, float(rng.randrange(1, 14))) for u in range(150) for v in range(u + 1, 150) if rng.random() < 0.2]
+    e = edges_of(spark, rows, True)
+    log = Log()
+    found = local_move(e, log)
+    assert no_gaining_move(e, found) <= 1e-9 and log[-1]["moved"] > 0
+    assert modularity(e, found).first().modularity > 0.13
+
+
 def exchanged(df):
     """The columns by which each exchange of the plan deals its rows, and its scans of
     bucketed tables."""
