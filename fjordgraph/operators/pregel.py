@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,29 +20,47 @@ from .layout import Layout
 BOTH = ("src", "dst")
 #: An aggregate over the column ``msg``, or a function from a series to a value.
 Merge = Column | Callable[[pd.Series], object]
-#: Into how many groups what is left of a vertex's messages is dealt before the last merge.
-SPREAD = 64
+#: Messages of a vertex in one batch that are merged before the shuffle.
+OFTEN = 32
 
 
 def merged_by(messages: DataFrame, op: Callable[[pd.Series], object]) -> DataFrame:
     """``id, msg`` merged by a function of one's own, from a series to one value of the
     messages' type. It must not care how messages are grouped and ordered.
 
-    Each task merges its messages batch by batch before they are shuffled, and what is
-    left of one vertex is merged in groups, and then once more, so no task holds all
-    messages of a vertex.
+    Before the shuffle, only messages of vertices that a batch has often are merged, so
+    a vertex with many sends few per batch, and the others cost no call of ``op``. Then
+    each task has its vertices' messages one after another and merges them batch by
+    batch, so no task holds all messages of a vertex.
     """
     schema = messages.select("id", "msg").schema
 
+    def runs(b: pd.DataFrame) -> pd.DataFrame:
+        """One row for each run of equal ids."""
+        ids, msg = b["id"].to_numpy(), b["msg"]
+        at = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+        return pd.DataFrame({"id": ids[at], "msg": [op(msg.iloc[i:j]) for i, j in zip(at, [*at[1:], len(b)], strict=True)]})
+
     def ahead(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            often = b["id"].map(b["id"].value_counts()) >= OFTEN if len(b) else None
+            if often is not None and often.any():
+                yield b[~often]
+                b = runs(b[often].sort_values("id", kind="stable"))
+            yield b
+
+    def last(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept = None
         for b in batches:
             if len(b):
-                yield b.groupby("id", sort=False)["msg"].agg(op).reset_index()
-
-    merge = F.pandas_udf(lambda x: op(x), schema["msg"].dataType, F.PandasUDFType.GROUPED_AGG)
-    few = messages.select("id", "msg").mapInPandas(ahead, schema)
-    few = few.groupBy("id", (F.spark_partition_id() % SPREAD).alias("group")).agg(merge("msg").alias("msg"))
-    return few.groupBy("id").agg(merge("msg").alias("msg"))
+                out = runs(b if kept is None else pd.concat([kept, b], ignore_index=True))
+                yield out[:-1]
+                kept = out[-1:]
+        if kept is not None:
+            yield kept
+
+    sent = messages.select("id", "msg").where("id is not null").mapInPandas(ahead, schema)
+    return sent.repartition("id").sortWithinPartitions("id").mapInPandas(last, schema)
 
 
 def triplets(vertices: DataFrame, edges: DataFrame, reads: tuple[str, ...] = BOTH) -> DataFrame:

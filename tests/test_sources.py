@@ -103,6 +103,19 @@ def test_messages_merged_by_a_function(spark):
     assert merged_by(sent.where("false"), min).collect() == []
 
 
+def test_the_function_is_called_once_a_vertex(spark):
+    """Not for messages one by one, if vertices have a few each."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def least(s):
+        calls.add(1)
+        return int(s.min())
+
+    sent = spark.range(20_000).select((F.col("id") % 2000).alias("id"), (F.col("id") + 5).alias("msg")).repartition(5)
+    assert {r.id: r.msg for r in merged_by(sent, least).collect()} == {i: i + 5 for i in range(2000)}
+    assert 2000 <= calls.value < 3000
+
+
 def test_pregel_with_a_function(spark):
     rows = [(0, 1), (1, 2), (2, 3), (0, 3), (5, 6)]
     edges = spark.createDataFrame(rows, "src long, dst long")
