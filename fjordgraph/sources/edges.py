@@ -12,10 +12,14 @@ from pyspark.sql import functions as F
 from ..functions.generate import uniform
 from ..operators.graph import Graph, canonical, csr_offsets, symmetrise
 from ..operators.ranks import global_rank
+from ..storage import cut
 
 UNVISITED, UNREACHABLE, UNLABELLED = "UNVISITED", "Infinity", "UNKNOWN"
 MAX_LABEL = (1 << 32) - 1
 GRAPH_JSON = "edges ARRAY<ARRAY<BIGINT>>, labeled_nodes MAP<STRING, BIGINT>, num_nodes BIGINT"
+#: Edges, and seeds, of a graph document; larger graphs are several. Copies of an edge
+#: that may come together.
+DOCUMENT, COPIES = 100_000, 1000
 
 
 def _fields(spark: SparkSession, path: str, pattern: str) -> DataFrame:
@@ -107,7 +111,8 @@ def read_canonical_edges(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_graph_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, int]:
-    """Edges, seeds and the number of vertices of a graph document."""
+    """Edges, seeds and the number of vertices of a graph document, or of a folder of
+    documents that are one graph."""
     doc = spark.read.schema(GRAPH_JSON).option("multiLine", True).json(path)
     edges = doc.select(F.explode("edges").alias("e")).select(F.get("e", F.lit(0)).alias("src"), F.get("e", F.lit(1)).alias("dst"))
     seeds = doc.select(F.explode("labeled_nodes").alias("k", "label")).select(F.col("k").try_cast("long").alias("id"), "label")
@@ -201,15 +206,25 @@ def write_ranges(rows: DataFrame, path: str, key: str, n: int, parts: int) -> No
     _write_parts(rows.withColumn("part", owned_range(n, parts, F.col(key))), path)
 
 
-def graph_document(edges: DataFrame, seeds: DataFrame, n: int) -> DataFrame:
-    """One row in the layout of :func:`read_graph_json`; for graphs that fit one row."""
-    e = edges.agg(F.sort_array(F.collect_list(F.array("src", "dst"))).alias("edges"))
-    s = seeds.select(F.col("id").cast("string").alias("k"), "label").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "label")))).alias("labeled_nodes"))
-    return e.crossJoin(s).withColumn("num_nodes", F.lit(n).cast("long"))
+def graph_documents(edges: DataFrame, seeds: DataFrame, n: int) -> DataFrame:
+    """Rows in the layout of :func:`read_graph_json`, which together are the graph: one
+    for each ``DOCUMENT`` edges or seeds, so a small graph is one document."""
+    edges, seen = cut(edges.select("src", "dst"), "graph-edges", n=F.count(F.lit(1)))
+    k = max(1, -(-max(seen["n"], seeds.count()) // DOCUMENT))
+    # copies of one edge are dealt out too
+    copies = edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("copies")).select("src", "dst", "copies", F.explode(F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / COPIES))).alias("at"))
+    some = F.array_repeat(F.array("src", "dst"), F.least(F.col("copies") - F.col("at") * COPIES, F.lit(COPIES)).cast("int"))
+    e = copies.select(F.pmod(F.xxhash64("src", "dst", "at"), F.lit(k)).alias("document"), some.alias("some")).repartition(k, "document")
+    e = e.groupBy("document").agg(F.sort_array(F.flatten(F.collect_list("some"))).alias("edges"))
+    s = seeds.select(F.pmod(F.xxhash64("id"), F.lit(k)).alias("document"), F.col("id").cast("string").alias("k"), "label").repartition(k, "document")
+    s = s.groupBy("document").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "label")))).alias("labeled_nodes"))
+    rows = edges.sparkSession.range(k).select(F.col("id").alias("document")).join(e, "document", "left").join(s, "document", "left")
+    return rows.select(F.coalesce("edges", F.array().cast("array<array<bigint>>")).alias("edges"), F.coalesce("labeled_nodes", F.create_map().cast("map<string,bigint>")).alias("labeled_nodes"), F.lit(n).cast("long").alias("num_nodes"))
 
 
 def write_graph_json(edges: DataFrame, seeds: DataFrame, n: int, path: str) -> None:
-    graph_document(edges, seeds, n).coalesce(1).write.json(path)
+    """A file for each document, as a reader of documents of many lines takes files whole."""
+    graph_documents(edges, seeds, n).write.option("maxRecordsPerFile", 1).json(path)
 
 
 def result_document(result: DataFrame, value: str, info: dict) -> DataFrame:

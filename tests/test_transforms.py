@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,6 +55,24 @@ def test_graph_json_and_results(spark, tmp_path):
     assert io.result_document(r, "d", {"n": 2}).first().json == '{"n":2,"d":[2.5]}' or "d" in io.result_document(r, "d", {"n": 2}).first().json
 
 
+def test_large_graphs_are_several_documents(spark, tmp_path, monkeypatch):
+    """No document is large, copies of one edge included, and all together are the graph."""
+    monkeypatch.setattr(io, "DOCUMENT", 100, raising=False)
+    monkeypatch.setattr(io, "COPIES", 10, raising=False)
+    rows = [(i, i + 1) for i in range(500)] + [(7, 7)] * 500
+    e = spark.createDataFrame(rows, "src long, dst long")
+    s = spark.range(0, 400, 2).select("id", (F.col("id") % 3).alias("label"))
+    io.write_graph_json(e, s, 501, str(tmp_path / "j"))
+    docs = [json.loads(f.read_text()) for f in (tmp_path / "j").glob("*.json")]
+    assert len(docs) == 10 and max(len(d["edges"]) for d in docs) < 250
+    edges, seeds, n = io.read_graph_json(spark, str(tmp_path / "j"))
+    assert sorted(map(tuple, edges.collect())) == sorted(rows) and n == 501
+    assert {tuple(r) for r in seeds.collect()} == {(i, i % 3) for i in range(0, 400, 2)}
+    io.write_graph_json(e.where("false"), s.where("false"), 3, str(tmp_path / "none"))
+    edges, seeds, n = io.read_graph_json(spark, str(tmp_path / "none"))
+    assert (edges.count(), seeds.count(), n) == (0, 0, 3)
+
+
 def test_run_records(spark, tmp_path):
     d = tmp_path / "runs"
     d.mkdir()
