@@ -215,6 +215,31 @@ def test_local_move_takes_few_sweeps(spark, monkeypatch, few):
     assert modularity(e, found).first().modularity > 0.13
 
 
+@pytest.mark.parametrize("small", [100_000, 0])
+def test_local_move_settles_followers_in_one_sweep(spark, monkeypatch, small):
+    """Vertices that wait for one another follow in one sweep, and gains add up exactly;
+    links of a task are bounded."""
+    from fjordgraph.operators import louvain as lv
+
+    monkeypatch.setattr(lv, "SMALL", small, raising=False)
+    rng = random.Random(3)
+    rows = [(u, v, float(rng.randrange(1, 14))) for u in range(400) for v in range(u + 1, 400) if rng.random() < 0.08] + [(5, 5, 4.0)]
+    e = edges_of(spark, rows, True)
+
+    class Log(list):
+        def append(self, x):
+            super().append(x)
+            assert len(self) <= 12
+
+    log = Log()
+    found = local_move(e, log)
+    assert no_gaining_move(e, found) <= 1e-9
+    assert not log[-1]["together"] and log[-1]["moved"] > 0
+    ids = found.select("id", F.col("id").alias("community"))
+    rose = modularity(e, found).first().modularity - modularity(e, ids).first().modularity
+    assert sum(x["gain"] / (1 + x["together"]) for x in log) <= rose + 1e-9
+
+
 def exchanged(df):
     """The columns by which each exchange of the plan deals its rows, and its scans of
     bucketed tables."""
